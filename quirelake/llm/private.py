@@ -104,7 +104,7 @@ def _labels(kind: str, span: Column, before: Column, base: Column) -> list[Colum
         return [_vote(base, ~base), _vote(~span.rlike(r"^(?:0|127|255)\."), span.rlike(r"^0+\.")), cue, _vote(span.rlike(r"[0-9]{2,}\."), span.rlike(r"^[0-9]\.[0-9]\.[0-9]\.[0-9]$")), _vote(base & (F.length(span) <= 15), span.rlike(r"[0-9]{4}"))]
     if kind == "card":
         n = F.length(digits)
-        return [_vote(base, ~base), _vote(digits.rlike(CARD_STARTS), digits.rlike("^0")), cue, _vote(n.between(15, 16), (n < 13) | (n > 19)), _vote(span.rlike(r"^[0-9]+$|^(?:[0-9]{4}[ -]){3}"), span.rlike(r"^(?:[0-9]{1,3}[ -])+"))]
+        return [_vote(base, ~base), _vote(digits.rlike(CARD_STARTS), digits.rlike("^0")), cue, _vote(n.between(15, 16), (n < 13) | (n > 19)), _vote(span.rlike(r"^[0-9]+$|^(?:[0-9]{4}[ -]){3}"), span.rlike(r"^[0-9]{1,3}[ -]"))]
     if kind == "phone":
         n = F.length(digits)
         return [_vote(base, ~base), _vote(span.rlike(r"^\+(?:1|3[0-9]|4[0-9]|5[0-9]|6[0-9]|7|8[0-9]|9[0-9])"), span.rlike(r"^\+0")), cue, _vote(n.between(11, 13), n < 8), _vote(span.rlike(r"[ ()-]"), span.rlike(r"\.[0-9]*\."))]
