@@ -52,7 +52,7 @@ def test_weighted_sample(spark):
 
 
 def test_audit(spark):
-    regions = [([0.0, 0, 1, 1], "handwritten", "слово", "uk", "legible", None)] * 12 + [([0.0, 0, 1, 1], "table", " ", None, None, None)]
+    regions = [([0.0, 0.0, 1.0, 1.0], "handwritten", "слово", "uk", "legible", None)] * 12 + [([0.0, 0.0, 1.0, 1.0], "table", " ", None, None, None)]
     from quirelake.schema import PAGE
 
     page = spark.createDataFrame([("a", None, None, None, "s", 10, 10, regions, None, None)], PAGE)
