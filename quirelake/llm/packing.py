@@ -169,8 +169,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capac
         tok, part, seen = tokens.load(tokenizer), TaskContext.get().partitionId(), np.zeros(len(sizes), np.int64)
         for b in batches:
             rows, which = [], []
-            for i, text in enumerate(texts(b.column(1))):
-                ids = np.append(tok.ids(text), np.int32(end_id))
+            for i, found in enumerate(tok.many(texts(b.column(1)))):
+                ids = np.append(found, np.int32(end_id))
                 for at in range(0, len(ids), capacity):
                     piece = ids[at : at + capacity]
                     c = int(np.searchsorted(sizes, len(piece)))

@@ -57,8 +57,8 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "
             return row
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                got = np.append(tok.ids(text), np.int32(end_id)).astype(np.uint16 if width == 2 else np.uint32)
+            for doc, found in zip(b.column(0).to_pylist(), tok.many(texts(b.column(1))), strict=True):
+                got = np.append(found, np.int32(end_id)).astype(np.uint16 if width == 2 else np.uint32)
                 if ids and held + len(got) > shard_ids:
                     yield flush()
                 ids.append(doc)

@@ -6,20 +6,31 @@ against encoding whole texts.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
 from .words import LOWER
 
+#: Letters (bytes from 0x80 are checked once decoded), then ASCII signs but the apostrophe, which may begin a token with letters.
+_LETTERS_AND_SIGNS = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)\Z")
+#: A mark between an ASCII letter and white space is a token of its own.
+_MARK = re.compile(rb"(?<=[a-z])[,.](?=[ \n])")
+
 _loaded: dict[str, "StretchTokenizer"] = {}
 
 
 class StretchTokenizer(dict):
-    """Maps a stretch of bytes to its place in the tables of ids. ``most``: stretches kept before the tables are emptied."""
+    """Maps a stretch of bytes to its place in the tables of ids. ``most``: stretches kept before the tables are emptied.
+
+    Letters and a run of other signs after them are encoded apart, as the tokenizer itself parts them: so few distinct runs of letters are
+    left, and those that a group of texts lacks are encoded in one call, whose ids are parted where a word ends.
+    """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         super().__init__()
         import os
 
@@ -28,45 +39,86 @@ class StretchTokenizer(dict):
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.n_vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.n_vocab)])
         self._empty()
 
     def _empty(self) -> None:
         self.clear()
         self.flat, self.starts, self.sizes = array("i"), array("i"), array("i")
 
-    def __missing__(self, stretch: bytes) -> int:
-        if len(stretch) > 1 and stretch[-1] in b",." and 97 <= stretch[-2] <= 122:  # a letter, then one mark: two tokens apart
-            head = self[stretch[:-1]]
-            at, n = self.starts[head], self.sizes[head]
-            ids = list(self.flat[at : at + n]) + self._encode(stretch[-1:])
-        else:
-            ids = self._encode(stretch)
+    def _put(self, stretch: bytes, ids) -> None:
+        self[stretch] = len(self.starts)
         self.starts.append(len(self.flat))
         self.sizes.append(len(ids))
         self.flat.extend(ids)
-        i = self[stretch] = len(self.starts) - 1
-        return i
 
-    def _encode(self, stretch: bytes) -> list[int]:
-        return self.tokenizer.encode(stretch.decode(), add_special_tokens=False).ids
-
-    def ids(self, text: bytes) -> np.ndarray:
-        """int32 ids of a text. Lower-casing ASCII first is what the tokenizer does itself; texts that may hold its special strings are left as they are."""
-        if len(self) > self.most:
-            self._empty()
-        stretches = (text if b"<|" in text else text.translate(LOWER)).split()
-        if not stretches:
+    def _get(self, stretch: bytes) -> array:
+        i = self[stretch]
+        return self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, stretches: set[bytes]) -> None:
+        """Ids of stretches that aren't known."""
+        parted, letters = [], set()
+        for x in stretches:
+            m = _LETTERS_AND_SIGNS.match(x)
+            if m is None:
+                self._put(x, self._encode(x.decode()))
+                continue
+            head, tail = m.groups()
+            if head not in self:
+                letters.add(head)
+            if tail:
+                parted.append((x, head, tail))
+        plain = [w for w, s in ((w, w.decode()) for w in letters) if s.isalpha() and max(s) < "\u0250" and "\u0130" not in s]
+        for w in letters.difference(plain):
+            self._put(w, self._encode(w.decode()))
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = self._encode(b" ".join(some).decode())
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) == len(some):
+                for w, lo, hi in zip(some, [0, *ends], ends, strict=False):
+                    self._put(w, ids[lo:hi])
+            else:
+                for w in some:
+                    self._put(w, self._encode(w.decode()))
+        for x, head, tail in parted:
+            if tail not in self:
+                self._put(tail, self._encode(tail.decode()))
+            if head in self:
+                self._put(x, self._get(head) + self._get(tail))
+
+    def many(self, texts: list[bytes], group: int = 1_000_000) -> Iterator[np.ndarray]:
+        """int32 ids of each text. Lower-casing ASCII first is what the tokenizer does itself; texts that may hold its special strings are left as they are."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (size < group or to == at):
+                size += len(texts[to])
+                to += 1
+            if len(self) > self.most:
+                self._empty()
+            parts = [t.split() if b"<|" in t else _MARK.sub(rb" \g<0>", t.translate(LOWER)).split() for t in texts[at:to]]
+            if lacking := set().union(*parts) - self.keys():
+                self._learn(lacking)
+            flat, starts, sizes = (np.array(x, np.int32) for x in (self.flat, self.starts, self.sizes))
+            for part in parts:
+                yield self._gather(np.fromiter(map(self.__getitem__, part), np.int32, len(part)), flat, starts, sizes)
+            at = to
+
+    @staticmethod
+    def _gather(which: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        if not len(which):
             return np.zeros(0, np.int32)
-        which = np.fromiter(map(self.__getitem__, stretches), np.int32, len(stretches))
-        flat, starts, sizes = (np.frombuffer(x, np.int32) for x in (self.flat, self.starts, self.sizes)) if len(self.flat) else (np.zeros(0, np.int32),) * 3
-        n = sizes[which] if len(sizes) else np.zeros(len(which), np.int32)
+        n = sizes[which]
         ends = np.cumsum(n)
-        total = int(ends[-1])
-        if not total:
-            return np.zeros(0, np.int32)
-        out = flat[np.repeat(starts[which] - (ends - n), n) + np.arange(total)]
-        del flat, starts, sizes
-        return out
+        return flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1])]
+
+    def ids(self, text: bytes) -> np.ndarray:
+        return next(self.many([text]))
 
 
 def load(path: str) -> StretchTokenizer:
