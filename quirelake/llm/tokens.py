@@ -10,6 +10,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 
@@ -24,27 +25,30 @@ _loaded: dict[str, "StretchTokenizer"] = {}
 
 
 class StretchTokenizer(dict):
-    """Maps a stretch of bytes to its place in the tables of ids. ``most``: stretches kept before the tables are emptied.
+    """Maps a stretch of bytes to its place in the tables of ids. ``most``: stretches held; beyond it the first ``keep`` stay, which are the frequent ones.
 
     Letters and a run of other signs after them are encoded apart, as the tokenizer itself parts them: so few distinct runs of letters are
     left, and those that a group of texts lacks are encoded in one call, whose ids are parted where a word ends.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_000_000, keep: int = 400_000):
         super().__init__()
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.keep = Tokenizer.from_file(path), most, min(keep, most // 2)
         self.n_vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.n_vocab)])
-        self._empty()
+        self.flat, self.starts, self.sizes = array("i"), array("i"), array("i")
 
-    def _empty(self) -> None:
+    def _shrink(self) -> None:
+        kept = list(islice(self, self.keep))  # in order of their numbers
         self.clear()
-        self.flat, self.starts, self.sizes = array("i"), array("i"), array("i")
+        self.update(zip(kept, range(len(kept)), strict=True))
+        end = self.starts[len(kept)] if len(kept) < len(self.starts) else len(self.flat)
+        del self.flat[end:], self.starts[len(kept) :], self.sizes[len(kept) :]
 
     def _put(self, stretch: bytes, ids) -> None:
         self[stretch] = len(self.starts)
@@ -100,7 +104,7 @@ class StretchTokenizer(dict):
                 size += len(texts[to])
                 to += 1
             if len(self) > self.most:
-                self._empty()
+                self._shrink()
             parts = [t.split() if b"<|" in t else _MARK.sub(rb" \g<0>", t.translate(LOWER)).split() for t in texts[at:to]]
             if lacking := set().union(*parts) - self.keys():
                 self._learn(lacking)
