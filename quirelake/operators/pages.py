@@ -134,7 +134,7 @@ def score_pages(solution: DataFrame, submission: DataFrame, threshold: float = T
     rows = rows.withColumn("gt_page", _page_text(F.col("gt"), F.col("gt_texts"), F.array().cast("array<int>"))).withColumn("pred_page", _page_text(F.col("pred"), F.col("pred_texts"), dropped))
     rows = held(rows)
     cers = F.filter(F.transform("matches", lambda m: m["cer"]), lambda c: c.isNotNull())
-    out = rows.select(
+    return rows.select(
         "image",
         "source",
         F.size("gt").alias("n_gt"),
@@ -154,7 +154,6 @@ def score_pages(solution: DataFrame, submission: DataFrame, threshold: float = T
         F.length("gt_page").alias("gt_chars"),
         F.length("pred_page").alias("pred_chars"),
     )
-    return held(out)
 
 
 def metric_columns() -> list[Column]:
