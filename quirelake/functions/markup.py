@@ -46,7 +46,7 @@ def _cells(m: re.Match) -> str:
     return "\n".join(re.findall(r"\|\s*([^|\n]+?)\s*\|", m[0]))
 
 
-#: Rewriting groups, in order. A group marked True is repeated until nothing changes.
+#: Rewriting groups, in order. A group marked True is repeated until nothing changes.
 REWRITES: list[tuple[bool, list]] = [
     (
         False,

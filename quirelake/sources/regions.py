@@ -186,3 +186,20 @@ def row_count(spark: SparkSession, path: str) -> int:
         if _missing(e):
             return 0
         raise
+
+
+def read_manifest(spark: SparkSession, path: str, most: int | None = None, order: str = "image_path", defaults: dict[str, object] | None = None) -> DataFrame:
+    """A CSV manifest, its first ``most`` rows by ``order`` if a limit is asked for, with defaults for columns that lack or hold nothing."""
+    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    for name, value in (defaults or {}).items():
+        rows = rows.withColumn(name, F.coalesce(F.col(name).try_cast({int: "long", float: "double", bool: "boolean"}.get(type(value), "string")), F.lit(value)) if name in rows.columns else F.lit(value))
+    return rows if most is None else rows.orderBy(order).limit(most)
+
+
+def detections_to_regions(rows: DataFrame, least_conf: float = 0.0) -> DataFrame:
+    """image and regions from detector rows (image, x1, y1, x2, y2, class number, conf): by falling confidence, texts empty."""
+    kind = F.element_at(F.array(*[F.lit(t) for t in REGION_TYPES]), F.col("class") + 1)
+    box = F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])
+    one = F.struct(box.alias("bbox"), kind.alias("type"), F.lit("").alias("text"), F.lit("uk").alias("language"), F.lit("legible").alias("legibility"), F.col("conf").cast("double").alias("conf"))
+    keyed = F.struct((-F.col("conf")).alias("k"), box.alias("b"), one.alias("r"))
+    return rows.where(F.col("conf") >= least_conf).groupBy("image").agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["r"]).alias("regions"))
