@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .scratch import cut
@@ -326,9 +327,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("id", "class").join(table, "class").select(F.col("id").alias(id_col), "class_id", "n_links", "group_id")
 
 
+def _part(docs: DataFrame, bits: np.ndarray, n_bits: int, hit: bool) -> DataFrame:
+    """The rows of ``docs`` whose last column's place in the filter is set, or those where it isn't, without that column."""
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.mod(np.asarray(b.columns[-1]), n_bits)
+            is_set = held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(is_set == hit))
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields[:-1]))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: JoinSettings = JoinSettings()) -> DataFrame:
-    """The rows of ``docs`` without all but one of each group of near duplicates: that of the least id stays. Rows that repeat whole are one."""
+    """The rows of ``docs`` without all but one of each group of near duplicates: that of the least id stays. Rows that repeat whole are one.
+
+    A filter of fixed size over the ids to drop lets most rows pass as they are; only those that it may hold are joined with the ids, so few
+    texts are shuffled.
+    """
     found = near_duplicates(docs, id_col, text_col, settings)
-    first = cut(found.where(F.col(id_col).eqNullSafe(F.col("group_id"))).groupBy(F.col(id_col).alias("__keep")).agg(F.count("*").alias("n")), "kept")
-    kept = docs.join(first.select("__keep"), docs[id_col].eqNullSafe(first["__keep"]), "left_semi")
-    return kept.dropDuplicates([id_col]) if first.where("n > 1").limit(1).count() else kept
+    stays = F.col(id_col).eqNullSafe(F.col("group_id")).cast("int")
+    ids = cut(found.groupBy(F.col(id_col).alias("__id")).agg(F.sum(stays).alias("n")), "decisions")
+    drop = ids.where("n = 0").select("__id")
+    keyed = docs.withColumn("__h", F.xxhash64(id_col))
+    bits = _filter(drop.select(F.xxhash64("__id").alias("tag")), settings.filter_bits)
+    maybe = _part(keyed, bits, settings.filter_bits, True)
+    kept = _part(keyed, bits, settings.filter_bits, False).union(maybe.join(drop, maybe[id_col].eqNullSafe(drop["__id"]), "left_anti"))
+    return kept.dropDuplicates([id_col]) if ids.where("n > 1").limit(1).count() else kept
