@@ -28,24 +28,27 @@ def _has_text(line: Column) -> Column:
     return F.length(F.btrim(line, F.lit(" \t\r\x0b\x0c"))) > 0
 
 
-def boilerplate(docs: DataFrame, host_col: str, text_col: str, most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, line digest, n_pages, host_pages) of each line over the ratio. Pages are rows; a line counts once in each."""
+def boilerplate(docs: DataFrame, host_col: str, text_col: str, most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, distinct_pages: bool = False) -> DataFrame:
+    """(host, line digest, n_pages, host_pages) of each line over the ratio. Pages are rows, or with ``distinct_pages`` the host's distinct texts; a line counts once in each."""
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    pages = docs.select(host.alias("host"), F.col(text_col).alias("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    held = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _has_text), _digest))).alias("line"))
-    counts = held.groupBy("host", "line").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= least_pages)
+    page = [F.coalesce(F.unhex(F.md5(F.col(text_col))), F.lit(b"")).alias("page")] if distinct_pages else []  # a null text is one page
+    n = F.count_distinct("page") if distinct_pages else F.count("*")
+    pages = docs.select(host.alias("host"), F.col(text_col).alias("text"), *page)
+    totals = pages.groupBy("host").agg(n.alias("host_pages"))
+    held = pages.select("host", *["page"][: len(page)], F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _has_text), _digest))).alias("line"))
+    counts = held.groupBy("host", "line").agg(n.alias("n_pages")).where(F.col("n_pages") >= least_pages)
     return counts.join(totals, "host").where(F.col("n_pages") > most_share * F.col("host_pages"))
 
 
-def drop_site_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def drop_site_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, most_broadcast: int = MOST_BROADCAST, distinct_pages: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and two more columns: n_lines and n_dropped.
 
     Lines are what newlines part; blank lines neither count nor go. A null text stays null, with no lines; an empty one has one blank line
     and stays empty; a null host counts as the empty one; every row is a page, also where ids repeat; an empty table gives an empty result.
+    With ``distinct_pages`` rows of one host with the same text are one page, so that copies of a document don't make boilerplate of it.
     Columns named host, line or the like don't clash.
     """
-    found = cut(boilerplate(docs, host_col, text_col, most_share, least_pages), "site-lines")
+    found = cut(boilerplate(docs, host_col, text_col, most_share, least_pages, distinct_pages), "site-lines")
     sets = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__drop"))  # at most average lines per page / most_share a host
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     if found.count() <= most_broadcast:

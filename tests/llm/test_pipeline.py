@@ -45,6 +45,13 @@ def test_run_against_brute_force(spark, tables):
     assert np.max([r["offset"] + r["length"] for r in got]) <= 2048
 
 
+def test_a_large_group_of_copies_keeps_its_text(spark):
+    copy = "one page that many rows hold\nin two lines"
+    docs = spark.createDataFrame([(i, copy if i < 60 else f"other text {i}", "en", "h", 1) for i in range(120)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.lines(spark, docs, "")
+    assert got.where("doc_id < 60").select("text", "n_chars").distinct().collect() == [(copy, len(copy))]
+
+
 def test_stages_return_documents(spark, tables):
     d, *_ = tables
     docs = spark.read.parquet(f"{d}/documents.parquet")

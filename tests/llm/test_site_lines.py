@@ -29,3 +29,12 @@ def test_empty_and_clashing(no_docs, clashing):
     assert drop_site_lines(no_docs).count() == 0
     out = drop_site_lines(clashing)
     assert out.columns.count("n_lines") == 1 and {"host", "line"} <= set(out.columns) and out.count() == clashing.count()
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_copies_of_a_page_are_not_boilerplate(spark, broadcast):
+    copy = "a page of its own\nwith two lines"
+    rows = [(i, copy, "h") for i in range(40)] + [(100 + i, f"menu of the site\ntext {i}", "h") for i in range(20)] + [(200, None, "h"), (201, "", None)]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in drop_site_lines(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), most_broadcast=broadcast, distinct_pages=True).collect()}
+    assert all(got[i] == (copy, 0) for i in range(40)) and all(got[100 + i] == (f"text {i}", 1) for i in range(20))
+    assert got[200] == (None, 0) and got[201] == ("", 0)
