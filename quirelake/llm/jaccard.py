@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,7 +131,8 @@ def _tag(key: bytes, doc) -> int:
 
 
 def _fingerprints(docs: DataFrame, s: JoinSettings, kind: str) -> DataFrame:
-    """id, class key, tag of class and id, and band keys of each row; none for a text without words."""
+    """id, class key, tag of class and id, and band keys of each row (none for a text without words), and further columns of binary as they are."""
+    more = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -144,9 +145,9 @@ def _fingerprints(docs: DataFrame, s: JoinSettings, kind: str) -> DataFrame:
                     keys[i] = row
             classes = [_class_key(x) for x in sets]
             tags = [_tag(c, d) for c, d in zip(classes, b.column(0).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.binary()), pa.array(tags, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "class", "tag", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.binary()), pa.array(tags, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *b.columns[2:]], names=["id", "class", "tag", "bands", *more])
 
-    return docs.mapInArrow(run, f"id {kind}, class binary, tag long, bands array<long>")
+    return docs.mapInArrow(run, ", ".join([f"id {kind}, class binary, tag long, bands array<long>", *(f"{c} binary" for c in more)]))
 
 
 def _payload(docs: DataFrame, s: JoinSettings, bits: np.ndarray) -> DataFrame:
@@ -291,19 +292,11 @@ def _blocks(members: DataFrame, sizes: DataFrame, s: JoinSettings) -> DataFrame:
     return m.select("comp", "band", "class", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), (F.col("k") > F.col("other")).cast("int").alias("side"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: JoinSettings = JoinSettings()) -> DataFrame:
-    """One row per row of ``docs``: id, class_id, n_links and group_id.
-
-    class_id: the least id with the same set of word n-grams (lower-cased words of letters and digits; a text of fewer words than n is one
-    gram). n_links: how many other classes reach the threshold with this one. group_id: the least id of all classes linked with it,
-    directly or through others. Texts without words, null ones among them, are one class without links. Ids may be null (ignored among
-    least ids unless all are null) or repeat; an empty table gives an empty result; other columns are not read.
-    """
-    s = settings
-    kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+def _linked(plain: DataFrame, s: JoinSettings, *least: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (id, text, further columns): the rows with their classes; the classes with the aggregates ``least``; those with links, their number and component."""
+    kind = plain.schema["id"].dataType.simpleString()
     rows = cut(_fingerprints(plain, s, kind), "fingerprints")
-    classes = cut(rows.groupBy("class").agg(F.min("id").alias("rep"), F.min("tag").alias("tag"), F.first("bands").alias("bands")), "classes")
+    classes = cut(rows.groupBy("class").agg(F.min("tag").alias("tag"), F.first("bands").alias("bands"), *least), "classes")
     keyed = classes.select("class", F.explode("bands").alias("band"))
     shared = cut(keyed.groupBy("band").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1"), "shared-bands")
     edges = keyed.join(shared, "band").where(F.col("class") != F.col("hub")).select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
@@ -316,11 +309,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = keyed.join(large, "class").join(shared.select("band"), "band").select(F.lit(b"").alias("comp"), "band", "class")
         units = units.unionByName(_blocks(members, shared.select(F.lit(b"").alias("comp"), "band", "n"), s))
     tags = classes.join(comps.select("class"), "class", "left_semi").select("tag")
-    payload = _payload(plain, s, _filter(tags, s.filter_bits))
+    payload = _payload(plain.select("id", "text"), s, _filter(tags, s.filter_bits))
     found = cut(_evaluate(units.join(payload, "class"), s), "links")
     links = found.groupBy("class").agg(F.sum("links").alias("n_links"))
     group = components(found.where(F.col("class") != F.col("root")).select(F.col("class").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("node", "class")
-    linked = cut(classes.select("class", "rep").join(links, "class").join(group, "class"), "linked")
+    return rows, classes, cut(classes.drop("tag", "bands").join(links, "class").join(group, "class"), "linked")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: JoinSettings = JoinSettings()) -> DataFrame:
+    """One row per row of ``docs``: id, class_id, n_links and group_id.
+
+    class_id: the least id with the same set of word n-grams (lower-cased words of letters and digits; a text of fewer words than n is one
+    gram). n_links: how many other classes reach the threshold with this one. group_id: the least id of all classes linked with it,
+    directly or through others. Texts without words, null ones among them, are one class without links. Ids may be null (ignored among
+    least ids unless all are null) or repeat; an empty table gives an empty result; other columns are not read.
+    """
+    rows, classes, linked = _linked(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), settings, F.min("id").alias("rep"))
     least = linked.groupBy("comp").agg(F.min("rep").alias("group_id"))
     known = linked.join(least, "comp").select("class", "n_links", "group_id")
     table = cut(classes.select("class", F.col("rep").alias("class_id")).join(known, "class", "left").select("class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id")), "class-table")
@@ -340,18 +344,29 @@ def _part(docs: DataFrame, bits: np.ndarray, n_bits: int, hit: bool) -> DataFram
     return docs.mapInArrow(run, T.StructType(docs.schema.fields[:-1]))
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of a row's id and text; nulls are values of their own."""
+    own = [F.when(F.col(c).isNull(), "").otherwise(F.md5(F.col(c).cast("string"))) for c in (id_col, text_col)]
+    return F.unhex(F.md5(F.concat_ws(",", *own)))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: JoinSettings = JoinSettings()) -> DataFrame:
-    """The rows of ``docs`` without all but one of each group of near duplicates: that of the least id stays. Rows that repeat whole are one.
+    """The rows of ``docs`` without all but one of each group of near duplicates: one of the least id stays (null only if all are), of those one text's.
 
-    A filter of fixed size over the ids to drop lets most rows pass as they are; only those that it may hold are joined with the ids, so few
-    texts are shuffled.
+    Rows are told apart by id and text together, so ids may be null or repeat: rows of other groups stay whatever their id. Rows that repeat
+    both are one. A filter of fixed size over the rows to drop lets most pass as they are; only those that it may hold are joined with them,
+    so few texts are shuffled.
     """
-    found = near_duplicates(docs, id_col, text_col, settings)
-    stays = F.col(id_col).eqNullSafe(F.col("group_id")).cast("int")
-    ids = cut(found.groupBy(F.col(id_col).alias("__id")).agg(F.sum(stays).alias("n")), "decisions")
-    drop = ids.where("n = 0").select("__id")
-    keyed = docs.withColumn("__h", F.xxhash64(id_col))
-    bits = _filter(drop.select(F.xxhash64("__id").alias("tag")), settings.filter_bits)
-    maybe = _part(keyed, bits, settings.filter_bits, True)
-    kept = _part(keyed, bits, settings.filter_bits, False).union(maybe.join(drop, maybe[id_col].eqNullSafe(drop["__id"]), "left_anti"))
-    return kept.dropDuplicates([id_col]) if ids.where("n > 1").limit(1).count() else kept
+    s, key = settings, _row_key(id_col, text_col)
+    plain = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), key.alias("key"))
+    rows, classes, linked = _linked(plain, s, F.min(F.struct(F.isnull("id").alias("none"), "id", "key")).alias("first"))
+    stay = linked.groupBy("comp").agg(F.min("first").alias("first")).select("first.key").union(classes.join(linked.select("class"), "class", "left_anti").select("first.key"))
+    told = rows.select("key", F.lit(1).alias("n"), F.lit(0).alias("stays")).union(stay.select("key", F.lit(0), F.lit(1)))
+    found = cut(told.groupBy(F.col("key").alias("__key")).agg(F.sum("n").alias("n"), F.max("stays").alias("stays")).where("stays = 0 OR n > 1"), "decisions")
+    drop = found.where("stays = 0").select("__key")
+    keyed = docs.withColumn("__key", key).withColumn("__h", F.xxhash64("__key"))
+    bits = _filter(found.select(F.xxhash64("__key").alias("tag")), s.filter_bits)
+    maybe = _part(keyed, bits, s.filter_bits, True)
+    if found.where("n > 1").limit(1).count():
+        maybe = maybe.dropDuplicates(["__key"])
+    return _part(keyed, bits, s.filter_bits, False).union(maybe.join(drop, "__key", "left_anti").select(*docs.columns, "__key")).drop("__key")

@@ -95,3 +95,23 @@ def test_components(spark):
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | dict.fromkeys(range(6, 12), 6)
     assert components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    rng = random.Random(8)
+    base, *other = (prose(rng, 60) for _ in range(9))
+    close = base + " ende"
+    rows = [(None, base), (None, close), (None, other[0]), (None, other[0]), (None, other[1]), (7, other[2]), (7, other[3]), (7, other[3] + " .")]  # null and shared ids with unlike texts
+    rows += [(1, other[4]), (2, other[4] + " ende"), (2, other[5]), (3, other[6]), (3, other[6]), (None, None), (9, ""), (4, other[7])]  # the near copy with id 2 goes, the other text of it stays
+    got = jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sum(r["text"] in (base, close) for r in got) == 1 and sum((r["text"] or "").removesuffix(" .") == other[3] for r in got) == 1
+    left = [(r["doc_id"], r["text"]) for r in got if r["text"] not in (base, close) and (r["text"] or "").removesuffix(" .") != other[3]]
+    want = [(None, other[0]), (None, other[1]), (7, other[2]), (1, other[4]), (2, other[5]), (3, other[6]), (9, ""), (4, other[7])]
+    assert sorted(left, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 25])
+def test_unlike_texts_without_ids_all_stay(spark, bits):
+    rng = random.Random(9)
+    rows = [(None, prose(rng, 40)) for _ in range(50)] + [(5, prose(rng, 40)) for _ in range(50)]
+    assert sorted(map(tuple, jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), settings=jaccard.JoinSettings(filter_bits=bits)).collect()), key=str) == sorted(rows, key=str)
