@@ -16,7 +16,7 @@ import numpy as np
 
 from .words import LOWER
 
-#: Letters (bytes from 0x80 are checked once decoded), then ASCII signs but the apostrophe, which may begin a token with letters.
+#: Letters (bytes from 0x80 are checked once decoded: see _plain), then ASCII signs but the apostrophe, which may begin a token with letters.
 _LETTERS_AND_SIGNS = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)\Z")
 #: A mark between an ASCII letter and white space is a token of its own.
 _MARK = re.compile(rb"(?<=[a-z])[,.](?=[ \n])")
@@ -24,11 +24,20 @@ _MARK = re.compile(rb"(?<=[a-z])[,.](?=[ \n])")
 _loaded: dict[str, "StretchTokenizer"] = {}
 
 
+def _plain(head: bytes) -> bool:
+    """Whether these are letters alone, also once lower-cased, so that the tokenizer parts them from signs. Beyond Latin, Unicode versions may differ."""
+    if head.isascii():
+        return True
+    s = head.decode()
+    return s.isalpha() and max(s) < "\u0250" and "\u0130" not in s
+
+
 class StretchTokenizer(dict):
     """Maps a stretch of bytes to its place in the tables of ids. ``most``: stretches held; beyond it the first ``keep`` stay, which are the frequent ones.
 
-    Letters and a run of other signs after them are encoded apart, as the tokenizer itself parts them: so few distinct runs of letters are
-    left, and those that a group of texts lacks are encoded in one call, whose ids are parted where a word ends.
+    Latin letters and a run of other signs after them are encoded apart, as the tokenizer itself parts them: so few distinct runs of letters
+    are left, and those that a group of texts lacks are encoded in one call, whose ids are parted where a word ends. Any other stretch is
+    encoded whole.
     """
 
     def __init__(self, path: str, most: int = 1_000_000, keep: int = 400_000):
@@ -68,7 +77,7 @@ class StretchTokenizer(dict):
         parted, letters = [], set()
         for x in stretches:
             m = _LETTERS_AND_SIGNS.match(x)
-            if m is None:
+            if m is None or not _plain(m[1]):
                 self._put(x, self._encode(x.decode()))
                 continue
             head, tail = m.groups()
@@ -76,9 +85,7 @@ class StretchTokenizer(dict):
                 letters.add(head)
             if tail:
                 parted.append((x, head, tail))
-        plain = [w for w, s in ((w, w.decode()) for w in letters) if s.isalpha() and max(s) < "\u0250" and "\u0130" not in s]
-        for w in letters.difference(plain):
-            self._put(w, self._encode(w.decode()))
+        plain = list(letters)
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
             ids = self._encode(b" ".join(some).decode())

@@ -26,6 +26,11 @@ def test_stretches_join_to_whole_texts(fixture_rows, encode):
         assert tok.ids((t or "").encode()).tolist() == encode(t), t
 
 
+@pytest.mark.parametrize("text", ["hello”,", "x».", "wait…!", "£)", "a–,", "“quoted”. «deux», „drei“; dash—- İ, ก็, слово, 世界! é, e\u0301."])
+def test_signs_beyond_ascii_join_those_after_them(encode, text):
+    assert tokens.StretchTokenizer(tokens.default_path()).ids(text.encode()).tolist() == encode(text)
+
+
 @pytest.mark.parametrize("values", [[], [0], [5, 5, 5, 9], list(range(3000)), sorted(np.random.default_rng(0).integers(0, 10**12, 3000).tolist()), [0] * 1500 + [1]])
 def test_elias_fano(values):
     e = EliasFano.of(np.array(values, np.int64))
