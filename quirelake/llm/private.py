@@ -23,7 +23,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,200}+={0,2}(?![A-Za-z0-9_+/=-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=-])",
 }
 #: A text without this cannot hold the kind.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_+/-]{20}"}

@@ -31,6 +31,14 @@ def test_secret_is_added_and_base_stays(docs, fixture_rows):
     assert by[i].count("email") == 2 and "secret" in by[i]
 
 
+def test_secrets_after_equals_and_long_ones_are_candidates(spark):
+    short, long = "1eb9c654e721b4f812088970e66a6345cee33dd6", "aB3" * 100
+    rows = [(1, f"api_key={short}"), (2, f"key {long} end"), (3, f"token={long}=="), (4, "x" * 19), (5, f"a_name_of_more_than_twenty={short}")]
+    got = {r["doc_id"]: r["n_candidates"] for r in private.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r["id"]: [(c["s"], c["e"]) for c in r["spans"] if c["kind"] == private.KINDS.index("secret")] for r in private.candidates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert found == {1: [(8, 48)], 2: [(4, 304)], 3: [(6, 308)], 4: [], 5: [(27, 67)]} and all(got[i] for i in (1, 2, 3, 5))
+
+
 def test_empty_and_clashing(no_docs, clashing, docs):
     assert private.find_private(no_docs).count() == 0
     assert private.find_private(clashing).count() == docs.count()
