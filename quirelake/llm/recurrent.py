@@ -254,6 +254,12 @@ def word_counts(texts_: DataFrame, most: int = 400_000) -> DataFrame:
     return texts_.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def start_texts(docs: DataFrame, s: Settings, n_docs: int) -> DataFrame:
+    """Texts of about ``start_docs`` rows of ``docs`` (id, text), each drawn by itself, also among copies of one text or repeated rows."""
+    drawn = F.xxhash64("id", "text", F.monotonically_increasing_id())
+    return docs.where(F.pmod(drawn, F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, s.start_docs / max(1, n_docs))) + 1)).select("text")
+
+
 def train(docs: DataFrame, v: Vocabulary, s: Settings, n_docs: int, class_counts: np.ndarray) -> dict[str, np.ndarray]:
     """Weights from the rows of ``docs`` (id, text): a first training on about ``start_docs`` of them, then one on all, averaged over tasks.
 
@@ -293,8 +299,7 @@ def train(docs: DataFrame, v: Vocabulary, s: Settings, n_docs: int, class_counts
     kind = "tokens long, w binary"
     first = initial(s)
     first["b"] = np.log((class_counts + 0.5) / (class_counts + 0.5).sum()).astype(np.float32)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, s.start_docs / max(1, n_docs))) + 1)).select("text")
-    w = averaged(some.repartition(1).mapInArrow(trainer_run(_flat(first), s.start_rate, s.start_epochs), kind), _flat(first))
+    w = averaged(start_texts(docs, s, n_docs).repartition(1).mapInArrow(trainer_run(_flat(first), s.start_rate, s.start_epochs), kind), _flat(first))
     w = averaged(docs.select("text").mapInArrow(trainer_run(w, s.rate, 1), kind), w)
     return _shaped(w, s)
 

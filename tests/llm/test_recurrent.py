@@ -32,6 +32,14 @@ def test_base_against_brute_force(docs, fixture_rows, settings):
     assert got == want
 
 
+@pytest.mark.parametrize("ids", ["id", "CAST(NULL AS long)"])
+def test_start_draws_copies_apart(spark, ids):
+    copies = spark.range(3000).selectExpr(f"{ids} AS id", "'the same text' AS text")
+    for text in ("the same text", ""):
+        n = R.start_texts(copies.selectExpr("id", f"'{text}' AS text"), R.Settings(start_docs=300), 3000).count()
+        assert 200 < n < 400
+
+
 def test_edges(no_docs, clashing, spark):
     assert R.score_documents(no_docs, settings=SMALL).count() == 0
     assert R.score_documents(clashing, settings=SMALL).count() == clashing.count()
