@@ -13,10 +13,12 @@ import numpy as np
 SAMPLE = 512
 MAGIC = b"QLTOKEN1"
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Place of set bit k of each byte; 8 where it has no such bit.
+_PLACE = np.array([([j for j in range(8) if i >> j & 1] + [8] * 8)[:8] for i in range(256)], np.int64)
 
 
 class EliasFano:
-    """Encoded values; ``select(i)`` gives one, ``all()`` every one."""
+    """Encoded values; ``select(i)`` gives one, ``select_many`` any number, ``all()`` every one."""
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: bytes):
         self.n, self.low_bits = n, low_bits
@@ -59,6 +61,30 @@ class EliasFano:
         bit = byte * 8 + ((here & -here).bit_length() - 1)
         return ((bit - i) << self.low_bits) | self._low(i)
 
+    def select_many(self, which: np.ndarray) -> np.ndarray:
+        """Values at ``which``, each from the samples on either side of it: the high bits between those are counted by the byte."""
+        which = np.asarray(which, np.int64)
+        if not len(which):
+            return np.zeros(0, np.int64)
+        if which.min() < 0 or which.max() >= self.n:
+            raise IndexError(which)
+        ones = np.concatenate([[0], np.cumsum(_ONES[self.high], dtype=np.int64)])  # set bits before each byte
+        sample = which // SAMPLE
+        byte = self.samples[sample].astype(np.int64) // 8
+        more = ones[byte + 1] <= which  # not in its sample's byte: in one up to the next sample's
+        byte[more] = np.searchsorted(ones, which[more], "right") - 1
+        bit = byte * 8 + _PLACE[self.high[byte], which - ones[byte]]
+        return ((bit - which) << self.low_bits) | self._low_many(which)
+
+    def _low_many(self, which: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(which), np.int64)
+        out, first = np.zeros(len(which), np.int64), which * self.low_bits
+        for k in range(self.low_bits):
+            at = first + k
+            out |= (self.low[at // 8].astype(np.int64) >> (at % 8) & 1) << k
+        return out
+
     def all(self) -> np.ndarray:
         if not self.n:
             return np.zeros(0, np.int64)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .scratch import cut
-from .words import texts
+from .words import portions
 
 CAPACITY, END_ID = 2048, 1
 
@@ -167,9 +167,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, seen = tokens.load(tokenizer), TaskContext.get().partitionId(), np.zeros(len(sizes), np.int64)
-        for b in batches:
+        for b in portions(batches, 1):
             rows, which = [], []
-            for i, found in enumerate(tok.many(texts(b.column(1)))):
+            for i, found in enumerate(tok.many(b.column(1))):
                 ids = np.append(found, np.int32(end_id))
                 for at in range(0, len(ids), capacity):
                     piece = ids[at : at + capacity]

@@ -5,8 +5,11 @@ Both tables keep bytes from 0x80 on, so UTF-8 sequences stay whole and every non
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: A-Z to a-z.
@@ -20,6 +23,29 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of each row in one array of bytes, which isn't copied; null is empty."""
+    if column.null_count:
+        column = pc.fill_null(column, pa.scalar(b"").cast(column.type))
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, bounds, data = column.buffers()
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    bounds = np.frombuffer(bounds, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return bounds.astype(np.int64), np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
+
+
+def portions(batches: Iterator[pa.RecordBatch], text: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in portions of at most ``most`` bytes in column ``text``, or one row: what is worked on at a time stays small."""
+    for b in batches:
+        bounds, _ = raw(b.column(text))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def spaced_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``."""
     return text.split()
