@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .words import Numbering, spaced_words, texts, windows_repeated
+from .words import Numbering, portions, row_texts, spaced_words, windows_repeated
 
 #: Bytes from which a band holds, least and greatest compressed share of it. Texts under the first band are too short for a verdict.
 BANDS = ((64, 0.45, 1.40), (128, 0.40, 1.15), (256, 0.36, 1.00), (512, 0.33, 0.90), (1024, 0.31, 0.85), (2048, 0.30, 0.80), (4096, 0.28, 0.78), (16384, 0.26, 0.76))
@@ -62,9 +63,7 @@ def measure(text: bytes, limits: Limits, z: zstandard.ZstdCompressor) -> tuple:
     repeat = windows_repeated(Numbering().of(words), limits.window)
     failed = n < limits.least_words or 100 * repeat > limits.repeat_percent * n
     ratio = len(z.compress(text)) / len(text) if text else 1.0
-    chunks = [text[i : i + limits.chunk] for i in range(0, len(text), limits.chunk)]
-    if len(chunks) > 1 and len(chunks[-1]) < limits.chunk:
-        chunks.pop()  # a short rest says little, and the whole document's ratio has it
+    chunks = [text[i : i + limits.chunk] for i in range(0, len(text), limits.chunk)]  # the last one, shorter, has the limits of its length
     bad = sum(bool(band_verdict(len(c), len(z.compress(c)) / len(c), limits.bands)) for c in chunks) if len(chunks) > 1 else 0
     why = "base" if failed else band_verdict(len(text), ratio, limits.bands)
     if not why and len(chunks) > 1 and bad >= limits.bad_chunks * len(chunks):
@@ -75,15 +74,15 @@ def measure(text: bytes, limits: Limits, z: zstandard.ZstdCompressor) -> tuple:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """One row per row of ``docs``: its id and METRICS. ``reason`` is empty for kept rows, else base, repetitive, incompressible or chunks.
 
-    A null text is measured as empty, and so has no words and fails the base rule; ids may be null or repeat, each row is judged alone; an
-    empty table gives an empty result; other columns are not read.
+    A null text is measured as empty, and so has no words and fails the base rule; very long texts are measured whole, as one document and in
+    all their chunks; ids may be null or repeat, each row is judged alone; an empty table gives an empty result; other columns are not read.
     """
     schema = f"{docs.select(id_col).schema.simpleString()[7:-1].split(':', 1)[1]}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=limits.level)
-        for b in batches:
-            rows = [measure(t, limits, z) for t in texts(b.column(1))]
+        for b in portions(batches, 1):
+            rows = [measure(t, limits, z) for t in row_texts(b.column(1))]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in KINDS]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, KINDS, strict=True))], names=["id", *NAMES])
 
@@ -92,15 +91,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
-    at = docs.columns.index(text_col)
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns as they are.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Null and empty texts go, as they have no words; a very long text is judged whole; repeated rows are judged alike, each by itself; ids
+    don't matter; an empty table stays empty. Only the texts go to Python, and one verdict a row comes back.
+    """
+
+    @F.arrow_udf("boolean")
+    def kept(column: pa.Array) -> pa.Array:
         z = zstandard.ZstdCompressor(level=limits.level)
-        for b in batches:
-            yield b.filter(pa.array([measure(t, limits, z)[6] for t in texts(b.column(at))], pa.bool_()))
+        return pa.array([measure(t, limits, z)[6] for t in row_texts(column)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(kept(F.col(text_col)))
 
 
 NAMES = [x.split()[0] for x in METRICS.split(", ")]

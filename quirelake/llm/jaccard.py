@@ -3,8 +3,8 @@
 Texts with the same set of word 5-gram hashes are one class. MinHash values, banded, give candidate classes; those that share a band form
 components, within which pairs meet in blocks of bounded size. A block compares its pairs' MinHash values a few at a time and drops a pair
 once the posterior probability that its similarity reaches the threshold, given the matches so far and a uniform prior, is below a
-tolerance. The rest are verified on the whole sets. No pair leaves its block: each class gets its number of links and a link to the least
-class it is joined to there.
+tolerance. The rest, if they share a band, are verified on the whole sets. No pair leaves its block: each class gets its number of links and
+a link to the least class it is joined to there.
 """
 
 from __future__ import annotations
@@ -17,13 +17,12 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import components
 from .scratch import cut
-from .words import WordHash, alnum_words, texts
+from .words import WordHash, alnum_words, portions, row_texts
 
 
 @dataclass(frozen=True)
@@ -31,7 +30,8 @@ class JoinSettings:
     """At 24 bands of 5 values, a pair of similarity 0.8 shares none with probability 7e-5, one of 0.85 with 8e-7.
 
     tolerance: posterior probability under which a pair is dropped. step: MinHash values compared at a time. block: classes in a block.
-    largest: classes in a component from which on pairs meet by band, each in the first band it shares, rather than by component.
+    largest: classes in a component from which on blocks are of one band's classes, each pair in the first band it shares, not of the
+    component's. That changes which rows meet where, not what is linked: it is the pairs that share a band and reach the threshold.
     filter_bits: size of the filter that lets candidate rows through on the second reading; it only saves work.
     """
 
@@ -118,8 +118,8 @@ def least_matches(threshold: float, tolerance: float, hashes: int) -> np.ndarray
     return out
 
 
-def _sets(batch: list[bytes], width: int, hashes: WordHash) -> list[np.ndarray]:
-    return [shingles(hashes.of(alnum_words(t)), width) for t in batch]
+def _sets(column: pa.Array, width: int, hashes: WordHash) -> list[np.ndarray]:
+    return [shingles(hashes.of(alnum_words(t)), width) for t in row_texts(column)]
 
 
 def _class_key(s: np.ndarray) -> bytes:
@@ -136,8 +136,8 @@ def _fingerprints(docs: DataFrame, s: JoinSettings, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for b in batches:
-            sets = _sets(texts(b.column(1)), s.words, hashes)
+        for b in portions(batches, 1):
+            sets = _sets(b.column(1), s.words, hashes)
             some = [i for i, x in enumerate(sets) if len(x)]
             keys: list = [[]] * len(sets)
             if some:
@@ -156,9 +156,9 @@ def _payload(docs: DataFrame, s: JoinSettings, bits: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, words = WordHash(), held.value
-        for b in batches:
+        for b in portions(batches, 1):
             rows = []
-            for doc, x in zip(b.column(0).to_pylist(), _sets(texts(b.column(1)), s.words, hashes), strict=True):
+            for doc, x in zip(b.column(0).to_pylist(), _sets(b.column(1), s.words, hashes), strict=True):
                 if len(x):
                     key = _class_key(x)
                     at = _tag(key, doc) % s.filter_bits
@@ -232,16 +232,16 @@ def _block(members: list[tuple[bytes, int, bytes, bytes, bytes]], band: int | No
     if not len(left):
         return []
     sig, sets = np.array([np.frombuffer(m[2], np.uint32) for m in members]), [np.frombuffer(m[4], np.uint64) for m in members]
-    if band is not None:
-        keys = np.array([np.frombuffer(m[3], np.uint64) for m in members])
-        same = keys[left] == keys[right]
-        first = same.argmax(1)
-        own = same.any(1) & (keys[left, first] == np.int64(band).view(np.uint64))
-        left, right = left[own], right[own]
     k = linked_pairs(sig, sets, left, right, s)
-    if not len(k):
-        return []
     left, right = left[k], right[k]
+    keys = np.array([np.frombuffer(m[3], np.uint64) for m in members])
+    same = keys[left] == keys[right]
+    own = same.any(1)
+    if band is not None:
+        own &= keys[left, same.argmax(1)] == np.int64(band).view(np.uint64)
+    left, right = left[own], right[own]
+    if not len(left):
+        return []
     links = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
     order = sorted(range(n), key=lambda x: members[x][0])
     rank = np.empty(n, np.int64)
@@ -292,6 +292,16 @@ def _blocks(members: DataFrame, sizes: DataFrame, s: JoinSettings) -> DataFrame:
     return m.select("comp", "band", "class", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), (F.col("k") > F.col("other")).cast("int").alias("side"))
 
 
+def _star(pairs: DataFrame) -> DataFrame:
+    """Edges (a, b) that join what ``pairs`` (node, hub) join: each node with the least of its hubs, and that hub with the node's others.
+
+    There are about as many as nodes, however many hubs each has, as long as few hubs serve many nodes.
+    """
+    least = pairs.select("node", "hub", F.min("hub").over(Window.partitionBy("node")).alias("least"))
+    edges = least.select(F.col("node").alias("a"), F.col("least").alias("b")).union(least.select(F.col("least"), F.col("hub")))
+    return edges.where("a != b").distinct()
+
+
 def _linked(plain: DataFrame, s: JoinSettings, *least: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of (id, text, further columns): the rows with their classes; the classes with the aggregates ``least``; those with links, their number and component."""
     kind = plain.schema["id"].dataType.simpleString()
@@ -299,8 +309,8 @@ def _linked(plain: DataFrame, s: JoinSettings, *least: Column) -> tuple[DataFram
     classes = cut(rows.groupBy("class").agg(F.min("tag").alias("tag"), F.first("bands").alias("bands"), *least), "classes")
     keyed = classes.select("class", F.explode("bands").alias("band"))
     shared = cut(keyed.groupBy("band").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1"), "shared-bands")
-    edges = keyed.join(shared, "band").where(F.col("class") != F.col("hub")).select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
-    comps = cut(components(edges).withColumnRenamed("node", "class"), "candidates")
+    hubs = keyed.join(shared, "band").select(F.col("class").alias("node"), "hub").distinct()
+    comps = cut(components(_star(hubs)).withColumnRenamed("node", "class"), "candidates")
     sizes = cut(comps.groupBy("comp").agg(F.count("*").alias("n")), "candidate-sizes")
     no_band = F.lit(None).cast("long").alias("band")
     units = _blocks(comps.select("comp", F.lit(0).cast("long").alias("band"), "class"), sizes.where(F.col("n") <= s.largest).select("comp", F.lit(0).cast("long").alias("band"), "n"), s).drop("band").select("*", no_band)
@@ -312,7 +322,7 @@ def _linked(plain: DataFrame, s: JoinSettings, *least: Column) -> tuple[DataFram
     payload = _payload(plain.select("id", "text"), s, _filter(tags, s.filter_bits))
     found = cut(_evaluate(units.join(payload, "class"), s), "links")
     links = found.groupBy("class").agg(F.sum("links").alias("n_links"))
-    group = components(found.where(F.col("class") != F.col("root")).select(F.col("class").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("node", "class")
+    group = components(_star(found.select(F.col("class").alias("node"), F.col("root").alias("hub")).distinct())).withColumnRenamed("node", "class")
     return rows, classes, cut(classes.drop("tag", "bands").join(links, "class").join(group, "class"), "linked")
 
 
@@ -331,17 +341,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("id", "class").join(table, "class").select(F.col("id").alias(id_col), "class_id", "n_links", "group_id")
 
 
-def _part(docs: DataFrame, bits: np.ndarray, n_bits: int, hit: bool) -> DataFrame:
-    """The rows of ``docs`` whose last column's place in the filter is set, or those where it isn't, without that column."""
+def _in_filter(docs: DataFrame, bits: np.ndarray, n_bits: int, tag: str) -> Column:
+    """Whether a row's place in the filter is set. Only the column ``tag`` goes to Python."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.mod(np.asarray(b.columns[-1]), n_bits)
-            is_set = held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(is_set == hit))
+    @F.arrow_udf("boolean")
+    def is_set(column: pa.Array) -> pa.Array:
+        at = np.mod(np.asarray(column), n_bits)
+        return pa.array(held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1)
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields[:-1]))
+    return is_set(F.col(tag))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -366,7 +375,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     drop = found.where("stays = 0").select("__key")
     keyed = docs.withColumn("__key", key).withColumn("__h", F.xxhash64("__key"))
     bits = _filter(found.select(F.xxhash64("__key").alias("tag")), s.filter_bits)
-    maybe = _part(keyed, bits, s.filter_bits, True)
+    hit = _in_filter(docs, bits, s.filter_bits, "__h")
+    maybe = keyed.where(hit)
     if found.where("n > 1").limit(1).count():
         maybe = maybe.dropDuplicates(["__key"])
-    return _part(keyed, bits, s.filter_bits, False).union(maybe.join(drop, "__key", "left_anti").select(*docs.columns, "__key")).drop("__key")
+    return keyed.where(~hit).select(*docs.columns).union(maybe.join(drop, "__key", "left_anti").select(*docs.columns))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,22 +40,40 @@ CUES = {
 }
 LABELERS = ("form", "gazetteer", "cue", "checks", "shape")
 CONTEXT = 32
+#: Matches in a block of a text.
+BLOCK = 128
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _found(text: Column, kind: str) -> Column:
-    """(kind, start, end, span, before) of each match: starts are sums of the lengths of what lies between matches, in code points."""
-    none = F.array().cast("array<struct<s:int,m:string,b:string>>")
+    """(start, span, before) of each match: starts are sums of the lengths of what lies between matches, in code points.
+
+    A list grows by copying, so it is made in blocks, whose own starts are summed after that: the work is in proportion to the matches.
+    """
+    empty = F.array().cast("array<struct<s:int,m:string,b:string>>")
     gaps, spans = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    state = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         one = F.struct(start.alias("s"), x["m"].alias("m"), F.right(x["g"], F.lit(CONTEXT)).alias("b"))
         return F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
+    def blocks(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+        return F.transform(numbers, lambda i: F.aggregate(F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+
+    def joined(made: Column) -> Column:
+        nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        first = F.aggregate(made, nothing, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(made, first, lambda x, before: F.transform(x["out"], lambda y: F.struct((y["s"] + before).alias("s"), y["m"].alias("m"), y["b"].alias("b")))))
+
     pairs = F.zip_with(spans, F.slice(gaps, F.lit(1), F.size(spans)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    got = F.aggregate(pairs, state, step, lambda acc: acc["out"])
-    return F.when(text.rlike(NEEDS[kind]), got).otherwise(none)
+    got = _let(pairs, lambda p: F.when(F.size(p) > 0, _let(blocks(p), joined)).otherwise(empty))
+    return F.when(text.rlike(NEEDS[kind]), got).otherwise(empty)
 
 
 def _digits(span: Column) -> Column:
@@ -194,7 +213,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: id, spans and n_candidates. A span has kind, s and e (code points, end exclusive) and base.
 
     Base spans always stay; other candidates stay if the classifier's probability reaches ``accept``. Spans are ordered by start, then kind.
-    A null text is empty; ids may be null or repeat; a table without candidates, or empty, has no spans; other columns are not read.
+    A null text is empty; very long texts are searched whole; ids may be null or repeat; a table without candidates, or empty, has no spans; other columns are not read.
     """
     found = cut(candidates(docs, id_col, text_col), "candidates")
     seen = found.select(F.explode("spans").alias("c")).groupBy(F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes"), F.col("c.feats").alias("feats")).agg(F.count("*").alias("n"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import cut
-from .words import Numbering, spaced_words, texts
+from .words import Numbering, portions, row_texts, spaced_words
 
 _UPPER = np.array([65 <= c <= 90 for c in range(256)])
 _LOWER = np.array([97 <= c <= 122 for c in range(256)])
@@ -91,10 +91,8 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bits = np.packbits(indicators(np.array([statistics(t) for t in texts(b.column(1))])), axis=1)
+        for b in portions(batches, 1):
+            bits = np.packbits(indicators(np.array([statistics(t) for t in row_texts(b.column(1))])), axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in bits], pa.binary())], names=["id", "bits"])
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, bits binary")

@@ -17,13 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import cut
-from .words import LOWER, Numbering, spaced_words, texts
+from .words import LOWER, Numbering, portions, row_texts, spaced_words, texts
 
 
 @dataclass(frozen=True)
@@ -217,17 +216,6 @@ def _packed(rows: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _portions(batches: Iterator[pa.RecordBatch], text: int, most: int = 32_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches' rows in portions of at most ``most`` bytes of text, or one row."""
-    for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < b.num_rows:
-            to = max(at + 1, int(np.searchsorted(size, most + (size[at - 1] if at else 0), "right")))
-            yield b.slice(at, to - at)
-            at = to
-
-
 def word_counts(texts_: DataFrame, most: int = 400_000) -> DataFrame:
     """(word, n) over all lower-cased words of the column text."""
 
@@ -238,7 +226,7 @@ def word_counts(texts_: DataFrame, most: int = 400_000) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(names), pa.binary()), pa.array(counts)], names=["word", "n"])
 
         for b in batches:
-            for t in texts(b.column(0)):
+            for t in row_texts(b.column(0)):
                 got = np.bincount(names.of(spaced_words(t.translate(LOWER))), minlength=len(names)) if t else counts[:0]
                 if len(got) > len(counts):
                     counts = np.pad(counts, (0, max(len(got), 2 * len(counts)) - len(counts)))
@@ -273,7 +261,7 @@ def train(docs: DataFrame, v: Vocabulary, s: Settings, n_docs: int, class_counts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = Trainer(_shaped(sent.value, s), s, rate)
-            for b in _portions(batches, 0):
+            for b in portions(batches, 0, 32_000_000):
                 ids, _, classes = _class_ids(texts(b.column(0)), held.value)
                 flat = np.concatenate([np.append(classes[i], s.end) for i in ids]) if ids else np.zeros(0, np.int64)
                 for _ in range(epochs):
@@ -337,7 +325,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat, class_log = sent.value
         p, part = _shaped(flat, s), TaskContext.get().partitionId()
-        for seq, b in enumerate(_portions(batches, 1)):
+        for seq, b in enumerate(portions(batches, 1, 32_000_000)):
             ids, names, classes = _class_ids(texts(b.column(1)), v)
             words = list(names)
             rnn = log_class_probabilities(p, [np.append(classes[i], s.end) for i in ids], s) / np.log(10)

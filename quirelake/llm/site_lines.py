@@ -40,13 +40,14 @@ def boilerplate(docs: DataFrame, host_col: str, text_col: str, most_share: float
     return counts.join(totals, "host").where(F.col("n_pages") > most_share * F.col("host_pages"))
 
 
-def drop_site_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, most_broadcast: int = MOST_BROADCAST, distinct_pages: bool = False) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of the text, and two more columns: n_lines and n_dropped.
+def drop_site_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, most_broadcast: int = MOST_BROADCAST, distinct_pages: bool = False, counts: bool = True) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of the text, and with ``counts`` two more columns: n_lines and n_dropped.
 
     Lines are what newlines part; blank lines neither count nor go. A null text stays null, with no lines; an empty one has one blank line
     and stays empty; a null host counts as the empty one; every row is a page, also where ids repeat; an empty table gives an empty result.
     With ``distinct_pages`` rows of one host with the same text are one page, so that copies of a document don't make boilerplate of it.
-    Columns named host, line or the like don't clash.
+    Very long texts are taken whole. Columns named host, line or the like don't clash; where ``docs`` has an n_lines or n_dropped, it stays,
+    and the new column's name gets site_ before it.
     """
     found = cut(boilerplate(docs, host_col, text_col, most_share, least_pages, distinct_pages), "site-lines")
     sets = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__drop"))  # at most average lines per page / most_share a host
@@ -58,12 +59,19 @@ def drop_site_lines(docs: DataFrame, host_col: str = "source", text_col: str = "
         joined = docs.withColumn("__part", F.pmod(F.xxhash64(text_col), F.lit(SALTS))).join(salted, (host == F.col("__host")) & (F.col("__part") == F.col("__salt")), "left").drop("__salt", "__part")
     text = F.col(text_col)
     drop = F.coalesce(F.col("__drop"), F.array().cast("array<string>"))
-    kept = F.filter(_lines(text), lambda x: ~_has_text(x) | ~F.array_contains(drop, _digest(x)))
-    lines = F.when(F.size(drop) > 0, kept).otherwise(_lines(text))
+    own = F.array_intersect(F.transform(_lines(text), _digest), drop)  # by hashing: a host's list isn't searched for each line
+
+    def kept(gone: Column) -> Column:
+        return F.filter(_lines(text), lambda x: ~_has_text(x) | ~F.array_contains(gone, _digest(x)))
+
+    lines = F.when(F.size(drop) > 0, F.element_at(F.transform(F.array(own), kept), 1)).otherwise(_lines(text))
     out = joined.withColumn("__kept", lines)
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(
-        *[F.array_join("__kept", "\n").alias(text_col) if c == text_col else F.col(c) for c in names],
-        F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(text.isNull(), F.lit(0)).otherwise(F.size(_lines(text)) - F.size("__kept")).cast("long").alias("n_dropped"),
-    )
+
+    def free(name: str) -> str:
+        return name if name not in docs.columns else free(f"site_{name}")
+
+    more = [
+        F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long").alias(free("n_lines")),
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size(_lines(text)) - F.size("__kept")).cast("long").alias(free("n_dropped")),
+    ]
+    return out.select(*[F.array_join("__kept", "\n").alias(text_col) if c == text_col else F.col(c) for c in docs.columns], *(more if counts else []))

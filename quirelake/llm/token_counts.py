@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import spaced_words, texts
+from .words import portions, row_texts, spaced_words
 
 _loaded: dict[str, "CachedCounts"] = {}
 #: Marks a count as that of an unknown word.
@@ -116,9 +116,9 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         if path not in _loaded:
             _loaded[path] = CachedCounts(path)
         known = _loaded[path]
-        for b in batches:
+        for b in portions(batches, 1):
             rows = []
-            for t in texts(b.column(1)):
+            for t in row_texts(b.column(1)):
                 words = spaced_words(t)
                 n = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 total, unknown = int((n & (UNKNOWN - 1)).sum()), int((n >= UNKNOWN).sum())

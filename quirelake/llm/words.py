@@ -46,6 +46,13 @@ def portions(batches: Iterator[pa.RecordBatch], text: int, most: int = 4_000_000
             at = to
 
 
+def row_texts(column: pa.Array) -> Iterator[bytes]:
+    """UTF-8 bytes of each row, one at a time; null is empty."""
+    bounds, data = raw(column)
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield data[lo:hi].tobytes()
+
+
 def spaced_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``."""
     return text.split()
