@@ -1,11 +1,14 @@
 """Language-model scoring by a gated recurrent network with a class-factored output.
 
 A word's class is its own if it is among the most frequent, else one of a fixed number by its last two bytes; p(word | history) =
-p(class | history) * p(word | class). The network, a GRU of few units in numpy, gives the first factor; counts over all training text give
-the second. It is trained by backpropagation truncated at short windows: first on a small set of documents, then from there on all training
-documents, each task on its own, and the tasks' weights are averaged by tokens. In scoring, the state is carried through the whole document.
-
-Word counts never come to the driver, but for the most frequent words, of which a fixed number is kept: the rest are joined to the
+p(class | history) * p(word | class, history). Both factors are softmaxes of the state of a GRU of few units in numpy: the first over
+classes, the second over the class's members, which are the next most frequent words with those endings, and one symbol for its rest; among
+the rest, counts over all training text give each word's share. Singles, members and rests have input vectors of their own. The network is
+trained by backpropagation truncated at short windows: first on a small set of documents, then from there on all training documents, each
+task on its own, and the tasks' weights are averaged by tokens, so weights depend a little on how the table is cut. In scoring, the state is
+carried through the whole document.
+
+Word counts never come to the driver, but for the most frequent words, of which a fixed number at most is kept: the rest are joined to the
 documents' words by the batch.
 """
 
@@ -14,32 +17,35 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import cut
-from .words import LOWER, Numbering, portions, row_texts, spaced_words, texts
+from .words import numbered_words, portions, raw
 
 
 @dataclass(frozen=True)
 class Settings:
-    """single: words with classes of their own; grouped: classes of all other words; one more class is the end.
+    """single: words with classes of their own; grouped: classes of all other words; one more class is the end; members: words in the grouped classes' softmaxes.
 
-    frequent: words whose counts go to every task. start_docs: documents, about, of the first training; start_epochs: passes over them.
+    frequent: words, at most, whose counts go to every task. start_docs: documents, about, of the first training; start_epochs: passes over them.
     streams, window: texts that training runs in parallel (fewer where there is little text), and steps of truncated backpropagation.
     """
 
     units: int = 16
     single: int = 40
     grouped: int = 23
+    members: int = 700
     frequent: int = 50_000
     start_docs: int = 1500
     start_epochs: int = 3
-    streams: int = 256
+    streams: int = 512
     window: int = 16
     start_rate: float = 0.01
     rate: float = 0.002
@@ -54,24 +60,90 @@ class Settings:
         return self.single + self.grouped
 
 
-def initial(s: Settings) -> dict[str, np.ndarray]:
+def _ending(word: bytes, s: Settings) -> int:
+    return zlib.crc32(word[-2:]) % s.grouped
+
+
+@cache
+def _endings(grouped: int) -> np.ndarray:
+    """Classes of all endings of one byte, then of two."""
+    return np.array([zlib.crc32(bytes([a])) % grouped for a in range(256)] + [zlib.crc32(bytes([a, b])) % grouped for a in range(256) for b in range(256)])
+
+
+class Vocabulary:
+    """Frequent words with their counts, and the symbol of any word.
+
+    Symbols are the singles, then class by class its members and its rest, then the end. ``first``: where each grouped class's rows of the
+    inner softmaxes begin; row r is of symbol single + r.
+    """
+
+    def __init__(self, frequent: list[tuple[bytes, int]], s: Settings):
+        self.s, self.words, self.counts = s, pa.array([w for w, _ in frequent], pa.binary()), np.array([n for _, n in frequent], np.int64)
+        groups: list[list[bytes]] = [[] for _ in range(s.grouped)]
+        for w, _ in frequent[s.single : s.single + s.members]:
+            groups[_ending(w, s)].append(w)
+        sizes = np.array([len(g) + 1 for g in groups])
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.rest = s.single + self.first[1:] - 1
+        self.end = s.single + int(self.first[-1])
+        self.classes = np.concatenate([np.arange(s.single), np.repeat(s.single + np.arange(s.grouped), sizes), [s.end]])
+        self.symbols = {w: i for i, (w, _) in enumerate(frequent[: s.single])}
+        for g, at in zip(groups, self.first.tolist(), strict=False):
+            self.symbols |= {w: s.single + at + k for k, w in enumerate(g)}
+        self.symbol_words, self.symbol_numbers = pa.array(list(self.symbols), pa.binary()), np.array(list(self.symbols.values()), np.int64)
+
+    def symbols_of(self, words: pa.Array) -> np.ndarray:
+        bounds, data = raw(words)
+        if not len(words):
+            return np.zeros(0, np.int64)
+        last, before = data[bounds[1:] - 1].astype(np.int64), data[np.maximum(bounds[1:] - 2, 0)].astype(np.int64)
+        out = self.rest[_endings(self.s.grouped)[np.where(np.diff(bounds) > 1, 256 + before * 256 + last, last)]]
+        return self._looked_up(words, self.symbol_words, self.symbol_numbers, out)
+
+    def counts_of(self, words: pa.Array) -> np.ndarray:
+        """Counts of frequent words, -1 of others."""
+        return self._looked_up(words, self.words, self.counts, np.full(len(words), -1, np.int64))
+
+    @staticmethod
+    def _looked_up(words: pa.Array, known: pa.Array, values: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+        return np.where(at >= 0, values[at], otherwise) if len(known) else otherwise
+
+
+def initial(s: Settings, v: Vocabulary | None = None) -> dict[str, np.ndarray]:
+    """First weights; without a vocabulary, of a network over classes alone."""
     rng, h, c = np.random.default_rng(s.seed), s.units, s.classes
-    shapes = {"x": (c, 3 * h), "u": (h, 2 * h), "n": (h, h), "o": (h, c), "b": (c,)}
-    return {k: (rng.standard_normal(v) * (0.3 if k == "x" else 0.2 if k != "b" else 0)).astype(np.float32) for k, v in shapes.items()}
+    shapes = {"x": (c if v is None else len(v.classes), 3 * h), "u": (h, 2 * h), "n": (h, h), "o": (h, c), "b": (c,)}
+    if v is not None:
+        shapes |= {"w": (int(v.first[-1]), h), "wb": (int(v.first[-1]),)}
+    return {k: (rng.standard_normal(d) * (0.3 if k == "x" else 0 if k in ("b", "wb") else 0.2)).astype(np.float32) for k, d in shapes.items()}
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([v.ravel() for v in p.values()])
 
 
-def _shaped(flat: np.ndarray, s: Settings) -> dict[str, np.ndarray]:
+def _shaped(flat: np.ndarray, s: Settings, v: Vocabulary | None = None) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, v in initial(s).items():
-        out[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
-        at += v.size
+    for k, one in initial(s, v).items():
+        out[k] = flat[at : at + one.size].reshape(one.shape).astype(np.float32)
+        at += one.size
     return out
 
 
+def _by_class(want: np.ndarray, s: Settings, v: Vocabulary) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+    """For each grouped class with members: where its symbols are wanted, its rows, and which of them is wanted."""
+    at = np.flatnonzero((want >= s.single) & (want < v.end))
+    row = want[at] - s.single
+    order = np.argsort(v.classes[want[at]].astype(np.int16), kind="stable")
+    at, row = at[order], row[order]
+    edges = np.searchsorted(v.classes[want[at]], s.single + np.arange(s.grouped + 1))
+    for k, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        a, b = int(v.first[k]), int(v.first[k + 1])
+        if lo < hi and b - a > 1:  # the rest alone is certain
+            yield at[lo:hi], slice(a, b), row[lo:hi] - a
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
@@ -86,16 +158,27 @@ def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.nd
     return n + z * (h - n), g, q, n
 
 
+def _exponentials(states: np.ndarray, out: np.ndarray, bias: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a softmax: the exponentials, their sums, and the logits that are wanted."""
+    e = states @ out
+    e += bias
+    np.clip(e, -30, 30, out=e)
+    own = e[np.arange(len(e)), want]
+    np.exp(e, out=e)
+    return e, e @ np.ones(e.shape[1], e.dtype), own
+
+
 class Trainer:
     """Adam on truncated windows over parallel streams of documents, each ended by the end class, before which the state is zero."""
 
-    def __init__(self, p: dict[str, np.ndarray], s: Settings, rate: float):
-        self.p, self.s, self.rate, self.t, self.tokens = p, s, rate, 0, 0
+    def __init__(self, p: dict[str, np.ndarray], s: Settings, rate: float, v: Vocabulary | None = None):
+        self.p, self.s, self.vocabulary, self.rate, self.t, self.tokens = p, s, v, rate, 0, 0
+        self.end = s.end if v is None else v.end
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
     def learn(self, ids: np.ndarray) -> None:
-        """ids: classes of whole documents, one after the other. They are dealt to the streams in equal parts."""
+        """ids: symbols (classes, without a vocabulary) of whole documents, one after the other. They are dealt to the streams in equal parts."""
         s = self.s
         n = len(ids)
         if not n:
@@ -105,7 +188,7 @@ class Trainer:
         grid = np.full(streams * length, -1, np.int64)
         grid[:n] = ids
         grid = grid.reshape(streams, length).T
-        before = np.concatenate([np.full((1, streams), s.end), grid[:-1]])
+        before = np.concatenate([np.full((1, streams), self.end), grid[:-1]])
         h = np.zeros((streams, s.units), np.float32)
         for at in range(0, length, s.window):
             h = self._window(before[at : at + s.window], grid[at : at + s.window], h)
@@ -116,20 +199,31 @@ class Trainer:
         x = p["x"][given]
         kept, states = [], []
         for t in range(steps):
-            h = h * (given[t] != s.end)[:, None].astype(np.float32)
+            h = h * (given[t] != self.end)[:, None].astype(np.float32)
             new, g, q, n = _step(p, x[t], h)
             kept.append((h, g, q, n))
             states.append(new)
             h = new
         flat = np.concatenate(states)
-        y, ok = want.ravel(), want.ravel() >= 0
-        e = np.exp(np.clip(flat @ p["o"] + p["b"], -30, 30))
-        e /= e.sum(1, keepdims=True)
-        e[np.arange(len(y)), np.maximum(y, 0)] -= 1
+        want = want.ravel()
+        y, ok = want if self.vocabulary is None else self.vocabulary.classes[want], want >= 0
         count = max(1, int(ok.sum()))
-        e *= (ok / count).astype(np.float32)[:, None]
+        scale = (ok / count).astype(flat.dtype)
+        e, total, _ = _exponentials(flat, p["o"], p["b"], y)
+        e *= (scale / total)[:, None]
+        e[np.arange(len(y)), y] -= scale
         grad = {"o": flat.T @ e, "b": e.sum(0)}
-        back = (e @ p["o"].T).reshape(steps, -1, k)
+        back = e @ p["o"].T
+        if self.vocabulary is not None:
+            grad |= {"w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+            for at, rows, which in _by_class(want, s, self.vocabulary):
+                states_, w = flat[at], p["w"][rows]
+                e, total, _ = _exponentials(states_, w.T, p["wb"][rows], which)
+                e *= (1 / (count * total))[:, None]
+                e[np.arange(len(at)), which] -= 1 / count
+                grad["w"][rows], grad["wb"][rows] = e.T @ states_, e.sum(0)
+                back[at] += e @ w
+        back = back.reshape(steps, -1, k)
         dx = np.empty_like(x)
         du, dn = np.zeros_like(p["u"]), np.zeros_like(p["n"])
         dh = np.zeros_like(h)
@@ -144,10 +238,12 @@ class Trainer:
             dx[t, :, : 2 * k] = gates
             du += h0.T @ gates
             dn += h0.T @ dq
-            dh = (dh * z + gates @ p["u"].T + dq @ p["n"].T) * (given[t] != s.end)[:, None].astype(np.float32)
-        one = np.zeros((s.classes, given.size), np.float32)
-        one[given.ravel(), np.arange(given.size)] = 1
-        grad |= {"u": du, "n": dn, "x": one @ dx.reshape(given.size, -1)}
+            dh = (dh * z + gates @ p["u"].T + dq @ p["n"].T) * (given[t] != self.end)[:, None].astype(np.float32)
+        order = np.argsort(given.ravel().astype(np.int16 if len(p["x"]) < 1 << 15 else np.int64), kind="stable")
+        sorted_ = given.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        grad |= {"u": du, "n": dn, "x": np.zeros_like(p["x"])}
+        grad["x"][sorted_[first]] = np.add.reduceat(dx.reshape(given.size, -1)[order], first, axis=0)
         self.t += 1
         for name, g in grad.items():
             m, v = self.m[name], self.v[name]
@@ -157,8 +253,11 @@ class Trainer:
         return h
 
 
-def log_class_probabilities(p: dict[str, np.ndarray], docs: list[np.ndarray], s: Settings, run: int = 16) -> np.ndarray:
-    """Natural log of the probability of each document's classes, end included; the state starts at zero and runs through the whole document."""
+def log_class_probabilities(p: dict[str, np.ndarray], docs: list[np.ndarray], s: Settings, run: int = 16, v: Vocabulary | None = None) -> np.ndarray:
+    """Natural log of the probability of each document's symbols (classes, without a vocabulary), end included.
+
+    The state starts at zero and runs through the whole document.
+    """
     out = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
     order = [i for i in order if len(docs[i])]
@@ -174,39 +273,28 @@ def log_class_probabilities(p: dict[str, np.ndarray], docs: list[np.ndarray], s:
         states, wants, rows = [], [], []
         for t in range(at, min(at + run, longest)):
             n = int(np.searchsorted(-sizes, -t, "left"))  # documents of more than t tokens
-            given = flat[first[:n] + t - 1] if t else np.full(n, s.end)
+            given = flat[first[:n] + t - 1] if t else np.full(n, s.end if v is None else v.end)
             h = h[:n]
             h = _step(p, p["x"][given], h)[0]
             states.append(h)
             wants.append(flat[first[:n] + t])
             rows.append(n)
-        x, y = np.concatenate(states), np.concatenate(wants)
-        logits = np.clip(x @ p["o"] + p["b"], -30, 30)
-        one = logits[np.arange(len(y)), y] - np.log(np.exp(logits).sum(1))
+        x, want = np.concatenate(states), np.concatenate(wants)
+        y = want if v is None else v.classes[want]
+        _, total, one = _exponentials(x, p["o"], p["b"], y)
+        one -= np.log(total)
+        for place, rows_, which in _by_class(want, s, v) if v is not None else ():
+            _, total, own = _exponentials(x[place], p["w"][rows_].T, p["wb"][rows_], which)
+            one[place] += own - np.log(total)
         got += np.bincount(np.concatenate([np.arange(n) for n in rows]), one, minlength=len(order))
         at += run
     out[order] = got
     return out
 
 
-class Vocabulary:
-    """Frequent words with their counts, which of them have classes, and the class of any word."""
-
-    def __init__(self, frequent: list[tuple[bytes, int]], s: Settings):
-        self.s = s
-        self.single = {w: i for i, (w, _) in enumerate(frequent[: s.single])}
-        self.counts = dict(frequent)
-
-    def of(self, word: bytes) -> int:
-        got = self.single.get(word)
-        return self.s.single + zlib.crc32(word[-2:]) % self.s.grouped if got is None else got
-
-
-def _class_ids(batch: list[bytes], v: Vocabulary) -> tuple[list[np.ndarray], Numbering, np.ndarray]:
-    """Numbers of each document's words, the numbering, and the class of each number."""
-    names = Numbering()
-    ids = [names.of(spaced_words(t.translate(LOWER))) for t in batch]
-    return ids, names, np.fromiter(map(v.of, names), np.int64, len(names))
+def _ended(symbols: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """Symbols of the rows' words with the end after each row."""
+    return np.insert(symbols, np.cumsum(sizes), end)
 
 
 def _packed(rows: pa.RecordBatch) -> bytes:
@@ -216,30 +304,29 @@ def _packed(rows: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def word_counts(texts_: DataFrame, most: int = 400_000) -> DataFrame:
-    """(word, n) over all lower-cased words of the column text."""
+def word_counts(texts_: DataFrame) -> DataFrame:
+    """(word, n) over all lower-cased words of the column text; each portion of text is counted before it is passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = Numbering(), np.zeros(0, np.int64)
+        for b in portions(batches, 0, 32_000_000):
+            ids, words, _ = numbered_words(b.column(0))
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(ids, minlength=len(words)))], names=["word", "n"])
 
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(names), pa.binary()), pa.array(counts)], names=["word", "n"])
+    return texts_.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-        for b in batches:
-            for t in row_texts(b.column(0)):
-                got = np.bincount(names.of(spaced_words(t.translate(LOWER))), minlength=len(names)) if t else counts[:0]
-                if len(got) > len(counts):
-                    counts = np.pad(counts, (0, max(len(got), 2 * len(counts)) - len(counts)))
-                counts[: len(got)] += got
-                if len(names) >= most:
-                    counts = counts[: len(names)]
-                    yield told()
-                    names, counts = Numbering(), np.zeros(0, np.int64)
-        counts = counts[: len(names)]
-        if len(names):
-            yield told()
 
-    return texts_.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _most_frequent(counts: DataFrame, most: int, steps: int = 16) -> list[tuple[bytes, int]]:
+    """At most ``most`` words with their counts, by falling count: all from some count on, which is found from a histogram of counts' logs."""
+    level = F.floor(F.log2("n") * steps).cast("int")
+    held, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        held += r["k"]
+        if held > most:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["n"]) for r in counts.where(level >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
 def start_texts(docs: DataFrame, s: Settings, n_docs: int) -> DataFrame:
@@ -248,22 +335,23 @@ def start_texts(docs: DataFrame, s: Settings, n_docs: int) -> DataFrame:
     return docs.where(F.pmod(drawn, F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, s.start_docs / max(1, n_docs))) + 1)).select("text")
 
 
-def train(docs: DataFrame, v: Vocabulary, s: Settings, n_docs: int, class_counts: np.ndarray) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, v: Vocabulary, s: Settings, n_docs: int, symbol_counts: np.ndarray) -> dict[str, np.ndarray]:
     """Weights from the rows of ``docs`` (id, text): a first training on about ``start_docs`` of them, then one on all, averaged over tasks.
 
-    The output's bias starts at the log of the classes' shares, so an untrained network already scores as counts do.
+    The outputs' biases start at the logs of the classes' and members' shares, so an untrained network already scores as counts do.
     """
-    sc = docs.sparkSession.sparkContext
+    sc, kind = docs.sparkSession.sparkContext, "tokens long, w binary"
     held = sc.broadcast(v)
 
     def trainer_run(start: np.ndarray, rate: float, epochs: int):
         sent = sc.broadcast(start)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = Trainer(_shaped(sent.value, s), s, rate)
+            v = held.value
+            t = Trainer(_shaped(sent.value, s, v), s, rate, v)
             for b in portions(batches, 0, 32_000_000):
-                ids, _, classes = _class_ids(texts(b.column(0)), held.value)
-                flat = np.concatenate([np.append(classes[i], s.end) for i in ids]) if ids else np.zeros(0, np.int64)
+                ids, words, sizes = numbered_words(b.column(0))
+                flat = _ended(v.symbols_of(words)[ids], sizes, v.end)
                 for _ in range(epochs):
                     t.learn(flat)
             if t.tokens:
@@ -281,15 +369,17 @@ def train(docs: DataFrame, v: Vocabulary, s: Settings, n_docs: int, class_counts
             yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["tokens", "w"])
 
     def averaged(weights: DataFrame, otherwise: np.ndarray) -> np.ndarray:
-        got = weights.repartition(8).mapInArrow(add, "tokens long, w binary").collect()
+        got = weights.repartition(sc.defaultParallelism).mapInArrow(add, kind).repartition(8).mapInArrow(add, kind).collect()
         return (sum(np.frombuffer(r["w"]) for r in got) / sum(r["tokens"] for r in got)).astype(np.float32) if got else otherwise
 
-    kind = "tokens long, w binary"
-    first = initial(s)
-    first["b"] = np.log((class_counts + 0.5) / (class_counts + 0.5).sum()).astype(np.float32)
+    first = initial(s, v)
+    classes = np.bincount(v.classes, symbol_counts + 0.5, s.classes)
+    first["b"] = np.log(classes / classes.sum()).astype(np.float32)
+    first["wb"] = np.log((symbol_counts + 0.5) / classes[v.classes])[s.single : v.end].astype(np.float32)
+    first["w"] *= 0.1
     w = averaged(start_texts(docs, s, n_docs).repartition(1).mapInArrow(trainer_run(_flat(first), s.start_rate, s.start_epochs), kind), _flat(first))
     w = averaged(docs.select("text").mapInArrow(trainer_run(w, s.rate, 1), kind), w)
-    return _shaped(w, s)
+    return _shaped(w, s, v)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, settings: Settings = Settings()) -> DataFrame:
@@ -297,7 +387,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Training text is that of rows whose crc32(id) is outside the held fold. A null text is empty and has the end token alone; a null id is
     in no held fold; ids may repeat; with no training text all counts are zero and the network keeps its first weights; an empty table gives
-    an empty result; other columns are not read. A word without training count has its class's share for one unseen word.
+    an empty result; a very long text is scored whole; other columns are not read. A word without training count has its class's share for
+    one unseen word.
     """
     s, spark = settings, docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -308,37 +399,42 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_train = training.select("id").count()
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, n_types = (total["n"] or 0) + n_train, total["v"] + (n_train > 0)
-    frequent = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(s.frequent).collect()]
+    frequent = _most_frequent(counts, s.frequent)
     v = Vocabulary(frequent, s)
-    known = F.col("word").isin([F.lit(bytearray(w)) for w in v.single]) if v.single else F.lit(False)
+    known = F.col("word").isin([F.lit(bytearray(w)) for w in v.symbols]) if v.symbols else F.lit(False)
     last = F.expr("substring(word, greatest(length(word) - 1, 1), 2)")
     sums = {r["k"]: r["t"] for r in counts.where(~known).groupBy((F.crc32(last) % s.grouped).alias("k")).agg(F.sum(F.col("n") + 0.5).alias("t")).collect()}
-    class_log = np.log10(np.array([0.5 + sums.get(k, 0.0) for k in range(s.grouped)]))
-    class_counts = np.zeros(s.classes)
-    class_counts[: min(s.single, len(frequent))] = [n for _, n in frequent[: s.single]]
-    class_counts[s.single : s.end] = [sums.get(k, 0.0) for k in range(s.grouped)]
-    class_counts[s.end] = n_train
-    weights = _flat(train(training, v, s, n_train, class_counts))
-    sent = spark.sparkContext.broadcast((v, weights, class_log))
+    rest_log = np.log10(np.array([0.5 + sums.get(k, 0.0) for k in range(s.grouped)]))
+    symbol_counts = np.zeros(len(v.classes))
+    symbol_counts[v.symbol_numbers] = v.counts_of(v.symbol_words)
+    symbol_counts[v.rest] = [sums.get(k, 0.0) for k in range(s.grouped)]
+    symbol_counts[v.end] = n_train
+    weights = _flat(train(training, v, s, n_train, symbol_counts))
+    sent = spark.sparkContext.broadcast((v, weights, rest_log))
     end_log, base_log = float(np.log10(n_train + 0.5)), float(np.log10(n_all + 0.5 * (n_types + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, flat, class_log = sent.value
-        p, part = _shaped(flat, s), TaskContext.get().partitionId()
+        v, flat, rest_log = sent.value
+        p, part = _shaped(flat, s, v), TaskContext.get().partitionId()
         for seq, b in enumerate(portions(batches, 1, 32_000_000)):
-            ids, names, classes = _class_ids(texts(b.column(1)), v)
-            words = list(names)
-            rnn = log_class_probabilities(p, [np.append(classes[i], s.end) for i in ids], s) / np.log(10)
-            count = np.fromiter((v.counts.get(w, -1) for w in words), np.int64, len(words))
-            own_log = np.where(classes >= s.single, 0.0, np.log10(np.maximum(count, 0) + 0.5))  # taken off again where the class is the word
-            shared_log = np.concatenate([np.zeros(s.single), class_log])[classes] if len(words) else np.zeros(0)
-            size = np.array([len(i) for i in ids])
-            doc, word = np.repeat(np.arange(len(ids)), size), np.concatenate(ids)
-            n = len(ids)
+            word, words, size = numbered_words(b.column(1))
+            symbols = v.symbols_of(words)
+            ended = np.split(_ended(symbols[word], size, v.end), np.cumsum(size + 1)[:-1])
+            rnn = log_class_probabilities(p, ended, s, v=v) / np.log(10)
+            del ended
+            count = v.counts_of(words)
+            shared = np.full(len(v.classes), np.nan)  # of the rests: log of their words' counts
+            shared[v.rest] = rest_log
+            shared = shared[symbols]
+            is_rest = ~np.isnan(shared)
+            own_log = np.where(is_rest, 0.0, np.log10(np.maximum(count, 0) + 0.5))  # taken off again where the symbol is the word
+            off = own_log + np.where(is_rest, shared, 0.0)
+            doc = np.repeat(np.arange(len(size)), size)
+            n = len(size)
             here = count[word] >= 0
             logs = np.bincount(doc[here], np.log10(count[word[here]] + 0.5), n) + end_log
             seen = np.bincount(doc[here], minlength=n) + (n_train > 0)
-            more = rnn - np.bincount(doc, (own_log + shared_log)[word], n) - end_log
+            more = rnn - np.bincount(doc, off[word], n) - end_log
             key = f"{part}:{seq}"
             # the documents' own figures, as one value: list columns would slow each row of the grouped transfer
             own = pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, (size + 1, seen, logs, more))], names=["ids", "held", "tokens", "seen", "logs", "more"])
@@ -355,7 +451,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 f, e = first[at : at + 100_000], ends[at : at + 100_000]
                 offsets = (np.concatenate([f, e[-1:]]) - f[0]).astype(np.int32) * np.dtype(width).itemsize
                 blob = pa.Array.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(doc[f[0] : e[-1]].astype(width).tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in word[f].tolist()], pa.binary()), pa.array([key] * len(f)), blob, pa.array([False] * len(f))], names=names_)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(word[f])), pa.array([key] * len(f)), blob, pa.array([False] * len(f))], names=names_)
 
     def finish(key: tuple, t: pa.Table) -> pa.Table:
         is_own = np.asarray(t.column("own").combine_chunks().to_numpy(zero_copy_only=False), bool)

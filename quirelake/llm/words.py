@@ -14,6 +14,7 @@ import xxhash
 
 #: A-Z to a-z.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_LOW = np.frombuffer(LOWER, np.uint8)
 #: A-Z to a-z, and all ASCII but letters and digits to a space.
 ALNUM = bytes(LOWER[c] if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -63,6 +64,32 @@ def alnum_words(text: bytes) -> list[bytes]:
     return text.translate(ALNUM).split()
 
 
+_SPACE = np.array([c in b" \t\n\v\f\r" for c in range(256)])
+
+
+def numbered_words(column: pa.Array, most: int = 8_000_000) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Lower-cased words between ASCII white space: the number of each, row after row; the distinct words by number; and how many each row has."""
+    found, sizes = [], [np.zeros(0, np.int64)]
+    for b in portions([pa.RecordBatch.from_arrays([column], names=["text"])], 0, most):
+        bounds, data = raw(b.column(0))
+        data, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
+        space = _SPACE[data]
+        first = ~space
+        first[1:] &= space[:-1]
+        starts = bounds[:-1][np.diff(bounds) > 0]
+        first[starts] = ~space[starts]
+        where = np.flatnonzero(first)
+        keep = ~space
+        letters = _LOW[data[keep]]
+        at = np.append(np.flatnonzero(first[keep]), len(letters)).astype(np.int32)
+        found.append(pa.BinaryArray.from_buffers(pa.binary(), len(where), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode())
+        sizes.append(np.diff(np.searchsorted(where, bounds)))
+    if not found:
+        return np.zeros(0, np.int32), pa.array([], pa.binary()), sizes[0]
+    chunks = pa.chunked_array(found).unify_dictionaries().chunks
+    return np.concatenate([c.indices.to_numpy() for c in chunks]), chunks[0].dictionary, np.concatenate(sizes)
+
+
 class WordHash(dict):
     """64-bit hash of a word, kept between batches up to ``most`` words."""
 
