@@ -94,7 +94,7 @@ class StretchTokenizer(dict):
     most, most_bytes: stretches and bytes of them that are held; beyond it the first ``keep`` stay, which are the frequent ones, but for long ones.
     """
 
-    def __init__(self, path: str, most: int = 600_000, keep: int = 300_000, most_bytes: int = 32_000_000):
+    def __init__(self, path: str, most: int = 350_000, keep: int = 175_000, most_bytes: int = 32_000_000):
         super().__init__()
         import os
 
