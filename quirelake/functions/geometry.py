@@ -39,10 +39,6 @@ def ioa_min(a: Column, b: Column) -> Column:
     return intersection(a, b) / F.greatest(F.least(area(a), area(b)), F.lit(1e-9))
 
 
-def half_even(x: Column) -> Column:
-    return F.bround(x).cast("int")
-
-
 def normalized_box(b: Column, width: Column, height: Column) -> Column:
     """Centre and size relative to the image; null under 5 pixels. Boxes wholly within the unit square whose last two are under a half pass."""
     unit = F.forall(b, lambda v: (v >= 0) & (v <= 1)) & (b[2] < 0.5) & (b[3] < 0.5)

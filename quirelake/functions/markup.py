@@ -127,8 +127,3 @@ def ratio(a: str, b: str) -> float:
     if not a or not b:
         return float(not a and not b)
     return difflib.SequenceMatcher(None, a, b).ratio()
-
-
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

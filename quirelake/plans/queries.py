@@ -180,7 +180,7 @@ def generation_settings(spark, sf_dir):
 
 @query
 def postprocess_profiles(spark, sf_dir):
-    done = postprocess.postprocess(fx.submission(spark, sf_dir), sizes=fx.pages(spark, sf_dir).select("image", F.col("image_width").alias("width"), F.col("image_height").alias("height")))
+    done = postprocess.postprocess(fx.pages(spark, sf_dir).drop("regions").withColumnRenamed("pred", "regions"))
     return done.select("profile", "image", F.size("regions").alias("n"), postprocess.regions_json(F.col("regions")).alias("regions"))
 
 
