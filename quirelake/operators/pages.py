@@ -42,15 +42,18 @@ def check_images(solution: DataFrame, submission: DataFrame) -> None:
 
 def greedy_pairs(gt: Column, pred: Column, threshold: float = THRESHOLD, overlap=G.iou_metric) -> Column:
     """One-to-one pairs of positions by falling overlap; equal overlaps by position in ``gt``, then in ``pred``."""
-    pairs = F.flatten(
-        F.transform(
-            gt,
-            lambda g, gi: F.filter(
-                F.transform(pred, lambda p, pi: F.struct((-overlap(g["bbox"], p["bbox"])).alias("o"), gi.alias("gi"), pi.alias("pi"))),
-                lambda x: x["o"] <= -threshold,
-            ),
-        )
-    )
+    # boxes that don't meet are passed over by comparisons, before any overlap is computed
+    meets = (lambda a, b: (a[1] < b[3]) & (b[1] < a[3]) & (a[0] < b[2]) & (b[0] < a[2])) if threshold > 0 else (lambda a, b: F.lit(True))
+    placed = F.transform(pred, lambda p, pi: F.struct(pi.alias("pi"), p["bbox"].alias("b")))
+
+    def of(all_: Column) -> Column:
+        def one(g: Column, gi: Column) -> Column:
+            near = F.filter(all_, lambda p: meets(g["bbox"], p["b"]))
+            return F.transform(near, lambda p: F.struct((-overlap(g["bbox"], p["b"])).alias("o"), gi.alias("gi"), p["pi"].alias("pi")))
+
+        return F.filter(F.flatten(F.transform(gt, one)), lambda x: x["o"] <= -threshold)
+
+    pairs = F.element_at(F.transform(F.array(placed), of), 1)
     none = F.array().cast(_PAIR)
 
     def take(done: Column, x: Column) -> Column:
@@ -265,16 +268,15 @@ def mean_cer_nonempty(pages: DataFrame) -> DataFrame:
 
 def overlap_pairs(rows: DataFrame, iou_at: float = 0.80, ioa_at: float = 0.95) -> DataFrame:
     """image, i, j (i < j), both types, iou and ioa of pairs of a page's regions that reach either limit."""
-    pairs = F.flatten(
-        F.transform(
-            "regions",
-            lambda a, i: F.filter(
-                F.transform("regions", lambda b, j: F.struct(i.alias("i"), j.alias("j"), a["type"].alias("type_i"), b["type"].alias("type_j"), G.iou(a["bbox"], b["bbox"]).alias("iou"), G.ioa_min(a["bbox"], b["bbox"]).alias("ioa"))),
-                lambda p: (p["i"] < p["j"]) & ((p["iou"] >= iou_at) | (p["ioa"] >= ioa_at)),
-            ),
-        )
-    )
-    return rows.select("image", F.explode(pairs).alias("p")).select("image", "p.*")
+    # one compiled row for each pair, of boxes and types alone
+    boxes = rows.select("image", F.transform("regions", lambda r: F.struct(r["bbox"].alias("b"), r["type"].alias("type"))).alias("all"))
+    first = boxes.select("image", "all", F.posexplode("all").alias("i", "x"))
+    pair = first.select("image", "i", "x", F.posexplode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("k", "y"))
+    a, b = ([F.col(f"{side}.b")[n] for n in range(4)] for side in ("x", "y"))
+    if iou_at > 0 and ioa_at > 0:
+        pair = pair.where((a[1] < b[3]) & (b[1] < a[3]) & (a[0] < b[2]) & (b[0] < a[2]))
+    found = pair.select("image", "i", (F.col("i") + F.col("k") + 1).alias("j"), F.col("x.type").alias("type_i"), F.col("y.type").alias("type_j"), G.iou(a, b).alias("iou"), G.ioa_min(a, b).alias("ioa"))
+    return found.where((F.col("iou") >= iou_at) | (F.col("ioa") >= ioa_at))
 
 
 def overlap_count(rows: DataFrame, at: float = 0.80) -> DataFrame:
