@@ -94,7 +94,7 @@ class StretchTokenizer(dict):
     most, most_bytes: stretches and bytes of them that are held; beyond it the first ``keep`` stay, which are the frequent ones, but for long ones.
     """
 
-    def __init__(self, path: str, most: int = 350_000, keep: int = 175_000, most_bytes: int = 32_000_000):
+    def __init__(self, path: str, most: int = 250_000, keep: int = 125_000, most_bytes: int = 8_000_000):
         super().__init__()
         import os
 
@@ -169,7 +169,7 @@ class StretchTokenizer(dict):
         split = np.concatenate([[0], ends])[np.searchsorted(where, bounds)]
         return [ids[x:y] for x, y in zip(split[:-1].tolist(), split[1:].tolist(), strict=True)]
 
-    def many(self, texts: list[bytes] | pa.Array, group: int = 4_000_000) -> Iterator[np.ndarray]:
+    def many(self, texts: list[bytes] | pa.Array, group: int = 1_500_000) -> Iterator[np.ndarray]:
         """int32 ids of each text; about ``group`` bytes of text are worked on at a time, of long texts as of many."""
         column = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
         if not self.by_stretch:
