@@ -51,7 +51,7 @@ def _pred(d: Column, p: Column, g: Column) -> Column:
     return F.when((d + 2 * p) % 11 == 0, none).when((d + p) % 19 == 0, F.array(first, second)).otherwise(F.array(first))
 
 
-def _spread(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def spread(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows of a file of few row groups, dealt to all cores: a file's layout shouldn't leave the derivation to one task."""
     cores = spark.sparkContext.defaultParallelism
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(4 * cores)
@@ -59,7 +59,7 @@ def _spread(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image, source, doc_id, image_width, image_height, regions and pred: one row per page."""
-    docs = _spread(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.regexp_extract_all(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "@"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
+    docs = spread(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.regexp_extract_all(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "@"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
     docs = docs.where(F.size("w") > 0)
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / WORDS).cast("int")), lambda i: F.array_join(F.slice("w", i * WORDS + 1, F.lit(WORDS)), " "))
     docs = docs.select("doc_id", "source", parts.alias("parts"))

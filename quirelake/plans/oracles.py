@@ -6,6 +6,8 @@ derived pages overlap by half only within their own row, so the greedy matching
 
 from __future__ import annotations
 
+from . import suppression
+from .crowded import SQL as CROWDED
 from .fixtures import SQL as FIXTURE
 
 
@@ -176,3 +178,13 @@ ORACLE_SQL: dict[str, str] = {
     "lineitem_pricing": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
     "top_orders_by_segment": "SELECT * FROM (SELECT c_mktsegment, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders JOIN customer ON o_custkey = c_custkey) WHERE rank <= 10",
 }
+
+_PROCESSED = f"WITH RECURSIVE {CROWDED}, {suppression.processed('crowd')}"
+_PAGES = "(SELECT DISTINCT profile, image FROM crowd, prof)"
+ORACLE_SQL |= {
+    "postprocess_profiles": f"{_PROCESSED}, full_ AS ({suppression.regions_text('left_')}) SELECT profile, image, coalesce(n, 0) AS n, coalesce(regions, '[]') AS regions FROM {_PAGES} LEFT JOIN full_ USING (profile, image)",
+    "postprocess_actions": f"{_PROCESSED} SELECT profile, action, count(*) AS n FROM told GROUP BY ALL",
+    "profile_audit": f"""{_PROCESSED}, b AS (SELECT image, count(*) AS n FROM crowd GROUP BY 1), a AS (SELECT profile, image, count(*) AS n FROM left_ GROUP BY ALL), t AS (SELECT DISTINCT profile, image FROM told)
+        SELECT profile, sum(b.n)::BIGINT AS regions_before, sum(coalesce(a.n, 0))::BIGINT AS regions_after, count(*) FILTER (WHERE t.image IS NOT NULL OR b.n <> coalesce(a.n, 0)) AS affected_pages
+        FROM {_PAGES} JOIN b USING (image) LEFT JOIN a USING (profile, image) LEFT JOIN t USING (profile, image) GROUP BY profile""",
+}

@@ -15,6 +15,7 @@ from ..sources import regions as sources
 from ..sources import sinks
 from ..streaming import progress
 from . import fixtures as fx
+from .crowded import crowded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -180,13 +181,13 @@ def generation_settings(spark, sf_dir):
 
 @query
 def postprocess_profiles(spark, sf_dir):
-    done = postprocess.postprocess(fx.pages(spark, sf_dir).drop("regions").withColumnRenamed("pred", "regions"))
-    return done.select("profile", "image", F.size("regions").alias("n"), postprocess.regions_json(F.col("regions")).alias("regions"))
+    done = postprocess.postprocess(crowded(spark, sf_dir))
+    return done.select("profile", "image", F.size("regions").cast("long").alias("n"), postprocess.regions_json(F.col("regions")).alias("regions"))
 
 
 @query
 def postprocess_actions(spark, sf_dir):
-    return postprocess.action_counts(postprocess.postprocess(fx.submission(spark, sf_dir)), "profile")
+    return postprocess.action_counts(postprocess.postprocess(crowded(spark, sf_dir)), "profile")
 
 
 @query
@@ -196,7 +197,7 @@ def postprocess_earlier(spark, sf_dir):
 
 @query
 def profile_audit(spark, sf_dir):
-    return postprocess.profile_audit(postprocess.postprocess(fx.solution(spark, sf_dir)))
+    return postprocess.profile_audit(postprocess.postprocess(crowded(spark, sf_dir)))
 
 
 @query
