@@ -188,3 +188,50 @@ ORACLE_SQL |= {
         SELECT profile, sum(b.n)::BIGINT AS regions_before, sum(coalesce(a.n, 0))::BIGINT AS regions_after, count(*) FILTER (WHERE t.image IS NOT NULL OR b.n <> coalesce(a.n, 0)) AS affected_pages
         FROM {_PAGES} JOIN b USING (image) LEFT JOIN a USING (profile, image) LEFT JOIN t USING (profile, image) GROUP BY profile""",
 }
+
+
+# Flags and repeats of tokens, without back-references.
+_RUN_OF_12 = "|".join(f"\\x{{{ord(c):x}}}{{12,}}" for c in [*map(chr, range(32, 127)), "\n", *"ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"])
+
+
+def _repeated(words: str, least: int, times: int) -> str:
+    """Whether a word of ``least`` characters or more stands ``times`` times in a row in a list of lower-cased tokens: signs may stand before the first and after the last."""
+    middle = " AND ".join([rf"regexp_full_match({words}[i + 1], '[\p{{L}}\p{{N}}_]{{{least},}}')"] + [f"{words}[i + {k}] = {words}[i + 1]" for k in range(2, times - 1)])
+    ends = rf"regexp_extract({words}[i], '[\p{{L}}\p{{N}}_]+$') = {words}[i + 1] AND regexp_extract({words}[i + {times - 1}], '^[\p{{L}}\p{{N}}_]+') = {words}[i + 1]"
+    return f"len([i for i in generate_series(1, len({words}) - {times - 1}) if {middle} AND {ends}]) > 0"
+
+
+def _flags(text: str, words: str) -> str:
+    return f"""list_filter([CASE WHEN length({text}) >= 180 THEN 'long_text' END, CASE WHEN regexp_matches({text}, '{_RUN_OF_12}') THEN 'character_loop' END,
+        CASE WHEN {_repeated(words, 2, 5)} THEN 'token_loop' END, CASE WHEN regexp_matches({text}, '(?:\\s*[—–_\\-]\\s*){{8,}}') THEN 'dash_loop' END], lambda x: x IS NOT NULL)"""
+
+
+_STRUCK = r"regexp_replace(regexp_replace(coalesce(text, ''), '~~.*?~~\{(.*?)\}', '\1', 'g'), '~~(.*?)~~', '\1', 'g')"
+_RAW_METRIC = "0.15 * f1 + 0.05 * acc + 0.30 * greatest(0, 1 - reg) + 0.50 * greatest(0, 1 - pag) AS composite, f1 AS det_f1, p AS det_precision, rc AS det_recall, acc AS class_accuracy, reg AS region_cer, pag AS page_cer, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, cn AS cer_regions"
+_FLAT = "flat AS (SELECT image, o // 2 AS cluster, o, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2, type, text, NULL::BIGINT AS width, NULL::BIGINT AS height FROM pr)"
+
+
+def _profile_metric(profile: str) -> str:
+    kept = f"pq AS (SELECT image, row_number() OVER (PARTITION BY image ORDER BY pos) - 1 AS pi, b0 AS x1, b1 AS y1, b2 AS x2, b3 AS y2, kind AS type, text FROM left_ WHERE profile = '{profile}')"
+    body = _scored("pq").replace("    gn AS", f"    {_FLAT}, {suppression.processed('flat')}, {kept},\n    gn AS", 1)
+    return f"SELECT '{profile}' AS profile, * FROM (WITH RECURSIVE {body}, {_metric('pg')} SELECT {_RAW_METRIC} FROM f)"
+
+
+_WHOLE = ("tp", "fp", "fn", "cer_regions")
+_DELTAS = ", ".join(f"{c}, a.{c} - b.{c} AS delta_{c}" if c in _WHOLE else f"round(a.{c}, 6) AS {c}, round(a.{c} - b.{c}, 6) AS delta_{c}" for c in _METRICS).replace(", tp,", ", a.tp,").replace(", fp,", ", a.fp,").replace(", fn,", ", a.fn,").replace(", cer_regions,", ", a.cer_regions,")
+ORACLE_SQL |= {
+    "text_flag_counts": f"WITH w AS (SELECT coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents) SELECT flag, count(*) AS n FROM (SELECT unnest({_flags('t', 'w')}) AS flag FROM w) GROUP BY flag",
+    "target_texts": f"SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace({_STRUCK}, '\\s+', ' ', 'g')) AS t FROM documents)",
+    "postprocess_earlier": f"""WITH {FIXTURE}, x AS (SELECT *, regexp_extract_all(text, '\\S+') AS w, regexp_extract_all(lower(text), '\\S+') AS lw FROM pr),
+        changed AS (SELECT count(*) AS n FROM x WHERE (length(text) >= 24 AND regexp_full_match(text, '[\\s\\-−–—_.,·|]+'))
+                      OR (len(w) >= 8 AND (len([i for i in generate_series(1, len(w) - 5) if w[i : i + 3] = w[i + 2 : i + 5]]) > 0 OR {_repeated('lw', 3, 4)}))),
+        twice AS (SELECT count(*) AS n FROM pr a JOIN pr b ON a.image = b.image AND a.o + 1 = b.o AND a.o % 2 = 0 WHERE a.type NOT IN ('image', 'graph') AND b.type NOT IN ('image', 'graph'))
+        SELECT 'text_cleaned' AS action, n FROM changed WHERE n > 0 UNION ALL SELECT 'duplicates_removed', n FROM twice WHERE n > 0""",
+    "profile_scores": f"WITH a AS ({' UNION ALL '.join(_profile_metric(p) for p in suppression.PROFILES)}), b AS (SELECT * FROM (WITH {_scored()}, {_metric('pg')} SELECT {_RAW_METRIC} FROM f)) SELECT a.profile, {_DELTAS} FROM a CROSS JOIN b",
+    "viewer_regions": f"""WITH {FIXTURE}, x AS (SELECT *, {_KEY} AS key, regexp_extract_all(lower(text), '\\S+') AS lw FROM pr),
+        raw AS (SELECT image, {_KEY} AS key, arg_max(text, gi) AS raw_text FROM gt GROUP BY ALL),
+        twin AS (SELECT a.image, a.pi, b.pi AS other FROM pr a JOIN pr b ON a.image = b.image AND a.pi <> b.pi AND a.o // 2 = b.o // 2)
+        SELECT x.image, x.pi::BIGINT AS id, x.type, raw.raw_text, array_to_string(list_concat({_flags('x.text', 'x.lw')}, list_filter([CASE WHEN t.other IS NOT NULL THEN 'overlap_iou80' END, CASE WHEN t.other IS NOT NULL THEN 'containment_ioa95' END,
+            CASE WHEN x1 < 0 OR y1 < 0 OR x2 > 800 OR y2 > 1200 THEN 'out_of_bounds' END, CASE WHEN raw.raw_text <> x.text THEN 'text_changed' END], lambda y: y IS NOT NULL)), ',') AS flags, coalesce(t.other::VARCHAR, '') AS overlap_with
+        FROM x LEFT JOIN raw ON x.image = raw.image AND x.key = raw.key LEFT JOIN twin t ON x.image = t.image AND x.pi = t.pi""",
+}
