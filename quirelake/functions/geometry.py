@@ -56,9 +56,14 @@ def clamped(b: Column, width: Column, height: Column) -> Column:
     return F.array(within(b[0], width), within(b[1], height), within(b[2], width), within(b[3], height))
 
 
-def crop_rect(b: Column, width: Column, height: Column, pad: int = 4) -> Column:
-    """Padded and clipped crop; null where it is under 5 pixels (a blank crop)."""
-    c = F.transform(b, lambda v: v.cast("int"))
+def crop_rect(b: Column, width: Column, height: Column, pad: int = 4, jitter: int = 0, seed: Column | int = 0) -> Column:
+    """Padded and clipped crop; null where it is under 5 pixels (a blank crop).
+
+    jitter: each coordinate is moved by up to so many pixels before that, by a hash of the box, the coordinate and ``seed``.
+    """
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    move = (lambda v, k: F.pmod(F.xxhash64(b, k, seed), F.lit(2 * jitter + 1)).cast("int") - jitter) if jitter else (lambda v, k: F.lit(0))
+    c = F.transform(b, lambda v, k: v.cast("int") + move(v, k))
     r = F.array(F.greatest(c[0] - pad, F.lit(0)), F.greatest(c[1] - pad, F.lit(0)), F.least(c[2] + pad, width), F.least(c[3] + pad, height))
     return F.when((r[2] - r[0] >= 5) & (r[3] - r[1] >= 5), r)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,37 +116,81 @@ def sample_weights(rows: DataFrame, kind: str = "type", weight: str = "weight",
     return rows.join(F.broadcast(table), canonical_type(F.col(kind)) == F.col("__t")).withColumn("sample_weight", F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) * F.col("multiplier")).drop("__t", "multiplier")
 
 
-def weighted_sample(rows: DataFrame, n: int, weight: str = "sample_weight", seed: int = 42) -> DataFrame:
-    """``rows`` drawn n times on average with replacement: each row as often as a Poisson draw about its share. Column draws."""
-    total = rows.agg(F.sum(weight)).first()[0] or 1.0
-    rate = F.col(weight) * (n / total)
-    # inverse of the Poisson distribution at a uniform number, term by term up to where the tail is nothing at such rates
-    steps = F.sequence(F.lit(1), F.lit(64))
-    state = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cum"), F.lit(0).alias("k"))
+def weighted_sample(rows: DataFrame, n: int, weight: str = "sample_weight", seed: int = 42, buckets: int = 1024) -> DataFrame:
+    """``rows`` drawn exactly n times with replacement, by weight: the rows that are drawn, with how often (``draws``).
 
-    def step(a: Column, i: Column) -> Column:
-        p = a["p"] * rate / i
-        return F.struct(p.alias("p"), (a["cum"] + p).alias("cum"), F.when(a["cum"] < F.col("__u"), i).otherwise(a["k"]).alias("k"))
+    The draws are dealt to hash buckets by the buckets' weights, of which only those come to the driver; within a bucket each row's draws are
+    binomial in what is left, so rows stream through. Rows without a positive weight are never drawn; without any, the result is empty.
+    """
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    keyed = rows.withColumn("__w", w).where("__w > 0").withColumn("__bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)))
+    found = sorted(tuple(r) for r in keyed.groupBy("__bucket").agg(F.sum("__w"), F.count("*")).collect())
+    total = sum(t for _, t, _ in found)
+    dealt = np.random.default_rng(seed).multinomial(n, [t / total for _, t, _ in found]) if found else []
+    table = {b: (int(k), t, c) for (b, t, c), k in zip(found, dealt, strict=True)}
+    schema = rows.withColumn("draws", F.lit(0).cast("long")).schema
 
-    return rows.withColumn("__u", F.rand(seed)).withColumn("draws", F.aggregate(steps, state, step, lambda a: a["k"])).drop("__u").where("draws > 0")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rng, left, mass, count = None, None, 0, 0.0, 0
+        for frame in batches:
+            draws = []
+            for bucket, x in zip(frame["__bucket"].tolist(), frame["__w"].tolist(), strict=True):
+                if bucket != now:
+                    now, rng = bucket, np.random.default_rng([seed, bucket])
+                    left, mass, count = table[bucket]
+                k = left if count == 1 else int(rng.binomial(left, min(1.0, x / max(mass, x)))) if left else 0
+                left, mass, count = left - k, mass - x, count - 1
+                draws.append(k)
+            out = frame.drop(columns=["__w", "__bucket"]).assign(draws=np.array(draws, np.int64))
+            yield out[out["draws"] > 0][schema.names]
+
+    return keyed.repartition("__bucket").sortWithinPartitions("__bucket").mapInPandas(run, schema)
 
 
 def repeat_to(rows: DataFrame, n: int, order: str) -> DataFrame:
-    """Rows repeated in turn until there are n."""
+    """Rows repeated in turn until there are n: all of them as often as they fit, and the first by ``order`` once more."""
     have = rows.count()
     if not have:
         return rows
-    copies = rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(n / have) - 1))))
-    return copies.orderBy("__copy", order).limit(n).drop("__copy")
+    whole, rest = divmod(n, have)
+    first = rows.orderBy(order).limit(rest)
+    if not whole:
+        return first
+    copies = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(whole)))).drop("__copy")
+    return copies.unionByName(first) if rest else copies
+
+
+def _first_by_hash(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """The n rows of the least __h: whole hash prefixes by their counts, and an order only within the prefix where n falls."""
+    counts = sorted((r["p"], r["c"]) for r in rows.groupBy(F.substring("__h", 1, 3).alias("p")).agg(F.count("*").alias("c")).collect())
+    taken, cut = 0, None
+    for prefix, c in counts:
+        if taken + c > n:
+            cut = prefix
+            break
+        taken += c
+    if cut is None:
+        return rows
+    at = F.substring("__h", 1, 3)
+    return rows.where(at < cut).unionByName(rows.where(at == cut).orderBy("__h", key).limit(n - taken))
 
 
 def sqrt_quota(rows: DataFrame, n: int, kind: str = "type", key: str = "image_path", seed: int = 42) -> DataFrame:
-    """n rows at most: each type's share goes by the square root of its count, one at least; what is left over is filled from the rest."""
+    """n rows at most: each type's share goes by the square root of its count, one at least; what is left over is filled from the rest.
+
+    Ranks in a type come from counts per hash prefix, so a type that most rows have isn't ordered in one task.
+    """
     counts = rows.groupBy(kind).agg(F.count("*").alias("c"))
     roots = counts.withColumn("quota", F.greatest(F.lit(1), F.bround(F.lit(n) * F.sqrt("c") / F.sum(F.sqrt("c")).over(Window.partitionBy(F.lit(1))))))
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    ranked = rows.join(F.broadcast(roots.select(kind, "quota")), kind).withColumn("__h", h).withColumn("__r", F.row_number().over(Window.partitionBy(kind).orderBy("__h", key)))
-    return ranked.orderBy((F.col("__r") > F.col("quota")).cast("int"), "__h", key).limit(n).drop("__h", "__r", "quota")
+    hashed = rows.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("__b", F.substring("__h", 1, 3))
+    running = Window.partitionBy(kind).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = hashed.groupBy(kind, "__b").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(running), F.lit(0))).drop("__n")
+    rank = F.row_number().over(Window.partitionBy(kind, "__b").orderBy("__h", key)) + F.col("__before")
+    ranked = hashed.join(ahead, [kind, "__b"]).join(F.broadcast(roots.select(kind, "quota")), kind).withColumn("__r", rank)
+    own, rest = ranked.where(F.col("__r") <= F.col("quota")), ranked.where(F.col("__r") > F.col("quota"))
+    have = own.count()
+    chosen = own.unionByName(_first_by_hash(rest, n - have, key)) if have < n else _first_by_hash(own, n, key)
+    return chosen.select(*rows.columns)
 
 
 def class_weight_hint(counts: DataFrame) -> DataFrame:
@@ -177,10 +221,11 @@ def valid_solution(pages: DataFrame) -> DataFrame:
     return pages.select(first_text("image", "file_name", "id").alias("image"), F.coalesce("source", F.lit("unknown")).alias("source"), first_list("regions", "annotations").alias("regions"))
 
 
-def run_model(rows: DataFrame, predict, kind: str = "type", text: str = "text", least_batch: int = 1) -> DataFrame:
+def run_model(rows: DataFrame, predict, kind: str = "type", text: str = "text", least_batch: int = 1, parts: int = 64) -> DataFrame:
     """``rows`` with ``text`` from ``predict(type, frame) -> list[str]``, called with rows of one type at a time.
 
-    A MemoryError halves the batch down to ``least_batch`` rows. Order within a batch is kept; ``predict`` runs in the executors.
+    A MemoryError halves the batch down to ``least_batch`` rows. Order within a batch is kept; ``predict`` runs in the executors. parts: tasks, at most,
+    that the rows of one type are dealt to.
     """
     schema = rows.schema if text in rows.columns else rows.withColumn(text, F.lit("")).schema
 
@@ -200,4 +245,4 @@ def run_model(rows: DataFrame, predict, kind: str = "type", text: str = "text",
                 out.loc[part.index, text] = halving(t, part)
             yield out[schema.names]
 
-    return rows.repartition(F.col(kind), F.pmod(F.xxhash64(*rows.columns), F.lit(64))).sortWithinPartitions(kind).mapInPandas(run, schema)
+    return rows.repartition(F.col(kind), F.pmod(F.xxhash64(*rows.columns), F.lit(parts))).sortWithinPartitions(kind).mapInPandas(run, schema)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.regions import pseudo_usable, train_usable
-from ..schema import PAGE, REGION_TYPES, REGIONS
+from ..functions.text import normalize_target, strip
+from ..schema import NON_SCORABLE, PAGE, REGION_TYPES, REGIONS
 
 _LOOSE = "array<struct<bbox:array<string>,type:string,text:string,language:string,legibility:string,conf:double>>"
 
@@ -21,14 +22,18 @@ def _missing(e: Exception) -> bool:
     return "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e)
 
 
-def read_pages(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """JSON Lines of pages. Lenient: malformed lines are left out. Strict: they raise. A missing path is an empty table when lenient."""
-    if strict:
-        return spark.read.schema(PAGE).option("mode", "FAILFAST").json(path)
+def read_pages(spark: SparkSession, path: str, strict: bool = False, may_miss: bool | None = None) -> DataFrame:
+    """JSON Lines of pages. Lenient: malformed lines are left out. Strict: they raise.
+
+    may_miss: whether a missing path is an empty table, or raises; if not given, it is one for lenient reading only.
+    """
+    may_miss = not strict if may_miss is None else may_miss
     try:
+        if strict:
+            return spark.read.schema(PAGE).option("mode", "FAILFAST").json(path)
         rows = spark.read.schema(T.StructType([*PAGE.fields, T.StructField("_bad", T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     except AnalysisException as e:
-        if _missing(e):
+        if may_miss and _missing(e):
             return spark.createDataFrame([], PAGE)
         raise
     return rows.where(F.col("_bad").isNull()).drop("_bad")
@@ -116,9 +121,14 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
 
 
-def resolve_images(names: DataFrame, index: DataFrame) -> DataFrame:
-    """name and path: looked up whole, then by base name, then by stem."""
-    keys = F.array(F.col("name"), basename(F.col("name")), stem(F.col("name")))
+#: Orders in which consumers look an image up: the whole name, its base name, its stem.
+WHOLE_FIRST, WHOLE_OR_STEM, BASE_FIRST = ("whole", "base", "stem"), ("whole", "stem"), ("base", "stem")
+
+
+def resolve_images(names: DataFrame, index: DataFrame, order: tuple[str, ...] = WHOLE_FIRST) -> DataFrame:
+    """name and path: looked up by each of the ways in ``order``; null where none finds one."""
+    ways = {"whole": F.col("name"), "base": basename(F.col("name")), "stem": stem(F.col("name"))}
+    keys = F.array(*[ways[w] for w in order])
     tried = names.select("name", F.posexplode(keys).alias("rank", "key")).join(index, "key").groupBy("name").agg(F.min_by("path", "rank").alias("path"))
     return names.join(tried, "name", "left")
 
@@ -128,12 +138,59 @@ def cap_by_page(crops: DataFrame, most: int, order: str = "page_no") -> DataFram
 
     Running counts come from per-page totals, summed by blocks of pages first, so no single task sees all pages' rows.
     """
+    return crops.join(_ahead(crops, order).where(F.col("ahead") < most).select(order), order, "left_semi")
+
+
+def _ahead(crops: DataFrame, order: str) -> DataFrame:
+    """Each page number and how many crops stand before its page."""
     pages = crops.groupBy(order).agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col(order) / 10_000))
     blocks = pages.groupBy("block").agg(F.sum("n").alias("bn"))
     before_block = blocks.withColumn("before", F.coalesce(F.sum("bn").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    running = pages.join(before_block, "block").withColumn("ahead", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return crops.join(running.where(F.col("ahead") < most).select(order), order, "left_semi")
+    return pages.join(before_block, "block").select(order, (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("ahead"))
+
+
+_CROP_REGION = "array<struct<bbox:array<double>,bbox_2d:array<double>,type:string,text:string,language:string,legibility:string>>"
+
+
+def read_crop_pages(spark: SparkSession, path: str) -> DataFrame:
+    """JSON Lines of pages for cropping, with ``page_no`` in the order of lines; regions may name their box bbox_2d. Malformed lines are left out; a missing path is empty."""
+    schema = f"image string, file_name string, filename string, id string, regions {_CROP_REGION}, annotations {_CROP_REGION}"
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if _missing(e):
+            return spark.createDataFrame([], f"{schema}, page_no long")
+        raise
+    rows = lines.where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("page_no"), F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return rows.where(F.col("r").isNotNull() & F.col("r._bad").isNull()).select("r.*", "page_no").drop("_bad")
+
+
+def crops_from_lines(pages: DataFrame, index: DataFrame, split: str, weight: float = 1.0, most: int | None = None) -> DataFrame:
+    """Training crops of ``read_crop_pages``: image_path, source_image, bbox, text (as a target), weight, source and type.
+
+    Only pages whose image ``index`` (key, path) finds count, by whole name or stem. Names number the crops through the whole file. With
+    ``most`` a page is left out once that many crops stand before it, so the limit can be passed by one page's crops.
+    """
+    named = pages.select("page_no", first_text("image", "file_name", "filename", "id").alias("name"), _first_boxes("regions", "annotations").alias("regions")).where("name IS NOT NULL")
+    keys = F.array(F.col("name"), stem(F.col("name")))
+    tried = named.select("page_no", F.posexplode(keys).alias("rank", "key")).join(index, "key").groupBy("page_no").agg(F.min_by("path", "rank").alias("source_image"))
+    r = F.col("r")
+    box = F.coalesce(F.when(F.size(r["bbox"]) > 0, r["bbox"]), F.when(F.size(r["bbox_2d"]) > 0, r["bbox_2d"]))
+    kind, text = F.coalesce(r["type"], F.lit("handwritten")), strip(F.coalesce(r["text"], F.lit("")))
+    usable = (text != "") & (F.coalesce(r["language"], F.lit("uk")) == "uk") & (F.coalesce(r["legibility"], F.lit("legible")) != "illegible") & ~kind.isin(*NON_SCORABLE) & box.isNotNull()
+    rows = named.join(tried, "page_no").select("page_no", "name", "source_image", F.posexplode("regions").alias("i", "r")).where(usable)
+    rows = rows.select("page_no", "name", "source_image", "i", box.alias("bbox"), kind.alias("type"), text.alias("text"))
+    if most is not None:
+        rows = cap_by_page(rows, most)
+    rows = rows.join(_ahead(rows, "page_no"), "page_no")
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("page_no").orderBy("i")) - 1
+    path = F.concat(stem(F.col("name")), F.format_string("_r%06d.jpg", place))
+    return rows.select(path.alias("image_path"), "source_image", "bbox", normalize_target(F.col("text"), F.col("type")).alias("text"), F.lit(weight).alias("weight"), F.lit(split).alias("source"), "type")
+
+
+def _first_boxes(*names: str) -> Column:
+    return F.coalesce(*[F.when(F.size(n) > 0, F.col(n)) for n in names], F.array().cast(_CROP_REGION))
 
 
 def crops(pages: DataFrame, split: str, weight: float, usable=train_usable) -> DataFrame:
@@ -152,16 +209,27 @@ def silver_crops(pages: DataFrame, weight: float = 0.5) -> DataFrame:
 def read_external_labels(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """image, text from a JSON map, a CSV whose columns go by various names, or image-side text files."""
     if kind == "map":
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
         return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("image", "text"))
     if kind == "csv":
         raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
         names = {c: "image" if c.lower() in ("image", "filename", "file", "path") else "text" if c.lower() in ("text", "label", "transcript", "transcription") else c for c in raw.columns}
         return raw.withColumnsRenamed(names).select("image", "text")
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    text = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return text.select(stem(F.input_file_name()).alias("image"), F.col("value").alias("text"))
 
 
+def first_external_labels(spark: SparkSession, candidates: list[tuple[str, str]]) -> DataFrame:
+    """Labels from the first of (path, kind) that exists; an empty table if none does."""
+    for path, kind in candidates:
+        try:
+            return read_external_labels(spark, path, kind)
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
+    return spark.createDataFrame([], "image string, text string")
+
+
 def read_word_list(spark: SparkSession, paths: list[str], least: int = 2) -> DataFrame:
     """Trimmed words of the first path that exists."""
     for path in paths:

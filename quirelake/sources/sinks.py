@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import normalized_box
@@ -21,6 +22,36 @@ def write_region_csv(rows: DataFrame, path: str, mode: str = "errorifexists", ha
     rows.select("image", regions_json(F.col("regions"), half_even).alias("regions")).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def write_solution_csv(pages: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The validation solution of pages: image, source and all regions as they are, as JSON text."""
+    from ..operators.curation import valid_solution
+
+    valid_solution(pages).select("image", "source", F.to_json("regions").alias("regions")).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def report(sections: dict, most: int = 1000) -> dict:
+    """A nested report as plain values: tables become lists of rows (one-row ones a row), up to ``most``; dicts are gone through; all else stays.
+
+    Tables are rollups or top lists. Where one has more rows, ``truncated`` says so beside them.
+    """
+
+    def of(x):
+        if isinstance(x, DataFrame):
+            rows = [r.asDict(recursive=True) for r in x.limit(most + 1).collect()]
+            return {"rows": rows[:most], "truncated": True} if len(rows) > most else rows[0] if len(rows) == 1 else rows
+        return {k: of(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+    return of(sections)
+
+
+def write_report(spark: SparkSession, sections: dict, path: str, title: str = "Report", mode: str = "errorifexists") -> None:
+    """The nested report as one JSON text under ``path``/json, and its tables as Markdown under ``path``/markdown."""
+    text = json.dumps(report(sections), ensure_ascii=False, indent=2, default=str)
+    tables = [(k, v) for k, v in sections.items() if isinstance(v, DataFrame)]
+    for name, content in (("json", text), ("markdown", markdown(title, tables))):
+        spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode(mode).option("lineSep", "\n").text(f"{path}/{name}")
+
+
 def write_manifest(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     flat = rows.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in rows.dtypes])
     flat.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)

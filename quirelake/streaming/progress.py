@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,17 +43,24 @@ def coverage(target: DataFrame, done: DataFrame) -> DataFrame:
     return marked.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("hit").alias("done"), F.count("*").alias("target")).withColumn("complete", F.col("done") == F.col("target"))
 
 
-def upsert(spark: SparkSession, log: str, state: str, checkpoint: str, seconds: float | None = None) -> bool:
-    """Fold new log records into versions of the state table under ``state``; True if all that was there was folded in before the deadline.
+def upsert(spark: SparkSession, log: str, state: str, checkpoint: str, seconds: float | None = None, buckets: int = 16) -> bool:
+    """Fold new log records into the state table under ``state``; True if all that was there was folded in before the deadline.
 
-    Each batch writes the merged state as ``batch=<id>`` and a run that comes again overwrites the same version, so a restart after a lost
-    batch neither loses nor doubles records. Readers take the greatest version.
+    The state is kept in hash buckets of images. A batch writes, as ``batch=<id>``, only the buckets that it touches, and a run that comes
+    again overwrites the same version, so a restart after a lost batch neither loses nor doubles records. Readers take each bucket's greatest
+    whole version; of older ones the last is left for readers that have begun, the rest goes.
     """
+    place = F.pmod(F.xxhash64("image"), F.lit(buckets)).alias("bucket")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        old = read_state(batch.sparkSession, state, before=batch_id)
+        session = batch.sparkSession
+        touched = [r["bucket"] for r in batch.select(place).distinct().collect()]
+        if not touched:
+            return
+        old = read_state(session, state, before=batch_id, only=touched)
         both = batch if old is None else old.select(*batch.columns).unionByName(batch)
-        latest(both).select(*batch.columns).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        latest(both).select(*batch.columns, place).write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/batch={batch_id}")
+        _drop_old(session, state)
 
     query = read_stream(spark, log).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     if seconds is None:
@@ -61,20 +72,76 @@ def upsert(spark: SparkSession, log: str, state: str, checkpoint: str, seconds:
     return bool(ended)
 
 
-def _versions(spark: SparkSession, state: str) -> list[int]:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(state)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return []
-    found = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(n.removeprefix("batch=")) for n in found if n.startswith("batch="))
+def _versions(spark: SparkSession, state: str) -> dict[int, list[int]]:
+    """The whole versions of each bucket, falling."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(state)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    if fs.exists(root):
+        for version in fs.listStatus(root):
+            name = version.getPath().getName()
+            if name.startswith("batch=") and fs.exists(path(version.getPath(), "_SUCCESS")):
+                for bucket in fs.listStatus(version.getPath()):
+                    if bucket.getPath().getName().startswith("bucket="):
+                        out.setdefault(int(bucket.getPath().getName().removeprefix("bucket=")), []).append(int(name.removeprefix("batch=")))
+    return {k: sorted(v, reverse=True) for k, v in out.items()}
+
+
+def _drop_old(spark: SparkSession, state: str, keep: int = 2) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(state).getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket, versions in _versions(spark, state).items():
+        for v in versions[keep:]:
+            fs.delete(path(f"{state}/batch={v}/bucket={bucket}"), True)
+
+
+def read_state(spark: SparkSession, state: str, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+    """Each bucket's newest whole version (older than ``before``; of the buckets ``only``); None if there is none."""
+    found = {b: [v for v in versions if before is None or v < before] for b, versions in _versions(spark, state).items() if only is None or b in only}
+    paths = [f"{state}/batch={v[0]}/bucket={b}" for b, v in sorted(found.items()) if v]
+    return spark.read.schema(RECORD).parquet(*paths) if paths else None
 
 
-def read_state(spark: SparkSession, state: str, before: int | None = None) -> DataFrame | None:
-    """The newest whole version of the state table (older than ``before``); None if there is none."""
-    found = [v for v in _versions(spark, state) if before is None or v < before]
-    return spark.read.parquet(f"{state}/batch={found[-1]}") if found else None
+@dataclass(frozen=True)
+class Stage:
+    """A step of a run: ``work`` gets the records that are due (image and what the stage before recorded) and appends its own to ``log``."""
+
+    name: str
+    log: str
+    state: str
+    checkpoint: str
+    work: Callable[[DataFrame, str], None]
+
+
+def run_stages(spark: SparkSession, target: DataFrame, stages: list[Stage], seconds: float | None = None) -> dict[str, int]:
+    """Run stages one after the other over what each has still to do, and fold in their logs; how many images each has done.
+
+    A stage's targets are the images that the stage before has done, with its records; the first stage's are ``target``. Once the deadline
+    has passed no further stage is begun, and a later call goes on from the states.
+    """
+    began, done = time.monotonic(), {}
+    for stage in stages:
+        left = None if seconds is None else seconds - (time.monotonic() - began)
+        if left is not None and left <= 0:
+            break
+        state = read_state(spark, stage.state)
+        due = target if state is None else pending(target, state)
+        if due.limit(1).count():
+            stage.work(due, stage.log)
+        if log_exists(spark, stage.log):
+            upsert(spark, stage.log, stage.state, stage.checkpoint, left)
+        state = read_state(spark, stage.state)
+        if state is None:
+            break
+        done[stage.name] = state.count()
+        target = state
+    return done
+
+
+def log_exists(spark: SparkSession, log: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(log)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def partial_output(sample: DataFrame, state: DataFrame, order: str) -> DataFrame:
