@@ -171,7 +171,9 @@ ORACLE_SQL: dict[str, str] = {
     "progress_latest": "SELECT 'user_' || user_id AS image, max(event_id) AS seq, arg_max(event_type, event_id) AS source, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY user_id",
     "progress_pending": "SELECT 'user_' || c_custkey AS image, c_mktsegment AS source FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)",
     "progress_coverage": "SELECT c_mktsegment AS source, count(u) AS done, count(*) AS target, count(u) = count(*) AS complete FROM customer LEFT JOIN (SELECT DISTINCT user_id AS u FROM events) ON c_custkey = u GROUP BY 1",
-    "sample_order": f"WITH {FIXTURE}, c AS (SELECT image, count(*) AS n FROM pr GROUP BY image) SELECT doc_id AS place, 'doc_' || doc_id || '_1.jpg' AS image, coalesce(n, 0) AS n FROM documents LEFT JOIN c ON c.image = 'doc_' || doc_id || '_1.jpg'",
+    "sample_order": f"""WITH {FIXTURE}, sample AS (SELECT DISTINCT image, regexp_extract(image, 'doc_(\d+)_', 1)::BIGINT * 1000000 + regexp_extract(image, '_(\d+)\.jpg', 1)::BIGINT AS place FROM gt
+        UNION ALL SELECT 'doc_' || doc_id || '_none.jpg', doc_id * 1000000 + 999999 FROM documents)
+        SELECT place, image, coalesce(n, 0) AS n FROM sample LEFT JOIN (SELECT image, count(*) AS n FROM pr GROUP BY 1) USING (image)""",
     "events_tumbling": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "events_sessions": """WITH a AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 1800 THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM a)
         SELECT user_id, session, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM s GROUP BY 1, 2""",

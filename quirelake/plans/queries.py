@@ -367,8 +367,11 @@ def progress_coverage(spark, sf_dir):
 
 @query
 def sample_order(spark, sf_dir):
-    sample = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("_1.jpg")).alias("image"), F.col("doc_id").alias("place"))
-    return _rounded(pages.reorder_like(sample, fx.submission(spark, sf_dir), "place").select("place", "image", F.size("regions").alias("n")))
+    """All pages in the order of documents, and for each document one that no prediction has."""
+    number = lambda pattern: F.regexp_extract("image", pattern, 1).cast("long")
+    have = fx.solution(spark, sf_dir).select("image", (number(r"doc_(\d+)_") * 1_000_000 + number(r"_(\d+)\.jpg")).alias("place"))
+    lack = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("_none.jpg")).alias("image"), (F.col("doc_id") * 1_000_000 + 999_999).alias("place"))
+    return _rounded(pages.reorder_like(have.unionByName(lack), fx.submission(spark, sf_dir), "place").select("place", "image", F.size("regions").alias("n")))
 
 
 @query
