@@ -1,10 +1,14 @@
+import random
+
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quirelake.llm import compression
 
+from .conftest import CLASHING, prose
 from .test_contamination import brute as contaminated
 from .test_jaccard import brute as near
 from .test_site_lines import brute as lines
@@ -57,3 +61,39 @@ def test_stages_return_documents(spark, tables):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns
+
+
+def table(spark, rows, d, more=(), items=()):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    for c in more:
+        docs = docs.withColumn(c, F.lit("z"))
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d)
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    assert corpus_pipeline.run(spark, table(spark, [], tmp_path)).count() == 0
+
+
+def test_nulls_repeats_and_long_texts(spark, tmp_path):
+    rng = random.Random(21)
+    long, plain, other, marked = prose(rng, 30_000), prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(None, plain, None, None, None), (None, other, "en", None, 3), (1, long, None, "s", None), (1, long, None, "s", None), (2, long + " ende", None, "s", 1), (3, None, None, None, None), (None, None, None, None, None), (4, "", "en", "s", 0), (5, marked, "en", "t", 1)]
+    got = corpus_pipeline.run(spark, table(spark, rows, tmp_path, CLASHING, [(1, marked), (None, None), (2, "")])).collect()
+    assert len(long) > 100_000
+    whole = {}
+    for r in got:
+        assert r["ids_crc32"] is not None
+        whole.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"]))
+    assert sorted(str(d) for d, _ in whole) == ["1", "None", "None"]
+    for (_, n), pieces in whole.items():
+        assert [a for a, _ in sorted(pieces)] == [sum(x for _, x in sorted(pieces)[:k]) for k in range(len(pieces))] and sum(x for _, x in pieces) == n
+
+
+def test_stages_pass_other_columns_on(spark, clashing, tmp_path):
+    d = table(spark, [], tmp_path)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, d)
+        assert out.columns == clashing.columns and {tuple(r) for r in out.select(*CLASHING).collect()} == {("z",) * len(CLASHING)}
