@@ -1,7 +1,8 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
-Candidate spans come from patterns. Labelers vote on each candidate: patterns check its form, gazetteers its parts, and context labelers the
-words beside it. Expectation-maximisation over the counts of vote patterns, of which there are boundedly many, estimates how reliable each
+Candidate spans come from patterns, from gazetteers (titles before names, words of streets) and from context (what follows a word for a
+password, or "my name is"). Labelers vote on each candidate: patterns check its form, gazetteers its parts, and context labelers the words
+beside it. Expectation-maximisation over the counts of vote patterns, of which there are boundedly many, estimates how reliable each
 labeler is without any gold label. The resulting probabilities train a logistic classifier over span features, which decides on the
 candidates beyond the base ones.
 """
@@ -17,18 +18,36 @@ from pyspark.sql import functions as F
 
 from .scratch import cut
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "person", "address", "account")
+#: Gazetteers.
+TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Sra", "Mme", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
+GIVEN_NAMES = ("Anna", "Anne", "Carlos", "Carmen", "Claire", "David", "Elena", "Emma", "Hans", "James", "Jean", "John", "José", "Juan", "Julia", "Karl", "Laura", "Lucas", "Maria", "María", "Marie", "Martin", "Mary", "Michael", "Paul", "Peter", "Pierre", "Robert", "Sophie", "Thomas")
+STREETS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Drive", "Boulevard", "Blvd", "Square")
+STREET_ENDINGS = ("straße", "strasse", "weg", "platz", "gasse", "allee")
+STREET_STARTS = ("rue", "avenue", "boulevard", "place", "calle", "plaza", "avenida")
+ACCOUNT_COUNTRIES = ("AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE", "UA")
+#: What a text says before a person's name, and before a secret.
+NAMED = "my name is|i am called|ich heiße|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|name:"
+SECRET_CUE = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key"
 #: Base patterns. Possessive quantifiers and look-behinds only spare the regex engine retries that cannot succeed.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=-])|(?<=(?i:" + SECRET_CUE + r")[\"']{0,1}\s{0,2}[:=]\s{0,2}[\"']{0,1})[^\s\"',;]{6,}+",
+    "person": r"(?<!\p{L})(?:(?:" + "|".join(TITLES) + r")\.? |(?<=(?i:" + NAMED + r") ))\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++){0,2}",
+    "address": r"(?<![0-9])[0-9]{1,5} (?:\p{Lu}\p{Ll}++ ){1,2}(?:"
+    + "|".join(STREETS)
+    + r")(?!\p{L})|(?<!\p{L})\p{Lu}\p{Ll}*(?:"
+    + "|".join(STREET_ENDINGS)
+    + r") [0-9]{1,4}(?![0-9])|(?<!\p{L})(?:"
+    + "|".join(STREET_STARTS)
+    + r") (?:de la |de |du |des |del )?\p{Lu}\p{Ll}++,? [0-9]{1,4}(?![0-9])",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without this cannot hold the kind.
-NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_+/-]{20}"}
-#: Gazetteers.
+NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_+/-]{20}|(?i:" + SECRET_CUE + ")", "person": "(?:" + "|".join(TITLES) + r")\.? \p{Lu}|(?i:" + NAMED + ")", "address": r" [0-9]|[0-9] \p{Lu}", "account": r"[A-Z]{2}[0-9]{2}|[0-9]-[0-9]{2}-[0-9]"}
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "biz", "us", "ca", "it", "nl", "ch", "at", "be")
 CARD_STARTS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
 CUES = {
@@ -37,6 +56,9 @@ CUES = {
     "card": r"(?i)(?:card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta)(?: (?:no|number|nr))?[^A-Za-z0-9]{0,4}$",
     "phone": r"(?i)(?:phone|tel|call|mobile|fax|telefon|téléphone|teléfono)[^A-Za-z0-9]{0,4}$",
     "secret": r"(?i)(?:token|secret|password|passwd|pwd|api[_-]?key|key|credential|bearer)[^A-Za-z0-9]{0,6}$",
+    "person": r"(?i)(?:" + NAMED + r"|contact|signed|author|by|von|par|por)[^A-Za-z0-9]{0,4}$",
+    "address": r"(?i)(?:address|lives at|located at|adresse|wohnt|anschrift|habite|dirección|domicilio)[^A-Za-z0-9]{0,4}$",
+    "account": r"(?i)(?:iban|account|konto|compte|cuenta|ssn|social security)(?: (?:no|number|nr))?[^A-Za-z0-9]{0,4}$",
 }
 LABELERS = ("form", "gazetteer", "cue", "checks", "shape")
 CONTEXT = 32
@@ -127,6 +149,14 @@ def _labels(kind: str, span: Column, before: Column, base: Column) -> list[Colum
     if kind == "phone":
         n = F.length(digits)
         return [_vote(base, ~base), _vote(span.rlike(r"^\+(?:1|3[0-9]|4[0-9]|5[0-9]|6[0-9]|7|8[0-9]|9[0-9])"), span.rlike(r"^\+0")), cue, _vote(n.between(11, 13), n < 8), _vote(span.rlike(r"[ ()-]"), span.rlike(r"\.[0-9]*\."))]
+    if kind == "person":
+        words = F.split(span, " ")
+        return [_vote(span.rlike(rf"^(?:{'|'.join(TITLES)})\.? "), never), _vote(F.exists(words, lambda w: w.isin(*GIVEN_NAMES)), never), cue, _vote(F.size(words) >= 3, F.size(words) < 2), _vote(F.length(span) <= 40, span.rlike(r"(?i)(?:the|this|that)$"))]
+    if kind == "address":
+        return [_vote(numbers & letters, ~numbers), _vote(span.rlike("|".join((*STREETS, *STREET_ENDINGS, *STREET_STARTS))), never), cue, _vote(span.rlike("(?<![0-9])[0-9]{1,3}(?![0-9])"), span.rlike("[0-9]{5}")), _vote(F.length(span).between(8, 50), F.length(span) > 80)]
+    if kind == "account":
+        plain = F.replace(span, F.lit(" "))
+        return [_vote(plain.rlike(r"^[A-Z]{2}[0-9]{13,32}$|^[0-9]{3}-"), ~numbers), _vote(F.left(span, F.lit(2)).isin(*ACCOUNT_COUNTRIES), letters), cue, _vote(F.length(digits) >= 9, F.length(digits) < 8), _vote(F.length(plain).between(11, 34), F.length(plain) > 34)]
     mixed = letters & numbers
     return [_vote(span.rlike(r"^[0-9a-f]{32,}$|^[0-9A-F]{32,}$"), ~mixed), _vote(span.rlike(r"^(?:sk|pk|ghp|gho|AKIA|xox[bp])[_-]?[A-Za-z0-9]"), span.rlike("/.*/")), cue, _vote(mixed & ~span.rlike("[/_-]"), ~numbers), _vote(F.length(span) >= 32, span.rlike("^[A-Za-z-]+$"))]
 
@@ -217,7 +247,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = cut(candidates(docs, id_col, text_col), "candidates")
     seen = found.select(F.explode("spans").alias("c")).groupBy(F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes"), F.col("c.feats").alias("feats")).agg(F.count("*").alias("n"))
-    rows = sorted((r["kind"], tuple(r["votes"]), tuple(r["feats"]), r["n"]) for r in seen.collect())  # at most 5 * 3**5 * 2**8 rows, whatever the input
+    rows = sorted((r["kind"], tuple(r["votes"]), tuple(r["feats"]), r["n"]) for r in seen.collect())  # at most 8 * 3**5 * 2**8 rows, whatever the input
     votes: dict = defaultdict(int)
     for kind, v, _, n in rows:
         votes[kind, v] += n

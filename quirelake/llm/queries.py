@@ -33,7 +33,7 @@ def op1_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(joined(True), 256).alias("base_sha256"), joined(False).alias("spans"), "n_candidates")
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(joined(True), 256).alias("base_sha256"), joined(False).alias("spans"), F.size("spans").cast("long").alias("n_spans"), "n_candidates")
 
 
 def op2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,23 @@ def test_secrets_after_equals_and_long_ones_are_candidates(spark):
     assert found == {1: [(8, 48)], 2: [(4, 304)], 3: [(6, 308)], 4: [], 5: [(27, 67)]} and all(got[i] for i in (1, 2, 3, 5))
 
 
+def test_gazetteers_and_context_propose(spark):
+    rows = [
+        (1, 'the password = "ab12cd" here'),
+        (2, "call Dr. Jane Roe or Mme Dupont now"),
+        (3, "hello, my name is Élodie Blanc."),
+        (4, "at 12 Long Acre Street, Hauptstraße 7 and rue de la Paix, 4"),
+        (5, "IBAN DE89 3704 0044 0532 0130 00 and 123-45-6789"),
+        (6, "a plain text about nothing, 12 of them, said Tom"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: [(private.KINDS[c["kind"]], dict(rows)[r["id"]][c["s"] : c["e"]]) for c in r["spans"] if c["kind"] > 3] for r in private.candidates(docs, "doc_id", "text").collect()}
+    assert got[1] == [("secret", "ab12cd")]
+    assert got[2] == [("person", "Dr. Jane Roe"), ("person", "Mme Dupont")] and got[3] == [("person", "Élodie Blanc")]
+    assert got[4] == [("address", "12 Long Acre Street"), ("address", "Hauptstraße 7"), ("address", "rue de la Paix, 4")]
+    assert got[5] == [("account", "DE89 3704 0044 0532 0130 00"), ("account", "123-45-6789")] and got[6] == []
+
+
 def test_empty_and_clashing(no_docs, clashing, docs):
     assert private.find_private(no_docs).count() == 0
     assert private.find_private(clashing).count() == docs.count()
