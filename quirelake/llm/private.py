@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=-])|(?<=(?i:" + SECRET_CUE + r")[\"']{0,1}\s{0,2}[:=]\s{0,2}[\"']{0,1})[^\s\"',;]{6,}+",
-    "person": r"(?<!\p{L})(?:(?:" + "|".join(TITLES) + r")\.? |(?<=(?i:" + NAMED + r") ))\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++){0,2}",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=-])",
+    "person": r"(?<!\p{L})(?:" + "|".join(TITLES) + r")\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++){0,2}",
     "address": r"(?<![0-9])[0-9]{1,5} (?:\p{Lu}\p{Ll}++ ){1,2}(?:"
     + "|".join(STREETS)
     + r")(?!\p{L})|(?<!\p{L})\p{Lu}\p{Ll}*(?:"
@@ -46,8 +47,31 @@ PATTERNS = {
     + r") (?:de la |de |du |des |del )?\p{Lu}\p{Ll}++,? [0-9]{1,4}(?![0-9])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-#: A text without this cannot hold the kind.
-NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_+/-]{20}|(?i:" + SECRET_CUE + ")", "person": "(?:" + "|".join(TITLES) + r")\.? \p{Lu}|(?i:" + NAMED + ")", "address": r" [0-9]|[0-9] \p{Lu}", "account": r"[A-Z]{2}[0-9]{2}|[0-9]-[0-9]{2}-[0-9]"}
+#: Context that proposes what follows it: the pattern with the cue, and the part of a match that is the span, its last.
+PROPOSED = {
+    "secret": (r"(?i:" + SECRET_CUE + r")[\"']?\s{0,2}[:=]\s{0,2}[\"']?[^\s\"',;]{6,}+", r"[^\s\"',;:=]+[^\s\"',;]*$"),
+    "person": (r"(?i:" + NAMED + r") \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++){0,2}", r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,2}$"),
+}
+
+
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def _may_hold(text: Column, kind: str, proposed: bool = False) -> Column:
+    """False for texts that cannot hold the kind: looked up by what scans fast."""
+    if proposed and kind == "secret":
+        return _holds(text, ("=", ":")) & _holds(F.lower(text), ("passw", "passphr", "pwd", "secret", "token", "key"))
+    if proposed:
+        return _holds(text, ("y name is", "am called", "ch heiße", "ein name ist", "'appelle", "on nom est", "e llamo", "i nombre es", "ame:"))
+    if kind == "person":
+        return _holds(text, ("Mr", "Ms", "Dr", "Prof", "Sr", "Mme", "Herr", "Frau", "Monsieur", "Madame", "Señor"))
+    if kind == "address":
+        words = (" St", " Road", " Rd", " Ave", " Lane", " Drive", " Boulevard", " Blvd", " Square", *STREET_ENDINGS, *(f"{w} " for w in STREET_STARTS))
+        return text.rlike("[0-9]") & _holds(text, words)
+    return text.rlike({"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_+/-]{20}", "account": r"[0-9]{4}"}[kind])
+
+
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "biz", "us", "ca", "it", "nl", "ch", "at", "be")
 CARD_STARTS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
 CUES = {
@@ -72,12 +96,33 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _found(text: Column, kind: str) -> Column:
+    """(start, span, before) of each candidate: the matches of its pattern, and what context proposes beside them."""
+    own = _matches(text, PATTERNS[kind], _may_hold(text, kind))
+    if kind not in PROPOSED:
+        return own
+    pattern, last = PROPOSED[kind]
+
+    def trimmed(x: Column) -> Column:
+        span = F.regexp_extract(x["m"], last, 0)
+        before = F.right(F.concat(x["b"], F.left(x["m"], F.length(x["m"]) - F.length(span))), F.lit(CONTEXT))
+        return F.struct((x["s"] + F.length(x["m"]) - F.length(span)).alias("s"), span.alias("m"), before.alias("b"))
+
+    more = F.transform(_matches(text, pattern, _may_hold(text, kind, True)), trimmed)
+
+    def joined(both: Column) -> Column:
+        apart = lambda x, y: (x["s"] + F.length(x["m"]) <= y["s"]) | (y["s"] + F.length(y["m"]) <= x["s"])
+        return F.concat(both["own"], F.filter(both["more"], lambda x: (x["m"] != "") & F.forall(both["own"], lambda y: apart(x, y))))
+
+    return _let(F.struct(own.alias("own"), more.alias("more")), lambda both: F.when(F.size(both["more"]) > 0, joined(both)).otherwise(both["own"]))
+
+
+def _matches(text: Column, pattern: str, may: Column) -> Column:
     """(start, span, before) of each match: starts are sums of the lengths of what lies between matches, in code points.
 
     A list grows by copying, so it is made in blocks, whose own starts are summed after that: the work is in proportion to the matches.
     """
     empty = F.array().cast("array<struct<s:int,m:string,b:string>>")
-    gaps, spans = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    gaps, spans = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
@@ -95,7 +140,7 @@ def _found(text: Column, kind: str) -> Column:
 
     pairs = F.zip_with(spans, F.slice(gaps, F.lit(1), F.size(spans)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
     got = _let(pairs, lambda p: F.when(F.size(p) > 0, _let(blocks(p), joined)).otherwise(empty))
-    return F.when(text.rlike(NEEDS[kind]), got).otherwise(empty)
+    return F.when(may, got).otherwise(empty)
 
 
 def _digits(span: Column) -> Column:
