@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -15,9 +15,10 @@ from ..sources import regions as sources
 from ..sources import sinks
 from ..streaming import progress
 from . import fixtures as fx
+from . import tool_queries
 from .crowded import crowded
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tool_queries.QUERIES)
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -279,9 +280,10 @@ def type_weights(spark, sf_dir):
 
 
 def _crops(spark, sf_dir):
-    r = fx.solution(spark, sf_dir).select("image", "source", F.posexplode("regions").alias("idx", "r")).where(R.train_usable(F.col("r")))
-    rank = F.row_number().over(Window.partitionBy("image").orderBy("idx")) - 1
-    return r.select("image", "source", "idx", "r.type", F.col("r.text").alias("text"), F.concat(F.lit("train/"), sources.stem(F.col("image")), F.format_string("_r%06d.jpg", rank)).alias("image_path"), F.lit(1.0).alias("weight"))
+    p = fx.solution(spark, sf_dir)
+    none = F.lit(None).cast(p.schema["regions"].dataType)
+    p = p.withColumns({c: F.lit(None).cast("string") for c in ("file_name", "filename", "id")}).withColumns({c: none for c in ("annotations", "labels")})
+    return sources.crops(p, "train", 1.0).drop("bbox")
 
 
 @query

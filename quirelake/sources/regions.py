@@ -76,9 +76,12 @@ def _typed(loose: Column) -> Column:
 
 
 def parse_lenient(c: Column) -> Column:
-    """Regions of a JSON text; anything but a list gives none."""
-    is_list = F.schema_of_variant(F.try_parse_json(c)).startswith("ARRAY")
-    return F.when(is_list, F.coalesce(_typed(F.from_json(c, _LOOSE)), F.array().cast(REGIONS))).otherwise(F.array().cast(REGIONS))
+    """Regions of a JSON text; anything but a list gives none. Elements of a list that aren't objects are left out."""
+    parsed = F.try_parse_json(c)
+    objects = F.filter(parsed.cast("array<variant>"), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    one_by_one = F.transform(objects, lambda v: F.from_json(F.to_json(v), _LOOSE[6:-1]))  # where an odd element spoils the list
+    read = F.coalesce(F.from_json(c, _LOOSE), one_by_one)
+    return F.when(F.schema_of_variant(parsed).startswith("ARRAY"), F.coalesce(_typed(read), F.array().cast(REGIONS))).otherwise(F.array().cast(REGIONS))
 
 
 def region_errors(rows: DataFrame, submission: bool = True) -> DataFrame:
