@@ -34,7 +34,6 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.submission(spark, sf_dir).select("image", F.posexplode("regions").alias("pi", "r"))
 
 
-_SPACED = r"trim(regexp_replace(t, '\s+', ' ', 'g'))"
 _BARE = r"""trim(regexp_replace(regexp_replace(lower(t), '\s+', ' ', 'g'), '[.,;:!?"''`ʼ’‘“”„«»()\[\]{}]', '', 'g'))"""
 
 

@@ -155,11 +155,6 @@ def shard(pages: DataFrame, shard_id: int, shards: int, key: str = "image") -> D
     return pages.where(F.pmod(F.xxhash64(key), F.lit(shards)) == shard_id)
 
 
-def next_stage(stage_one: DataFrame, stage_two: DataFrame) -> DataFrame:
-    """Records of the first stage that the second hasn't done."""
-    return pending(stage_one, stage_two)
-
-
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums by event type and window; on a stream with a watermark. A platform capability beside the progress log."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
