@@ -1,11 +1,11 @@
-"""Connected components by least labels, with pointer jumping; each round is cut to a scratch table."""
+"""Connected components by least labels, with pointer jumping; each round is cut to a scratch table, and those of the round before go."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,14 +14,17 @@ def components(edges: DataFrame) -> DataFrame:
     Hubs with many edges meet as keys of joins only, which adaptive execution splits, and of least-value aggregates, which combine early.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    held = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
+        labels = held.select("node", "comp")
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("near"))
-        spread = labels.join(near, labels.node == near.a).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        spread = cut(spread, "spread")
+        spread = cut(labels.join(near, labels.node == near.a).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")), "spread")
         jump = spread.select(F.col("node").alias("via"), F.col("comp").alias("further"))
         new = cut(spread.join(jump, F.col("comp") == F.col("via")).select("node", "was", F.least("comp", "further").alias("comp")), "labels")
         changed = new.where(F.col("was") != F.col("comp")).limit(1).count()
-        labels = new.select("node", "comp")
+        discard(held)
+        discard(spread)
+        held = new
         if not changed:
-            return labels
+            discard(both)
+            return new.select("node", "comp")

@@ -29,7 +29,7 @@ from .words import WordHash, alnum_words, portions, row_texts
 class JoinSettings:
     """At 24 bands of 5 values, a pair of similarity 0.8 shares none with probability 7e-5, one of 0.85 with 8e-7.
 
-    tolerance: posterior probability under which a pair is dropped. step: MinHash values compared at a time. block: classes in a block.
+    tolerance: posterior probability under which a pair is dropped. step: MinHash values compared at a time. block: classes in a block. most_pairs: pairs compared at a time.
     largest: classes in a component from which on blocks are of one band's classes, each pair in the first band it shares, not of the
     component's. That changes which rows meet where, not what is linked: it is the pairs that share a band and reach the threshold.
     filter_bits: size of the filter that lets candidate rows through on the second reading; it only saves work.
@@ -41,7 +41,8 @@ class JoinSettings:
     rows: int = 5
     tolerance: float = 1e-6
     step: int = 8
-    block: int = 256
+    block: int = 512
+    most_pairs: int = 1 << 17
     largest: int = 16_384
     filter_bits: int = 1 << 25
 
@@ -181,8 +182,8 @@ def _filter(tags: DataFrame, n_bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def linked_pairs(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, s: JoinSettings) -> np.ndarray:
-    """Which of the pairs (left[k], right[k]) reach the threshold: numbers k."""
+def _not_pruned(sig: np.ndarray, left: np.ndarray, right: np.ndarray, s: JoinSettings) -> np.ndarray:
+    """Numbers of the pairs whose MinHash values keep them, compared a few at a time."""
     alive, matches, least = np.arange(len(left)), np.zeros(len(left), np.int64), least_matches(s.threshold, s.tolerance, s.hashes)
     for at in range(0, s.hashes, s.step):
         to = min(at + s.step, s.hashes)
@@ -190,7 +191,15 @@ def linked_pairs(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, righ
         stay = matches >= least[to]
         alive, matches = alive[stay], matches[stay]
         if not len(alive):
-            return alive
+            break
+    return alive
+
+
+def linked_pairs(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, s: JoinSettings) -> np.ndarray:
+    """Which of the pairs (left[k], right[k]) reach the threshold: numbers k."""
+    alive = np.concatenate([np.zeros(0, np.int64), *(at + _not_pruned(sig, left[at : at + s.most_pairs], right[at : at + s.most_pairs], s) for at in range(0, len(left), s.most_pairs))])
+    if not len(alive):
+        return alive
     size = np.array([len(x) for x in sets])
     i, j = left[alive], right[alive]
     most = np.minimum(size[i], size[j])
@@ -235,10 +244,13 @@ def _block(members: list[tuple[bytes, int, bytes, bytes, bytes]], band: int | No
     k = linked_pairs(sig, sets, left, right, s)
     left, right = left[k], right[k]
     keys = np.array([np.frombuffer(m[3], np.uint64) for m in members])
-    same = keys[left] == keys[right]
-    own = same.any(1)
-    if band is not None:
-        own &= keys[left, same.argmax(1)] == np.int64(band).view(np.uint64)
+    own = [np.zeros(0, bool)]
+    for at in range(0, len(left), s.most_pairs):
+        i, j = left[at : at + s.most_pairs], right[at : at + s.most_pairs]
+        same = keys[i] == keys[j]
+        share = same.any(1)
+        own.append(share if band is None else share & (keys[i, same.argmax(1)] == np.int64(band).view(np.uint64)))
+    own = np.concatenate(own)
     left, right = left[own], right[own]
     if not len(left):
         return []
