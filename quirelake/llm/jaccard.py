@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut
+from .scratch import cut, discard
 from .words import WordHash, alnum_words, portions, row_texts
 
 
@@ -333,9 +333,13 @@ def _linked(plain: DataFrame, s: JoinSettings, *least: Column) -> tuple[DataFram
     tags = classes.join(comps.select("class"), "class", "left_semi").select("tag")
     payload = _payload(plain.select("id", "text"), s, _filter(tags, s.filter_bits))
     found = cut(_evaluate(units.join(payload, "class"), s), "links")
+    for used in (shared, comps, sizes):
+        discard(used)
     links = found.groupBy("class").agg(F.sum("links").alias("n_links"))
     group = components(_star(found.select(F.col("class").alias("node"), F.col("root").alias("hub")).distinct())).withColumnRenamed("node", "class")
-    return rows, classes, cut(classes.drop("tag", "bands").join(links, "class").join(group, "class"), "linked")
+    linked = cut(classes.drop("tag", "bands").join(links, "class").join(group, "class"), "linked")
+    discard(found)
+    return rows, classes, linked
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: JoinSettings = JoinSettings()) -> DataFrame:
