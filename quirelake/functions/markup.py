@@ -11,27 +11,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Markup commands and the characters they stand for.
-SYMBOLS = r"""
-\alpha α  \beta β  \gamma γ  \delta δ  \epsilon ε  \varepsilon ε  \zeta ζ  \eta η  \theta θ  \vartheta ϑ  \iota ι  \kappa κ
-\lambda λ  \mu μ  \nu ν  \xi ξ  \pi π  \rho ρ  \sigma σ  \tau τ  \upsilon υ  \phi φ  \varphi φ  \chi χ  \psi ψ  \omega ω
-\Gamma Γ  \Delta Δ  \Theta Θ  \Lambda Λ  \Xi Ξ  \Pi Π  \Sigma Σ  \Phi Φ  \Psi Ψ  \Omega Ω
-\cdot ·  \times ×  \div ÷  \pm ±  \mp ∓  \circ ∘  \bullet •  \star ⋆
-\leq ≤  \le ≤  \geq ≥  \ge ≥  \neq ≠  \ne ≠  \approx ≈  \equiv ≡  \sim ∼  \propto ∝
-\rightarrow →  \to →  \leftarrow ←  \leftrightarrow ↔  \Rightarrow ⇒  \Leftarrow ⇐  \Leftrightarrow ⇔  \implies ⇒  \iff ⇔
-\cap ∩  \cup ∪  \subset ⊂  \supset ⊃  \subseteq ⊆  \supseteq ⊇  \in ∈  \notin ∉  \emptyset ∅  \varnothing ∅  \oplus ⊕  \otimes ⊗
-\infty ∞  \partial ∂  \nabla ∇  \forall ∀  \exists ∃  \neg ¬  \sqrt √  \sum ∑  \prod ∏  \int ∫  \ldots …  \dots …  \cdots ⋯
-\therefore ∴  \because ∵  \perp ⊥  \angle ∠  \parallel ∥  \square □  \Box □  \triangle △
-\uparrow ↑  \downarrow ↓  \Uparrow ⇑  \Downarrow ⇓  \vee ∨  \wedge ∧  \lor ∨  \land ∧  \setminus ∖  \backslash \
-\mid |  \lvert |  \rvert |  \Vert ‖  \lfloor ⌊  \rfloor ⌋  \lceil ⌈  \rceil ⌉  \male ♂  \female ♀
-""".split()
+SYMBOLS = {
+    r"\alpha": "α", r"\beta": "β", r"\gamma": "γ", r"\delta": "δ", r"\epsilon": "ε", r"\varepsilon": "ε", r"\zeta": "ζ", r"\eta": "η", r"\theta": "θ",
+    r"\vartheta": "ϑ", r"\iota": "ι", r"\kappa": "κ",
+    r"\lambda": "λ", r"\mu": "μ", r"\nu": "ν", r"\xi": "ξ", r"\pi": "π", r"\rho": "ρ", r"\sigma": "σ", r"\tau": "τ", r"\upsilon": "υ",
+    r"\phi": "φ", r"\varphi": "φ", r"\chi": "χ", r"\psi": "ψ", r"\omega": "ω",
+    r"\Gamma": "Γ", r"\Delta": "Δ", r"\Theta": "Θ", r"\Lambda": "Λ", r"\Xi": "Ξ", r"\Pi": "Π", r"\Sigma": "Σ", r"\Phi": "Φ", r"\Psi": "Ψ",
+    r"\Omega": "Ω",
+    r"\cdot": "·", r"\times": "×", r"\div": "÷", r"\pm": "±", r"\mp": "∓", r"\circ": "∘", r"\bullet": "•", r"\star": "⋆",
+    r"\leq": "≤", r"\le": "≤", r"\geq": "≥", r"\ge": "≥", r"\neq": "≠", r"\ne": "≠", r"\approx": "≈", r"\equiv": "≡", r"\sim": "∼",
+    r"\propto": "∝",
+    r"\rightarrow": "→", r"\to": "→", r"\leftarrow": "←", r"\leftrightarrow": "↔", r"\Rightarrow": "⇒", r"\Leftarrow": "⇐", r"\Leftrightarrow": "⇔", r"\implies": "⇒", r"\iff": "⇔",
+    r"\cap": "∩", r"\cup": "∪", r"\subset": "⊂", r"\supset": "⊃", r"\subseteq": "⊆", r"\supseteq": "⊇", r"\in": "∈", r"\notin": "∉", r"\emptyset": "∅",
+    r"\varnothing": "∅", r"\oplus": "⊕", r"\otimes": "⊗",
+    r"\infty": "∞", r"\partial": "∂", r"\nabla": "∇", r"\forall": "∀", r"\exists": "∃", r"\neg": "¬", r"\sqrt": "√", r"\sum": "∑", r"\prod": "∏",
+    r"\int": "∫", r"\ldots": "…", r"\dots": "…", r"\cdots": "⋯",
+    r"\therefore": "∴", r"\because": "∵", r"\perp": "⊥", r"\angle": "∠", r"\parallel": "∥", r"\square": "□", r"\Box": "□", r"\triangle": "△",
+    r"\uparrow": "↑", r"\downarrow": "↓", r"\Uparrow": "⇑", r"\Downarrow": "⇓", r"\vee": "∨", r"\wedge": "∧", r"\lor": "∨", r"\land": "∧", r"\setminus": "∖",
+    r"\backslash": "\\",
+    r"\mid": "|", r"\lvert": "|", r"\rvert": "|", r"\Vert": "‖", r"\lfloor": "⌊", r"\rfloor": "⌋", r"\lceil": "⌈", r"\rceil": "⌉", r"\male": "♂",
+    r"\female": "♀",
+}
 FUNCTION_NAMES = "arcsin arccos arctan arcctg arccot arcsec arccsc sinh cosh tanh coth sin cos tan cot sec csc ctg liminf limsup log ln lg exp lim sup inf min max det dim gcd lcm mod arg deg hom ker".split()
 ENVIRONMENTS = "array tabular matrix pmatrix bmatrix vmatrix Vmatrix smallmatrix aligned align alignat gathered cases split".split()
 STYLES = "mathrm mathbf mathit mathbb mathcal mathfrak mathsf mathtt operatorname boldsymbol pmb".split()
 RAISED, RAISED_AS = "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ", "0123456789+-=()n"
 LOWERED, LOWERED_AS = "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎", "0123456789+-=()"
 
-_symbol = dict(zip(SYMBOLS[::2], SYMBOLS[1::2], strict=True))
-_any_symbol = "|".join(re.escape(c) for c in sorted(_symbol, key=len, reverse=True))
+_any_symbol = "|".join(re.escape(c) for c in sorted(SYMBOLS, key=len, reverse=True))
 _env = "|".join(ENVIRONMENTS)
 _arg = r"\s*\{([^{}]*)\}"
 _gone = r"\s*\{[^{}]*\}"
@@ -75,7 +82,7 @@ REWRITES: list[tuple[bool, list]] = [
             (rf"\\overleftarrow{_arg}", r"←\1"),
             (rf"\\(?:bar|hat|overline|widetilde|widehat|dot|ddot){_arg}", r"\1"),
             (rf"\\({'|'.join(FUNCTION_NAMES)})(?![A-Za-z])", r"\1 "),
-            (_any_symbol, lambda m: _symbol[m[0]]),
+            (_any_symbol, lambda m: SYMBOLS[m[0]]),
             (rf"√{_arg}", r"√\1"),
             ("[\u0300-\u036f\u20d0-\u20ff]", ""),
             ("[*∗⋅]", "·"),

@@ -15,7 +15,8 @@ from .markup import nfkc, rewrite_markup
 
 #: White space as Python has it: Unicode's and the four separators below the space.
 WS = r"[\s\x1c-\x1f]"
-# Latin letters and the Cyrillic ones that look alike, dashes, quotes, horizontal spaces.
+# Latin letters and the Cyrillic ones that look alike, and the characters of classes: dashes, quotes, horizontal spaces,
+# punctuation, zero width, control characters, and what hints at mathematics.
 LATIN, CYRILLIC = "aceiopxyABCEHKMOPTX", "асеіорхуАВСЕНКМОРТХ"
 DASHES = "[\u2010-\u2015\u2212\ufe58\ufe63\uff0d]"
 DOUBLE_QUOTES = '["\u201c\u201d\u201e\u00ab\u00bb\u2033]'
@@ -35,24 +36,26 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+$", "")
 
 
+# Struck-through text, with and without what replaces it.
 STRUCK = ((r"(?d)~~.*?~~\{(.*?)\}", "$1"), (r"(?d)~~(.*?)~~", "$1"))
 
 
+# What all region types share, in order.
+COMMON = (
+    (DASHES, "-"),
+    (r"[_\-]{3,}", "___"),
+    (DOUBLE_QUOTES, '"'),
+    (SINGLE_QUOTES, "'"),
+    (SPACES, " "),
+    (rf"(?U)\({WS}+", "("),
+    (rf"(?U){WS}+\)", ")"),
+    (r" +\(", "("),
+    (r" +([_^])", "$1"),
+)
+
+
 def _common(c: Column) -> Column:
-    """The steps that all region types share."""
-    c = F.translate(c, LATIN, CYRILLIC)
-    return chain(
-        c,
-        (DASHES, "-"),
-        (r"[_\-]{3,}", "___"),
-        (DOUBLE_QUOTES, '"'),
-        (SINGLE_QUOTES, "'"),
-        (SPACES, " "),
-        (rf"(?U)\({WS}+", "("),
-        (rf"(?U){WS}+\)", ")"),
-        (r" +\(", "("),
-        (r" +([_^])", "$1"),
-    )
+    return chain(F.translate(c, LATIN, CYRILLIC), *COMMON)
 
 
 def _table_lines(c: Column) -> Column:

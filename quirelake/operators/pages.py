@@ -40,10 +40,10 @@ def check_images(solution: DataFrame, submission: DataFrame) -> None:
         raise MissingImages("missing images: " + ", ".join(r["image"] for r in missing))
 
 
-def greedy_pairs(gt: Column, pred: Column, threshold: float = THRESHOLD, overlap=G.iou_metric) -> Column:
-    """One-to-one pairs of positions by falling overlap; equal overlaps by position in ``gt``, then in ``pred``."""
+def greedy_pairs(gt: Column, pred: Column, threshold: float | Column = THRESHOLD, overlap=G.iou_metric) -> Column:
+    """One-to-one pairs of positions by falling overlap; equal overlaps by position in ``gt``, then in ``pred``. A threshold that is a column must be over 0."""
     # boxes that don't meet are passed over by comparisons, before any overlap is computed
-    meets = (lambda a, b: (a[1] < b[3]) & (b[1] < a[3]) & (a[0] < b[2]) & (b[0] < a[2])) if threshold > 0 else (lambda a, b: F.lit(True))
+    meets = (lambda a, b: (a[1] < b[3]) & (b[1] < a[3]) & (a[0] < b[2]) & (b[0] < a[2])) if isinstance(threshold, Column) or threshold > 0 else (lambda a, b: F.lit(True))
     placed = F.transform(pred, lambda p, pi: F.struct(pi.alias("pi"), p["bbox"].alias("b")))
 
     def of(all_: Column) -> Column:
@@ -95,10 +95,10 @@ def _page_text(regions: Column, texts: Column, dropped: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(kept), lambda k: k["t"]), "\n")
 
 
-def score_pages(solution: DataFrame, submission: DataFrame, threshold: float = THRESHOLD, order: str | None = None) -> DataFrame:
+def score_pages(solution: DataFrame, submission: DataFrame, threshold: float | str = THRESHOLD, order: str | None = None) -> DataFrame:
     """A row for each row of ``solution`` (image, regions, and source if there is one) with matches, errors and both page texts.
 
-    ``submission`` has image and regions; with ``order`` the last row of an image counts. Images it lacks are scored as empty; see
+    ``submission`` has image and regions; with ``order`` the last row of an image counts. threshold: a number, or a column of ``solution``. Images it lacks are scored as empty; see
     ``check_images`` for the strict reading. Columns: image, source, n_gt, n_pred, matches (gi, pi, both types, cer or null, text length,
     box height), lost_gt and lost_pred (types), tp, fp, fn, class_correct, cer_sum, cer_n, page_cer (null for an empty reference page),
     gt_chars, pred_chars.
@@ -106,10 +106,11 @@ def score_pages(solution: DataFrame, submission: DataFrame, threshold: float = T
     sub = last_of_each(submission.select("image", "regions", order), order) if order else submission
     sub = sub.select("image", F.col("regions").alias("pred"))
     source = F.coalesce("source", F.lit("unknown")) if "source" in solution.columns else F.lit("unknown")
-    rows = solution.select("image", source.alias("source"), F.col("regions").alias("gt")).join(sub, "image", "left")
+    at = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
+    rows = solution.select("image", source.alias("source"), F.col("regions").alias("gt"), at.alias("threshold")).join(sub, "image", "left")
     empty = F.array().cast(rows.schema["gt"].dataType)
     rows = rows.withColumn("gt", F.coalesce("gt", empty)).withColumn("pred", F.coalesce("pred", F.array().cast(rows.schema["pred"].dataType)))
-    rows = rows.withColumn("pairs", greedy_pairs(F.col("gt"), F.col("pred"), threshold))
+    rows = rows.withColumn("pairs", greedy_pairs(F.col("gt"), F.col("pred"), F.col("threshold") if isinstance(threshold, str) else threshold))
     # a matched prediction's text is also read under the reference's type
     crossed = F.transform("pairs", lambda m: F.struct(F.element_at("gt", m["gi"] + 1)["type"].alias("type"), F.element_at("pred", m["pi"] + 1)["text"].alias("text")))
     rows = held(held(rows).withColumn("crossed", crossed))
@@ -299,15 +300,14 @@ def diagnosis(metrics: DataFrame) -> DataFrame:
 
 def grid(solution: DataFrame, submission: DataFrame, confs: list[float], ious: list[float] = (THRESHOLD,)) -> DataFrame:
     """The metric for each pair of confidence and match threshold, over predictions that carry ``conf``; ``ordinal`` is the pair's place."""
-    spark = solution.sparkSession
-    out = None
-    for j, at in enumerate(ious):
-        table = spark.createDataFrame([(float(c), float(at), i * len(ious) + j) for i, c in enumerate(confs)], "conf double, iou double, ordinal int")
-        kept = submission.join(F.broadcast(table)).select(F.concat_ws("\x00", F.col("ordinal").cast("string"), "image").alias("image"), F.expr("filter(regions, r -> coalesce(r.conf, 1.0) >= conf)").alias("regions"))
-        want = solution.join(F.broadcast(table)).select(F.concat_ws("\x00", F.col("ordinal").cast("string"), "image").alias("image"), "regions")
-        scored = score_pages(want, kept, at).withColumn("ordinal", F.split("image", "\x00")[0].cast("int")).groupBy("ordinal").agg(*metric_columns()).join(F.broadcast(table), "ordinal")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    points = sorted((i * len(ious) + j, float(c), float(at)) for j, at in enumerate(ious) for i, c in enumerate(confs))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("ordinal"), F.lit(c).alias("conf"), F.lit(at).alias("iou")) for n, c, at in points])).alias("p")
+    name = F.concat_ws("\x00", F.col("p.ordinal").cast("string"), "image").alias("image")
+    kept = submission.select("image", "regions", each).select(name, F.expr("filter(regions, r -> coalesce(r.conf, 1.0) >= p.conf)").alias("regions"))
+    want = solution.select("image", "regions", each).select(name, "regions", "p.iou")
+    scored = score_pages(want, kept, "iou").withColumn("ordinal", F.split("image", "\x00")[0].cast("int"))
+    conf, iou = (F.element_at(F.array(*[F.lit(p[k]) for p in points]), F.col("ordinal") + 1) for k in (1, 2))
+    return scored.groupBy("ordinal").agg(*metric_columns()).withColumns({"conf": conf, "iou": iou})
 
 
 def best_of_grid(found: DataFrame) -> DataFrame:

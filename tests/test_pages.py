@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quirelake.operators import pages
 from quirelake.sources.regions import InvalidRegions, parse_lenient, parse_strict, region_errors
 
+# The published example page, its prediction and (in test_example) the composite that it must have.
 GT = [
     {"bbox": [50, 100, 850, 130], "type": "handwritten", "language": "uk", "legibility": "legible", "text": "Доброго ранку"},
     {"bbox": [50, 150, 870, 180], "type": "handwritten", "language": "uk", "legibility": "legible", "text": "Сьогодні гарна погода"},
