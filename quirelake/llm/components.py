@@ -18,7 +18,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         labels = held.select("node", "comp")
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("near"))
-        spread = cut(labels.join(near, labels.node == near.a).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")), "spread")
+        spread = cut(
+            labels.join(near, labels.node == near.a).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")), "spread"
+        )
         jump = spread.select(F.col("node").alias("via"), F.col("comp").alias("further"))
         new = cut(spread.join(jump, F.col("comp") == F.col("via")).select("node", "was", F.least("comp", "further").alias("comp")), "labels")
         changed = new.where(F.col("was") != F.col("comp")).limit(1).count()

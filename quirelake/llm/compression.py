@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from .words import Numbering, portions, row_texts, spaced_words, windows_repeated
 
 #: Bytes from which a band holds, least and greatest compressed share of it. Texts under the first band are too short for a verdict.
-BANDS = ((64, 0.45, 1.40), (128, 0.40, 1.15), (256, 0.36, 1.00), (512, 0.33, 0.90), (1024, 0.31, 0.85), (2048, 0.30, 0.80), (4096, 0.28, 0.78), (16384, 0.26, 0.76))
+BANDS = (
+    (64, 0.45, 1.40), (128, 0.40, 1.15), (256, 0.36, 1.00), (512, 0.33, 0.90), (1024, 0.31, 0.85), (2048, 0.30, 0.80), (4096, 0.28, 0.78),
+    (16384, 0.26, 0.76)
+)
 SYMBOLS = b"#*$%&|<>"
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, doc_ratio double, n_chunks long, n_bad_chunks long, reason string"
@@ -68,7 +71,9 @@ def measure(text: bytes, limits: Limits, z: zstandard.ZstdCompressor) -> tuple:
     why = "base" if failed else band_verdict(len(text), ratio, limits.bands)
     if not why and len(chunks) > 1 and bad >= limits.bad_chunks * len(chunks):
         why = "chunks"
-    return n, code_points(text) - spaces, sum(text.count(s) for s in (bytes([c]) for c in SYMBOLS)), dup_lines, repeat, failed, not why, ratio, len(chunks), bad, why
+    return n, code_points(text) - spaces, sum(
+        text.count(s) for s in (bytes([c]) for c in SYMBOLS)
+    ), dup_lines, repeat, failed, not why, ratio, len(chunks), bad, why
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:

@@ -95,7 +95,9 @@ class EliasFano:
         return (high << self.low_bits) | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QIQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
+        return struct.pack(
+            "<QIQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)
+        ) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
 
     @classmethod
     def from_bytes(cls, b: bytes, at: int) -> tuple[EliasFano, int]:

@@ -146,7 +146,10 @@ def _fingerprints(docs: DataFrame, s: JoinSettings, kind: str) -> DataFrame:
                     keys[i] = row
             classes = [_class_key(x) for x in sets]
             tags = [_tag(c, d) for c, d in zip(classes, b.column(0).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.binary()), pa.array(tags, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *b.columns[2:]], names=["id", "class", "tag", "bands", *more])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(classes, pa.binary()), pa.array(tags, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *b.columns[2:]],
+                names=["id", "class", "tag", "bands", *more]
+            )
 
     return docs.mapInArrow(run, ", ".join([f"id {kind}, class binary, tag long, bands array<long>", *(f"{c} binary" for c in more)]))
 
@@ -168,15 +171,22 @@ def _payload(docs: DataFrame, s: JoinSettings, bits: np.ndarray) -> DataFrame:
             if rows:
                 sig = minhash([x for _, x in rows], s.hashes)
                 keys = band_keys(sig, s.bands, s.rows)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in ([k for k, _ in rows], [x.tobytes() for x in sig], [x.tobytes() for x in keys], [x.tobytes() for _, x in rows])], names=["class", "sig", "keys", "grams"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.binary()) for c in ([k for k, _ in rows], [x.tobytes() for x in sig], [x.tobytes() for x in keys], [x.tobytes() for _, x in rows])],
+                    names=["class", "sig", "keys", "grams"]
+                )
 
-    return docs.mapInArrow(run, "class binary, sig binary, keys binary, grams binary").groupBy("class").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("grams").alias("grams"))
+    return docs.mapInArrow(run, "class binary, sig binary, keys binary, grams binary").groupBy("class").agg(
+        F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("grams").alias("grams")
+    )
 
 
 def _filter(tags: DataFrame, n_bits: int) -> np.ndarray:
     """Bits of the tags' places: of a fixed size, whatever their number."""
     at = F.pmod("tag", F.lit(n_bits))
-    got = tags.select(at.alias("at")).selectExpr("shiftright(at, 6) AS word", "shiftleft(1L, int(at % 64)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    got = tags.select(at.alias("at")).selectExpr(
+        "shiftright(at, 6) AS word", "shiftleft(1L, int(at % 64)) AS bit"
+    ).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(n_bits // 64, np.int64)
     out[np.asarray(got["word"])] = np.asarray(got["bits"])
     return out.view(np.uint64)
@@ -197,7 +207,12 @@ def _not_pruned(sig: np.ndarray, left: np.ndarray, right: np.ndarray, s: JoinSet
 
 def linked_pairs(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, s: JoinSettings) -> np.ndarray:
     """Which of the pairs (left[k], right[k]) reach the threshold: numbers k."""
-    alive = np.concatenate([np.zeros(0, np.int64), *(at + _not_pruned(sig, left[at : at + s.most_pairs], right[at : at + s.most_pairs], s) for at in range(0, len(left), s.most_pairs))])
+    alive = np.concatenate(
+        [
+            np.zeros(0, np.int64),
+            *(at + _not_pruned(sig, left[at : at + s.most_pairs], right[at : at + s.most_pairs], s) for at in range(0, len(left), s.most_pairs))
+        ]
+    )
     if not len(alive):
         return alive
     size = np.array([len(x) for x in sets])
@@ -278,7 +293,13 @@ def _evaluate(units: DataFrame, s: JoinSettings) -> DataFrame:
             return _block(held, unit[3], s) if len(held) > 1 else []
 
         def told(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["class", "links", "root"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([r[2] for r in rows], pa.binary())
+                ],
+                names=["class", "links", "root"]
+            )
 
         for b in batches:
             out = []
@@ -293,15 +314,22 @@ def _evaluate(units: DataFrame, s: JoinSettings) -> DataFrame:
             yield told(out)
 
     by = ["comp", "i", "j", "band"]
-    return units.repartition(*by).sortWithinPartitions(*by).select(*by, "side", "class", "sig", "keys", "grams").mapInArrow(run, "class binary, links long, root binary")
+    return units.repartition(*by).sortWithinPartitions(*by).select(
+        *by, "side", "class", "sig", "keys", "grams"
+    ).mapInArrow(run, "class binary, links long, root binary")
 
 
 def _blocks(members: DataFrame, sizes: DataFrame, s: JoinSettings) -> DataFrame:
     """A row for each block pair that a member of (comp, band, class) takes part in."""
     n = F.ceil(F.col("n") / s.block).cast("int")
-    m = members.join(sizes, ["comp", "band"]).select("comp", "band", "class", n.alias("blocks"), F.pmod(F.xxhash64("class"), n).cast("int").alias("k"))
+    m = members.join(sizes, ["comp", "band"]).select(
+        "comp", "band", "class", n.alias("blocks"), F.pmod(F.xxhash64("class"), n).cast("int").alias("k")
+    )
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return m.select("comp", "band", "class", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), (F.col("k") > F.col("other")).cast("int").alias("side"))
+    return m.select(
+        "comp", "band", "class", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"),
+        (F.col("k") > F.col("other")).cast("int").alias("side")
+    )
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -325,7 +353,10 @@ def _linked(plain: DataFrame, s: JoinSettings, *least: Column) -> tuple[DataFram
     comps = cut(components(_star(hubs)).withColumnRenamed("node", "class"), "candidates")
     sizes = cut(comps.groupBy("comp").agg(F.count("*").alias("n")), "candidate-sizes")
     no_band = F.lit(None).cast("long").alias("band")
-    units = _blocks(comps.select("comp", F.lit(0).cast("long").alias("band"), "class"), sizes.where(F.col("n") <= s.largest).select("comp", F.lit(0).cast("long").alias("band"), "n"), s).drop("band").select("*", no_band)
+    units = _blocks(
+        comps.select("comp", F.lit(0).cast("long").alias("band"), "class"),
+        sizes.where(F.col("n") <= s.largest).select("comp", F.lit(0).cast("long").alias("band"), "n"), s
+    ).drop("band").select("*", no_band)
     if sizes.where(F.col("n") > s.largest).limit(1).count():
         large = comps.join(sizes.where(F.col("n") > s.largest), "comp").select("class")
         members = keyed.join(large, "class").join(shared.select("band"), "band").select(F.lit(b"").alias("comp"), "band", "class")
@@ -353,7 +384,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, classes, linked = _linked(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), settings, F.min("id").alias("rep"))
     least = linked.groupBy("comp").agg(F.min("rep").alias("group_id"))
     known = linked.join(least, "comp").select("class", "n_links", "group_id")
-    table = cut(classes.select("class", F.col("rep").alias("class_id")).join(known, "class", "left").select("class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id")), "class-table")
+    table = cut(
+        classes.select("class", F.col("rep").alias("class_id")).join(known, "class", "left").select(
+            "class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id")
+        ),
+        "class-table"
+    )
     return rows.select("id", "class").join(table, "class").select(F.col("id").alias(id_col), "class_id", "n_links", "group_id")
 
 
@@ -385,9 +421,13 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     s, key = settings, _row_key(id_col, text_col)
     plain = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), key.alias("key"))
     rows, classes, linked = _linked(plain, s, F.min(F.struct(F.isnull("id").alias("none"), "id", "key")).alias("first"))
-    stay = linked.groupBy("comp").agg(F.min("first").alias("first")).select("first.key").union(classes.join(linked.select("class"), "class", "left_anti").select("first.key"))
+    stay = linked.groupBy("comp").agg(F.min("first").alias("first")).select("first.key").union(
+        classes.join(linked.select("class"), "class", "left_anti").select("first.key")
+    )
     told = rows.select("key", F.lit(1).alias("n"), F.lit(0).alias("stays")).union(stay.select("key", F.lit(0), F.lit(1)))
-    found = cut(told.groupBy(F.col("key").alias("__key")).agg(F.sum("n").alias("n"), F.max("stays").alias("stays")).where("stays = 0 OR n > 1"), "decisions")
+    found = cut(
+        told.groupBy(F.col("key").alias("__key")).agg(F.sum("n").alias("n"), F.max("stays").alias("stays")).where("stays = 0 OR n > 1"), "decisions"
+    )
     drop = found.where("stays = 0").select("__key")
     keyed = docs.withColumn("__key", key).withColumn("__h", F.xxhash64("__key"))
     bits = _filter(found.select(F.xxhash64("__key").alias("tag")), s.filter_bits)

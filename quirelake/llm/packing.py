@@ -78,7 +78,9 @@ def greedy_patterns(counts: np.ndarray, sizes: np.ndarray, capacity: int) -> tup
     return np.array(patterns), np.maximum(np.array(uses), 0)
 
 
-def column_generation(counts: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = 1e-3, most_rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def column_generation(
+    counts: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = 1e-3, most_rounds: int = 300
+) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often each is used, of the linear program's solution within ``gap`` of the optimum.
 
     Revised simplex: the basis starts with greedy patterns. Prices are smoothed between the program's duals and a piece's share
@@ -174,18 +176,32 @@ def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capac
                 for at in range(0, len(ids), capacity):
                     piece = ids[at : at + capacity]
                     c = int(np.searchsorted(sizes, len(piece)))
-                    rows.append((at, len(piece), tokens.crc(piece), len(ids), int(sizes[c]), int(seen[c]), piece.astype("<u4").tobytes() if with_ids else None))
+                    rows.append(
+                        (
+                            at, len(piece), tokens.crc(piece), len(ids), int(sizes[c]), int(seen[c]),
+                            piece.astype("<u4").tobytes() if with_ids else None
+                        )
+                    )
                     which.append(i)
                     seen[c] += 1
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             names = ["start", "length", "ids_crc32", "doc_tokens", "size", "k"]
-            out = [b.column(0).take(pa.array(which, pa.int64())), *(pa.array(c, pa.int64()) for c in cols[:6]), pa.array([part] * len(rows), pa.int64())]
-            yield pa.RecordBatch.from_arrays(out + ([pa.array(cols[6], pa.binary())] if with_ids else []), names=["id", *names, "part", *(["ids"] if with_ids else [])])
-
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, size long, k long, part long{more}")
-
-
-def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+            out = [
+                b.column(0).take(pa.array(which, pa.int64())), *(pa.array(c, pa.int64()) for c in cols[:6]), pa.array([part] * len(rows), pa.int64())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                out + ([pa.array(cols[6], pa.binary())] if with_ids else []), names=["id", *names, "part", *(["ids"] if with_ids else [])]
+            )
+
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
+        run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, size long, k long, part long{more}"
+    )
+
+
+def pack(
+    docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID,
+    with_ids: bool = False
+) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id and offset (and ``ids``, if asked for, as little-endian u32).
 
     A null text is empty and has the end id alone; ids may be null or repeat; an empty table packs into no sequence; other columns are not
@@ -202,8 +218,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
             filled[size] += k * uses
         first += uses
     table = {s: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for s, rows in slots.items()}
-    before = by_part.select("part", "size", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["part", "size"]).select(pieces["id"], "start", "length", "ids_crc32", "doc_tokens", "size", (F.col("before") + F.col("k")).alias("rank"), *(["ids"] if with_ids else []))
+    before = by_part.select(
+        "part", "size",
+        F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    )
+    ranked = pieces.join(before, ["part", "size"]).select(
+        pieces["id"], "start", "length", "ids_crc32", "doc_tokens", "size", (F.col("before") + F.col("k")).alias("rank"),
+        *(["ids"] if with_ids else [])
+    )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,5 +241,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
 
     placed = ranked.mapInArrow(place, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in ranked.schema)}, sequence_id long, slot long")
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "slot").rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"), *(["ids"] if with_ids else []))
+    out = placed.select(
+        F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+        F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"), *(["ids"] if with_ids else [])
+    )
     return out

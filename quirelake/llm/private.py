@@ -22,7 +22,10 @@ from .scratch import cut
 KINDS = ("email", "ip", "card", "phone", "secret", "person", "address", "account")
 #: Gazetteers.
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Sra", "Mme", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
-GIVEN_NAMES = ("Anna", "Anne", "Carlos", "Carmen", "Claire", "David", "Elena", "Emma", "Hans", "James", "Jean", "John", "José", "Juan", "Julia", "Karl", "Laura", "Lucas", "Maria", "María", "Marie", "Martin", "Mary", "Michael", "Paul", "Peter", "Pierre", "Robert", "Sophie", "Thomas")
+GIVEN_NAMES = (
+    "Anna", "Anne", "Carlos", "Carmen", "Claire", "David", "Elena", "Emma", "Hans", "James", "Jean", "John", "José", "Juan", "Julia", "Karl", "Laura",
+    "Lucas", "Maria", "María", "Marie", "Martin", "Mary", "Michael", "Paul", "Peter", "Pierre", "Robert", "Sophie", "Thomas"
+)
 STREETS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Drive", "Boulevard", "Blvd", "Square")
 STREET_ENDINGS = ("straße", "strasse", "weg", "platz", "gasse", "allee")
 STREET_STARTS = ("rue", "avenue", "boulevard", "place", "calle", "plaza", "avenida")
@@ -67,9 +70,13 @@ def _may_hold(text: Column, kind: str, proposed: bool = False) -> Column:
     if kind == "person":
         return _holds(text, ("Mr", "Ms", "Dr", "Prof", "Sr", "Mme", "Herr", "Frau", "Monsieur", "Madame", "Señor"))
     if kind == "address":
-        words = (" St", " Road", " Rd", " Ave", " Lane", " Drive", " Boulevard", " Blvd", " Square", *STREET_ENDINGS, *(f"{w} " for w in STREET_STARTS))
+        words = (
+            " St", " Road", " Rd", " Ave", " Lane", " Drive", " Boulevard", " Blvd", " Square", *STREET_ENDINGS, *(f"{w} " for w in STREET_STARTS)
+        )
         return text.rlike("[0-9]") & _holds(text, words)
-    return text.rlike({"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_+/-]{20}", "account": r"[0-9]{4}"}[kind])
+    return text.rlike(
+        {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_+/-]{20}", "account": r"[0-9]{4}"}[kind]
+    )
 
 
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "biz", "us", "ca", "it", "nl", "ch", "at", "be")
@@ -131,12 +138,22 @@ def _matches(text: Column, pattern: str, may: Column) -> Column:
 
     def blocks(pairs: Column) -> Column:
         numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
-        return F.transform(numbers, lambda i: F.aggregate(F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+        return F.transform(
+            numbers, lambda i: F.aggregate(F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+        )
 
     def joined(made: Column) -> Column:
         nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        first = F.aggregate(made, nothing, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-        return F.flatten(F.zip_with(made, first, lambda x, before: F.transform(x["out"], lambda y: F.struct((y["s"] + before).alias("s"), y["m"].alias("m"), y["b"].alias("b")))))
+        first = F.aggregate(
+            made, nothing, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"]
+        )
+        return F.flatten(
+            F.zip_with(
+                made, first,
+                lambda x, before: F.transform(x["out"], lambda y: F.struct((y["s"] + before).alias("s"), y["m"].alias("m"), y["b"].alias("b")))
+            )
+        )
 
     pairs = F.zip_with(spans, F.slice(gaps, F.lit(1), F.size(spans)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
     got = _let(pairs, lambda p: F.when(F.size(p) > 0, _let(blocks(p), joined)).otherwise(empty))
@@ -185,31 +202,60 @@ def _labels(kind: str, span: Column, before: Column, base: Column) -> list[Colum
     cue = _vote(before.rlike(CUES[kind]), before.rlike(r"(?i)(?:version|isbn|doi|page|line|figure|id|no)[^A-Za-z0-9]{0,3}$"))
     if kind == "email":
         top = F.lower(F.element_at(F.split(span, r"\."), -1))
-        return [_vote(base, never), _vote(top.isin(*TOP_DOMAINS), ~top.rlike("^[a-z]{2,}$")), cue, _vote(span.rlike(r"^[A-Za-z0-9]"), span.rlike(r"\.@|@-")), _vote(F.length(span) <= 64, F.length(span) > 254)]
+        return [
+            _vote(base, never), _vote(top.isin(*TOP_DOMAINS), ~top.rlike("^[a-z]{2,}$")), cue,
+            _vote(span.rlike(r"^[A-Za-z0-9]"), span.rlike(r"\.@|@-")), _vote(F.length(span) <= 64, F.length(span) > 254)
+        ]
     if kind == "ip":
-        return [_vote(base, ~base), _vote(~span.rlike(r"^(?:0|127|255)\."), span.rlike(r"^0+\.")), cue, _vote(span.rlike(r"[0-9]{2,}\."), span.rlike(r"^[0-9]\.[0-9]\.[0-9]\.[0-9]$")), _vote(base & (F.length(span) <= 15), span.rlike(r"[0-9]{4}"))]
+        return [
+            _vote(base, ~base), _vote(~span.rlike(r"^(?:0|127|255)\."), span.rlike(r"^0+\.")), cue,
+            _vote(span.rlike(r"[0-9]{2,}\."), span.rlike(r"^[0-9]\.[0-9]\.[0-9]\.[0-9]$")),
+            _vote(base & (F.length(span) <= 15), span.rlike(r"[0-9]{4}"))
+        ]
     if kind == "card":
         n = F.length(digits)
-        return [_vote(base, ~base), _vote(digits.rlike(CARD_STARTS), digits.rlike("^0")), cue, _vote(n.between(15, 16), (n < 13) | (n > 19)), _vote(span.rlike(r"^[0-9]+$|^(?:[0-9]{4}[ -]){3}"), span.rlike(r"^[0-9]{1,3}[ -]"))]
+        return [
+            _vote(base, ~base), _vote(digits.rlike(CARD_STARTS), digits.rlike("^0")), cue, _vote(n.between(15, 16), (n < 13) | (n > 19)),
+            _vote(span.rlike(r"^[0-9]+$|^(?:[0-9]{4}[ -]){3}"), span.rlike(r"^[0-9]{1,3}[ -]"))
+        ]
     if kind == "phone":
         n = F.length(digits)
-        return [_vote(base, ~base), _vote(span.rlike(r"^\+(?:1|3[0-9]|4[0-9]|5[0-9]|6[0-9]|7|8[0-9]|9[0-9])"), span.rlike(r"^\+0")), cue, _vote(n.between(11, 13), n < 8), _vote(span.rlike(r"[ ()-]"), span.rlike(r"\.[0-9]*\."))]
+        return [
+            _vote(base, ~base), _vote(span.rlike(r"^\+(?:1|3[0-9]|4[0-9]|5[0-9]|6[0-9]|7|8[0-9]|9[0-9])"), span.rlike(r"^\+0")), cue,
+            _vote(n.between(11, 13), n < 8), _vote(span.rlike(r"[ ()-]"), span.rlike(r"\.[0-9]*\."))
+        ]
     if kind == "person":
         words = F.split(span, " ")
-        return [_vote(span.rlike(rf"^(?:{'|'.join(TITLES)})\.? "), never), _vote(F.exists(words, lambda w: w.isin(*GIVEN_NAMES)), never), cue, _vote(F.size(words) >= 3, F.size(words) < 2), _vote(F.length(span) <= 40, span.rlike(r"(?i)(?:the|this|that)$"))]
+        return [
+            _vote(span.rlike(rf"^(?:{'|'.join(TITLES)})\.? "), never), _vote(F.exists(words, lambda w: w.isin(*GIVEN_NAMES)), never), cue,
+            _vote(F.size(words) >= 3, F.size(words) < 2), _vote(F.length(span) <= 40, span.rlike(r"(?i)(?:the|this|that)$"))
+        ]
     if kind == "address":
-        return [_vote(numbers & letters, ~numbers), _vote(span.rlike("|".join((*STREETS, *STREET_ENDINGS, *STREET_STARTS))), never), cue, _vote(span.rlike("(?<![0-9])[0-9]{1,3}(?![0-9])"), span.rlike("[0-9]{5}")), _vote(F.length(span).between(8, 50), F.length(span) > 80)]
+        return [
+            _vote(numbers & letters, ~numbers), _vote(span.rlike("|".join((*STREETS, *STREET_ENDINGS, *STREET_STARTS))), never), cue,
+            _vote(span.rlike("(?<![0-9])[0-9]{1,3}(?![0-9])"), span.rlike("[0-9]{5}")), _vote(F.length(span).between(8, 50), F.length(span) > 80)
+        ]
     if kind == "account":
         plain = F.replace(span, F.lit(" "))
-        return [_vote(plain.rlike(r"^[A-Z]{2}[0-9]{13,32}$|^[0-9]{3}-"), ~numbers), _vote(F.left(span, F.lit(2)).isin(*ACCOUNT_COUNTRIES), letters), cue, _vote(F.length(digits) >= 9, F.length(digits) < 8), _vote(F.length(plain).between(11, 34), F.length(plain) > 34)]
+        return [
+            _vote(plain.rlike(r"^[A-Z]{2}[0-9]{13,32}$|^[0-9]{3}-"), ~numbers), _vote(F.left(span, F.lit(2)).isin(*ACCOUNT_COUNTRIES), letters), cue,
+            _vote(F.length(digits) >= 9, F.length(digits) < 8), _vote(F.length(plain).between(11, 34), F.length(plain) > 34)
+        ]
     mixed = letters & numbers
-    return [_vote(span.rlike(r"^[0-9a-f]{32,}$|^[0-9A-F]{32,}$"), ~mixed), _vote(span.rlike(r"^(?:sk|pk|ghp|gho|AKIA|xox[bp])[_-]?[A-Za-z0-9]"), span.rlike("/.*/")), cue, _vote(mixed & ~span.rlike("[/_-]"), ~numbers), _vote(F.length(span) >= 32, span.rlike("^[A-Za-z-]+$"))]
+    return [
+        _vote(span.rlike(r"^[0-9a-f]{32,}$|^[0-9A-F]{32,}$"), ~mixed),
+        _vote(span.rlike(r"^(?:sk|pk|ghp|gho|AKIA|xox[bp])[_-]?[A-Za-z0-9]"), span.rlike("/.*/")), cue, _vote(mixed & ~span.rlike("[/_-]"), ~numbers),
+        _vote(F.length(span) >= 32, span.rlike("^[A-Za-z-]+$"))
+    ]
 
 
 def _features(kind: str, span: Column, before: Column) -> list[Column]:
     """Indicators of a span that the final classifier sees."""
     n = F.length(span)
-    yes = [n <= 12, n <= 20, n >= 32, span.rlike("^[0-9]+$"), span.rlike("[A-Za-z]") & span.rlike("[0-9]"), span.rlike("[^A-Za-z0-9]"), before.rlike(CUES[kind]), before.rlike(r"[\"'=:]\s*$")]
+    yes = [
+        n <= 12, n <= 20, n >= 32, span.rlike("^[0-9]+$"), span.rlike("[A-Za-z]") & span.rlike("[0-9]"), span.rlike("[^A-Za-z0-9]"),
+        before.rlike(CUES[kind]), before.rlike(r"[\"'=:]\s*$")
+    ]
     return [x.cast("int") for x in yes]
 
 
@@ -227,7 +273,10 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def told(kind: str) -> Column:
         def one(x: Column) -> Column:
             base = _is_base(kind, x["m"])
-            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), base.alias("base"), F.array(*_labels(kind, x["m"], x["b"], base)).alias("votes"), F.array(*_features(kind, x["m"], x["b"])).alias("feats"))
+            return F.struct(
+                F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), base.alias("base"),
+                F.array(*_labels(kind, x["m"], x["b"], base)).alias("votes"), F.array(*_features(kind, x["m"], x["b"])).alias("feats")
+            )
 
         return F.transform(f"f_{kind}", one).cast(CANDIDATE)
 
@@ -291,7 +340,9 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text is empty; very long texts are searched whole; ids may be null or repeat; a table without candidates, or empty, has no spans; other columns are not read.
     """
     found = cut(candidates(docs, id_col, text_col), "candidates")
-    seen = found.select(F.explode("spans").alias("c")).groupBy(F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes"), F.col("c.feats").alias("feats")).agg(F.count("*").alias("n"))
+    seen = found.select(F.explode("spans").alias("c")).groupBy(
+        F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes"), F.col("c.feats").alias("feats")
+    ).agg(F.count("*").alias("n"))
     rows = sorted((r["kind"], tuple(r["votes"]), tuple(r["feats"]), r["n"]) for r in seen.collect())  # at most 8 * 3**5 * 2**8 rows, whatever the input
     votes: dict = defaultdict(int)
     for kind, v, _, n in rows:
@@ -309,5 +360,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = F.filter("spans", stays)
     ordered = F.array_sort(F.transform(kept, lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("k"), c["e"].alias("e"), c["base"].alias("base"))))
     names = F.array(*[F.lit(k) for k in KINDS])
-    spans = F.transform(ordered, lambda c: F.struct(F.element_at(names, c["k"] + 1).alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["base"].alias("base")))
+    spans = F.transform(
+        ordered, lambda c: F.struct(F.element_at(names, c["k"] + 1).alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["base"].alias("base"))
+    )
     return found.select(F.col("id").alias(id_col), spans.alias("spans"), F.size("spans").cast("long").alias("n_candidates"))

@@ -66,7 +66,10 @@ def statistics(text: bytes) -> list[float]:
         odd = np.fromiter((not w[-1:].isalnum() and w[-1:] not in b".,;:'\"()-?" and w[-1] < 128 for w in names), bool, len(names))
         bare = np.fromiter((not any(c > 47 for c in w) for w in names), bool, len(names))
         pairs = len(np.unique(ids[:-1] * len(times) + ids[1:])) / (m - 1) if m > 1 else 1.0
-        word = [(n - h[_SPACE].sum()) / m, len(times) / m, times.max() / m if m > 20 else 0.0, float((ids[1:] == ids[:-1]).mean()) if m > 1 else 0.0, pairs, 1 - pairs if m > 20 else 0.0, float(times[bare].sum()) / m, float(times[odd].sum()) / m]
+        word = [
+            (n - h[_SPACE].sum()) / m, len(times) / m, times.max() / m if m > 20 else 0.0, float((ids[1:] == ids[:-1]).mean()) if m > 1 else 0.0,
+            pairs, 1 - pairs if m > 20 else 0.0, float(times[bare].sum()) / m, float(times[odd].sum()) / m
+        ]
     else:
         word = [0.0] * 8
     lines = [x for x in text.split(b"\n") if x.strip()]
@@ -114,7 +117,9 @@ def _sums(rows: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(v)), pa.array(np.arange(len(v))), pa.array(v)], names=["name", "cell", "v"])
 
     out = {}
-    got = rows.select("bits", "trusted").mapInArrow(run, "name string, cell long, v double").groupBy("name", "cell").agg(F.sum("v").alias("v")).collect()
+    got = rows.select("bits", "trusted").mapInArrow(
+        run, "name string, cell long, v double"
+    ).groupBy("name", "cell").agg(F.sum("v").alias("v")).collect()
     for name in ("all", "trusted"):
         m = np.zeros((WIDTH, WIDTH))
         v = np.zeros(len(upper[0]))
@@ -169,7 +174,9 @@ def _probability(f: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-2 * np.clip(f, -15, 15)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_fold: int = 1, bins: int = 512) -> DataFrame:
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_fold: int = 1, bins: int = 512
+) -> DataFrame:
     """One row per row of ``docs``: id, held_out, score (0 to 1, higher: good likelier) and predicted (1 from 0.5 on).
 
     ``labels`` has ``id_col`` and quality; rows labelled 1 only, outside the held fold of crc32(id), are trusted positives, and every row of
@@ -180,7 +187,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % folds == held_fold, F.lit(False))
     good = labels.groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q")).where("q = 1").select("id", F.lit(True).alias("good"))
     rows = cut(features(docs, id_col, text_col), "quality-features").withColumn("held_out", held)
-    rows = cut(rows.join(good, "id", "left").select("id", "held_out", (F.coalesce("good", F.lit(False)) & ~F.col("held_out")).alias("trusted"), "bits"), "quality-rows")
+    rows = cut(
+        rows.join(good, "id", "left").select("id", "held_out", (F.coalesce("good", F.lit(False)) & ~F.col("held_out")).alias("trusted"), "bits"),
+        "quality-rows"
+    )
     stats = _sums(rows)
     # which rows look like trusted ones: least squares of positives against all, for the prior's scores
     start = np.linalg.solve(stats["all"][2] + stats["trusted"][2] + 1e-3 * np.eye(WIDTH), stats["trusted"][1] - stats["all"][1])
@@ -197,7 +207,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(bins)), pa.array(n[0]), pa.array(n[1])], names=["at", "u", "p"])
 
     counts = np.zeros((2, bins))
-    for r in rows.select("bits", "trusted").mapInArrow(binned, "at long, u long, p long").groupBy("at").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).collect():
+    for r in rows.select("bits", "trusted").mapInArrow(binned, "at long, u long, p long").groupBy("at").agg(
+        F.sum("u").alias("u"), F.sum("p").alias("p")
+    ).collect():
         counts[:, r["at"]] = r["u"], r["p"]
     weights = fit(stats, class_prior(counts[1], counts[0]))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -206,6 +218,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for b in batches:
             if b.num_rows:
                 p = _probability(_unpack(b.column(2)) @ weights)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["id", "held_out", "score", "predicted"]
+                )
 
-    return rows.select("id", "held_out", "bits").mapInArrow(score, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.select("id", "held_out", "bits").mapInArrow(
+        score, f"id {kind}, held_out boolean, score double, predicted int"
+    ).withColumnRenamed("id", id_col)

@@ -33,7 +33,10 @@ def op1_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(joined(True), 256).alias("base_sha256"), joined(False).alias("spans"), F.size("spans").cast("long").alias("n_spans"), "n_candidates")
+    return found.select(
+        "doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(joined(True), 256).alias("base_sha256"), joined(False).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), "n_candidates"
+    )
 
 
 def op2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +49,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated"
+    )
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +79,12 @@ def op10_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_private, op2_site_lines, op3_quality, op4_contamination, op5_near_duplicates, op6_compression, op7_token_files, op8_token_counts, op9_packing, op10_recurrent)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        op1_private, op2_site_lines, op3_quality, op4_contamination, op5_near_duplicates, op6_compression, op7_token_files, op8_token_counts,
+        op9_packing, op10_recurrent
+    )
+}
 
 ORACLE_SQL = {
     "op2_site_lines": f"""

@@ -67,7 +67,9 @@ def _ending(word: bytes, s: Settings) -> int:
 @cache
 def _endings(grouped: int) -> np.ndarray:
     """Classes of all endings of one byte, then of two."""
-    return np.array([zlib.crc32(bytes([a])) % grouped for a in range(256)] + [zlib.crc32(bytes([a, b])) % grouped for a in range(256) for b in range(256)])
+    return np.array(
+        [zlib.crc32(bytes([a])) % grouped for a in range(256)] + [zlib.crc32(bytes([a, b])) % grouped for a in range(256) for b in range(256)]
+    )
 
 
 class Vocabulary:
@@ -382,7 +384,9 @@ def train(docs: DataFrame, v: Vocabulary, s: Settings, n_docs: int, symbol_count
     return _shaped(w, s, v)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, settings: Settings = Settings()) -> DataFrame:
+def score_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, settings: Settings = Settings()
+) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score and score (base-10 logs).
 
     Training text is that of rows whose crc32(id) is outside the held fold. A null text is empty and has the end token alone; a null id is
@@ -403,7 +407,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     v = Vocabulary(frequent, s)
     known = F.col("word").isin([F.lit(bytearray(w)) for w in v.symbols]) if v.symbols else F.lit(False)
     last = F.expr("substring(word, greatest(length(word) - 1, 1), 2)")
-    sums = {r["k"]: r["t"] for r in counts.where(~known).groupBy((F.crc32(last) % s.grouped).alias("k")).agg(F.sum(F.col("n") + 0.5).alias("t")).collect()}
+    sums = {
+        r["k"]: r["t"] for r in counts.where(~known).groupBy((F.crc32(last) % s.grouped).alias("k")).agg(F.sum(F.col("n") + 0.5).alias("t")).collect()
+    }
     rest_log = np.log10(np.array([0.5 + sums.get(k, 0.0) for k in range(s.grouped)]))
     symbol_counts = np.zeros(len(v.classes))
     symbol_counts[v.symbol_numbers] = v.counts_of(v.symbol_words)
@@ -437,9 +443,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             more = rnn - np.bincount(doc, off[word], n) - end_log
             key = f"{part}:{seq}"
             # the documents' own figures, as one value: list columns would slow each row of the grouped transfer
-            own = pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, (size + 1, seen, logs, more))], names=["ids", "held", "tokens", "seen", "logs", "more"])
+            own = pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), *map(pa.array, (size + 1, seen, logs, more))], names=["ids", "held", "tokens", "seen", "logs", "more"]
+            )
             names_ = ["word", "batch", "docs", "own"]
-            yield pa.RecordBatch.from_arrays([pa.array([f" {key}".encode()], pa.binary()), pa.array([key]), pa.array([_packed(own)], pa.binary()), pa.array([True])], names=names_)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f" {key}".encode()], pa.binary()), pa.array([key]), pa.array([_packed(own)], pa.binary()), pa.array([True])], names=names_
+            )
             # the other words, each with the documents it stands in
             doc, word = doc[~here], word[~here]
             order = np.argsort(word, kind="stable")
@@ -450,8 +460,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for at in range(0, len(first), 100_000):
                 f, e = first[at : at + 100_000], ends[at : at + 100_000]
                 offsets = (np.concatenate([f, e[-1:]]) - f[0]).astype(np.int32) * np.dtype(width).itemsize
-                blob = pa.Array.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(doc[f[0] : e[-1]].astype(width).tobytes())])
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(word[f])), pa.array([key] * len(f)), blob, pa.array([False] * len(f))], names=names_)
+                blob = pa.Array.from_buffers(
+                    pa.binary(), len(f), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(doc[f[0] : e[-1]].astype(width).tobytes())]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [words.take(pa.array(word[f])), pa.array([key] * len(f)), blob, pa.array([False] * len(f))], names=names_
+                )
 
     def finish(key: tuple, t: pa.Table) -> pa.Table:
         is_own = np.asarray(t.column("own").combine_chunks().to_numpy(zero_copy_only=False), bool)
@@ -466,8 +480,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tokens, seen, logs, more = (np.asarray(got.column(x).combine_chunks()) for x in ("tokens", "seen", "logs", "more"))
         logs = logs + np.bincount(flat, np.log10(c + 0.5), n)
         seen = seen + np.bincount(flat[c > 0], minlength=n)
-        return pa.table({"id": got.column("ids"), "held_out": got.column("held"), "n_tokens": tokens, "n_known": seen, "train_tokens": np.full(n, n_all), "base_score": logs - tokens * base_log, "score": logs + more})
+        return pa.table(
+            {
+                "id": got.column("ids"), "held_out": got.column("held"), "n_tokens": tokens, "n_known": seen, "train_tokens": np.full(n, n_all),
+                "base_score": logs - tokens * base_log, "score": logs + more
+            }
+        )
 
     rows = plain.withColumn("held", held).mapInArrow(run, "word binary, batch string, docs binary, own boolean")
     joined = rows.join(counts, "word", "left").drop("word")
-    return joined.groupBy("batch").applyInArrow(finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    return joined.groupBy("batch").applyInArrow(
+        finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    ).withColumnRenamed("id", id_col)

@@ -28,19 +28,26 @@ def _has_text(line: Column) -> Column:
     return F.length(F.btrim(line, F.lit(" \t\r\x0b\x0c"))) > 0
 
 
-def boilerplate(docs: DataFrame, host_col: str, text_col: str, most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, distinct_pages: bool = False) -> DataFrame:
+def boilerplate(
+    docs: DataFrame, host_col: str, text_col: str, most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, distinct_pages: bool = False
+) -> DataFrame:
     """(host, line digest, n_pages, host_pages) of each line over the ratio. Pages are rows, or with ``distinct_pages`` the host's distinct texts; a line counts once in each."""
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     page = [F.coalesce(F.unhex(F.md5(F.col(text_col))), F.lit(b"")).alias("page")] if distinct_pages else []  # a null text is one page
     n = F.count_distinct("page") if distinct_pages else F.count("*")
     pages = docs.select(host.alias("host"), F.col(text_col).alias("text"), *page)
     totals = pages.groupBy("host").agg(n.alias("host_pages"))
-    held = pages.select("host", *["page"][: len(page)], F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _has_text), _digest))).alias("line"))
+    held = pages.select(
+        "host", *["page"][: len(page)], F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _has_text), _digest))).alias("line")
+    )
     counts = held.groupBy("host", "line").agg(n.alias("n_pages")).where(F.col("n_pages") >= least_pages)
     return counts.join(totals, "host").where(F.col("n_pages") > most_share * F.col("host_pages"))
 
 
-def drop_site_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES, most_broadcast: int = MOST_BROADCAST, distinct_pages: bool = False, counts: bool = True) -> DataFrame:
+def drop_site_lines(
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES,
+    most_broadcast: int = MOST_BROADCAST, distinct_pages: bool = False, counts: bool = True
+) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and with ``counts`` two more columns: n_lines and n_dropped.
 
     Lines are what newlines part; blank lines neither count nor go. A null text stays null, with no lines; an empty one has one blank line
@@ -56,7 +63,9 @@ def drop_site_lines(docs: DataFrame, host_col: str = "source", text_col: str = "
         joined = docs.join(F.broadcast(sets), host == F.col("__host"), "left")
     else:
         salted = sets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("__part", F.pmod(F.xxhash64(text_col), F.lit(SALTS))).join(salted, (host == F.col("__host")) & (F.col("__part") == F.col("__salt")), "left").drop("__salt", "__part")
+        joined = docs.withColumn("__part", F.pmod(F.xxhash64(text_col), F.lit(SALTS))).join(
+            salted, (host == F.col("__host")) & (F.col("__part") == F.col("__salt")), "left"
+        ).drop("__salt", "__part")
     text = F.col(text_col)
     drop = F.coalesce(F.col("__drop"), F.array().cast("array<string>"))
     own = F.array_intersect(F.transform(_lines(text), _digest), drop)  # by hashing: a host's list isn't searched for each line

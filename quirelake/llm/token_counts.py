@@ -124,6 +124,10 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                 total, unknown = int((n & (UNKNOWN - 1)).sum()), int((n >= UNKNOWN).sum())
                 rows.append((len(words), total, unknown))
             cols = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "n_words", "n_pieces", "n_unknown"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "n_words", "n_pieces", "n_unknown"]
+            )
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_words long, n_pieces long, n_unknown long").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
+        run, f"id {kind}, n_words long, n_pieces long, n_unknown long"
+    ).withColumnRenamed("id", id_col)

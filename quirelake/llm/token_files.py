@@ -32,7 +32,9 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_token_files(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_token_files(
+    docs: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS
+) -> DataFrame:
     """Encode each text, append ``end_id`` and write shards of about ``shard_ids`` ids under ``uri``, in ascending order of id.
 
     Returns the manifest, a table written to ``uri``/manifest: a row for each shard with its name and counts and the ids before it. A null text
@@ -57,7 +59,9 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "
             ids.clear()
             pieces.clear()
             held, seq = 0, seq + 1
-            return pa.RecordBatch.from_arrays([pa.array(row[0]), *(pa.array(x, pa.int64()) for x in row[1:])], names=["name", "part", "seq", "n_docs", "n_ids"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(row[0]), *(pa.array(x, pa.int64()) for x in row[1:])], names=["name", "part", "seq", "n_docs", "n_ids"]
+            )
 
         for b in portions(batches, 1):
             for doc, found in zip(b.column(0).to_pylist(), tok.many(b.column(1)), strict=True):
@@ -71,13 +75,17 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "
             yield flush()
 
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).withColumn("h", F.xxhash64("text")).withColumn("m", F.monotonically_increasing_id())
+    rows = docs.select(
+        docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")
+    ).withColumn("h", F.xxhash64("text")).withColumn("m", F.monotonically_increasing_id())
     rows = rows.repartitionByRange("id", "h", "m").sortWithinPartitions("id", "h", "m")
     rows.select("id", "text").mapInArrow(run, "name string, part long, seq long, n_docs long, n_ids long").write.parquet(f"{uri}/written")
     written = spark.read.parquet(f"{uri}/written")
     # ids before each task's shards, by one row a task; then within the task
     order = Window.rowsBetween(Window.unboundedPreceding, -1)
-    tasks = written.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(order.orderBy("part")), F.lit(0)).alias("first"))
+    tasks = written.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(order.orderBy("part")), F.lit(0)).alias("first")
+    )
     inside = F.coalesce(F.sum("n_ids").over(order.partitionBy("part").orderBy("seq")), F.lit(0))
     written.join(tasks, "part").select("name", "n_docs", "n_ids", (F.col("first") + inside).alias("before")).write.parquet(f"{uri}/manifest")
     return spark.read.parquet(f"{uri}/manifest")
@@ -95,7 +103,10 @@ def read_token_files(spark: SparkSession, uri: str, manifest: DataFrame) -> Data
                 which = np.arange(s.n_docs)
                 start, end = s.bounds.select_many(which), s.bounds.select_many(which + 1)
                 crcs = [tokens.crc(s.ids[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids(), pa.int64()), pa.array(start + before), pa.array(end - start), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s.doc_ids(), pa.int64()), pa.array(start + before), pa.array(end - start), pa.array(crcs, pa.int64())],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                )
 
     n = manifest.count()
     files = manifest.select("name", "before").repartition(max(1, min(n, spark.sparkContext.defaultParallelism), -(-n // SHARDS_A_TASK)))

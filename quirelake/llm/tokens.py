@@ -21,11 +21,16 @@ import pyarrow.compute as pc
 from .words import LOWER, raw
 
 #: What a tokenizer must do before its merges, for stretches to be its own.
-NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+NORMALIZER = {
+    "type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+}
 PRE_TOKENIZER = {
     "type": "Sequence",
     "pretokenizers": [
-        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {
+            "type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed",
+            "invert": True
+        },
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
@@ -34,7 +39,10 @@ SPECIAL = "<|"
 
 SPACE, LETTER, DIGIT, SIGN, HIGH, QUOTE = range(6)
 _LOW = np.frombuffer(LOWER, np.uint8)
-_CLASS = np.array([SPACE if c in b" \t\n\v\f\r" else HIGH if c > 127 else QUOTE if c == 39 else LETTER if chr(c).isalpha() else DIGIT if 48 <= c <= 57 else SIGN for c in range(256)], np.uint8)
+_CLASS = np.array(
+    [SPACE if c in b" \t\n\v\f\r" else HIGH if c > 127 else QUOTE if c == 39 else LETTER if chr(c).isalpha() else DIGIT if 48 <= c <= 57 else SIGN for c in range(256)],
+    np.uint8
+)
 
 
 def _cuts() -> np.ndarray:
@@ -56,7 +64,9 @@ _ONE = re.compile(rb"[a-z\x80-\xc9]+|[!-/:-@\[-`{-~]+|[0-9]")
 def _latin_end(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether the bytes at ``at`` end one of the letters U+00C0 to U+024F, which stay letters also once lower-cased (but U+0130)."""
     lead, trail = np.where(at > 0, b[at - 1], 0), b[at]
-    return ((lead == 0xC3) & (trail != 0x97) & (trail != 0xB7)) | ((lead >= 0xC4) & (lead <= 0xC8) & ~((lead == 0xC4) & (trail == 0xB0))) | ((lead == 0xC9) & (trail <= 0x8F))
+    return ((lead == 0xC3) & (trail != 0x97) & (trail != 0xB7)) | (
+        (lead >= 0xC4) & (lead <= 0xC8) & ~((lead == 0xC4) & (trail == 0xB0))
+    ) | ((lead == 0xC9) & (trail <= 0x8F))
 
 
 def _plain(stretch: bytes) -> bool:
@@ -111,7 +121,9 @@ class StretchTokenizer(dict):
         t = self.tokenizer
         own = [x and json.loads(x.__getstate__()) for x in (t.normalizer, t.pre_tokenizer)]
         specials = [x.content for x in t.get_added_tokens_decoder().values()]
-        return own == [NORMALIZER, PRE_TOKENIZER] and getattr(t.model, "end_of_word_suffix", None) == "</w>" and not t.model.dropout and all(SPECIAL in x for x in specials)
+        return own == [NORMALIZER, PRE_TOKENIZER] and getattr(
+            t.model, "end_of_word_suffix", None
+        ) == "</w>" and not t.model.dropout and all(SPECIAL in x for x in specials)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -155,7 +167,9 @@ class StretchTokenizer(dict):
             return [np.zeros(0, np.int32)] * (len(bounds) - 1)
         starts = bounds[:-1][np.diff(bounds) > 0]
         data, at, where = stretches(b, starts)
-        words = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        words = pa.BinaryArray.from_buffers(
+            pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)]
+        ).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self) > self.most or self.n_bytes > self.most_bytes:
             self._shrink()

@@ -28,7 +28,9 @@ SUFFIX = 6
 
 
 def _hash(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)).astype(np.int64)
+    return (
+        (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)
+    ).astype(np.int64)
 
 
 class _Search:
@@ -178,7 +180,9 @@ def _parts(benchmark: DataFrame, most_bytes: int) -> list:
     return [lambda k=k: [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()] for k in range(n)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_bytes: int = MOST_BYTES
+) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, items (sorted strings) and contaminated.
 
     ``benchmark`` has item_id and text. A null text has no words, on either side; items without words have no window; an empty benchmark
@@ -195,7 +199,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for b in portions(batches, 1):
                 rows = [(n, hit_words(r), items) for n, r, items in held.value.scan(row_texts(b.column(1)))]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([is_contaminated(r[0], r[1]) for r in rows], pa.bool_())],
+                    [
+                        b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([is_contaminated(r[0], r[1]) for r in rows], pa.bool_())
+                    ],
                     names=["id", "n_words", "n_hit", "items", "contaminated"],
                 )
 
@@ -215,14 +222,23 @@ def _by_parts(plain: DataFrame, parts: list, kind: str, window: int) -> DataFram
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in portions(batches, 1):
                 got = held.value.scan(row_texts(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.string()))], names=["row", "n_words", "ranges", "items"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].tolist() for g in got], pa.list_(pa.int64())),
+                        pa.array([g[2] for g in got], pa.list_(pa.string()))
+                    ],
+                    names=["row", "n_words", "ranges", "items"]
+                )
 
         found.append(cut(rows.select("row", "text").mapInArrow(run, "row long, n_words long, ranges array<long>, items array<string>"), "found"))
         held.unpersist()
     union = found[0]
     for f in found[1:]:
         union = union.unionByName(f)
-    each = union.groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_list("ranges").alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    each = union.groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.collect_list("ranges").alias("ranges"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,9 +249,17 @@ def _by_parts(plain: DataFrame, parts: list, kind: str, window: int) -> DataFram
                     np.add.at(edge, r[::2], 1)
                     np.add.at(edge, r[1::2], -1)
                 hits.append(int((np.cumsum(edge) > 0).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.int64()), b.column(3), pa.array([is_contaminated(n, h) for n, h in zip(b.column(1).to_pylist(), hits, strict=True)], pa.bool_())], names=["row", "n_words", "n_hit", "items", "contaminated"])
-
-    return rows.select("row", "id").join(each.mapInArrow(unite, "row long, n_words long, n_hit long, items array<string>, contaminated boolean"), "row").drop("row")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), b.column(1), pa.array(hits, pa.int64()), b.column(3),
+                    pa.array([is_contaminated(n, h) for n, h in zip(b.column(1).to_pylist(), hits, strict=True)], pa.bool_())
+                ],
+                names=["row", "n_words", "n_hit", "items", "contaminated"]
+            )
+
+    return rows.select("row", "id").join(
+        each.mapInArrow(unite, "row long, n_words long, n_hit long, items array<string>, contaminated boolean"), "row"
+    ).drop("row")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:

@@ -19,7 +19,11 @@ def fixture_rows():
     texts += [base, base, base.upper(), " ".join(near[:60] + ["anders"] + near[60:]), " ".join(near[:-1])]
     texts += [None, "", " \n\t ", "x" * 30_000, "1 2 " * 4_000, "Ünïcödé 世界 " * 30, "a b c"]
     texts += ["line one is here\nshared line of the site\n" + prose(rng, 12) for _ in range(12)]
-    texts += ["mail me at a.b@mail.example.com, or +1 (499) 555-6503 now 4111 1111 1111 1111 at 10.0.0.255", 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6" x@y.z_d@e.f 999.1.1.1 1.2.3.4.5', "+1 234 +12345678901 4111-1111-1111-1112", "<|endoftext|> It's <|ENDOFTEXT|> don't, 'll"]
+    texts += [
+        "mail me at a.b@mail.example.com, or +1 (499) 555-6503 now 4111 1111 1111 1111 at 10.0.0.255",
+        'token = "1eb9c654e721b4f812088970e66a6345cee33dd6" x@y.z_d@e.f 999.1.1.1 1.2.3.4.5', "+1 234 +12345678901 4111-1111-1111-1112",
+        "<|endoftext|> It's <|ENDOFTEXT|> don't, 'll"
+    ]
     rows = [(i, t, "en", "src0" if i % 3 else f"src{i % 7}", len(t or "")) for i, t in enumerate(texts)]
     return rows + [rows[0], (None, "a row without an id " * 5, None, None, None), (None, None, "en", None, None)]
 
@@ -38,7 +42,10 @@ def no_docs(spark):
 
 
 #: Columns whose names the operators use themselves.
-CLASHING = ("id", "text_", "class", "band", "tag", "host", "line", "row", "spans", "kind", "bits", "word", "batch", "n", "size", "part", "items", "held", "sequence_id", "n_lines", "n_dropped")
+CLASHING = (
+    "id", "text_", "class", "band", "tag", "host", "line", "row", "spans", "kind", "bits", "word", "batch", "n", "size", "part", "items", "held",
+    "sequence_id", "n_lines", "n_dropped"
+)
 
 
 @pytest.fixture(scope="session")

@@ -55,7 +55,11 @@ def texts(bench, fixture_rows):
 @pytest.mark.parametrize("most_bytes", [32_000_000, 400])
 def test_against_brute_force(spark, texts, bench, most_bytes):
     docs, items = spark.createDataFrame(texts, "doc_id long, text string").repartition(2), spark.createDataFrame(bench, "item_id long, text string")
-    got = [(str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in wumanber.contamination(docs, items, most_bytes=most_bytes).collect()]
+    got = [
+        (
+            str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"], r["contaminated"]
+        ) for r in wumanber.contamination(docs, items, most_bytes=most_bytes).collect()
+    ]
     assert sorted(got, key=str) == brute(texts, bench)
 
 

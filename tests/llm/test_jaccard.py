@@ -54,11 +54,16 @@ def near_rows():
     return out
 
 
-@pytest.mark.parametrize("settings", [jaccard.JoinSettings(), jaccard.JoinSettings(block=4), jaccard.JoinSettings(block=4, largest=3), jaccard.JoinSettings(filter_bits=64)])
+@pytest.mark.parametrize(
+    "settings",
+    [jaccard.JoinSettings(), jaccard.JoinSettings(block=4), jaccard.JoinSettings(block=4, largest=3), jaccard.JoinSettings(filter_bits=64)]
+)
 def test_against_brute_force(spark, fixture_rows, settings):
     rows = [(10_000 + d, t) for d, t in near_rows()] + [(r[0], r[1]) for r in fixture_rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(((r["doc_id"], r["class_id"], r["n_links"], r["group_id"]) for r in jaccard.near_duplicates(docs, settings=settings).collect()), key=str)
+    got = sorted(
+        ((r["doc_id"], r["class_id"], r["n_links"], r["group_id"]) for r in jaccard.near_duplicates(docs, settings=settings).collect()), key=str
+    )
     assert got == brute(rows)
 
 
@@ -66,7 +71,9 @@ def test_one_of_each_group_stays(spark, clashing, no_docs, docs):
     out = jaccard.keep_one_of_each(clashing)
     found = jaccard.near_duplicates(docs).where("doc_id IS NOT NULL")
     assert out.columns == clashing.columns
-    assert sorted(r[0] for r in out.where("doc_id IS NOT NULL").select("doc_id").collect()) == sorted(r[0] for r in found.select("group_id").distinct().collect())
+    assert sorted(
+        r[0] for r in out.where("doc_id IS NOT NULL").select("doc_id").collect()
+    ) == sorted(r[0] for r in found.select("group_id").distinct().collect())
     assert jaccard.keep_one_of_each(no_docs).count() == 0 and jaccard.near_duplicates(no_docs).count() == 0
 
 
@@ -114,4 +121,12 @@ def test_one_of_each_group_stays_whatever_the_ids(spark):
 def test_unlike_texts_without_ids_all_stay(spark, bits):
     rng = random.Random(9)
     rows = [(None, prose(rng, 40)) for _ in range(50)] + [(5, prose(rng, 40)) for _ in range(50)]
-    assert sorted(map(tuple, jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), settings=jaccard.JoinSettings(filter_bits=bits)).collect()), key=str) == sorted(rows, key=str)
+    assert sorted(
+        map(
+            tuple,
+            jaccard.keep_one_of_each(
+                spark.createDataFrame(rows, "doc_id long, text string"), settings=jaccard.JoinSettings(filter_bits=bits)
+            ).collect()
+        ),
+        key=str
+    ) == sorted(rows, key=str)

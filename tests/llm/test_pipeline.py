@@ -18,7 +18,9 @@ from .test_site_lines import brute as lines
 def tables(spark, fixture_rows, tmp_path_factory):
     d = tmp_path_factory.mktemp("sf")
     rows = [r for r in fixture_rows if r[0] is not None][:-1]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long"
+    ).repartition(2).write.parquet(f"{d}/documents.parquet")
     items = [(1, " ".join((rows[10][1] or "").split()[:40])), (2, "nothing like the rest of it")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return str(d), rows, items
@@ -51,7 +53,10 @@ def test_run_against_brute_force(spark, tables):
 
 def test_a_large_group_of_copies_keeps_its_text(spark):
     copy = "one page that many rows hold\nin two lines"
-    docs = spark.createDataFrame([(i, copy if i < 60 else f"other text {i}", "en", "h", 1) for i in range(120)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(
+        [(i, copy if i < 60 else f"other text {i}", "en", "h", 1) for i in range(120)],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    )
     got = corpus_pipeline.lines(spark, docs, "")
     assert got.where("doc_id < 60").select("text", "n_chars").distinct().collect() == [(copy, len(copy))]
 
@@ -80,7 +85,11 @@ def test_an_empty_table_goes_through(spark, tmp_path):
 def test_nulls_repeats_and_long_texts(spark, tmp_path):
     rng = random.Random(21)
     long, plain, other, marked = prose(rng, 30_000), prose(rng, 60), prose(rng, 60), prose(rng, 60)
-    rows = [(None, plain, None, None, None), (None, other, "en", None, 3), (1, long, None, "s", None), (1, long, None, "s", None), (2, long + " ende", None, "s", 1), (3, None, None, None, None), (None, None, None, None, None), (4, "", "en", "s", 0), (5, marked, "en", "t", 1)]
+    rows = [
+        (None, plain, None, None, None), (None, other, "en", None, 3), (1, long, None, "s", None), (1, long, None, "s", None),
+        (2, long + " ende", None, "s", 1), (3, None, None, None, None), (None, None, None, None, None), (4, "", "en", "s", 0),
+        (5, marked, "en", "t", 1)
+    ]
     got = corpus_pipeline.run(spark, table(spark, rows, tmp_path, CLASHING, [(1, marked), (None, None), (2, "")])).collect()
     assert len(long) > 100_000
     whole = {}
@@ -89,7 +98,9 @@ def test_nulls_repeats_and_long_texts(spark, tmp_path):
         whole.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"]))
     assert sorted(str(d) for d, _ in whole) == ["1", "None", "None"]
     for (_, n), pieces in whole.items():
-        assert [a for a, _ in sorted(pieces)] == [sum(x for _, x in sorted(pieces)[:k]) for k in range(len(pieces))] and sum(x for _, x in pieces) == n
+        assert [a for a, _ in sorted(pieces)] == [
+            sum(x for _, x in sorted(pieces)[:k]) for k in range(len(pieces))
+        ] and sum(x for _, x in pieces) == n
 
 
 def test_stages_pass_other_columns_on(spark, clashing, tmp_path):

@@ -3,7 +3,10 @@ import re
 
 from quirelake.llm import private
 
-PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")
+]
 
 
 def luhn(d):
@@ -15,7 +18,10 @@ def base(text):
     for kind, p in PATTERNS:
         for m in re.finditer(p, text):
             d = re.sub("[^0-9]", "", m[0])
-            if {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]:
+            if {
+                "email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d),
+                "phone": 10 <= len(d) <= 15
+            }[kind]:
                 out.append((m.start(), kind, m.end()))
     return sorted(out, key=lambda s: (s[0], [k for k, _ in PATTERNS].index(s[1])))
 
@@ -35,7 +41,11 @@ def test_secrets_after_equals_and_long_ones_are_candidates(spark):
     short, long = "1eb9c654e721b4f812088970e66a6345cee33dd6", "aB3" * 100
     rows = [(1, f"api_key={short}"), (2, f"key {long} end"), (3, f"token={long}=="), (4, "x" * 19), (5, f"a_name_of_more_than_twenty={short}")]
     got = {r["doc_id"]: r["n_candidates"] for r in private.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    found = {r["id"]: [(c["s"], c["e"]) for c in r["spans"] if c["kind"] == private.KINDS.index("secret")] for r in private.candidates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    found = {
+        r["id"]: [
+            (c["s"], c["e"]) for c in r["spans"] if c["kind"] == private.KINDS.index("secret")
+        ] for r in private.candidates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    }
     assert found == {1: [(8, 48)], 2: [(4, 304)], 3: [(6, 308)], 4: [], 5: [(27, 67)]} and all(got[i] for i in (1, 2, 3, 5))
 
 
@@ -49,7 +59,11 @@ def test_gazetteers_and_context_propose(spark):
         (6, "a plain text about nothing, 12 of them, said Tom"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["id"]: [(private.KINDS[c["kind"]], dict(rows)[r["id"]][c["s"] : c["e"]]) for c in r["spans"] if c["kind"] > 3] for r in private.candidates(docs, "doc_id", "text").collect()}
+    got = {
+        r["id"]: [
+            (private.KINDS[c["kind"]], dict(rows)[r["id"]][c["s"] : c["e"]]) for c in r["spans"] if c["kind"] > 3
+        ] for r in private.candidates(docs, "doc_id", "text").collect()
+    }
     assert got[1] == [("secret", "ab12cd")]
     assert got[2] == [("person", "Dr. Jane Roe"), ("person", "Mme Dupont")] and got[3] == [("person", "Élodie Blanc")]
     assert got[4] == [("address", "12 Long Acre Street"), ("address", "Hauptstraße 7"), ("address", "rue de la Paix, 4")]

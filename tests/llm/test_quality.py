@@ -24,7 +24,11 @@ def brute(t):
 
 
 def test_base_figures_against_brute_force(docs, fixture_rows):
-    got = [(str(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in compression.quality_rules(docs).collect()]
+    got = [
+        (
+            str(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]
+        ) for r in compression.quality_rules(docs).collect()
+    ]
     assert sorted(got) == sorted((str(d), *brute(t or "")) for d, t, *_ in fixture_rows)
 
 
@@ -39,7 +43,10 @@ def test_bands():
     rng, z = random.Random(1), zstandard.ZstdCompressor(level=3)
     clean = prose(rng, 600).encode()
     assert compression.measure(clean, compression.Limits(), z)[-1] == ""
-    assert compression.measure(" ".join("".join(rng.choices("0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/%$#@!&*", k=60)) for _ in range(80)).encode(), compression.Limits(), z)[-1] == "incompressible"
+    assert compression.measure(
+        " ".join("".join(rng.choices("0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/%$#@!&*", k=60)) for _ in range(80)).encode(),
+        compression.Limits(), z
+    )[-1] == "incompressible"
     # no 8-word window repeats, yet it is the same few letters again and again
     dull = " ".join("a" * (i % 90 + 1) for i in range(900)).encode()
     assert compression.measure(dull, compression.Limits(), z)[6] is False
@@ -62,7 +69,9 @@ def corpus(spark, n=900):
         elif i % 6 == 1 and i % 4 == 1:
             t = " ".join([rng.choice(t.split())] * 60)
         rows.append((i, t, int(i % 6 != 0 and not (i % 6 == 1 and i % 4 == 1))))
-    return spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2], 0) for r in rows if r[0] % 2], "doc_id long, quality int, toxic int"), {r[0]: r[2] for r in rows}
+    return spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame(
+        [(r[0], r[2], 0) for r in rows if r[0] % 2], "doc_id long, quality int, toxic int"
+    ), {r[0]: r[2] for r in rows}
 
 
 def test_pu_learning_on_held_out_rows(spark):

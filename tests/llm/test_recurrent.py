@@ -27,8 +27,17 @@ def held(d):
 def test_base_against_brute_force(docs, fixture_rows, settings):
     c = Counter(w for d, t, *_ in fixture_rows if not held(d) for w in tokens(t))
     n, v = sum(c.values()), len(c)
-    want = sorted((str(d), held(d), len(w := tokens(t)), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 4)) for d, t, *_ in fixture_rows)
-    got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in R.score_documents(docs, settings=settings).collect())
+    want = sorted(
+        (
+            str(d), held(d), len(w := tokens(t)), sum(c[x] > 0 for x in w), n,
+            round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 4)
+        ) for d, t, *_ in fixture_rows
+    )
+    got = sorted(
+        (
+            str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)
+        ) for r in R.score_documents(docs, settings=settings).collect()
+    )
     assert got == want
 
 
@@ -95,5 +104,7 @@ def test_gradients_by_differences():
 def test_learns_more_than_counts(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(["the", "of"] * 20 if i % 2 else ["und", "für"] * 20) + " " + prose(rng, 20)) for i in range(300)]
-    got = R.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), settings=R.Settings(units=8)).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    got = R.score_documents(
+        spark.createDataFrame(rows, "doc_id long, text string"), settings=R.Settings(units=8)
+    ).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert got["sum(score)"] > 0.8 * got["sum(base_score)"]

@@ -21,7 +21,11 @@ def brute(rows, share, least):
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 @pytest.mark.parametrize("share,least", [(0.02, 2), (0.05, 5), (0.5, 2)])
 def test_against_brute_force(docs, fixture_rows, share, least, broadcast):
-    got = [(str(r["doc_id"]), r["text"], r["n_lines"]) for r in drop_site_lines(docs, most_share=share, least_pages=least, most_broadcast=broadcast).collect()]
+    got = [
+        (str(r["doc_id"]), r["text"], r["n_lines"]) for r in drop_site_lines(
+            docs, most_share=share, least_pages=least, most_broadcast=broadcast
+        ).collect()
+    ]
     assert sorted(got, key=str) == brute(fixture_rows, share, least)
 
 
@@ -34,7 +38,13 @@ def test_empty_and_clashing(no_docs, clashing):
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_copies_of_a_page_are_not_boilerplate(spark, broadcast):
     copy = "a page of its own\nwith two lines"
-    rows = [(i, copy, "h") for i in range(40)] + [(100 + i, f"menu of the site\ntext {i}", "h") for i in range(20)] + [(200, None, "h"), (201, "", None)]
-    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in drop_site_lines(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), most_broadcast=broadcast, distinct_pages=True).collect()}
+    rows = [(i, copy, "h") for i in range(40)] + [
+        (100 + i, f"menu of the site\ntext {i}", "h") for i in range(20)
+    ] + [(200, None, "h"), (201, "", None)]
+    got = {
+        r["doc_id"]: (r["text"], r["n_dropped"]) for r in drop_site_lines(
+            spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), most_broadcast=broadcast, distinct_pages=True
+        ).collect()
+    }
     assert all(got[i] == (copy, 0) for i in range(40)) and all(got[100 + i] == (f"text {i}", 1) for i in range(20))
     assert got[200] == (None, 0) and got[201] == ("", 0)

@@ -11,7 +11,10 @@ from quirelake.llm.eliasfano import EliasFano
 
 #: Letters that compose, change with case or are none in some Unicode version; marks, signs, digits and white space of many kinds.
 ODD = list("abzJHTWAEsS tremlvd'''  .,!-<|>12\n\t\x1c\x00\x85\xa0" + "«»“”…—€。İ´¨ªº×÷ßéÉèçŉǅǰẞΣςσжЖ世界ก็̸ְ̧́̌⃝⃣̱̈ｆ１ⅫŐőȺɏɐ😀‍﻿")
-PIECES = ["'s", "'re", "J̌", "a̧!", "mot».", "“hello”,", "word…!", "日本。!", "€!!", "naïve’.", "word™,", "İ!", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "é,", "É!", "Jְ̌"]
+PIECES = [
+    "'s", "'re", "J̌", "a̧!", "mot».", "“hello”,", "word…!", "日本。!", "€!!", "naïve’.", "word™,", "İ!", "<|endoftext|>", "<|ENDOFTEXT|>", "don't",
+    "é,", "É!", "Jְ̌"
+]
 REAL = [
     "« L’été », dit-elle… « c’est fini ! » Où ? À Besançon (Doubs), l'an 1999.",
     "„Größe“, sagte er, »ist nicht alles« – Straße 12, 3. Stock; ÄÖÜ!",
@@ -57,7 +60,13 @@ def test_another_tokenizer_gets_whole_texts():
     assert not tok.by_stretch and tok.ids(text.encode()).tolist() == other.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("values", [[], [0], [5, 5, 5, 9], list(range(3000)), sorted(np.random.default_rng(0).integers(0, 10**12, 3000).tolist()), [0] * 1500 + [1], [0, 10**9, 10**9 + 1]])
+@pytest.mark.parametrize(
+    "values",
+    [
+        [], [0], [5, 5, 5, 9], list(range(3000)), sorted(np.random.default_rng(0).integers(0, 10**12, 3000).tolist()), [0] * 1500 + [1],
+        [0, 10**9, 10**9 + 1]
+    ]
+)
 def test_selects(values):
     e = EliasFano.of(np.array(values, np.int64))
     assert e.select_many(np.arange(len(values))).tolist() == values and e.select_many(np.arange(len(values))[::-7]).tolist() == values[::-7]

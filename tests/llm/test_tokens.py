@@ -31,7 +31,9 @@ def test_signs_beyond_ascii_join_those_after_them(encode, text):
     assert tokens.StretchTokenizer(tokens.default_path()).ids(text.encode()).tolist() == encode(text)
 
 
-@pytest.mark.parametrize("values", [[], [0], [5, 5, 5, 9], list(range(3000)), sorted(np.random.default_rng(0).integers(0, 10**12, 3000).tolist()), [0] * 1500 + [1]])
+@pytest.mark.parametrize(
+    "values", [[], [0], [5, 5, 5, 9], list(range(3000)), sorted(np.random.default_rng(0).integers(0, 10**12, 3000).tolist()), [0] * 1500 + [1]]
+)
 def test_elias_fano(values):
     e = EliasFano.of(np.array(values, np.int64))
     back, end = EliasFano.from_bytes(e.to_bytes(), 0)
@@ -52,7 +54,11 @@ def test_shard():
 def test_round_trip(spark, docs, fixture_rows, encode, shard_ids):
     uri = fresh_path(spark, "t")
     manifest = token_files.write_token_files(docs, uri, tokens.default_path(), shard_ids=shard_ids)
-    got = sorted((r["start"], -1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(spark, uri, manifest).collect())
+    got = sorted(
+        (
+            r["start"], -1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["ids_crc32"]
+        ) for r in token_files.read_token_files(spark, uri, manifest).collect()
+    )
     assert [g[1] for g in got] == sorted(-1 if r[0] is None else r[0] for r in fixture_rows)
     want = sorted((-1 if d is None else d, len(ids := encode(t) + [2]), crc(ids)) for d, t, *_ in fixture_rows)
     assert sorted(g[1:] for g in got) == want
@@ -89,7 +95,9 @@ def test_counts_against_greedy(docs, fixture_rows, no_docs, clashing):
     start, more = map(set, token_counts.vocabulary(token_counts.default_path()))
     want = []
     for d, t, *_ in fixture_rows:
-        n = [greedy("▁" + w.decode(), start, more) if len(w) < 500 else token_counts.LongestMatch(start, more).count("▁" + w.decode()) for w in (t or "").encode().split()]
+        n = [
+            greedy("▁" + w.decode(), start, more) if len(w) < 500 else token_counts.LongestMatch(start, more).count("▁" + w.decode()) for w in (t or "").encode().split()
+        ]
         want.append((str(d), len(n), sum(max(x, 1) for x in n), n.count(-1)))
     got = [(str(r["doc_id"]), r["n_words"], r["n_pieces"], r["n_unknown"]) for r in token_counts.token_counts(docs).collect()]
     assert sorted(got) == sorted(want)
