@@ -71,7 +71,9 @@ def crop_rect(b: Column, width: Column, height: Column, pad: int = 4, jitter: in
 def resized(width: Column, height: Column, max_height: int = 128, min_width: int = 32, max_width: int = 1920) -> Column:
     """Size after the height limit."""
     w = F.greatest(F.lit(min_width), F.least(F.lit(max_width), F.bround(width * max_height / height).cast("int")))
-    return F.when(height <= max_height, F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))).otherwise(F.struct(w.alias("width"), F.lit(max_height).alias("height")))
+    return F.when(
+        height <= max_height, F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))
+    ).otherwise(F.struct(w.alias("width"), F.lit(max_height).alias("height")))
 
 
 def out_of_bounds(b: Column, width: Column, height: Column) -> Column:

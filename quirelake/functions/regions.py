@@ -31,7 +31,9 @@ def audit_scorable(r: Column) -> Column:
 
 
 def train_usable(r: Column) -> Column:
-    return _has_text(r) & (_or(r["language"], "uk") == "uk") & (_or(r["legibility"], "legible") != "illegible") & ~_drawn(r) & (F.size(F.coalesce(r["bbox"], F.array())) > 0)
+    return _has_text(r) & (_or(r["language"], "uk") == "uk") & (
+        _or(r["legibility"], "legible") != "illegible"
+    ) & ~_drawn(r) & (F.size(F.coalesce(r["bbox"], F.array())) > 0)
 
 
 def pseudo_usable(r: Column) -> Column:

@@ -140,7 +140,9 @@ def _distinct_share(text: Column) -> Column:
 def is_confident(text: Column) -> Column:
     t = strip(F.coalesce(text, F.lit("")))
     special = F.length(t) - _count(t, r"\p{L}\p{N} .,!?;:'\-—–()\[\]")
-    return (_count(t, r"\p{L}\p{N}\u0400-\u04FF") > 0) & ((F.size(words(t)) < 4) | (_distinct_share(t) >= 0.4)) & ((F.length(t) <= 5) | (special / F.length(t) <= 0.5))
+    return (_count(t, r"\p{L}\p{N}\u0400-\u04FF") > 0) & (
+        (F.size(words(t)) < 4) | (_distinct_share(t) >= 0.4)
+    ) & ((F.length(t) <= 5) | (special / F.length(t) <= 0.5))
 
 
 def is_valid_label(text: Column, least: int = 2, most: int = 300) -> Column:

@@ -43,7 +43,9 @@ def audit(pages: DataFrame) -> DataFrame:
 
 
 def type_histogram(pages: DataFrame) -> DataFrame:
-    return pages.select(F.explode(first_list("regions", "annotations", "labels")).alias("r")).groupBy(F.coalesce("r.type", F.lit("handwritten")).alias("type")).agg(F.count("*").alias("n"))
+    return pages.select(
+        F.explode(first_list("regions", "annotations", "labels")).alias("r")
+    ).groupBy(F.coalesce("r.type", F.lit("handwritten")).alias("type")).agg(F.count("*").alias("n"))
 
 
 def source_histogram(pages: DataFrame) -> DataFrame:
@@ -62,10 +64,14 @@ def stratified_split(pages: DataFrame, key: str = "image", source: str = "source
     isn't ordered in one task. Copies of a key that tie fall on both sides by no rule.
     """
     src = F.coalesce(F.col(source), F.lit("unknown"))
-    rows = pages.withColumn("__s", src).withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("__b", F.substring("__h", 1, 3))
+    rows = pages.withColumn("__s", src).withColumn(
+        "__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    ).withColumn("__b", F.substring("__h", 1, 3))
     counts = rows.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
     running = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    quota = counts.withColumn("__quota", n_valid(F.sum("__n").over(Window.partitionBy("__s")), share)).withColumn("__before", F.coalesce(F.sum("__n").over(running), F.lit(0)))
+    quota = counts.withColumn(
+        "__quota", n_valid(F.sum("__n").over(Window.partitionBy("__s")), share)
+    ).withColumn("__before", F.coalesce(F.sum("__n").over(running), F.lit(0)))
     joined = rows.join(quota, ["__s", "__b"])
     rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", key)) + F.col("__before")
     return joined.withColumn("split", F.when(rank <= F.col("__quota"), "valid").otherwise("train")).select(*pages.columns, "split")
@@ -113,7 +119,9 @@ def type_weights(rows: DataFrame, kind: str = "type", cap: float = 4.0) -> DataF
 def sample_weights(rows: DataFrame, kind: str = "type", weight: str = "weight", cap: float = 4.0) -> DataFrame:
     """``rows`` with sample_weight: base weight times the type's multiplier. At most five types, so their table is broadcast."""
     table = type_weights(rows, kind, cap).select(F.col("type").alias("__t"), "multiplier")
-    return rows.join(F.broadcast(table), canonical_type(F.col(kind)) == F.col("__t")).withColumn("sample_weight", F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) * F.col("multiplier")).drop("__t", "multiplier")
+    return rows.join(F.broadcast(table), canonical_type(F.col(kind)) == F.col("__t")).withColumn(
+        "sample_weight", F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) * F.col("multiplier")
+    ).drop("__t", "multiplier")
 
 
 def weighted_sample(rows: DataFrame, n: int, weight: str = "sample_weight", seed: int = 42, buckets: int = 1024) -> DataFrame:
@@ -184,7 +192,9 @@ def sqrt_quota(rows: DataFrame, n: int, kind: str = "type", key: str = "image_pa
     roots = counts.withColumn("quota", F.greatest(F.lit(1), F.bround(F.lit(n) * F.sqrt("c") / F.sum(F.sqrt("c")).over(Window.partitionBy(F.lit(1))))))
     hashed = rows.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("__b", F.substring("__h", 1, 3))
     running = Window.partitionBy(kind).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = hashed.groupBy(kind, "__b").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(running), F.lit(0))).drop("__n")
+    ahead = hashed.groupBy(kind, "__b").agg(F.count("*").alias("__n")).withColumn(
+        "__before", F.coalesce(F.sum("__n").over(running), F.lit(0))
+    ).drop("__n")
     rank = F.row_number().over(Window.partitionBy(kind, "__b").orderBy("__h", key)) + F.col("__before")
     ranked = hashed.join(ahead, [kind, "__b"]).join(F.broadcast(roots.select(kind, "quota")), kind).withColumn("__r", rank)
     own, rest = ranked.where(F.col("__r") <= F.col("quota")), ranked.where(F.col("__r") > F.col("quota"))
@@ -218,7 +228,10 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
 
 def valid_solution(pages: DataFrame) -> DataFrame:
     """image and regions for a validation solution; regions come from regions or annotations, not labels."""
-    return pages.select(first_text("image", "file_name", "id").alias("image"), F.coalesce("source", F.lit("unknown")).alias("source"), first_list("regions", "annotations").alias("regions"))
+    return pages.select(
+        first_text("image", "file_name", "id").alias("image"), F.coalesce("source", F.lit("unknown")).alias("source"),
+        first_list("regions", "annotations").alias("regions")
+    )
 
 
 def run_model(rows: DataFrame, predict, kind: str = "type", text: str = "text", least_batch: int = 1, parts: int = 64) -> DataFrame:

@@ -43,7 +43,9 @@ def check_images(solution: DataFrame, submission: DataFrame) -> None:
 def greedy_pairs(gt: Column, pred: Column, threshold: float | Column = THRESHOLD, overlap=G.iou_metric) -> Column:
     """One-to-one pairs of positions by falling overlap; equal overlaps by position in ``gt``, then in ``pred``. A threshold that is a column must be over 0."""
     # boxes that don't meet are passed over by comparisons, before any overlap is computed
-    meets = (lambda a, b: (a[1] < b[3]) & (b[1] < a[3]) & (a[0] < b[2]) & (b[0] < a[2])) if isinstance(threshold, Column) or threshold > 0 else (lambda a, b: F.lit(True))
+    meets = (
+        lambda a, b: (a[1] < b[3]) & (b[1] < a[3]) & (a[0] < b[2]) & (b[0] < a[2])
+    ) if isinstance(threshold, Column) or threshold > 0 else (lambda a, b: F.lit(True))
     placed = F.transform(pred, lambda p, pi: F.struct(pi.alias("pi"), p["bbox"].alias("b")))
 
     def of(all_: Column) -> Column:
@@ -112,7 +114,9 @@ def score_pages(solution: DataFrame, submission: DataFrame, threshold: float | s
     rows = rows.withColumn("gt", F.coalesce("gt", empty)).withColumn("pred", F.coalesce("pred", F.array().cast(rows.schema["pred"].dataType)))
     rows = rows.withColumn("pairs", greedy_pairs(F.col("gt"), F.col("pred"), F.col("threshold") if isinstance(threshold, str) else threshold))
     # a matched prediction's text is also read under the reference's type
-    crossed = F.transform("pairs", lambda m: F.struct(F.element_at("gt", m["gi"] + 1)["type"].alias("type"), F.element_at("pred", m["pi"] + 1)["text"].alias("text")))
+    crossed = F.transform(
+        "pairs", lambda m: F.struct(F.element_at("gt", m["gi"] + 1)["type"].alias("type"), F.element_at("pred", m["pi"] + 1)["text"].alias("text"))
+    )
     rows = held(held(rows).withColumn("crossed", crossed))
     for name in ("gt", "pred", "crossed"):
         rows = rows.withColumn(f"{name}_markup", rewrite_markup_array(markup_texts(F.col(name))))
@@ -126,7 +130,10 @@ def score_pages(solution: DataFrame, submission: DataFrame, threshold: float | s
         want, got = F.element_at("gt_texts", m["gi"] + 1), F.element_at("crossed_texts", k + 1)
         cer = F.when(is_scorable(g), F.levenshtein(got, want) / F.greatest(F.length(want), F.lit(1)))
         height = F.greatest(g["bbox"][3].cast("int") - g["bbox"][1].cast("int"), F.lit(0))
-        return F.struct(m["gi"].alias("gi"), m["pi"].alias("pi"), g["type"].alias("gt_type"), p["type"].alias("pred_type"), cer.alias("cer"), F.length(want).alias("chars"), height.alias("height"))
+        return F.struct(
+            m["gi"].alias("gi"), m["pi"].alias("pi"), g["type"].alias("gt_type"), p["type"].alias("pred_type"), cer.alias("cer"),
+            F.length(want).alias("chars"), height.alias("height")
+        )
 
     def lost(name: str, side: str) -> Column:
         taken = F.transform("pairs", lambda m: m[side])
@@ -135,7 +142,9 @@ def score_pages(solution: DataFrame, submission: DataFrame, threshold: float | s
 
     rows = rows.withColumn("matches", F.transform("pairs", match)).withColumn("lost_gt", lost("gt", "gi")).withColumn("lost_pred", lost("pred", "pi"))
     dropped = F.transform(F.filter("pairs", lambda m: ~is_scorable(F.element_at("gt", m["gi"] + 1))), lambda m: m["pi"])
-    rows = rows.withColumn("gt_page", _page_text(F.col("gt"), F.col("gt_texts"), F.array().cast("array<int>"))).withColumn("pred_page", _page_text(F.col("pred"), F.col("pred_texts"), dropped))
+    rows = rows.withColumn(
+        "gt_page", _page_text(F.col("gt"), F.col("gt_texts"), F.array().cast("array<int>"))
+    ).withColumn("pred_page", _page_text(F.col("pred"), F.col("pred_texts"), dropped))
     rows = held(rows)
     cers = F.filter(F.transform("matches", lambda m: m["cer"]), lambda c: c.isNotNull())
     return rows.select(
@@ -202,7 +211,10 @@ def score_if_complete(pages: DataFrame, n_target: int) -> DataFrame:
     """The metric once all target pages are there; else nulls beside the counts."""
     got = pages.agg(F.count("*").alias("completed_pages"), *metric_columns())
     done = F.col("completed_pages") >= n_target
-    return got.select("completed_pages", F.lit(n_target).cast("long").alias("target_pages"), done.alias("complete"), *[F.when(done, F.col(c)).alias(c) for c in got.columns if c != "completed_pages"])
+    return got.select(
+        "completed_pages", F.lit(n_target).cast("long").alias("target_pages"), done.alias("complete"),
+        *[F.when(done, F.col(c)).alias(c) for c in got.columns if c != "completed_pages"]
+    )
 
 
 def by_type(pages: DataFrame) -> DataFrame:
@@ -242,20 +254,29 @@ def _scored_matches(pages: DataFrame) -> DataFrame:
 
 
 def by_length(pages: DataFrame) -> DataFrame:
-    return _scored_matches(pages).groupBy(bin_label(F.col("m.chars"), LENGTH_BINS).alias("bin")).agg(F.count("*").alias("n"), F.avg("m.cer").alias("region_cer"))
+    return _scored_matches(pages).groupBy(bin_label(F.col("m.chars"), LENGTH_BINS).alias("bin")).agg(
+        F.count("*").alias("n"), F.avg("m.cer").alias("region_cer")
+    )
 
 
 def by_height(pages: DataFrame) -> DataFrame:
-    return _scored_matches(pages).groupBy(bin_label(F.col("m.height"), HEIGHT_BINS).alias("bin")).agg(F.count("*").alias("n"), F.avg("m.cer").alias("region_cer"))
+    return _scored_matches(pages).groupBy(bin_label(F.col("m.height"), HEIGHT_BINS).alias("bin")).agg(
+        F.count("*").alias("n"), F.avg("m.cer").alias("region_cer")
+    )
 
 
 def confusion(pages: DataFrame) -> DataFrame:
-    return pages.select(F.explode("matches").alias("m")).groupBy(F.col("m.gt_type").alias("gt"), F.col("m.pred_type").alias("pred")).agg(F.count("*").alias("n"))
+    return pages.select(F.explode("matches").alias("m")).groupBy(
+        F.col("m.gt_type").alias("gt"), F.col("m.pred_type").alias("pred")
+    ).agg(F.count("*").alias("n"))
 
 
 def page_errors(pages: DataFrame) -> DataFrame:
     """Errors per page; ``page_cer_diag`` is 0 for an empty reference page, where ``page_cer`` is null."""
-    return pages.select("image", "source", "page_cer", F.coalesce("page_cer", F.lit(0.0)).alias("page_cer_diag"), "gt_chars", "pred_chars", F.col("n_gt").alias("gt_regions"), F.col("n_pred").alias("pred_regions"))
+    return pages.select(
+        "image", "source", "page_cer", F.coalesce("page_cer", F.lit(0.0)).alias("page_cer_diag"), "gt_chars", "pred_chars",
+        F.col("n_gt").alias("gt_regions"), F.col("n_pred").alias("pred_regions")
+    )
 
 
 def worst_pages(pages: DataFrame, n: int = 20) -> DataFrame:
@@ -276,7 +297,10 @@ def overlap_pairs(rows: DataFrame, iou_at: float = 0.80, ioa_at: float = 0.95) -
     a, b = ([F.col(f"{side}.b")[n] for n in range(4)] for side in ("x", "y"))
     if iou_at > 0 and ioa_at > 0:
         pair = pair.where((a[1] < b[3]) & (b[1] < a[3]) & (a[0] < b[2]) & (b[0] < a[2]))
-    found = pair.select("image", "i", (F.col("i") + F.col("k") + 1).alias("j"), F.col("x.type").alias("type_i"), F.col("y.type").alias("type_j"), G.iou(a, b).alias("iou"), G.ioa_min(a, b).alias("ioa"))
+    found = pair.select(
+        "image", "i", (F.col("i") + F.col("k") + 1).alias("j"), F.col("x.type").alias("type_i"), F.col("y.type").alias("type_j"),
+        G.iou(a, b).alias("iou"), G.ioa_min(a, b).alias("ioa")
+    )
     return found.where((F.col("iou") >= iou_at) | (F.col("ioa") >= ioa_at))
 
 
@@ -295,13 +319,17 @@ def diagnosis(metrics: DataFrame) -> DataFrame:
         ("composite_good", F.col("composite") >= 0.75, "composite"),
         ("composite_strong", F.col("composite") >= 0.85, "composite"),
     ]
-    return metrics.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), ok.alias("ok"), F.col(c).alias("observed")) for n, ok, c in rules])).alias("r")).select("r.*")
+    return metrics.select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("check"), ok.alias("ok"), F.col(c).alias("observed")) for n, ok, c in rules])).alias("r")
+    ).select("r.*")
 
 
 def grid(solution: DataFrame, submission: DataFrame, confs: list[float], ious: list[float] = (THRESHOLD,)) -> DataFrame:
     """The metric for each pair of confidence and match threshold, over predictions that carry ``conf``; ``ordinal`` is the pair's place."""
     points = sorted((i * len(ious) + j, float(c), float(at)) for j, at in enumerate(ious) for i, c in enumerate(confs))
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("ordinal"), F.lit(c).alias("conf"), F.lit(at).alias("iou")) for n, c, at in points])).alias("p")
+    each = F.explode(
+        F.array(*[F.struct(F.lit(n).alias("ordinal"), F.lit(c).alias("conf"), F.lit(at).alias("iou")) for n, c, at in points])
+    ).alias("p")
     name = F.concat_ws("\x00", F.col("p.ordinal").cast("string"), "image").alias("image")
     kept = submission.select("image", "regions", each).select(name, F.expr("filter(regions, r -> coalesce(r.conf, 1.0) >= p.conf)").alias("regions"))
     want = solution.select("image", "regions", each).select(name, "regions", "p.iou")
@@ -318,7 +346,9 @@ def best_of_grid(found: DataFrame) -> DataFrame:
 def reorder_like(sample: DataFrame, predictions: DataFrame, order: str) -> DataFrame:
     """Exactly the sample's images in its order, missing ones empty."""
     got = predictions.select("image", "regions")
-    return sample.select("image", order).join(got, "image", "left").withColumn("regions", F.coalesce("regions", F.lit("[]") if dict(got.dtypes)["regions"] == "string" else F.array().cast(got.schema["regions"].dataType))).orderBy(order)
+    return sample.select("image", order).join(got, "image", "left").withColumn(
+        "regions", F.coalesce("regions", F.lit("[]") if dict(got.dtypes)["regions"] == "string" else F.array().cast(got.schema["regions"].dataType))
+    ).orderBy(order)
 
 
 def top_type_pairs(pairs: DataFrame, n: int = 12) -> DataFrame:

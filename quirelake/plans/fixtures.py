@@ -22,7 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _gt(d: Column, p: Column, t: Column) -> Column:
     x1, y1 = 50 + (7 * d + 13 * p) % 40, 40 + 36 * p
     k, plain = (31 * d + 17 * p) % 20, t.rlike(PLAIN)
-    kind = F.when(k < 12, "handwritten").when(k < 15, F.when(plain, "formula").otherwise("handwritten")).when(k == 15, "printed").when(k == 16, "annotation").when(k == 17, F.when(plain, "table").otherwise("printed")).when(k == 18, "image").otherwise("graph")
+    kind = F.when(k < 12, "handwritten").when(
+        k < 15, F.when(plain, "formula").otherwise("handwritten")
+    ).when(k == 15, "printed").when(k == 16, "annotation").when(
+        k == 17, F.when(plain, "table").otherwise("printed")
+    ).when(k == 18, "image").otherwise("graph")
     box = F.array(*[v.cast("double") for v in (x1, y1, x1 + 200 + F.length(t) % 500, y1 + 28)])
     return F.struct(
         box.alias("bbox"),
@@ -43,7 +47,10 @@ def _pred(d: Column, p: Column, g: Column) -> Column:
     conf = (((d * 13 + p * 7) % 50) + 50) / 100.0
 
     def one(kind: Column) -> Column:
-        return F.struct(box.alias("bbox"), kind.alias("type"), text.alias("text"), F.lit("uk").alias("language"), F.lit("legible").alias("legibility"), conf.alias("conf"))
+        return F.struct(
+            box.alias("bbox"), kind.alias("type"), text.alias("text"), F.lit("uk").alias("language"), F.lit("legible").alias("legibility"),
+            conf.alias("conf")
+        )
 
     first = one(F.when(((d + p) % 13 == 0) & plain, "formula").otherwise(g["type"]))
     second = one(F.when(plain, "formula").otherwise("printed"))
@@ -59,17 +66,26 @@ def spread(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image, source, doc_id, image_width, image_height, regions and pred: one row per page."""
-    docs = spread(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.regexp_extract_all(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "@"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
+    docs = spread(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
+        "doc_id", "source",
+        F.regexp_extract_all(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "@"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w")
+    )
     docs = docs.where(F.size("w") > 0)
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / WORDS).cast("int")), lambda i: F.array_join(F.slice("w", i * WORDS + 1, F.lit(WORDS)), " "))
+    parts = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("w") - 1) / WORDS).cast("int")), lambda i: F.array_join(F.slice("w", i * WORDS + 1, F.lit(WORDS)), " ")
+    )
     docs = docs.select("doc_id", "source", parts.alias("parts"))
-    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / PER_PAGE).cast("int")), lambda g: F.slice("parts", g * PER_PAGE + 1, F.lit(PER_PAGE)))
+    cuts = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / PER_PAGE).cast("int")), lambda g: F.slice("parts", g * PER_PAGE + 1, F.lit(PER_PAGE))
+    )
     rows = docs.select("doc_id", "source", F.posexplode(cuts).alias("g", "texts"))
     d = F.col("doc_id")
     rows = held(rows.withColumn("regions", F.transform("texts", lambda t, p: _gt(d, p.cast("long"), t))))
     pred = F.flatten(F.transform("regions", lambda r, p: _pred(d, p.cast("long"), r)))
     image = F.concat(F.lit("doc_"), d.cast("string"), F.lit("_"), F.col("g").cast("string"), F.lit(".jpg"))
-    return rows.select(image.alias("image"), "source", "doc_id", F.lit(800).alias("image_width"), F.lit(1200).alias("image_height"), "regions", pred.alias("pred"))
+    return rows.select(
+        image.alias("image"), "source", "doc_id", F.lit(800).alias("image_width"), F.lit(1200).alias("image_height"), "regions", pred.alias("pred")
+    )
 
 
 def solution(spark: SparkSession, sf_dir: str) -> DataFrame:

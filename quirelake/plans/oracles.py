@@ -12,7 +12,10 @@ from .fixtures import SQL as FIXTURE
 
 
 def _norm(t: str) -> str:
-    for pattern, to in ((r"~~.*?~~\{(.*?)\}", r"\1"), (r"~~(.*?)~~", r"\1"), (r"[_\-]{3,}", "___"), (r"[ \t]+", " "), (r"\(\s+", "("), (r"\s+\)", ")"), (r" +\(", "("), (r" +([_^])", r"\1")):
+    for pattern, to in (
+        (r"~~.*?~~\{(.*?)\}", r"\1"), (r"~~(.*?)~~", r"\1"), (r"[_\-]{3,}", "___"), (r"[ \t]+", " "), (r"\(\s+", "("), (r"\s+\)", ")"),
+        (r" +\(", "("), (r" +([_^])", r"\1")
+    ):
         t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
     return f"trim({t})"
 
@@ -50,7 +53,9 @@ def _metric(rows: str, keys: str = "", group: str = "") -> str:
                  round(acc, 6) AS class_accuracy, round(reg, 6) AS region_cer, round(pag, 6) AS page_cer, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, cn AS cer_regions FROM f)"""
 
 
-_BINS = {"chars": ((15, "0-15"), (40, "16-40"), (96, "41-96"), (180, "97-180")), "height": ((32, "0-32"), (64, "33-64"), (128, "65-128"), (256, "129-256"))}
+_BINS = {
+    "chars": ((15, "0-15"), (40, "16-40"), (96, "41-96"), (180, "97-180")), "height": ((32, "0-32"), (64, "33-64"), (128, "65-128"), (256, "129-256"))
+}
 _LAST = {"chars": "181+", "height": "257+"}
 
 
@@ -89,7 +94,9 @@ def _grid(confs: tuple[float, ...]) -> str:
     parts = []
     for i, at in enumerate(confs):
         body = _scored("sure").replace("    gn AS", f"    {_SURE.format(at=at)},\n    gn AS", 1)
-        parts.append(f"SELECT * FROM (WITH {body}, {_metric('pg')} SELECT *, {i}::BIGINT AS ordinal, {at}::DOUBLE AS conf, 0.5::DOUBLE AS iou FROM metric)")
+        parts.append(
+            f"SELECT * FROM (WITH {body}, {_metric('pg')} SELECT *, {i}::BIGINT AS ordinal, {at}::DOUBLE AS conf, 0.5::DOUBLE AS iou FROM metric)"
+        )
     return " UNION ALL ".join(parts)
 
 
@@ -100,7 +107,9 @@ def _compared(at: float) -> tuple[str, str]:
 
 _ALL, _CONFIDENT = _compared(0.7)
 _METRICS = ("composite", "det_f1", "det_precision", "det_recall", "class_accuracy", "region_cer", "page_cer", "tp", "fp", "fn", "cer_regions")
-_LONG = "SELECT unnest([" + ", ".join(f"'{m}'" for m in _METRICS) + "]) AS metric, unnest([" + ", ".join(f"{m}::DOUBLE" for m in _METRICS) + "]) AS value FROM metric"
+_LONG = "SELECT unnest([" + ", ".join(f"'{m}'" for m in _METRICS) + "]) AS metric, unnest([" + ", ".join(
+    f"{m}::DOUBLE" for m in _METRICS
+) + "]) AS value FROM metric"
 
 
 def _percentile(c: str, p: float) -> str:
@@ -171,7 +180,7 @@ ORACLE_SQL: dict[str, str] = {
     "progress_latest": "SELECT 'user_' || user_id AS image, max(event_id) AS seq, arg_max(event_type, event_id) AS source, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY user_id",
     "progress_pending": "SELECT 'user_' || c_custkey AS image, c_mktsegment AS source FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)",
     "progress_coverage": "SELECT c_mktsegment AS source, count(u) AS done, count(*) AS target, count(u) = count(*) AS complete FROM customer LEFT JOIN (SELECT DISTINCT user_id AS u FROM events) ON c_custkey = u GROUP BY 1",
-    "sample_order": f"""WITH {FIXTURE}, sample AS (SELECT DISTINCT image, regexp_extract(image, 'doc_(\d+)_', 1)::BIGINT * 1000000 + regexp_extract(image, '_(\d+)\.jpg', 1)::BIGINT AS place FROM gt
+    "sample_order": rf"""WITH {FIXTURE}, sample AS (SELECT DISTINCT image, regexp_extract(image, 'doc_(\d+)_', 1)::BIGINT * 1000000 + regexp_extract(image, '_(\d+)\.jpg', 1)::BIGINT AS place FROM gt
         UNION ALL SELECT 'doc_' || doc_id || '_none.jpg', doc_id * 1000000 + 999999 FROM documents)
         SELECT place, image, coalesce(n, 0) AS n FROM sample LEFT JOIN (SELECT image, count(*) AS n FROM pr GROUP BY 1) USING (image)""",
     "events_tumbling": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
@@ -198,7 +207,9 @@ _RUN_OF_12 = "|".join(f"\\x{{{ord(c):x}}}{{12,}}" for c in [*map(chr, range(32,
 
 def _repeated(words: str, least: int, times: int) -> str:
     """Whether a word of ``least`` characters or more stands ``times`` times in a row in a list of lower-cased tokens: signs may stand before the first and after the last."""
-    middle = " AND ".join([rf"regexp_full_match({words}[i + 1], '[\p{{L}}\p{{N}}_]{{{least},}}')"] + [f"{words}[i + {k}] = {words}[i + 1]" for k in range(2, times - 1)])
+    middle = " AND ".join(
+        [rf"regexp_full_match({words}[i + 1], '[\p{{L}}\p{{N}}_]{{{least},}}')"] + [f"{words}[i + {k}] = {words}[i + 1]" for k in range(2, times - 1)]
+    )
     ends = rf"regexp_extract({words}[i], '[\p{{L}}\p{{N}}_]+$') = {words}[i + 1] AND regexp_extract({words}[i + {times - 1}], '^[\p{{L}}\p{{N}}_]+') = {words}[i + 1]"
     return f"len([i for i in generate_series(1, len({words}) - {times - 1}) if {middle} AND {ends}]) > 0"
 
@@ -220,7 +231,9 @@ def _profile_metric(profile: str) -> str:
 
 
 _WHOLE = ("tp", "fp", "fn", "cer_regions")
-_DELTAS = ", ".join(f"{c}, a.{c} - b.{c} AS delta_{c}" if c in _WHOLE else f"round(a.{c}, 6) AS {c}, round(a.{c} - b.{c}, 6) AS delta_{c}" for c in _METRICS).replace(", tp,", ", a.tp,").replace(", fp,", ", a.fp,").replace(", fn,", ", a.fn,").replace(", cer_regions,", ", a.cer_regions,")
+_DELTAS = ", ".join(
+    f"{c}, a.{c} - b.{c} AS delta_{c}" if c in _WHOLE else f"round(a.{c}, 6) AS {c}, round(a.{c} - b.{c}, 6) AS delta_{c}" for c in _METRICS
+).replace(", tp,", ", a.tp,").replace(", fp,", ", a.fp,").replace(", fn,", ", a.fn,").replace(", cer_regions,", ", a.cer_regions,")
 ORACLE_SQL |= {
     "text_flag_counts": f"WITH w AS (SELECT coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents) SELECT flag, count(*) AS n FROM (SELECT unnest({_flags('t', 'w')}) AS flag FROM w) GROUP BY flag",
     "target_texts": f"SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace({_STRUCK}, '\\s+', ' ', 'g')) AS t FROM documents)",

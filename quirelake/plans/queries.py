@@ -120,14 +120,19 @@ def submission_checks(spark, sf_dir):
 def parse_round_trip(spark, sf_dir):
     rows = fx.submission(spark, sf_dir).select("image", postprocess.regions_json(F.col("regions")).alias("regions"))
     r = sources.parse_strict(rows).select("image", F.posexplode("regions").alias("pi", "r"))
-    return r.select("image", F.col("pi").cast("long").alias("pi"), *[F.col("r.bbox")[i].cast("long").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], "r.type", "r.text")
+    return r.select(
+        "image", F.col("pi").cast("long").alias("pi"), *[F.col("r.bbox")[i].cast("long").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))],
+        "r.type", "r.text"
+    )
 
 
 @query
 def normalized_regions(spark, sf_dir):
     r = fx.submission(spark, sf_dir).select("image", F.posexplode("regions").alias("pi", "r"))
     t = X.normalize_natural(F.col("r.text"))
-    return r.select("image", F.col("pi").cast("long").alias("pi"), F.length(t).cast("long").alias("chars"), F.translate(t, X.CYRILLIC, X.LATIN).alias("text"))
+    return r.select(
+        "image", F.col("pi").cast("long").alias("pi"), F.length(t).cast("long").alias("chars"), F.translate(t, X.CYRILLIC, X.LATIN).alias("text")
+    )
 
 
 @query
@@ -139,11 +144,20 @@ def region_predicates(spark, sf_dir):
 
 @query
 def region_geometry(spark, sf_dir):
-    p = fx.pages(spark, sf_dir).select("image", F.col("image_width").cast("double").alias("w"), F.col("image_height").cast("double").alias("h"), F.posexplode("pred").alias("pi", "r"))
+    p = fx.pages(spark, sf_dir).select(
+        "image", F.col("image_width").cast("double").alias("w"), F.col("image_height").cast("double").alias("h"),
+        F.posexplode("pred").alias("pi", "r")
+    )
     b = F.col("r.bbox")
     n = G.normalized_box(b, F.col("w"), F.col("h"))
     crop = G.crop_rect(b, F.col("w").cast("int"), F.col("h").cast("int"))
-    return _rounded(p.select("image", "pi", G.area(b).alias("area"), *[n[i].alias(c) for i, c in enumerate(("cx", "cy", "bw", "bh"))], G.out_of_bounds(b, F.col("w"), F.col("h")).alias("outside"), F.coalesce(crop[2] - crop[0], F.lit(64)).alias("crop_w"), F.coalesce(crop[3] - crop[1], F.lit(32)).alias("crop_h"), G.region_key(b, F.col("r.type")).alias("key")))
+    return _rounded(
+        p.select(
+            "image", "pi", G.area(b).alias("area"), *[n[i].alias(c) for i, c in enumerate(("cx", "cy", "bw", "bh"))],
+            G.out_of_bounds(b, F.col("w"), F.col("h")).alias("outside"), F.coalesce(crop[2] - crop[0], F.lit(64)).alias("crop_w"),
+            F.coalesce(crop[3] - crop[1], F.lit(32)).alias("crop_h"), G.region_key(b, F.col("r.type")).alias("key")
+        )
+    )
 
 
 @query
@@ -157,7 +171,9 @@ def reading_order(spark, sf_dir):
 def text_plausibility(spark, sf_dir):
     r = fx.submission(spark, sf_dir).select(F.explode("regions").alias("r"))
     t = F.col("r.text")
-    return r.groupBy("r.type").agg(F.count_if(X.is_confident(t)).alias("confident"), F.count_if(X.is_valid_label(t)).alias("valid"), F.count_if(X.looks_math(t)).alias("math"))
+    return r.groupBy("r.type").agg(
+        F.count_if(X.is_confident(t)).alias("confident"), F.count_if(X.is_valid_label(t)).alias("valid"), F.count_if(X.looks_math(t)).alias("math")
+    )
 
 
 @query
@@ -177,7 +193,9 @@ def target_texts(spark, sf_dir):
 def generation_settings(spark, sf_dir):
     r = fx.submission(spark, sf_dir).select(F.explode("regions").alias("r"))
     s = X.generation_settings(F.col("r.type"))
-    return r.groupBy("r.type").agg(F.count("*").alias("n"), F.sum(s["max_new_tokens"]).alias("tokens"), F.max(s["repetition_penalty"]).alias("penalty"))
+    return r.groupBy("r.type").agg(
+        F.count("*").alias("n"), F.sum(s["max_new_tokens"]).alias("tokens"), F.max(s["repetition_penalty"]).alias("penalty")
+    )
 
 
 @query
@@ -206,7 +224,13 @@ def profile_scores(spark, sf_dir):
     """Every profile's metric less that of the raw submission."""
     want, raw = fx.solution(spark, sf_dir), fx.submission(spark, sf_dir)
     done = postprocess.postprocess(raw)
-    typed = F.transform("regions", lambda r: F.struct(F.transform(r["bbox"], lambda v: v.cast("double")).alias("bbox"), r["type"].alias("type"), r["text"].alias("text"), F.lit("uk").alias("language"), F.lit("legible").alias("legibility"), F.lit(None).cast("double").alias("conf")))
+    typed = F.transform(
+        "regions",
+        lambda r: F.struct(
+            F.transform(r["bbox"], lambda v: v.cast("double")).alias("bbox"), r["type"].alias("type"), r["text"].alias("text"),
+            F.lit("uk").alias("language"), F.lit("legible").alias("legibility"), F.lit(None).cast("double").alias("conf")
+        )
+    )
     keyed = lambda d, p: d.withColumn("image", F.concat(p, F.lit("|"), F.col("image")))
     got = keyed(done.withColumn("regions", typed), F.col("profile")).select("image", "regions")
     names = want.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in postprocess.PROFILES])))
@@ -230,7 +254,12 @@ def viewer_regions(spark, sf_dir):
     p = fx.pages(spark, sf_dir)
     sizes = p.select("image", F.col("image_width").alias("width"), F.col("image_height").alias("height"))
     a = compare.annotate(p.select("image", F.col("pred").alias("regions")), p.select("image", "regions"), sizes)
-    return _rounded(a.select("image", "id", "type", "raw_text", F.array_join("flags", ",").alias("flags"), F.array_join(F.transform("overlap_with", lambda x: x.cast("string")), ",").alias("overlap_with")))
+    return _rounded(
+        a.select(
+            "image", "id", "type", "raw_text", F.array_join("flags", ",").alias("flags"),
+            F.array_join(F.transform("overlap_with", lambda x: x.cast("string")), ",").alias("overlap_with")
+        )
+    )
 
 
 @query
@@ -282,7 +311,9 @@ def type_weights(spark, sf_dir):
 def _crops(spark, sf_dir):
     p = fx.solution(spark, sf_dir)
     none = F.lit(None).cast(p.schema["regions"].dataType)
-    p = p.withColumns({c: F.lit(None).cast("string") for c in ("file_name", "filename", "id")}).withColumns({c: none for c in ("annotations", "labels")})
+    p = p.withColumns(
+        {c: F.lit(None).cast("string") for c in ("file_name", "filename", "id")}
+    ).withColumns({c: none for c in ("annotations", "labels")})
     return sources.crops(p, "train", 1.0).drop("bbox")
 
 
@@ -293,7 +324,9 @@ def crop_manifest(spark, sf_dir):
 
 @query
 def sample_weights(spark, sf_dir):
-    return _rounded(curation.sample_weights(_crops(spark, sf_dir), cap=4.0).groupBy("type").agg(F.count("*").alias("n"), F.sum("sample_weight").alias("weight")))
+    return _rounded(
+        curation.sample_weights(_crops(spark, sf_dir), cap=4.0).groupBy("type").agg(F.count("*").alias("n"), F.sum("sample_weight").alias("weight"))
+    )
 
 
 @query
@@ -307,7 +340,11 @@ def manifest_union(spark, sf_dir):
     gold = _crops(spark, sf_dir).drop("weight")
     silver = gold.drop("idx").withColumn("silver_text", F.col("text"))
     u = curation.curriculum({"gold": gold, "silver": silver, "synth": gold.select("image_path", "text")}, 0)
-    return _rounded(u.groupBy("origin").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.count("silver_text").alias("silver_texts"), F.count("idx").alias("positions")))
+    return _rounded(
+        u.groupBy("origin").agg(
+            F.count("*").alias("n"), F.sum("weight").alias("weight"), F.count("silver_text").alias("silver_texts"), F.count("idx").alias("positions")
+        )
+    )
 
 
 @query
@@ -336,7 +373,9 @@ def class_weight_hint(spark, sf_dir):
 
 @query
 def valid_pseudo_labels(spark, sf_dir):
-    r = fx.submission(spark, sf_dir).select("image", F.posexplode("regions").alias("pi", "r")).select("image", F.col("pi").cast("long").alias("pi"), F.col("r.text").alias("text"))
+    r = fx.submission(spark, sf_dir).select("image", F.posexplode("regions").alias("pi", "r")).select(
+        "image", F.col("pi").cast("long").alias("pi"), F.col("r.text").alias("text")
+    )
     return curation.valid_pseudo_labels(r)
 
 
@@ -347,7 +386,10 @@ def distinct_texts(spark, sf_dir):
 
 def _log(spark, sf_dir):
     """A progress log out of events: each user is a page, each event a record."""
-    return fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("image"), F.col("event_type").alias("source"), F.col("value"))
+    return fx.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("image"), F.col("event_type").alias("source"),
+        F.col("value")
+    )
 
 
 @query
@@ -357,13 +399,17 @@ def progress_latest(spark, sf_dir):
 
 @query
 def progress_pending(spark, sf_dir):
-    target = fx.table(spark, sf_dir, "customer").select(F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("image"), F.col("c_mktsegment").alias("source"))
+    target = fx.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("image"), F.col("c_mktsegment").alias("source")
+    )
     return progress.pending(target, _log(spark, sf_dir))
 
 
 @query
 def progress_coverage(spark, sf_dir):
-    target = fx.table(spark, sf_dir, "customer").select(F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("image"), F.col("c_mktsegment").alias("source"))
+    target = fx.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("image"), F.col("c_mktsegment").alias("source")
+    )
     return progress.coverage(target, _log(spark, sf_dir))
 
 
@@ -372,8 +418,13 @@ def sample_order(spark, sf_dir):
     """All pages in the order of documents, and for each document one that no prediction has."""
     number = lambda pattern: F.regexp_extract("image", pattern, 1).cast("long")
     have = fx.solution(spark, sf_dir).select("image", (number(r"doc_(\d+)_") * 1_000_000 + number(r"_(\d+)\.jpg")).alias("place"))
-    lack = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("_none.jpg")).alias("image"), (F.col("doc_id") * 1_000_000 + 999_999).alias("place"))
-    return _rounded(pages.reorder_like(have.unionByName(lack), fx.submission(spark, sf_dir), "place").select("place", "image", F.size("regions").alias("n")))
+    lack = fx.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("_none.jpg")).alias("image"),
+        (F.col("doc_id") * 1_000_000 + 999_999).alias("place")
+    )
+    return _rounded(
+        pages.reorder_like(have.unionByName(lack), fx.submission(spark, sf_dir), "place").select("place", "image", F.size("regions").alias("n"))
+    )
 
 
 @query
@@ -391,7 +442,12 @@ def lineitem_pricing(spark, sf_dir):
     """Platform check, beside the page operators: grouping sets over lineitem."""
     x = fx.table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return _rounded(x.groupingSets([["l_returnflag", "l_linestatus"], ["l_returnflag"], []], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"), F.sum(price).alias("revenue")), 2)
+    return _rounded(
+        x.groupingSets(
+            [["l_returnflag", "l_linestatus"], ["l_returnflag"], []], "l_returnflag", "l_linestatus"
+        ).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"), F.sum(price).alias("revenue")),
+        2
+    )
 
 
 @query

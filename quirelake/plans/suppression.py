@@ -6,7 +6,10 @@ texts of close regions are equal, begin alike or share no character, so that the
 
 from __future__ import annotations
 
-PROFILES = {"safe": (2, False, False, False), "balanced": (2, False, True, False), "text_strong": (1, True, True, False), "dedup_strong": (2, False, True, True)}
+PROFILES = {
+    "safe": (2, False, False, False), "balanced": (2, False, True, False), "text_strong": (1, True, True, False),
+    "dedup_strong": (2, False, True, True)
+}
 _TYPES = "('handwritten', 'printed', 'formula', 'table', 'annotation', 'image', 'graph')"
 _MATH = r"[0-9=+\-−–—×*/^√∫π%≈≤≥<>()\[\]{}]"
 _NOT_WORD = r"[^\p{L}\p{N}_]+"

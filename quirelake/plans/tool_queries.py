@@ -83,7 +83,10 @@ def image_lookup(spark, sf_dir):
 @query(f"""WITH {FIXTURE}, x AS (SELECT DISTINCT image, d, source FROM gt)
     SELECT image || '.png' AS image, 100 + d % 7 AS width, 200::BIGINT AS height, CASE WHEN d % 3 = 0 THEN 'unknown' ELSE source END AS source FROM x""")
 def page_sizes(spark, sf_dir):
-    p = fx.pages(spark, sf_dir).select(F.concat(F.lit("a/b/"), "image", F.lit(".png")).alias("file_name"), (100 + F.col("doc_id") % 7).alias("image_width"), F.lit(200).cast("long").alias("image_height"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("source"))
+    p = fx.pages(spark, sf_dir).select(
+        F.concat(F.lit("a/b/"), "image", F.lit(".png")).alias("file_name"), (100 + F.col("doc_id") % 7).alias("image_width"),
+        F.lit(200).cast("long").alias("image_height"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("source")
+    )
     return sources.page_sizes(p)
 
 
@@ -95,13 +98,21 @@ def detections(spark, sf_dir):
 
     number = F.create_map(*[F.lit(x) for i, t in enumerate(REGION_TYPES) for x in (t, i)])
     r = _regions(spark, sf_dir)
-    rows = r.select("image", *[F.col("r.bbox")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], number[F.col("r.type")].alias("class"), "r.conf").distinct()
+    rows = r.select(
+        "image", *[F.col("r.bbox")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], number[F.col("r.type")].alias("class"), "r.conf"
+    ).distinct()
     got = sources.detections_to_regions(rows, 0.7).select("image", F.posexplode("regions").alias("place", "r"))
-    return got.select("image", F.col("place").cast("long").alias("place"), F.col("r.bbox")[0].cast("long").alias("x1"), F.col("r.bbox")[1].cast("long").alias("y1"), "r.type", "r.conf")
+    return got.select(
+        "image", F.col("place").cast("long").alias("place"), F.col("r.bbox")[0].cast("long").alias("x1"), F.col("r.bbox")[1].cast("long").alias("y1"),
+        "r.type", "r.conf"
+    )
 
 
 def _odd_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = ["[]", '{"bbox": 1}', "not JSON [", '[{"bbox": [1, 2, 3, 4], "text": "a"}, {"bbox": ["5", 6, 7, 8], "type": "table"}]', '[7, {"type": "table"}, {"bbox": [1, 2]}]', '[{"bbox": [1, 2, 3, 4], "type": "odd"}]']
+    texts = [
+        "[]", '{"bbox": 1}', "not JSON [", '[{"bbox": [1, 2, 3, 4], "text": "a"}, {"bbox": ["5", 6, 7, 8], "type": "table"}]',
+        '[7, {"type": "table"}, {"bbox": [1, 2]}]', '[{"bbox": [1, 2, 3, 4], "type": "odd"}]'
+    ]
     regions = F.element_at(F.array(*[F.lit(t) for t in [*texts, None]]), (F.pmod("doc_id", F.lit(7)) + 1).cast("int"))
     return fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("image"), regions.alias("regions"))
 
@@ -127,13 +138,17 @@ def type_histogram(spark, sf_dir):
     return curation.type_histogram(p.select(none.alias("regions"), F.col("regions").alias("annotations"), none.alias("labels")))
 
 
-@query(f"WITH {FIXTURE} SELECT source, count(*) AS n FROM {_PAGES} WHERE source IN ('src0', 'src1', (SELECT min(source) FROM documents)) GROUP BY source")
+@query(
+    f"WITH {FIXTURE} SELECT source, count(*) AS n FROM {_PAGES} WHERE source IN ('src0', 'src1', (SELECT min(source) FROM documents)) GROUP BY source"
+)
 def pages_of_sources(spark, sf_dir):
     least = fx.table(spark, sf_dir, "documents").agg(F.min("source")).first()[0]
     return curation.of_sources(fx.solution(spark, sf_dir), ["src0", "src1", least]).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {FIXTURE}, x AS (SELECT *, 3 + gi % 20 AS w, 2 + gi % 9 AS h FROM gt) SELECT type, count(*) AS n FROM x WHERE length(trim(text)) BETWEEN 2 AND 80 AND w >= 10 AND h >= 5 GROUP BY type")
+@query(
+    f"WITH {FIXTURE}, x AS (SELECT *, 3 + gi % 20 AS w, 2 + gi % 9 AS h FROM gt) SELECT type, count(*) AS n FROM x WHERE length(trim(text)) BETWEEN 2 AND 80 AND w >= 10 AND h >= 5 GROUP BY type"
+)
 def external_quality(spark, sf_dir):
     r = fx.solution(spark, sf_dir).select(F.posexplode("regions").alias("i", "r"))
     rows = r.select("r.type", "r.text", (3 + F.col("i") % 20).alias("width"), (2 + F.col("i") % 9).alias("height"))
@@ -145,7 +160,9 @@ def external_quality(spark, sf_dir):
 def long_examples(spark, sf_dir):
     """The longest texts: a top list."""
     one = F.struct(F.lit("handwritten").alias("type"), F.col("text"))
-    docs = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("image"), F.array(one).alias("regions"))
+    docs = fx.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("image"), F.array(one).alias("regions")
+    )
     return postprocess.long_examples(docs, 25).withColumn("length", F.col("length").cast("long"))
 
 
@@ -157,9 +174,13 @@ def overlap_count(spark, sf_dir):
 @query(f"""WITH {FIXTURE}, h AS (SELECT 20 + (d % 12) * 30 AS height, 100 + (gi % 9) * 400 AS width FROM gt)
     SELECT height, width, CASE WHEN height <= 128 THEN width ELSE greatest(32, least(1920, round_even(width * 128 / height::DOUBLE, 0)))::BIGINT END AS new_width, least(height, 128) AS new_height, count(*) AS n FROM h GROUP BY ALL""")
 def resized_crops(spark, sf_dir):
-    r = fx.pages(spark, sf_dir).select("doc_id", F.posexplode("regions").alias("gi", "r")).select((20 + F.col("doc_id") % 12 * 30).alias("height"), (100 + F.col("gi") % 9 * 400).cast("long").alias("width"))
+    r = fx.pages(spark, sf_dir).select("doc_id", F.posexplode("regions").alias("gi", "r")).select(
+        (20 + F.col("doc_id") % 12 * 30).alias("height"), (100 + F.col("gi") % 9 * 400).cast("long").alias("width")
+    )
     new = G.resized(F.col("width"), F.col("height"))
-    return r.groupBy("height", "width", new["width"].cast("long").alias("new_width"), new["height"].cast("long").alias("new_height")).agg(F.count("*").alias("n"))
+    return r.groupBy(
+        "height", "width", new["width"].cast("long").alias("new_width"), new["height"].cast("long").alias("new_height")
+    ).agg(F.count("*").alias("n"))
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +192,9 @@ def _annotated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _KEY = "x1 || ',' || y1 || ',' || x2 || ',' || y2 || '|' || type"
 
 
-@query(f"""WITH {FIXTURE}, k AS (SELECT DISTINCT image, {_KEY} AS key FROM pr) SELECT (SELECT count(*) FROM pr) AS regions, (SELECT count(*) FROM gt LEFT JOIN k ON k.image = gt.image AND k.key = {_KEY.replace('x1', 'gt.x1').replace('|| type', '|| gt.type')} WHERE k.key IS NULL) AS removed""")
+@query(
+    f"""WITH {FIXTURE}, k AS (SELECT DISTINCT image, {_KEY} AS key FROM pr) SELECT (SELECT count(*) FROM pr) AS regions, (SELECT count(*) FROM gt LEFT JOIN k ON k.image = gt.image AND k.key = {_KEY.replace('x1', 'gt.x1').replace('|| type', '|| gt.type')} WHERE k.key IS NULL) AS removed"""
+)
 def candidate_totals(spark, sf_dir):
     return compare.candidate_totals(*_annotated(spark, sf_dir)).select("regions", "removed")
 
@@ -213,7 +236,9 @@ def _read(kind: str, frame) -> list[str]:
 @query(f"WITH {FIXTURE} SELECT image, gi::BIGINT AS idx, type, type || ':' || upper(text) AS text FROM gt")
 def model_texts(spark, sf_dir):
     """A model's texts for crops, by type, in batches that are halved where they are too large."""
-    r = fx.solution(spark, sf_dir).select("image", F.posexplode("regions").alias("idx", "r")).select("image", F.col("idx").cast("long").alias("idx"), "r.type", "r.text")
+    r = fx.solution(spark, sf_dir).select("image", F.posexplode("regions").alias("idx", "r")).select(
+        "image", F.col("idx").cast("long").alias("idx"), "r.type", "r.text"
+    )
     return curation.run_model(r, _read)
 
 
@@ -229,15 +254,26 @@ def partial_output(spark, sf_dir):
 @query(f"""WITH {FIXTURE} SELECT image, source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM gt GROUP BY ALL""")
 def solution_pages(spark, sf_dir):
     """The validation solution, its regions as JSON text and read back."""
-    p = fx.solution(spark, sf_dir).select("image", F.lit(None).cast("string").alias("file_name"), F.lit(None).cast("string").alias("id"), "source", "regions", F.lit(None).cast(fx.solution(spark, sf_dir).schema["regions"].dataType).alias("annotations"))
+    p = fx.solution(spark, sf_dir).select(
+        "image", F.lit(None).cast("string").alias("file_name"), F.lit(None).cast("string").alias("id"), "source", "regions",
+        F.lit(None).cast(fx.solution(spark, sf_dir).schema["regions"].dataType).alias("annotations")
+    )
     rows = curation.valid_solution(p).withColumn("regions", F.to_json("regions"))
     read = sources.parse_strict(rows, submission=False)
-    return read.select("image", "source", F.size("regions").cast("long").alias("n"), F.aggregate("regions", F.lit(0), lambda a, r: a + F.length(r["text"])).cast("long").alias("chars"))
+    return read.select(
+        "image", "source", F.size("regions").cast("long").alias("n"),
+        F.aggregate("regions", F.lit(0), lambda a, r: a + F.length(r["text"])).cast("long").alias("chars")
+    )
 
 
-@query(f"""WITH {FIXTURE}, x AS (SELECT image, string_agg(pi || ':' || type, ',' ORDER BY pi) AS t, count(*) AS n FROM pr GROUP BY image) SELECT image, n, t AS types FROM x""")
+@query(
+    f"""WITH {FIXTURE}, x AS (SELECT image, string_agg(pi || ':' || type, ',' ORDER BY pi) AS t, count(*) AS n FROM pr GROUP BY image) SELECT image, n, t AS types FROM x"""
+)
 def viewer_pages(spark, sf_dir):
     """Each page's annotated regions as one JSON text, and read back."""
     found, _ = _annotated(spark, sf_dir)
     read = sinks.viewer_json(found).select("image", F.from_json("json", "array<struct<id:int,type:string>>").alias("r"))
-    return read.select("image", F.size("r").cast("long").alias("n"), F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["id"].cast("string"), x["type"])), ",").alias("types"))
+    return read.select(
+        "image", F.size("r").cast("long").alias("n"),
+        F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["id"].cast("string"), x["type"])), ",").alias("types")
+    )

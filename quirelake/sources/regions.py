@@ -31,7 +31,9 @@ def read_pages(spark: SparkSession, path: str, strict: bool = False, may_miss: b
     try:
         if strict:
             return spark.read.schema(PAGE).option("mode", "FAILFAST").json(path)
-        rows = spark.read.schema(T.StructType([*PAGE.fields, T.StructField("_bad", T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+        rows = spark.read.schema(
+            T.StructType([*PAGE.fields, T.StructField("_bad", T.StringType())])
+        ).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     except AnalysisException as e:
         if may_miss and _missing(e):
             return spark.createDataFrame([], PAGE)
@@ -58,7 +60,9 @@ def stem(c: Column) -> Column:
 
 def read_region_csv(spark: SparkSession, path: str) -> DataFrame:
     """image, regions (JSON text)."""
-    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).schema("image string, regions string").csv(path)
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).schema(
+        "image string, regions string"
+    ).csv(path)
 
 
 def _typed(loose: Column) -> Column:
@@ -81,7 +85,9 @@ def parse_lenient(c: Column) -> Column:
     objects = F.filter(parsed.cast("array<variant>"), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
     one_by_one = F.transform(objects, lambda v: F.from_json(F.to_json(v), _LOOSE[6:-1]))  # where an odd element spoils the list
     read = F.coalesce(F.from_json(c, _LOOSE), one_by_one)
-    return F.when(F.schema_of_variant(parsed).startswith("ARRAY"), F.coalesce(_typed(read), F.array().cast(REGIONS))).otherwise(F.array().cast(REGIONS))
+    return F.when(
+        F.schema_of_variant(parsed).startswith("ARRAY"), F.coalesce(_typed(read), F.array().cast(REGIONS))
+    ).otherwise(F.array().cast(REGIONS))
 
 
 def region_errors(rows: DataFrame, submission: bool = True) -> DataFrame:
@@ -89,11 +95,20 @@ def region_errors(rows: DataFrame, submission: bool = True) -> DataFrame:
     v = F.try_parse_json("regions")
     rows = rows.where(F.col("regions").isNotNull() & (F.col("regions") != "")).select("image", "regions", v.alias("v"))
     kind = F.schema_of_variant("v")
-    whole = rows.where(F.col("v").isNull() | ~kind.startswith("ARRAY")).select("image", F.lit(None).cast("int").alias("i"), F.when(F.col("v").isNull(), "invalid JSON").otherwise("regions must be a JSON list").alias("error"))
-    items = rows.where(F.col("v").isNotNull() & kind.startswith("ARRAY")).select("image", F.posexplode(F.expr("cast(v as array<variant>)")).alias("i", "r"))
-    items = items.withColumn("k", F.schema_of_variant("r")).withColumn("b", F.expr("try_variant_get(r, '$.bbox', 'array<variant>')")).withColumn("t", F.expr("try_variant_get(r, '$.type', 'string')")).withColumn("text", F.to_json("r"))
+    whole = rows.where(F.col("v").isNull() | ~kind.startswith("ARRAY")).select(
+        "image", F.lit(None).cast("int").alias("i"),
+        F.when(F.col("v").isNull(), "invalid JSON").otherwise("regions must be a JSON list").alias("error")
+    )
+    items = rows.where(F.col("v").isNotNull() & kind.startswith("ARRAY")).select(
+        "image", F.posexplode(F.expr("cast(v as array<variant>)")).alias("i", "r")
+    )
+    items = items.withColumn("k", F.schema_of_variant("r")).withColumn(
+        "b", F.expr("try_variant_get(r, '$.bbox', 'array<variant>')")
+    ).withColumn("t", F.expr("try_variant_get(r, '$.type', 'string')")).withColumn("text", F.to_json("r"))
     has = lambda name: F.array_contains(F.json_object_keys("text"), name)
-    error = F.when(F.col("k").isNull() | ~F.col("k").startswith("OBJECT"), "must be a JSON object").when(~has("bbox"), 'missing "bbox" field').when(F.col("b").isNull() | (F.size("b") != 4), "bbox must be [x1, y1, x2, y2]")
+    error = F.when(
+        F.col("k").isNull() | ~F.col("k").startswith("OBJECT"), "must be a JSON object"
+    ).when(~has("bbox"), 'missing "bbox" field').when(F.col("b").isNull() | (F.size("b") != 4), "bbox must be [x1, y1, x2, y2]")
     if submission:
         error = error.when(has("type") & ~F.coalesce(F.col("t").isin(*REGION_TYPES), F.lit(False)), "invalid type")
     return whole.unionByName(items.select("image", "i", error.alias("error")).where(F.col("error").isNotNull()))
@@ -102,20 +117,27 @@ def region_errors(rows: DataFrame, submission: bool = True) -> DataFrame:
 def parse_strict(rows: DataFrame, submission: bool = True) -> DataFrame:
     """(image, regions) with typed regions; raises InvalidRegions naming up to five violations."""
     if found := region_errors(rows, submission).orderBy("image", "i").limit(5).collect():
-        raise InvalidRegions("; ".join(f'image "{r["image"]}"' + (f', region {r["i"]}' if r["i"] is not None else "") + f': {r["error"]}' for r in found))
+        raise InvalidRegions(
+            "; ".join(f'image "{r["image"]}"' + (f', region {r["i"]}' if r["i"] is not None else "") + f': {r["error"]}' for r in found)
+        )
     empty = F.col("regions").isNull() | (F.col("regions") == "")
     return rows.withColumn("regions", F.when(empty, F.array().cast(REGIONS)).otherwise(_typed(F.from_json("regions", _LOOSE))))
 
 
 def page_sizes(pages: DataFrame) -> DataFrame:
     """image (base name), width, height, source of test pages."""
-    return pages.select(basename(F.col("file_name")).alias("image"), F.col("image_width").alias("width"), F.col("image_height").alias("height"), F.coalesce("source", F.lit("unknown")).alias("source"))
+    return pages.select(
+        basename(F.col("file_name")).alias("image"), F.col("image_width").alias("width"), F.col("image_height").alias("height"),
+        F.coalesce("source", F.lit("unknown")).alias("source")
+    )
 
 
 def image_index(paths: DataFrame, root: str, last_wins: bool = False) -> DataFrame:
     """key, path for the names that each file under ``root`` goes by. ``paths`` has path. The first (or last) path by name keeps a key."""
     rel = F.regexp_replace("path", f"^(?:file:)?{root.rstrip('/')}/", "")
-    keys = F.array(basename(F.col("path")), stem(F.col("path"))) if last_wins else F.array(basename(F.col("path")), stem(F.col("path")), rel, F.concat(F.lit("images/"), basename(F.col("path"))))
+    keys = F.array(basename(F.col("path")), stem(F.col("path"))) if last_wins else F.array(
+        basename(F.col("path")), stem(F.col("path")), rel, F.concat(F.lit("images/"), basename(F.col("path")))
+    )
     pick = F.max if last_wins else F.min
     return paths.select("path", F.explode(F.array_distinct(keys)).alias("key")).groupBy("key").agg(pick("path").alias("path"))
 
@@ -132,7 +154,9 @@ def resolve_images(names: DataFrame, index: DataFrame, order: tuple[str, ...] =
     """name and path: looked up by each of the ways in ``order``; null where none finds one."""
     ways = {"whole": F.col("name"), "base": basename(F.col("name")), "stem": stem(F.col("name"))}
     keys = F.array(*[ways[w] for w in order])
-    tried = names.select("name", F.posexplode(keys).alias("rank", "key")).join(index, "key").groupBy("name").agg(F.min_by("path", "rank").alias("path"))
+    tried = names.select(
+        "name", F.posexplode(keys).alias("rank", "key")
+    ).join(index, "key").groupBy("name").agg(F.min_by("path", "rank").alias("path"))
     return names.join(tried, "name", "left")
 
 
@@ -148,7 +172,9 @@ def _ahead(crops: DataFrame, order: str) -> DataFrame:
     """Each page number and how many crops stand before its page."""
     pages = crops.groupBy(order).agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col(order) / 10_000))
     blocks = pages.groupBy("block").agg(F.sum("n").alias("bn"))
-    before_block = blocks.withColumn("before", F.coalesce(F.sum("bn").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before_block = blocks.withColumn(
+        "before", F.coalesce(F.sum("bn").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
     inside = Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return pages.join(before_block, "block").select(order, (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("ahead"))
 
@@ -165,7 +191,10 @@ def read_crop_pages(spark: SparkSession, path: str) -> DataFrame:
         if _missing(e):
             return spark.createDataFrame([], f"{schema}, page_no long")
         raise
-    rows = lines.where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("page_no"), F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    rows = lines.where(F.trim("value") != "").select(
+        F.monotonically_increasing_id().alias("page_no"),
+        F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")
+    )
     return rows.where(F.col("r").isNotNull() & F.col("r._bad").isNull()).select("r.*", "page_no").drop("_bad")
 
 
@@ -175,13 +204,19 @@ def crops_from_lines(pages: DataFrame, index: DataFrame, split: str, weight: flo
     Only pages whose image ``index`` (key, path) finds count, by whole name or stem. Names number the crops through the whole file. With
     ``most`` a page is left out once that many crops stand before it, so the limit can be passed by one page's crops.
     """
-    named = pages.select("page_no", first_text("image", "file_name", "filename", "id").alias("name"), _first_boxes("regions", "annotations").alias("regions")).where("name IS NOT NULL")
+    named = pages.select(
+        "page_no", first_text("image", "file_name", "filename", "id").alias("name"), _first_boxes("regions", "annotations").alias("regions")
+    ).where("name IS NOT NULL")
     keys = F.array(F.col("name"), stem(F.col("name")))
-    tried = named.select("page_no", F.posexplode(keys).alias("rank", "key")).join(index, "key").groupBy("page_no").agg(F.min_by("path", "rank").alias("source_image"))
+    tried = named.select(
+        "page_no", F.posexplode(keys).alias("rank", "key")
+    ).join(index, "key").groupBy("page_no").agg(F.min_by("path", "rank").alias("source_image"))
     r = F.col("r")
     box = F.coalesce(F.when(F.size(r["bbox"]) > 0, r["bbox"]), F.when(F.size(r["bbox_2d"]) > 0, r["bbox_2d"]))
     kind, text = F.coalesce(r["type"], F.lit("handwritten")), strip(F.coalesce(r["text"], F.lit("")))
-    usable = (text != "") & (F.coalesce(r["language"], F.lit("uk")) == "uk") & (F.coalesce(r["legibility"], F.lit("legible")) != "illegible") & ~kind.isin(*NON_SCORABLE) & box.isNotNull()
+    usable = (text != "") & (F.coalesce(r["language"], F.lit("uk")) == "uk") & (
+        F.coalesce(r["legibility"], F.lit("legible")) != "illegible"
+    ) & ~kind.isin(*NON_SCORABLE) & box.isNotNull()
     rows = named.join(tried, "page_no").select("page_no", "name", "source_image", F.posexplode("regions").alias("i", "r")).where(usable)
     rows = rows.select("page_no", "name", "source_image", "i", box.alias("bbox"), kind.alias("type"), text.alias("text"))
     if most is not None:
@@ -189,7 +224,10 @@ def crops_from_lines(pages: DataFrame, index: DataFrame, split: str, weight: flo
     rows = rows.join(_ahead(rows, "page_no"), "page_no")
     place = F.col("ahead") + F.row_number().over(Window.partitionBy("page_no").orderBy("i")) - 1
     path = F.concat(stem(F.col("name")), F.format_string("_r%06d.jpg", place))
-    return rows.select(path.alias("image_path"), "source_image", "bbox", normalize_target(F.col("text"), F.col("type")).alias("text"), F.lit(weight).alias("weight"), F.lit(split).alias("source"), "type")
+    return rows.select(
+        path.alias("image_path"), "source_image", "bbox", normalize_target(F.col("text"), F.col("type")).alias("text"), F.lit(weight).alias("weight"),
+        F.lit(split).alias("source"), "type"
+    )
 
 
 def _first_boxes(*names: str) -> Column:
@@ -198,11 +236,16 @@ def _first_boxes(*names: str) -> Column:
 
 def crops(pages: DataFrame, split: str, weight: float, usable=train_usable) -> DataFrame:
     """A row for each usable region: image, page position, source, type, text, bbox, weight and a running crop name."""
-    named = pages.select(first_text("image", "file_name", "filename", "id").alias("image"), F.coalesce("source", F.lit("unknown")).alias("source"), first_list("regions", "annotations", "labels").alias("regions"))
+    named = pages.select(
+        first_text("image", "file_name", "filename", "id").alias("image"), F.coalesce("source", F.lit("unknown")).alias("source"),
+        first_list("regions", "annotations", "labels").alias("regions")
+    )
     rows = named.select("image", "source", F.posexplode("regions").alias("idx", "r")).where(usable(F.col("r")))
     rank = F.row_number().over(Window.partitionBy("image").orderBy("idx")) - 1
     name = F.concat(F.lit(f"{split}/"), stem(F.col("image")), F.format_string("_r%06d.jpg", rank))
-    return rows.select("image", "source", "idx", "r.bbox", "r.type", F.col("r.text").alias("text"), name.alias("image_path"), F.lit(weight).alias("weight"))
+    return rows.select(
+        "image", "source", "idx", "r.bbox", "r.type", F.col("r.text").alias("text"), name.alias("image_path"), F.lit(weight).alias("weight")
+    )
 
 
 def silver_crops(pages: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -216,7 +259,11 @@ def read_external_labels(spark: SparkSession, path: str, kind: str) -> DataFrame
         return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("image", "text"))
     if kind == "csv":
         raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-        names = {c: "image" if c.lower() in ("image", "filename", "file", "path") else "text" if c.lower() in ("text", "label", "transcript", "transcription") else c for c in raw.columns}
+        names = {
+            c: "image" if c.lower() in ("image", "filename", "file", "path") else "text" if c.lower() in (
+                "text", "label", "transcript", "transcription"
+            ) else c for c in raw.columns
+        }
         return raw.withColumnsRenamed(names).select("image", "text")
     text = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return text.select(stem(F.input_file_name()).alias("image"), F.col("value").alias("text"))
@@ -246,7 +293,9 @@ def read_word_list(spark: SparkSession, paths: list[str], least: int = 2) -> Dat
 
 def label_file_counts(spark: SparkSession, path: str) -> DataFrame:
     """class and n over detector label files."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+")[0].cast("int").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    return spark.read.text(path).where(F.trim("value") != "").select(
+        F.split(F.trim("value"), r"\s+")[0].cast("int").alias("class")
+    ).groupBy("class").agg(F.count("*").alias("n"))
 
 
 def row_count(spark: SparkSession, path: str) -> int:
@@ -259,11 +308,18 @@ def row_count(spark: SparkSession, path: str) -> int:
         raise
 
 
-def read_manifest(spark: SparkSession, path: str, most: int | None = None, order: str = "image_path", defaults: dict[str, object] | None = None) -> DataFrame:
+def read_manifest(
+    spark: SparkSession, path: str, most: int | None = None, order: str = "image_path", defaults: dict[str, object] | None = None
+) -> DataFrame:
     """A CSV manifest, its first ``most`` rows by ``order`` if a limit is asked for, with defaults for columns that lack or hold nothing."""
     rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
     for name, value in (defaults or {}).items():
-        rows = rows.withColumn(name, F.coalesce(F.col(name).try_cast({int: "long", float: "double", bool: "boolean"}.get(type(value), "string")), F.lit(value)) if name in rows.columns else F.lit(value))
+        rows = rows.withColumn(
+            name,
+            F.coalesce(
+                F.col(name).try_cast({int: "long", float: "double", bool: "boolean"}.get(type(value), "string")), F.lit(value)
+            ) if name in rows.columns else F.lit(value)
+        )
     return rows if most is None else rows.orderBy(order).limit(most)
 
 
@@ -271,6 +327,11 @@ def detections_to_regions(rows: DataFrame, least_conf: float = 0.0) -> DataFrame
     """image and regions from detector rows (image, x1, y1, x2, y2, class number, conf): by falling confidence, texts empty."""
     kind = F.element_at(F.array(*[F.lit(t) for t in REGION_TYPES]), F.col("class") + 1)
     box = F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])
-    one = F.struct(box.alias("bbox"), kind.alias("type"), F.lit("").alias("text"), F.lit("uk").alias("language"), F.lit("legible").alias("legibility"), F.col("conf").cast("double").alias("conf"))
+    one = F.struct(
+        box.alias("bbox"), kind.alias("type"), F.lit("").alias("text"), F.lit("uk").alias("language"), F.lit("legible").alias("legibility"),
+        F.col("conf").cast("double").alias("conf")
+    )
     keyed = F.struct((-F.col("conf")).alias("k"), box.alias("b"), one.alias("r"))
-    return rows.where(F.col("conf") >= least_conf).groupBy("image").agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["r"]).alias("regions"))
+    return rows.where(F.col("conf") >= least_conf).groupBy("image").agg(
+        F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["r"]).alias("regions")
+    )

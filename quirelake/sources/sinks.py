@@ -19,14 +19,18 @@ def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 def write_region_csv(rows: DataFrame, path: str, mode: str = "errorifexists", half_even: bool = True) -> None:
     """image and regions as JSON text."""
-    rows.select("image", regions_json(F.col("regions"), half_even).alias("regions")).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    rows.select(
+        "image", regions_json(F.col("regions"), half_even).alias("regions")
+    ).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_solution_csv(pages: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The validation solution of pages: image, source and all regions as they are, as JSON text."""
     from ..operators.curation import valid_solution
 
-    valid_solution(pages).select("image", "source", F.to_json("regions").alias("regions")).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    valid_solution(pages).select(
+        "image", "source", F.to_json("regions").alias("regions")
+    ).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def report(sections: dict, most: int = 1000) -> dict:
@@ -60,10 +64,18 @@ def write_manifest(rows: DataFrame, path: str, mode: str = "errorifexists") -> N
 def detector_labels(pages: DataFrame, least: float = 5) -> DataFrame:
     """image and the lines of its label file: class number, centre and size with six places. Boxes under five pixels are left out."""
     number = F.create_map(*[F.lit(x) for i, t in enumerate(REGION_TYPES) for x in (t, i)])
-    rows = pages.select("image", F.posexplode("regions").alias("i", "r"), F.col("image_width").cast("double").alias("w"), F.col("image_height").cast("double").alias("h"))
-    boxed = rows.select("image", "i", number[F.coalesce("r.type", F.lit("handwritten"))].alias("class"), normalized_box(F.col("r.bbox"), F.col("w"), F.col("h")).alias("b")).where("b IS NOT NULL AND class IS NOT NULL")
+    rows = pages.select(
+        "image", F.posexplode("regions").alias("i", "r"), F.col("image_width").cast("double").alias("w"),
+        F.col("image_height").cast("double").alias("h")
+    )
+    boxed = rows.select(
+        "image", "i", number[F.coalesce("r.type", F.lit("handwritten"))].alias("class"),
+        normalized_box(F.col("r.bbox"), F.col("w"), F.col("h")).alias("b")
+    ).where("b IS NOT NULL AND class IS NOT NULL")
     line = F.format_string("%d %.6f %.6f %.6f %.6f", "class", F.col("b")[0], F.col("b")[1], F.col("b")[2], F.col("b")[3])
-    return boxed.groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "\n").alias("label"))
+    return boxed.groupBy("image").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "\n").alias("label")
+    )
 
 
 def write_detector_labels(pages: DataFrame, path: str, mode: str = "errorifexists") -> None:

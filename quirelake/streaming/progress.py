@@ -12,7 +12,12 @@ from pyspark.sql import types as T
 
 from ..schema import REGIONS
 
-RECORD = T.StructType([T.StructField("seq", T.LongType()), T.StructField("image", T.StringType()), T.StructField("source", T.StringType()), T.StructField("regions", REGIONS), T.StructField("conf", T.DoubleType()), T.StructField("iou", T.DoubleType())])
+RECORD = T.StructType(
+    [
+        T.StructField("seq", T.LongType()), T.StructField("image", T.StringType()), T.StructField("source", T.StringType()),
+        T.StructField("regions", REGIONS), T.StructField("conf", T.DoubleType()), T.StructField("iou", T.DoubleType())
+    ]
+)
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -40,7 +45,9 @@ def completed(target: DataFrame, done: DataFrame) -> DataFrame:
 def coverage(target: DataFrame, done: DataFrame) -> DataFrame:
     """Pages done of all target pages, by source."""
     marked = target.join(done.select("image", F.lit(1).alias("hit")).distinct(), "image", "left")
-    return marked.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("hit").alias("done"), F.count("*").alias("target")).withColumn("complete", F.col("done") == F.col("target"))
+    return marked.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(
+        F.count("hit").alias("done"), F.count("*").alias("target")
+    ).withColumn("complete", F.col("done") == F.col("target"))
 
 
 def upsert(spark: SparkSession, log: str, state: str, checkpoint: str, seconds: float | None = None, buckets: int = 16) -> bool:
@@ -147,7 +154,9 @@ def log_exists(spark: SparkSession, log: str) -> bool:
 def partial_output(sample: DataFrame, state: DataFrame, order: str) -> DataFrame:
     """A whole submission at any time: the sample's images in order, empty where nothing is done yet."""
     got = state.select("image", "regions")
-    return sample.select("image", order).join(got, "image", "left").withColumn("regions", F.coalesce("regions", F.array().cast(REGIONS))).orderBy(order)
+    return sample.select("image", order).join(got, "image", "left").withColumn(
+        "regions", F.coalesce("regions", F.array().cast(REGIONS))
+    ).orderBy(order)
 
 
 def shard(pages: DataFrame, shard_id: int, shards: int, key: str = "image") -> DataFrame:
@@ -157,11 +166,17 @@ def shard(pages: DataFrame, shard_id: int, shards: int, key: str = "image") -> D
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums by event type and window; on a stream with a watermark. A platform capability beside the progress log."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(
+        F.count("*").alias("n"), F.sum("value").alias("total")
+    ).select(
+        F.col("w.start").alias("window_start"), "event_type", "n", "total"
+    )
 
 
 def sessions(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     """Sessions of users by gaps, in batch: user_id, session, start, end, n."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     new = F.coalesce((F.col("ts").cast("double") - F.lag("ts").over(w).cast("double") > gap_seconds).cast("int"), F.lit(0))
-    return events.withColumn("__new", new).withColumn("session", F.sum("__new").over(w)).groupBy("user_id", "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
+    return events.withColumn("__new", new).withColumn("session", F.sum("__new").over(w)).groupBy("user_id", "session").agg(
+        F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n")
+    )

@@ -57,7 +57,9 @@ def test_audit(spark):
 
     page = spark.createDataFrame([("a", None, None, None, "s", 10, 10, regions, None, None)], PAGE)
     got = curation.audit(page).first()
-    assert (got["total_regions"], got["scorable_regions"], got["scorable_ratio"], got["avg_text_len"], got["rare_types"]) == (13, 12, 0.9231, 5.0, ["printed", "formula", "table", "annotation", "image", "graph"])
+    assert (
+        got["total_regions"], got["scorable_regions"], got["scorable_ratio"], got["avg_text_len"], got["rare_types"]
+    ) == (13, 12, 0.9231, 5.0, ["printed", "formula", "table", "annotation", "image", "graph"])
 
 
 def test_model_seam_halves_batches(spark):
@@ -72,9 +74,14 @@ def test_model_seam_halves_batches(spark):
 
 
 def test_geometry(spark):
-    row = spark.createDataFrame([([10.0, 20.0, 110.0, 60.0], [0.2, 0.2, 0.3, 0.3], [5.0, 5.0, 8.0, 30.0])], "a array<double>, u array<double>, s array<double>")
+    row = spark.createDataFrame(
+        [([10.0, 20.0, 110.0, 60.0], [0.2, 0.2, 0.3, 0.3], [5.0, 5.0, 8.0, 30.0])], "a array<double>, u array<double>, s array<double>"
+    )
     w, h = F.lit(200.0), F.lit(100.0)
-    got = row.select(G.normalized_box(F.col("a"), w, h).alias("a"), G.normalized_box(F.col("u"), w, h).alias("u"), G.normalized_box(F.col("s"), w, h).alias("s"), G.resized(F.lit(1000), F.lit(256)).alias("r"), G.iou_metric(F.col("a"), F.col("a")).alias("i"), G.iou(F.col("s"), F.col("a")).alias("z")).first()
+    got = row.select(
+        G.normalized_box(F.col("a"), w, h).alias("a"), G.normalized_box(F.col("u"), w, h).alias("u"), G.normalized_box(F.col("s"), w, h).alias("s"),
+        G.resized(F.lit(1000), F.lit(256)).alias("r"), G.iou_metric(F.col("a"), F.col("a")).alias("i"), G.iou(F.col("s"), F.col("a")).alias("z")
+    ).first()
     assert got["a"] == pytest.approx([0.3, 0.4, 0.5, 0.4]) and got["u"] == [0.2, 0.2, 0.3, 0.3] and got["s"] is None
     assert tuple(got["r"]) == (500, 128) and got["i"] == 1.0 and got["z"] == 0.0
 
@@ -89,13 +96,17 @@ def test_compare(spark):
 def test_readers_and_writers(spark, tmp_path):
     p = tmp_path / "pages.jsonl"
     p.write_text('{"image": "a.jpg", "regions": [{"bbox": [1, 2, 30, 40], "text": "ї"}]}\n\n{bad\n{"file_name": "d/b.jpg"}\n', encoding="utf-8")
-    got = S.read_pages(spark, str(p)).select(S.first_text("image", "file_name").alias("n"), F.size(S.first_list("regions", "annotations")).alias("k")).collect()
+    got = S.read_pages(spark, str(p)).select(
+        S.first_text("image", "file_name").alias("n"), F.size(S.first_list("regions", "annotations")).alias("k")
+    ).collect()
     assert sorted(map(tuple, got)) == [("a.jpg", 1), ("d/b.jpg", 0)]
     with pytest.raises(Exception):
         S.read_pages(spark, str(p), strict=True).collect()
     assert S.read_pages(spark, str(tmp_path / "none.jsonl")).count() == 0
     assert S.row_count(spark, str(p)) == 3 and S.row_count(spark, str(tmp_path / "no")) == 0
-    rows = spark.createDataFrame([("a", [([1.5, 2.5, 3.0, 4.0], "table", ' "x",\n y ')])], "image string, regions array<struct<bbox:array<double>,type:string,text:string>>")
+    rows = spark.createDataFrame(
+        [("a", [([1.5, 2.5, 3.0, 4.0], "table", ' "x",\n y ')])], "image string, regions array<struct<bbox:array<double>,type:string,text:string>>"
+    )
     sinks.write_region_csv(rows, str(tmp_path / "out"))
     back = S.parse_strict(S.read_region_csv(spark, str(tmp_path / "out"))).first()
     assert back["regions"][0]["bbox"] == [2.0, 2.0, 3.0, 4.0] and back["regions"][0]["text"] == '"x",\n y'

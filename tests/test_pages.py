@@ -26,7 +26,9 @@ PRED = [
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, r if isinstance(r, str) or r is None else json.dumps(r, ensure_ascii=False)) for i, r in rows], "image string, regions string")
+    return spark.createDataFrame(
+        [(i, r if isinstance(r, str) or r is None else json.dumps(r, ensure_ascii=False)) for i, r in rows], "image string, regions string"
+    )
 
 
 def scored(spark, gt, pred):
@@ -65,11 +67,20 @@ def test_lost_region_of_unscorable_match_leaves_page_text(spark):
     assert got["pred_chars"] == len("Сьогодні гарна пагода") and got["cer_n"] == 1
 
 
-@pytest.mark.parametrize("bad,error", [("{", "invalid JSON"), ('{"a": 1}', "JSON list"), ("[5]", "JSON object"), ('[{"type": "table"}]', "missing"), ('[{"bbox": [1, 2, 3]}]', "bbox must"), ('[{"bbox": [1, 2, 3, 4], "type": "x"}]', "invalid type"), ('[{"bbox": [1, 2, 3, 4], "type": null}]', "invalid type")])
+@pytest.mark.parametrize(
+    "bad,error",
+    [
+        ("{", "invalid JSON"), ('{"a": 1}', "JSON list"), ("[5]", "JSON object"), ('[{"type": "table"}]', "missing"),
+        ('[{"bbox": [1, 2, 3]}]', "bbox must"), ('[{"bbox": [1, 2, 3, 4], "type": "x"}]', "invalid type"),
+        ('[{"bbox": [1, 2, 3, 4], "type": null}]', "invalid type")
+    ]
+)
 def test_strict_errors(spark, bad, error):
     with pytest.raises(InvalidRegions, match=error):
         parse_strict(frame(spark, [("i", bad)]))
-    assert frame(spark, [("i", bad)]).select(F.size(parse_lenient(F.col("regions"))).alias("n")).first()["n"] == (1 if bad.startswith("[") and bad != "[5]" else 0) or bad == "[5]"
+    assert frame(spark, [("i", bad)]).select(
+        F.size(parse_lenient(F.col("regions"))).alias("n")
+    ).first()["n"] == (1 if bad.startswith("[") and bad != "[5]" else 0) or bad == "[5]"
 
 
 def test_solution_types_are_free(spark):
@@ -97,8 +108,13 @@ def test_matching_against_brute_force(spark):
     rng = random.Random(5)
     box = lambda: (lambda x, y: [x, y, x + rng.randint(2, 6), y + rng.randint(2, 6)])(rng.randint(0, 6), rng.randint(0, 6))
     cases = [([box() for _ in range(rng.randint(0, 6))], [box() for _ in range(rng.randint(0, 6))]) for _ in range(60)]
-    rows = spark.createDataFrame([(i, [[float(v) for v in b] for b in g], [[float(v) for v in b] for b in p]) for i, (g, p) in enumerate(cases)], "i int, g array<array<double>>, p array<array<double>>")
-    boxed = rows.select("i", F.transform("g", lambda b: F.struct(b.alias("bbox"))).alias("g"), F.transform("p", lambda b: F.struct(b.alias("bbox"))).alias("p"))
+    rows = spark.createDataFrame(
+        [(i, [[float(v) for v in b] for b in g], [[float(v) for v in b] for b in p]) for i, (g, p) in enumerate(cases)],
+        "i int, g array<array<double>>, p array<array<double>>"
+    )
+    boxed = rows.select(
+        "i", F.transform("g", lambda b: F.struct(b.alias("bbox"))).alias("g"), F.transform("p", lambda b: F.struct(b.alias("bbox"))).alias("p")
+    )
     for r in boxed.select("i", pages.greedy_pairs(F.col("g"), F.col("p"), 0.3).alias("m")).collect():
         assert sorted((m["gi"], m["pi"]) for m in r["m"]) == brute_pairs(*cases[r["i"]], 0.3)
 

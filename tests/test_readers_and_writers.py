@@ -28,7 +28,13 @@ BOX = [10.0, 10.0, 50.0, 30.0]
 @pytest.fixture(scope="module")
 def some(spark):
     rows = [
-        page("d/a.jpg", [(BOX, "handwritten", "слово", "uk", "legible"), (BOX, "image", "", "uk", "legible"), (BOX, "table", "x", "other", "legible"), (BOX, "printed", "y", None, None)]),
+        page(
+            "d/a.jpg",
+            [
+                (BOX, "handwritten", "слово", "uk", "legible"), (BOX, "image", "", "uk", "legible"), (BOX, "table", "x", "other", "legible"),
+                (BOX, "printed", "y", None, None)
+            ]
+        ),
         page("b.jpg", [(BOX, "formula", " ", "uk", "legible"), (BOX, None, "z", "uk", "illegible")], None),
         page("c.jpg", []),
     ]
@@ -46,9 +52,13 @@ def test_sizes_and_solution(spark, some, tmp_path):
 
 
 def test_histograms_and_filters(some, spark):
-    assert {r["type"]: r["n"] for r in curation.type_histogram(some).collect()} == {"handwritten": 2, "image": 1, "table": 1, "printed": 1, "formula": 1}
+    assert {r["type"]: r["n"] for r in curation.type_histogram(some).collect()} == {
+        "handwritten": 2, "image": 1, "table": 1, "printed": 1, "formula": 1
+    }
     assert [r["image"] for r in curation.of_sources(some, ["s"]).select("image").collect()] == ["d/a.jpg", "c.jpg"]
-    crops = spark.createDataFrame([("a", "ok", 20, 20), ("b", "x", 20, 20), ("c", "fine", 9, 20), ("d", "fine", None, None)], "image string, text string, width int, height int")
+    crops = spark.createDataFrame(
+        [("a", "ok", 20, 20), ("b", "x", 20, 20), ("c", "fine", 9, 20), ("d", "fine", None, None)], "image string, text string, width int, height int"
+    )
     assert [r["image"] for r in curation.external_quality(crops).collect()] == ["a", "d"]
 
 
@@ -61,16 +71,28 @@ def test_crops(some):
 def test_crops_from_lines(spark, tmp_path):
     region = lambda text, **more: {"bbox": [1, 2, 30, 40], "text": text} | more
     lines = [
-        {"image": "a.jpg", "regions": [region(" один  два "), region("", type="printed"), region("три", bbox=None, bbox_2d=[1, 1, 9, 9], type="table")]},
+        {
+            "image": "a.jpg",
+            "regions": [region(" один  два "), region("", type="printed"), region("три", bbox=None, bbox_2d=[1, 1, 9, 9], type="table")]
+        },
         {"file_name": "gone.jpg", "regions": [region("ні")]},
-        {"id": "b", "annotations": [region("чотири", language="other"), region("п'ять", legibility="illegible"), region("шість"), region("сім", type="graph")]},
+        {
+            "id": "b",
+            "annotations": [region("чотири", language="other"), region("п'ять", legibility="illegible"), region("шість"), region("сім", type="graph")]
+        },
         {"image": "c.jpg", "regions": [region("вісім")]},
     ]
-    (tmp_path / "p.jsonl").write_text("\n".join([json.dumps(x, ensure_ascii=False) for x in lines[:2]] + ["{bad", ""] + [json.dumps(x, ensure_ascii=False) for x in lines[2:]]), encoding="utf-8")
+    (tmp_path / "p.jsonl").write_text(
+        "\n".join([json.dumps(x, ensure_ascii=False) for x in lines[:2]] + ["{bad", ""] + [json.dumps(x, ensure_ascii=False) for x in lines[2:]]),
+        encoding="utf-8"
+    )
     index = S.image_index(spark.createDataFrame([("/r/a.jpg",), ("/r/b.png",), ("/r/c.jpg",)], "path string"), "/r", last_wins=True)
     pages_ = S.read_crop_pages(spark, str(tmp_path / "p.jsonl"))
     got = sorted(tuple(r) for r in S.crops_from_lines(pages_, index, "gold").select("image_path", "source_image", "text", "type").collect())
-    assert got == [("a_r000000.jpg", "/r/a.jpg", "один два", "handwritten"), ("a_r000001.jpg", "/r/a.jpg", "три", "table"), ("b_r000002.jpg", "/r/b.png", "шість", "handwritten"), ("c_r000003.jpg", "/r/c.jpg", "вісім", "handwritten")]
+    assert got == [
+        ("a_r000000.jpg", "/r/a.jpg", "один два", "handwritten"), ("a_r000001.jpg", "/r/a.jpg", "три", "table"),
+        ("b_r000002.jpg", "/r/b.png", "шість", "handwritten"), ("c_r000003.jpg", "/r/c.jpg", "вісім", "handwritten")
+    ]
     for most, n in ((1, 2), (2, 2), (3, 3), (4, 4)):  # the limit is tested before a page, so one page may pass it
         assert sorted(r["image_path"] for r in S.crops_from_lines(pages_, index, "gold", most=most).collect()) == [g[0] for g in got[:n]]
     assert S.crops_from_lines(S.read_crop_pages(spark, str(tmp_path / "none")), index, "gold").count() == 0
@@ -110,7 +132,10 @@ def test_labels_and_words(spark, tmp_path):
 
 def test_jitter(spark):
     box = spark.range(200).select(F.array(*[(F.col("id") + k).cast("double") for k in (100, 100, 200, 150)]).alias("b"))
-    moved = box.select(G.crop_rect(F.col("b"), F.lit(10_000), F.lit(10_000)).alias("p"), G.crop_rect(F.col("b"), F.lit(10_000), F.lit(10_000), jitter=3, seed=1).alias("j")).collect()
+    moved = box.select(
+        G.crop_rect(F.col("b"), F.lit(10_000), F.lit(10_000)).alias("p"),
+        G.crop_rect(F.col("b"), F.lit(10_000), F.lit(10_000), jitter=3, seed=1).alias("j")
+    ).collect()
     off = [[y - x for x, y in zip(r["p"], r["j"], strict=True)] for r in moved]
     assert {v for o in off for v in o} == set(range(-3, 4)) and len({tuple(o) for o in off}) > 100
 
@@ -122,13 +147,17 @@ def test_writers(spark, some, tmp_path):
     assert tuple(S.read_manifest(spark, str(tmp_path / "m")).first()) == ("a", "[1.0,2.0]", 'q"t')
     sinks.write_detector_labels(some.withColumn("image", S.stem(F.col("image"))), str(tmp_path / "d"))
     lines = spark.read.text(str(tmp_path / "d")).where("value <> ''").collect()
-    assert sorted(r["value"].split()[0] for r in lines) == ["0", "0", "1", "2", "3", "5"] and all(r["value"].endswith("0.300000 0.250000 0.400000 0.250000") for r in lines)
+    assert sorted(r["value"].split()[0] for r in lines) == ["0", "0", "1", "2", "3", "5"] and all(
+        r["value"].endswith("0.300000 0.250000 0.400000 0.250000") for r in lines
+    )
 
 
 def test_reports(spark, tmp_path):
     one, many = spark.createDataFrame([(0.5, None)], "score double, x string"), spark.range(5)
     got = sinks.report({"metric": one, "detail": {"rows": many, "note": "так"}}, most=3)
-    assert got == {"metric": {"score": 0.5, "x": None}, "detail": {"rows": {"rows": [{"id": 0}, {"id": 1}, {"id": 2}], "truncated": True}, "note": "так"}}
+    assert got == {
+        "metric": {"score": 0.5, "x": None}, "detail": {"rows": {"rows": [{"id": 0}, {"id": 1}, {"id": 2}], "truncated": True}, "note": "так"}
+    }
     sinks.write_report(spark, {"metric": one, "detail": {"n": 1}}, str(tmp_path / "r"))
     whole = lambda name: spark.read.text(str(tmp_path / name), wholetext=True).first()[0]
     assert json.loads(whole("r/json")) == {"metric": {"score": 0.5, "x": None}, "detail": {"n": 1}}
@@ -136,7 +165,10 @@ def test_reports(spark, tmp_path):
 
 
 def test_viewer(spark):
-    raw = spark.createDataFrame([("a", [(BOX, "printed", "x" * 200), (BOX, "formula", "y"), ([0.0, 0.0, 5.0, 5.0], "table", "z")]), ("b", [])], f"image string, regions {REGIONS}")
+    raw = spark.createDataFrame(
+        [("a", [(BOX, "printed", "x" * 200), (BOX, "formula", "y"), ([0.0, 0.0, 5.0, 5.0], "table", "z")]), ("b", [])],
+        f"image string, regions {REGIONS}"
+    )
     kept = raw.withColumn("regions", F.slice("regions", 1, 2))
     told, gone = compare.annotate(kept, raw), compare.removed(kept, raw)
     assert tuple(compare.candidate_totals(told, gone).first()) == (2, 6, 1)  # two overlaps, two containments, one long text, one run of a character
@@ -148,14 +180,24 @@ def test_viewer(spark):
 
 
 def test_overlaps_and_long_texts(spark):
-    rows = spark.createDataFrame([("a", [(BOX, "printed", "x" * 180), (BOX, "formula", "y" * 200), ([0.0, 0.0, 5.0, 5.0], "table", "z"), ([1.0] * 4, "table", "")]), ("b", [(BOX, "printed", "x" * 180)])], f"image string, regions {REGIONS}")
+    rows = spark.createDataFrame(
+        [
+            ("a", [(BOX, "printed", "x" * 180), (BOX, "formula", "y" * 200), ([0.0, 0.0, 5.0, 5.0], "table", "z"), ([1.0] * 4, "table", "")]),
+            ("b", [(BOX, "printed", "x" * 180)])
+        ],
+        f"image string, regions {REGIONS}"
+    )
     assert pages.overlap_count(rows).first()["overlap_pairs"] == 1
-    assert [(r["image"], r["length"], len(r["text_head"])) for r in postprocess.long_examples(rows, 2, 20).collect()] == [("a", 200, 20), ("b", 180, 20)]
+    assert [
+        (r["image"], r["length"], len(r["text_head"])) for r in postprocess.long_examples(rows, 2, 20).collect()
+    ] == [("a", 200, 20), ("b", 180, 20)]
 
 
 def test_text_keys(spark):
     rows = spark.createDataFrame([("​Ａb\x07\r\nc  ",), ("«Сло-во», ТАК!  2",), (None,)], "t string")
-    got = rows.select(X.sanitize(F.col("t")).alias("s"), X.plain_key(F.col("t")).alias("p"), X.compact(F.col("t")).alias("c"), X.plain_key_v2(F.col("t")).alias("v")).collect()
+    got = rows.select(
+        X.sanitize(F.col("t")).alias("s"), X.plain_key(F.col("t")).alias("p"), X.compact(F.col("t")).alias("c"), X.plain_key_v2(F.col("t")).alias("v")
+    ).collect()
     assert (got[0]["s"], got[1]["p"], got[1]["c"], got[1]["v"]) == ("Ab\nc", "сло-во так 2", "слововтак2".replace("вт", "т"), "сло-во так 2")
     assert all(v == "" for v in got[2])
 

@@ -28,7 +28,10 @@ def test_manifest(spark, tmp_path):
 
 
 def test_detections(spark):
-    rows = spark.createDataFrame([("a", 0, 0, 5, 5, 2, 0.5), ("a", 1, 1, 5, 5, 0, 0.9), ("a", 1, 1, 2, 2, 0, 0.1)], "image string, x1 int, y1 int, x2 int, y2 int, class int, conf double")
+    rows = spark.createDataFrame(
+        [("a", 0, 0, 5, 5, 2, 0.5), ("a", 1, 1, 5, 5, 0, 0.9), ("a", 1, 1, 2, 2, 0, 0.1)],
+        "image string, x1 int, y1 int, x2 int, y2 int, class int, conf double"
+    )
     got = S.detections_to_regions(rows, 0.2).first()["regions"]
     assert [r["type"] for r in got] == ["handwritten", "formula"]
 

@@ -30,7 +30,9 @@ def test_partial_output_and_pending(spark):
 
 
 def test_windows_on_a_stream(spark, tmp_path):
-    events = spark.createDataFrame([(i, i * 600, "e", 1.0) for i in range(12)], "event_id long, s long, event_type string, value double").select("event_id", F.timestamp_seconds("s").alias("ts"), "event_type", "value")
+    events = spark.createDataFrame(
+        [(i, i * 600, "e", 1.0) for i in range(12)], "event_id long, s long, event_type string, value double"
+    ).select("event_id", F.timestamp_seconds("s").alias("ts"), "event_type", "value")
     events.write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
     q = progress.tumbling(stream).writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()

@@ -83,7 +83,9 @@ def test_choice_flags_and_settings(spark):
 
 def test_bins(spark):
     rows = spark.createDataFrame([(n,) for n in (0, 15, 16, 96, 97, 180, 181, 5000)], "n int")
-    assert [r[0] for r in rows.select(X.bin_label(F.col("n"), X.LENGTH_BINS)).collect()] == ["0-15", "0-15", "16-40", "41-96", "97-180", "97-180", "181+", "181+"]
+    assert [
+        r[0] for r in rows.select(X.bin_label(F.col("n"), X.LENGTH_BINS)).collect()
+    ] == ["0-15", "0-15", "16-40", "41-96", "97-180", "97-180", "181+", "181+"]
 
 
 def test_keys(spark):
