@@ -12,6 +12,7 @@ from .jaccard import near_duplicates
 from .packing import pack
 from .private import find_private
 from .pu_quality import quality_scores
+from .quantiles import LEAST, POINTS, batch_quantiles
 from .recurrent import score_documents
 from .site_lines import LEAST_PAGES, MOST_SHARE, drop_site_lines
 from .token_counts import token_counts
@@ -79,10 +80,26 @@ def op10_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of clicks by client and item prices of sale lines by brand, in eight batches by the checksum of an id."""
+    clicks = _table(spark, sf_dir, "clicks").select("click_id", "client_id", "value").dropDuplicates(["click_id"])
+    values = clicks.select(F.lit("value").alias("stream"), F.col("client_id").cast("string").alias("grp"), F.col("click_id").alias("id"), F.col("value").alias("money"))
+    # lines of one item and vendor are counted before they meet the item, so an item with most of the lines is a few rows
+    lines = _table(spark, sf_dir, "sale_lines").where("item_id is not null").groupBy("item_id", "vendor_id").agg(F.count(F.lit(1)).alias("times"))
+    items = _table(spark, sf_dir, "items").select("item_id", "brand", "price")
+    prices = lines.join(items.hint("merge"), "item_id").select(F.lit("price").alias("stream"), F.col("brand").alias("grp"), F.col("vendor_id").alias("id"), F.col("price").alias("money"), "times")
+    batch = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 8
+    rows = values.withColumn("times", F.lit(1).cast("long")).unionByName(prices).where("grp is not null and money is not null").select(
+        "stream", "grp", batch.cast("int").alias("batch"), (F.floor(100 * F.col("money") + 0.5) + 1000 * batch).alias("x"), "times"
+    )
+    out = batch_quantiles(rows, ["stream", "grp"], "batch", times="times")
+    return out.withColumn("within", 1000 * F.col("rank_error") <= 50 * F.col("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_private, op2_site_lines, op3_quality, op4_contamination, op5_near_duplicates, op6_compression, op7_token_files, op8_token_counts,
-        op9_packing, op10_recurrent
+        op9_packing, op10_recurrent, op13_quantiles
     )
 }
 
@@ -113,4 +130,32 @@ ORACLE_SQL = {
                coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
     """,
+    # the rule of each answer spelled out: bounds at every point from every batch's own points, without steps or running sums
+    "op13_quantiles": f"""
+        WITH shifts AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        raw AS (SELECT 'value' AS stream, client_id::VARCHAR AS grp, click_id AS id, value AS money FROM (SELECT DISTINCT click_id, client_id, value FROM clicks)
+                UNION ALL SELECT 'price', i.brand, l.vendor_id, i.price FROM sale_lines l JOIN items i ON l.item_id = i.item_id),
+        crc AS (SELECT id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(id::VARCHAR, ''), ''), lambda s: ascii(s)::BIGINT)),
+                               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 8 AS batch FROM (SELECT DISTINCT id FROM raw), shifts),
+        counted AS (SELECT stream, grp, batch, (floor(100 * money + 0.5) + 1000 * batch)::BIGINT AS x, count(*) AS c
+                    FROM raw JOIN crc ON raw.id IS NOT DISTINCT FROM crc.id WHERE grp IS NOT NULL AND money IS NOT NULL GROUP BY ALL),
+        levels AS (SELECT * FROM counted UNION ALL SELECT stream, grp, -1, x, sum(c) FROM counted GROUP BY ALL),
+        ranks AS (SELECT *, sum(c) OVER w AS upto, sum(c) OVER w - c AS below, row_number() OVER w AS nth, sum(c) OVER (PARTITION BY stream, grp, batch) AS n
+                  FROM levels WINDOW w AS (PARTITION BY stream, grp, batch ORDER BY x)),
+        points AS (SELECT * FROM ranks WHERE batch >= 0 AND (nth <= {LEAST} OR upto * {POINTS} // n > below * {POINTS} // n)),
+        places AS (SELECT DISTINCT stream, grp, x FROM points),
+        bounds AS (SELECT a.stream, a.grp, a.x, p.batch, any_value(p.n) AS n, coalesce(max(p.upto) FILTER (p.x <= a.x), 0) AS lo, coalesce(min(p.below) FILTER (p.x >= a.x), any_value(p.n)) AS hi
+                   FROM places a JOIN points p ON a.stream = p.stream AND a.grp = p.grp GROUP BY a.stream, a.grp, a.x, p.batch),
+        summaries AS (SELECT stream, grp, -1 AS batch, x, sum(lo) AS lo, sum(hi) AS hi, sum(n) AS n FROM bounds GROUP BY stream, grp, x
+                      UNION ALL SELECT stream, grp, batch, x, upto, below, n FROM points),
+        asked AS (SELECT s.*, i, (i * n + 9) // 10 AS target, count(*) OVER (PARTITION BY stream, grp, batch, i) AS points FROM summaries s, range(1, 10) AS r(i) WHERE n >= 20),
+        sides AS (SELECT *, max(x) FILTER (lo < target) OVER w AS low, min(x) FILTER (lo >= target) OVER w AS high FROM asked WINDOW w AS (PARTITION BY stream, grp, batch, i)),
+        answers AS (SELECT stream, grp, batch, i, any_value(n) AS n, any_value(target) AS target, any_value(points) AS points, arg_min(x, (greatest(0, hi + 1 - target, target - lo), x)) AS answer
+                    FROM sides WHERE x = low OR x = high GROUP BY stream, grp, batch, i),
+        told AS (SELECT a.*, e.x AS exact_x, b.below AS n_below, b.upto AS n_upto, greatest(0, b.below + 1 - target, target - b.upto) AS rank_error
+                 FROM answers a JOIN ranks e ON a.stream = e.stream AND a.grp = e.grp AND a.batch = e.batch AND e.below < target AND target <= e.upto
+                 JOIN ranks b ON a.stream = b.stream AND a.grp = b.grp AND a.batch = b.batch AND b.x = a.answer)
+        SELECT stream, grp, batch::INTEGER AS batch, i::INTEGER AS i, n::BIGINT AS n, target::BIGINT AS target, exact_x, points::BIGINT AS points, answer,
+               n_below::BIGINT AS n_below, n_upto::BIGINT AS n_upto, rank_error::BIGINT AS rank_error, 1000 * rank_error <= 50 * n AS within FROM told
+    """,
 }
