@@ -13,6 +13,7 @@ from .packing import pack
 from .private import find_private
 from .pu_quality import quality_scores
 from .quantiles import LEAST, POINTS, batch_quantiles
+from .ranking import search
 from .recurrent import score_documents
 from .site_lines import LEAST_PAGES, MOST_SHARE, drop_site_lines
 from .token_counts import token_counts
@@ -80,6 +81,10 @@ def op10_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of clicks by client and item prices of sale lines by brand, in eight batches by the checksum of an id."""
     clicks = _table(spark, sf_dir, "clicks").select("click_id", "client_id", "value").dropDuplicates(["click_id"])
@@ -99,7 +104,7 @@ def op13_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_private, op2_site_lines, op3_quality, op4_contamination, op5_near_duplicates, op6_compression, op7_token_files, op8_token_counts,
-        op9_packing, op10_recurrent, op13_quantiles
+        op9_packing, op10_recurrent, op12_ranking, op13_quantiles
     )
 }
 
@@ -130,6 +135,18 @@ ORACLE_SQL = {
                coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
     """,
+    "op12_ranking": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        q AS (SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+        sizes AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM d GROUP BY r),
+        al AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM sizes),
+        tfs AS (SELECT r, t, count(*) AS tf FROM d WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+        weights AS (SELECT t, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, al GROUP BY t),
+        scores AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nd) // l))))::BIGINT AS score
+                   FROM q JOIN tfs USING (t) JOIN weights USING (t) JOIN sizes USING (r), al GROUP BY item_id, r),
+        ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
     # the rule of each answer spelled out: bounds at every point from every batch's own points, without steps or running sums
     "op13_quantiles": f"""
         WITH shifts AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
