@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .compression import quality_rules
 from .jaccard import near_duplicates
+from .licences import licence_spans
 from .packing import pack
 from .private import find_private
 from .pu_quality import quality_scores
@@ -81,6 +82,14 @@ def op10_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = F.array_sort(F.array_union("base_labels", F.transform("spans", lambda s: s["label"])))
+    return licence_spans(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"), "score"
+    )
+
+
 def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -104,7 +113,7 @@ def op13_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_private, op2_site_lines, op3_quality, op4_contamination, op5_near_duplicates, op6_compression, op7_token_files, op8_token_counts,
-        op9_packing, op10_recurrent, op12_ranking, op13_quantiles
+        op9_packing, op10_recurrent, op11_licences, op12_ranking, op13_quantiles
     )
 }
 
