@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import sweep
 from ..functions.markup import rewrite_markup_array
 from ..functions.regions import is_scorable
 from ..functions.text import HEIGHT_BINS, LENGTH_BINS, bin_label, finish_markup, normalize_natural
@@ -40,8 +41,8 @@ def check_images(solution: DataFrame, submission: DataFrame) -> None:
         raise MissingImages("missing images: " + ", ".join(r["image"] for r in missing))
 
 
-def greedy_pairs(gt: Column, pred: Column, threshold: float | Column = THRESHOLD, overlap=G.iou_metric) -> Column:
-    """One-to-one pairs of positions by falling overlap; equal overlaps by position in ``gt``, then in ``pred``. A threshold that is a column must be over 0."""
+def overlapping_pairs(gt: Column, pred: Column, threshold: float | Column) -> Column:
+    """o (the overlap, negative), gi and pi of pairs that reach ``threshold``, by falling overlap and then by position; all compared with all."""
     # boxes that don't meet are passed over by comparisons, before any overlap is computed
     meets = (
         lambda a, b: (a[1] < b[3]) & (b[1] < a[3]) & (a[0] < b[2]) & (b[0] < a[2])
@@ -51,18 +52,35 @@ def greedy_pairs(gt: Column, pred: Column, threshold: float | Column = THRESHOLD
     def of(all_: Column) -> Column:
         def one(g: Column, gi: Column) -> Column:
             near = F.filter(all_, lambda p: meets(g["bbox"], p["b"]))
-            return F.transform(near, lambda p: F.struct((-overlap(g["bbox"], p["b"])).alias("o"), gi.alias("gi"), p["pi"].alias("pi")))
+            return F.transform(near, lambda p: F.struct((-G.iou_metric(g["bbox"], p["b"])).alias("o"), gi.alias("gi"), p["pi"].alias("pi")))
 
         return F.filter(F.flatten(F.transform(gt, one)), lambda x: x["o"] <= -threshold)
 
-    pairs = F.element_at(F.transform(F.array(placed), of), 1)
-    none = F.array().cast(_PAIR)
+    return F.array_sort(F.element_at(F.transform(F.array(placed), of), 1))
+
+
+def taken_in_turn(pairs: Column) -> Column:
+    """gi and pi of the pairs each of whose sides no earlier taken pair has."""
 
     def take(done: Column, x: Column) -> Column:
         used = F.exists(done, lambda d: (d["gi"] == x["gi"]) | (d["pi"] == x["pi"]))
         return F.when(used, done).otherwise(F.concat(done, F.array(F.struct(x["gi"].alias("gi"), x["pi"].alias("pi")))))
 
-    return F.aggregate(F.array_sort(pairs), none, take)
+    return F.aggregate(pairs, F.array().cast(_PAIR), take)
+
+
+def greedy_pairs(gt: Column, pred: Column, threshold: float | Column = THRESHOLD) -> Column:
+    """One-to-one pairs of positions by falling overlap; equal overlaps by position in ``gt``, then in ``pred``. A threshold that is a column must be over 0.
+
+    On pages of many boxes the pairs come from a sweep, whose cost goes by the boxes that meet, and are taken in one pass.
+    """
+    small = taken_in_turn(overlapping_pairs(gt, pred, threshold))
+    if not isinstance(threshold, Column) and threshold <= 0:
+        return small
+    large = sweep.is_large(gt, pred)
+    at = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    swept = sweep.greedy_large(F.when(large, sweep.of_boxes(gt)), F.when(large, sweep.of_boxes(pred)), at)
+    return F.when(large, swept).otherwise(small)
 
 
 def markup_texts(items: Column) -> Column:
@@ -289,17 +307,28 @@ def mean_cer_nonempty(pages: DataFrame) -> DataFrame:
 
 
 def overlap_pairs(rows: DataFrame, iou_at: float = 0.80, ioa_at: float = 0.95) -> DataFrame:
-    """image, i, j (i < j), both types, iou and ioa of pairs of a page's regions that reach either limit."""
+    """image, i, j (i < j), both types, iou and ioa of pairs of a page's regions that reach either limit.
+
+    Pages of many boxes list, by a sweep, the later boxes that each meets; on others each box is set against all later ones.
+    """
     # one compiled row for each pair, of boxes and types alone
     boxes = rows.select("image", F.transform("regions", lambda r: F.struct(r["bbox"].alias("b"), r["type"].alias("type"))).alias("all"))
-    first = boxes.select("image", "all", F.posexplode("all").alias("i", "x"))
-    pair = first.select("image", "i", "x", F.posexplode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("k", "y"))
+    n, i = F.size("all"), F.col("i")
+    swept = iou_at > 0 and ioa_at > 0
+    if swept:
+        large = sweep.is_large(F.col("all"), F.col("all"))
+        boxes = boxes.withColumn("near", sweep.later_large(F.when(large, F.transform("all", lambda r: r["b"]))))
+    first = boxes.select("*", F.posexplode("all").alias("i", "x"))
+    later = F.when(i + 1 < n, F.sequence(i + 1, n - 1))
+    if swept:
+        later = F.when(F.col("near").isNotNull(), F.get("near", i)).otherwise(later)
+    pair = first.select("image", "i", "x", "all", F.explode(later).alias("j"))
+    pair = pair.select("image", "i", "j", "x", F.get("all", F.col("j")).alias("y"))
     a, b = ([F.col(f"{side}.b")[n] for n in range(4)] for side in ("x", "y"))
-    if iou_at > 0 and ioa_at > 0:
+    if swept:
         pair = pair.where((a[1] < b[3]) & (b[1] < a[3]) & (a[0] < b[2]) & (b[0] < a[2]))
     found = pair.select(
-        "image", "i", (F.col("i") + F.col("k") + 1).alias("j"), F.col("x.type").alias("type_i"), F.col("y.type").alias("type_j"),
-        G.iou(a, b).alias("iou"), G.ioa_min(a, b).alias("ioa")
+        "image", "i", "j", F.col("x.type").alias("type_i"), F.col("y.type").alias("type_j"), G.iou(a, b).alias("iou"), G.ioa_min(a, b).alias("ioa")
     )
     return found.where((F.col("iou") >= iou_at) | (F.col("ioa") >= ioa_at))
 
@@ -324,25 +353,6 @@ def diagnosis(metrics: DataFrame) -> DataFrame:
     ).select("r.*")
 
 
-def grid(solution: DataFrame, submission: DataFrame, confs: list[float], ious: list[float] = (THRESHOLD,)) -> DataFrame:
-    """The metric for each pair of confidence and match threshold, over predictions that carry ``conf``; ``ordinal`` is the pair's place."""
-    points = sorted((i * len(ious) + j, float(c), float(at)) for j, at in enumerate(ious) for i, c in enumerate(confs))
-    each = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("ordinal"), F.lit(c).alias("conf"), F.lit(at).alias("iou")) for n, c, at in points])
-    ).alias("p")
-    name = F.concat_ws("\x00", F.col("p.ordinal").cast("string"), "image").alias("image")
-    kept = submission.select("image", "regions", each).select(name, F.expr("filter(regions, r -> coalesce(r.conf, 1.0) >= p.conf)").alias("regions"))
-    want = solution.select("image", "regions", each).select(name, "regions", "p.iou")
-    scored = score_pages(want, kept, "iou").withColumn("ordinal", F.split("image", "\x00")[0].cast("int"))
-    conf, iou = (F.element_at(F.array(*[F.lit(p[k]) for p in points]), F.col("ordinal") + 1) for k in (1, 2))
-    return scored.groupBy("ordinal").agg(*metric_columns()).withColumns({"conf": conf, "iou": iou})
-
-
-def best_of_grid(found: DataFrame) -> DataFrame:
-    """The row of the best composite, the earliest on ties."""
-    return found.orderBy(F.desc("composite"), "ordinal").limit(1)
-
-
 def reorder_like(sample: DataFrame, predictions: DataFrame, order: str) -> DataFrame:
     """Exactly the sample's images in its order, missing ones empty."""
     got = predictions.select("image", "regions")

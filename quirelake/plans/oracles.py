@@ -100,6 +100,29 @@ def _grid(confs: tuple[float, ...]) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _stays(name: str, limit: float, kind: str = "type") -> str:
+    """Tables name_r and name_k (by recursion, the boxes kept so far of a page's type), and name: image and pi of predictions that stay."""
+    inter = "greatest(least(b.x2, r.x2) - greatest(b.x1, r.x1), 0) * greatest(least(b.y2, r.y2) - greatest(b.y1, r.y1), 0)"
+    iou = f"({inter})::DOUBLE / ((b.x2 - b.x1) * (b.y2 - b.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - {inter})"
+    box = "{{'pi': {0}pi, 'x1': {0}x1, 'y1': {0}y1, 'x2': {0}x2, 'y2': {0}y2}}"
+    return f"""{name}_r AS (SELECT *, {kind} AS kind, row_number() OVER (PARTITION BY image, {kind} ORDER BY conf DESC, pi) AS k FROM pr),
+    {name}_k AS (SELECT image, kind, k, [{box.format('')}] AS kept FROM {name}_r WHERE k = 1
+        UNION ALL SELECT r.image, r.kind, r.k, CASE WHEN len(list_filter(n.kept, lambda b: {iou} > {limit})) > 0 THEN n.kept ELSE list_append(n.kept, {box.format('r.')}) END
+        FROM {name}_k n JOIN {name}_r r ON r.image = n.image AND r.kind = n.kind AND r.k = n.k + 1),
+    {name} AS (SELECT image, b.pi AS pi FROM (SELECT image, unnest(kept) AS b FROM (SELECT *, row_number() OVER (PARTITION BY image, kind ORDER BY k DESC) AS last FROM {name}_k) WHERE last = 1))"""
+
+
+def _detector_grid(confs: tuple[float, ...], limits: tuple[float, ...]) -> str:
+    parts = []
+    for k, (at, limit) in enumerate((c, m) for c in confs for m in limits):
+        sure = f"{_stays('kept', limit)},\n    {_SURE.format(at=at).replace('FROM preds WHERE', 'FROM pr SEMI JOIN kept USING (image, pi) WHERE')}"
+        body = _scored("sure").replace("    gn AS", f"    {sure},\n    gn AS", 1)
+        parts.append(
+            f"SELECT * FROM (WITH RECURSIVE {body}, {_metric('pg')} SELECT *, {k}::BIGINT AS ordinal, {at}::DOUBLE AS conf, 0.5::DOUBLE AS iou, {limit}::DOUBLE AS nms FROM metric)"
+        )
+    return " UNION ALL ".join(parts)
+
+
 def _compared(at: float) -> tuple[str, str]:
     body = _scored("sure").replace("    gn AS", f"    {_SURE.format(at=at)},\n    gn AS", 1)
     return f"WITH {_scored()}", f"WITH {body}"
@@ -117,6 +140,11 @@ def _percentile(c: str, p: float) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "detector_grid": _detector_grid((0.55, 0.8), (0.05, 0.45, 0.7)),
+    "suppressed_regions": f"WITH RECURSIVE {FIXTURE}, {_stays('a', 0.05)}, {_stays('b', 0.05, repr('any'))} " + " UNION ALL ".join(
+        f"SELECT image, {by} AS by_type, count(*) AS n, round(sum(conf), 6) AS conf, sum(y1)::BIGINT AS y1 FROM pr SEMI JOIN {name} USING (image, pi) GROUP BY image"
+        for name, by in (("a", "true"), ("b", "false"))
+    ),
     "page_metric": f"WITH {_scored()}, {_metric('pg')} SELECT * FROM metric",
     "metric_by_source": f"WITH {_scored()}, {_metric('pg', 'source,', 'GROUP BY GROUPING SETS ((source), ())')} SELECT * FROM metric",
     "report_by_type": f"WITH {_scored()}, {_type_report('t')} SELECT * FROM t",

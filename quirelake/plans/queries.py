@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import regions as R
 from ..functions import text as X
-from ..operators import compare, curation, pages, postprocess
+from ..operators import compare, curation, detect, pages, postprocess
 from ..sources import regions as sources
 from ..sources import sinks
 from ..streaming import progress
@@ -241,12 +241,28 @@ def profile_scores(spark, sf_dir):
 
 @query
 def metric_grid(spark, sf_dir):
-    return _rounded(pages.grid(fx.solution(spark, sf_dir), fx.submission(spark, sf_dir), [0.5, 0.7, 0.9]))
+    return _rounded(detect.grid(fx.solution(spark, sf_dir), fx.submission(spark, sf_dir), [0.5, 0.7, 0.9]).drop("nms"))
 
 
 @query
 def metric_grid_best(spark, sf_dir):
-    return _rounded(pages.best_of_grid(pages.grid(fx.solution(spark, sf_dir), fx.submission(spark, sf_dir), [0.5, 0.7, 0.9])))
+    return _rounded(detect.best_of_grid(detect.grid(fx.solution(spark, sf_dir), fx.submission(spark, sf_dir), [0.5, 0.7, 0.9])).drop("nms"))
+
+
+@query
+def detector_grid(spark, sf_dir):
+    """The metric at two confidences and three suppression limits, one of which neighbouring lines reach."""
+    return _rounded(detect.grid(fx.solution(spark, sf_dir), fx.submission(spark, sf_dir), [0.55, 0.8], nms=[0.05, 0.45, 0.7]))
+
+
+@query
+def suppressed_regions(spark, sf_dir):
+    """What non-maximum suppression leaves of each page, by type and whatever the type."""
+    p = fx.submission(spark, sf_dir)
+    both = [detect.suppress(p, 0.05, by_type=t).select("image", F.lit(t).alias("by_type"), F.explode("regions").alias("r")) for t in (True, False)]
+    return both[0].unionByName(both[1]).groupBy("image", "by_type").agg(
+        F.count("*").alias("n"), F.round(F.sum("r.conf"), 6).alias("conf"), F.sum(F.col("r.bbox")[1]).cast("long").alias("y1")
+    )
 
 
 @query
