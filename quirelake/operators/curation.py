@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from ..functions.regions import audit_scorable
 from ..functions.text import canonical_type, is_valid_label
 from ..schema import REGION_TYPES
 from ..sources.regions import first_list, first_text
+from ..sources.shared import fresh_folder
 
 
 class Leakage(ValueError):
@@ -57,24 +57,49 @@ def n_valid(n: Column, share: float = 0.1) -> Column:
     return F.when(n > 50, F.greatest(F.lit(20), F.floor(n * share))).otherwise(F.greatest(F.lit(1), F.floor(n / 5)))
 
 
+def _hashed(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """``rows`` with __h, the md5 of seed and key, and __k, the key as text."""
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    return rows.withColumns({"__h": F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), "__k": text})
+
+
+def _cuts(hashed: DataFrame, quota: DataFrame, digits: int = 3) -> DataFrame:
+    """__g, __ch and __ck: the hash and key of the row of rank ``__quota`` (in ``quota`` by __g, at most the group's rows) by (__h, __k).
+
+    Counts of hash prefixes name the one prefix of each group in which that rank lies; only its rows are ordered, by hash and key alone.
+    """
+    narrow = hashed.select("__g", "__h", "__k", F.substring("__h", 1, digits).alias("__b"))
+    counts = narrow.groupBy("__g", "__b").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+    asked = quota.select(F.col("__g").alias("__qg"), "__quota")
+    where = counts.withColumn("__upto", upto).join(asked, F.col("__g").eqNullSafe(F.col("__qg"))).select(
+        F.col("__g").alias("__wg"), F.col("__b").alias("__wb"), (F.col("__quota") - F.col("__upto") + F.col("__n")).alias("__take"), "__n"
+    ).where("__take >= 1 AND __take <= __n")
+    inside = narrow.join(where, F.col("__g").eqNullSafe(F.col("__wg")) & (F.col("__b") == F.col("__wb")))
+    rank = F.row_number().over(Window.partitionBy("__g").orderBy("__h", "__k"))
+    return inside.withColumn("__r", rank).where("__r = __take").select("__g", F.col("__h").alias("__ch"), F.col("__k").alias("__ck"))
+
+
+def _within() -> Column:
+    return F.coalesce((F.col("__h") < F.col("__ch")) | ((F.col("__h") == F.col("__ch")) & (F.col("__k") <= F.col("__ck"))), F.lit(False))
+
+
+def _marked(hashed: DataFrame, cuts: DataFrame, name: str) -> DataFrame:
+    """``hashed`` with a column ``name``: whether a row is up to its group's cut. Rows meet a table of one row a group."""
+    cuts = cuts.select(F.col("__g").alias("__cg"), F.col("__ch"), F.col("__ck"))
+    return hashed.join(cuts, F.col("__g").eqNullSafe(F.col("__cg")), "left").withColumn(name, _within()).drop("__cg", "__ch", "__ck")
+
+
 def stratified_split(pages: DataFrame, key: str = "image", source: str = "source", share: float = 0.1, seed: int = 42) -> DataFrame:
     """``pages`` with a column split, valid or train: exact counts per source, by the order of md5(seed, key).
 
-    Ranks come from counts per hash prefix: only rows in the prefix where the quota ends are ordered, so a source that holds most pages
-    isn't ordered in one task. Copies of a key that tie fall on both sides by no rule.
+    The last row of a source's quota is found from counts of hash prefixes, and rows are compared with it: whole rows are neither shuffled by
+    hash nor ordered. Copies of a key fall on the same side, so where they stand at the end of the quota the count is over it.
     """
-    src = F.coalesce(F.col(source), F.lit("unknown"))
-    rows = pages.withColumn("__s", src).withColumn(
-        "__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    ).withColumn("__b", F.substring("__h", 1, 3))
-    counts = rows.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
-    running = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    quota = counts.withColumn(
-        "__quota", n_valid(F.sum("__n").over(Window.partitionBy("__s")), share)
-    ).withColumn("__before", F.coalesce(F.sum("__n").over(running), F.lit(0)))
-    joined = rows.join(quota, ["__s", "__b"])
-    rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", key)) + F.col("__before")
-    return joined.withColumn("split", F.when(rank <= F.col("__quota"), "valid").otherwise("train")).select(*pages.columns, "split")
+    hashed = _hashed(pages, key, seed).withColumn("__g", F.coalesce(F.col(source), F.lit("unknown")))
+    quota = hashed.groupBy("__g").agg(n_valid(F.count("*"), share).alias("__quota"))
+    marked = _marked(hashed, _cuts(hashed, quota), "__in")
+    return marked.withColumn("split", F.when(F.col("__in"), "valid").otherwise("train")).select(*pages.columns, "split")
 
 
 # Default weights of a manifest's origins.
@@ -124,35 +149,65 @@ def sample_weights(rows: DataFrame, kind: str = "type", weight: str = "weight",
     ).drop("__t", "multiplier")
 
 
-def weighted_sample(rows: DataFrame, n: int, weight: str = "sample_weight", seed: int = 42, buckets: int = 1024) -> DataFrame:
+#: Weights are added as whole numbers of this part, so that sums don't depend on their order.
+UNIT = 1_000_000
+
+
+def drawn_points(n: int, total: int, seed: int, spark) -> DataFrame:
+    """n numbers from 0 to total - 1, each the md5 of seed and its place."""
+    digest = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("draw"), F.col("id").cast("string"))), 1, 15)
+    return spark.range(n).select((F.conv(digest, 16, 10).cast("long") % F.lit(total)).alias("__p"))
+
+
+def weighted_sample(rows: DataFrame, n: int, key: str | None = None, weight: str = "sample_weight", seed: int = 42, digits: int = 3) -> DataFrame:
     """``rows`` drawn exactly n times with replacement, by weight: the rows that are drawn, with how often (``draws``).
 
-    The draws are dealt to hash buckets by the buckets' weights, of which only those come to the driver; within a bucket each row's draws are
-    binomial in what is left, so rows stream through. Rows without a positive weight are never drawn; without any, the result is empty.
+    Keys are laid end to end by md5(seed, key), each as long as its weight (in millionths); n points, hashes of the seed and their places, fall
+    on them. Only keys and weights are ordered, in blocks of a hash prefix; points meet keys by cells of the line, of which each holds one
+    point on average. The result depends on neither order nor partitioning. Rows that share a key are one: their weights add up, and one of
+    them is returned; without ``key`` that is a row's own JSON text. Rows without a positive weight are never drawn; without any, the result
+    is empty.
     """
-    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
-    keyed = rows.withColumn("__w", w).where("__w > 0").withColumn("__bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)))
-    found = sorted(tuple(r) for r in keyed.groupBy("__bucket").agg(F.sum("__w"), F.count("*")).collect())
-    total = sum(t for _, t, _ in found)
-    dealt = np.random.default_rng(seed).multinomial(n, [t / total for _, t, _ in found]) if found else []
-    table = {b: (int(k), t, c) for (b, t, c), k in zip(found, dealt, strict=True)}
+    spark = rows.sparkSession
+    if key is None:
+        keyed = rows.withColumn("__key", F.md5(F.to_json(F.struct(*rows.columns))))
+        return weighted_sample(keyed, n, "__key", weight, seed, digits).drop("__key")
+    units = F.round(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) * UNIT).cast("long")
+    each = _hashed(rows.select(F.col(key), units.alias("__u")).where("__u > 0").groupBy(key).agg(F.sum("__u").alias("__u")), key, seed)
+    each = each.withColumn("__b", F.substring("__h", 1, digits))
+    total = each.agg(F.sum("__u")).first()[0]
     schema = rows.withColumn("draws", F.lit(0).cast("long")).schema
+    if not total or n <= 0:
+        return spark.createDataFrame([], schema)
+    blocks = each.groupBy("__b").agg(F.sum("__u").alias("__t"))  # 16 ** digits at most
+    base = blocks.select("__b", (F.sum("__t").over(Window.orderBy("__b")) - F.col("__t")).alias("__base"))
+    running = F.sum("__u").over(Window.partitionBy("__b").orderBy("__h", "__k").rowsBetween(Window.unboundedPreceding, 0))
+    placed = each.withColumn("__to", running).join(base, "__b").select(
+        key, (F.col("__base") + F.col("__to") - F.col("__u")).alias("__lo"), (F.col("__base") + F.col("__to")).alias("__hi")
+    )
+    width = -(-total // n)
+    cell = lambda c: F.expr(f"({c}) div {width}L")
+    cells = placed.select("*", F.explode(F.sequence(cell("__lo"), cell("__hi - 1"))).alias("__cell"))
+    points = drawn_points(n, total, seed, spark).withColumn("__cell", cell("__p"))
+    found = points.join(cells, "__cell").where("__p >= __lo AND __p < __hi").groupBy(key).agg(F.count("*").alias("draws"))
+    found = found.select(F.col(key).alias("__drawn"), "draws")
+    return rows.where(units > 0).dropDuplicates([key]).join(found, F.col(key).eqNullSafe(F.col("__drawn"))).select(*rows.columns, "draws")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, rng, left, mass, count = None, None, 0, 0.0, 0
-        for frame in batches:
-            draws = []
-            for bucket, x in zip(frame["__bucket"].tolist(), frame["__w"].tolist(), strict=True):
-                if bucket != now:
-                    now, rng = bucket, np.random.default_rng([seed, bucket])
-                    left, mass, count = table[bucket]
-                k = left if count == 1 else int(rng.binomial(left, min(1.0, x / max(mass, x)))) if left else 0
-                left, mass, count = left - k, mass - x, count - 1
-                draws.append(k)
-            out = frame.drop(columns=["__w", "__bucket"]).assign(draws=np.array(draws, np.int64))
-            yield out[out["draws"] > 0][schema.names]
-
-    return keyed.repartition("__bucket").sortWithinPartitions("__bucket").mapInPandas(run, schema)
+
+def ranked(rows: DataFrame, order: list[str], rank: str = "rank") -> DataFrame:
+    """``rows`` with their rank from 1 by ``order``, without one task that sees all of them.
+
+    Rows are sorted by ranges into a table in the shared folder; each part is numbered by itself, from the sum of the counts of the parts
+    before it, of which there are as many rows as parts. Rows that tie are numbered as they come.
+    """
+    spark = rows.sparkSession
+    path = fresh_folder(spark, "ranked")
+    rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
+    counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    base = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.withColumn("__own", own).join(base, "__part").withColumn(rank, (F.col("__base") + F.col("__own")).cast("long")).select(*rows.columns, rank)
 
 
 def repeat_to(rows: DataFrame, n: int, order: str) -> DataFrame:
@@ -161,46 +216,36 @@ def repeat_to(rows: DataFrame, n: int, order: str) -> DataFrame:
     if not have:
         return rows
     whole, rest = divmod(n, have)
-    first = rows.orderBy(order).limit(rest)
-    if not whole:
-        return first
-    copies = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(whole)))).drop("__copy")
-    return copies.unionByName(first) if rest else copies
-
-
-def _first_by_hash(rows: DataFrame, n: int, key: str) -> DataFrame:
-    """The n rows of the least __h: whole hash prefixes by their counts, and an order only within the prefix where n falls."""
-    counts = sorted((r["p"], r["c"]) for r in rows.groupBy(F.substring("__h", 1, 3).alias("p")).agg(F.count("*").alias("c")).collect())
-    taken, cut = 0, None
-    for prefix, c in counts:
-        if taken + c > n:
-            cut = prefix
-            break
-        taken += c
-    if cut is None:
-        return rows
-    at = F.substring("__h", 1, 3)
-    return rows.where(at < cut).unionByName(rows.where(at == cut).orderBy("__h", key).limit(n - taken))
+    times = (F.col("__rank") <= rest).cast("int") + whole
+    if not rest:
+        return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(whole)))).select(*rows.columns)
+    several = ranked(rows, [order], "__rank").withColumn("__times", times).where("__times > 0")
+    return several.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*rows.columns)
 
 
 def sqrt_quota(rows: DataFrame, n: int, kind: str = "type", key: str = "image_path", seed: int = 42) -> DataFrame:
     """n rows at most: each type's share goes by the square root of its count, one at least; what is left over is filled from the rest.
 
-    Ranks in a type come from counts per hash prefix, so a type that most rows have isn't ordered in one task.
+    Rows of a type, and then the rest, are taken by the order of md5(seed, key). As in ``stratified_split`` only the last row that is taken is
+    looked for, from counts of hash prefixes, and rows are compared with it.
     """
-    counts = rows.groupBy(kind).agg(F.count("*").alias("c"))
-    roots = counts.withColumn("quota", F.greatest(F.lit(1), F.bround(F.lit(n) * F.sqrt("c") / F.sum(F.sqrt("c")).over(Window.partitionBy(F.lit(1))))))
-    hashed = rows.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("__b", F.substring("__h", 1, 3))
-    running = Window.partitionBy(kind).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = hashed.groupBy(kind, "__b").agg(F.count("*").alias("__n")).withColumn(
-        "__before", F.coalesce(F.sum("__n").over(running), F.lit(0))
-    ).drop("__n")
-    rank = F.row_number().over(Window.partitionBy(kind, "__b").orderBy("__h", key)) + F.col("__before")
-    ranked = hashed.join(ahead, [kind, "__b"]).join(F.broadcast(roots.select(kind, "quota")), kind).withColumn("__r", rank)
-    own, rest = ranked.where(F.col("__r") <= F.col("quota")), ranked.where(F.col("__r") > F.col("quota"))
-    have = own.count()
-    chosen = own.unionByName(_first_by_hash(rest, n - have, key)) if have < n else _first_by_hash(own, n, key)
-    return chosen.select(*rows.columns)
+    every = Window.partitionBy(F.lit(1))  # a row for each type
+    counts = rows.groupBy(F.col(kind).alias("__g")).agg(F.count("*").alias("__c"))
+    quota = counts.select(
+        "__g", "__c", F.least(F.col("__c"), F.greatest(F.lit(1), F.bround(F.lit(n) * F.sqrt("__c") / F.sum(F.sqrt("__c")).over(every)).cast("long"))).alias("__quota")
+    )
+    have, total = quota.agg(F.coalesce(F.sum("__quota"), F.lit(0)), F.coalesce(F.sum("__c"), F.lit(0))).first()
+    if total <= n:
+        return rows
+    hashed = _hashed(rows, key, seed).withColumn("__g", F.col(kind))
+    own = _marked(hashed, _cuts(hashed, quota.select("__g", "__quota")), "__own")
+    # over all types: what is still to be filled from the rest, or the first n of what the types chose
+    pool = F.col("__own") if have >= n else ~F.col("__own")
+    last = own.withColumn("__g", F.lit(0)).where(pool)
+    wanted = rows.sparkSession.createDataFrame([(0, n if have >= n else n - have)], "__g int, __quota long")
+    both = _marked(own.withColumn("__g", F.lit(0)), _cuts(last, wanted), "__fill")
+    chosen = F.col("__own") & F.col("__fill") if have >= n else F.col("__own") | F.col("__fill")
+    return both.where(chosen).select(*rows.columns)
 
 
 def class_weight_hint(counts: DataFrame) -> DataFrame:
@@ -234,11 +279,11 @@ def valid_solution(pages: DataFrame) -> DataFrame:
     )
 
 
-def run_model(rows: DataFrame, predict, kind: str = "type", text: str = "text", least_batch: int = 1, parts: int = 64) -> DataFrame:
+def run_model(rows: DataFrame, predict, kind: str = "type", text: str = "text", least_batch: int = 1) -> DataFrame:
     """``rows`` with ``text`` from ``predict(type, frame) -> list[str]``, called with rows of one type at a time.
 
-    A MemoryError halves the batch down to ``least_batch`` rows. Order within a batch is kept; ``predict`` runs in the executors. parts: tasks, at most,
-    that the rows of one type are dealt to.
+    A MemoryError halves the batch down to ``least_batch`` rows. Order within a batch is kept; ``predict`` runs in the executors. Rows stay in
+    their tasks, sorted by type, so no type's rows are bounded in how many tasks they have.
     """
     schema = rows.schema if text in rows.columns else rows.withColumn(text, F.lit("")).schema
 
@@ -258,4 +303,4 @@ def run_model(rows: DataFrame, predict, kind: str = "type", text: str = "text",
                 out.loc[part.index, text] = halving(t, part)
             yield out[schema.names]
 
-    return rows.repartition(F.col(kind), F.pmod(F.xxhash64(*rows.columns), F.lit(parts))).sortWithinPartitions(kind).mapInPandas(run, schema)
+    return rows.sortWithinPartitions(kind).mapInPandas(run, schema)

@@ -187,17 +187,16 @@ def score_pages(solution: DataFrame, submission: DataFrame, threshold: float | s
     )
 
 
-def metric_columns() -> list[Column]:
-    """Aggregates of page rows: the composite and all its parts."""
-    tp, fp, fn = (F.sum(c).cast("double") for c in ("tp", "fp", "fn"))
+def metric_of(tp: Column, fp: Column, fn: Column, correct: Column, cer_sum: Column, cer_n: Column, page_cer: Column) -> list[Column]:
+    """The composite and all its parts from sums; page_cer is the mean of the pages that have one. Any may be null."""
     one, tiny = F.lit(1.0), F.lit(1e-9)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     tp, fp, fn = zero(tp), zero(fp), zero(fn)
     precision, recall = tp / F.greatest(tp + fp, one), tp / F.greatest(tp + fn, one)
     f1 = 2 * precision * recall / F.greatest(precision + recall, tiny)
-    accuracy = zero(F.sum("class_correct").cast("double")) / F.greatest(tp, one)
-    region = F.coalesce(F.sum("cer_sum") / F.nullif(F.sum("cer_n"), F.lit(0)), one)
-    page = F.coalesce(F.avg("page_cer"), one)
+    accuracy = zero(correct) / F.greatest(tp, one)
+    region = F.coalesce(cer_sum / F.nullif(cer_n, F.lit(0)), one)
+    page = F.coalesce(page_cer, one)
     a, b, c, d = SHARES
     composite = a * f1 + b * accuracy + c * F.greatest(F.lit(0.0), 1 - region) + d * F.greatest(F.lit(0.0), 1 - page)
     return [
@@ -211,10 +210,15 @@ def metric_columns() -> list[Column]:
         tp.cast("long").alias("tp"),
         fp.cast("long").alias("fp"),
         fn.cast("long").alias("fn"),
-        F.coalesce(F.sum("cer_n"), F.lit(0)).cast("long").alias("cer_regions"),
+        F.coalesce(cer_n, F.lit(0)).cast("long").alias("cer_regions"),
     ]
 
 
+def metric_columns() -> list[Column]:
+    """Aggregates of page rows: the composite and all its parts."""
+    return metric_of(*[F.sum(c) for c in ("tp", "fp", "fn", "class_correct", "cer_sum", "cer_n")], F.avg("page_cer"))
+
+
 def score(pages: DataFrame) -> DataFrame:
     """One row: the metric over page rows of ``score_pages``."""
     return pages.agg(*metric_columns())
@@ -235,9 +239,8 @@ def score_if_complete(pages: DataFrame, n_target: int) -> DataFrame:
     )
 
 
-def by_type(pages: DataFrame) -> DataFrame:
-    """Counts and rates for each region type. ``precision`` sets matches by reference type against false ones by predicted type;
-    ``precision_pred`` counts both by predicted type."""
+def type_events(pages: DataFrame) -> DataFrame:
+    """kind, type and cer of all that the report by type counts."""
     event = lambda kind, t, extra=F.lit(None).cast("double"): F.struct(F.lit(kind).alias("kind"), t.alias("type"), extra.alias("cer"))
     events = F.concat(
         F.transform("gt_types", lambda t: event("gt", t)),
@@ -248,10 +251,13 @@ def by_type(pages: DataFrame) -> DataFrame:
         F.transform("matches", lambda m: event("matched_pred", m["pred_type"])),
         F.transform(F.filter("matches", lambda m: m["gt_type"] == m["pred_type"]), lambda m: event("correct", m["gt_type"])),
     )
-    rows = pages.select(F.explode(events).alias("e")).select("e.*")
-    n = {k: F.count_if(F.col("kind") == k) for k in ("gt", "pred", "matched", "correct", "fn", "fp", "matched_pred")}
+    return pages.select(F.explode(events).alias("e")).select("e.*")
+
+
+def type_rates(n: dict[str, Column], region_cer: Column, cer_regions: Column) -> list[Column]:
+    """The report by type from counts of its events by kind."""
     rate = lambda a, b: a / F.greatest(b, F.lit(1))
-    return rows.groupBy("type").agg(
+    return [
         n["gt"].alias("gt"),
         n["pred"].alias("pred"),
         n["matched"].alias("matched"),
@@ -262,9 +268,19 @@ def by_type(pages: DataFrame) -> DataFrame:
         rate(n["matched"], n["matched"] + n["fp"]).alias("precision"),
         rate(n["matched_pred"], n["matched_pred"] + n["fp"]).alias("precision_pred"),
         rate(n["correct"], n["matched"]).alias("class_accuracy"),
-        F.avg("cer").alias("region_cer"),
-        F.count("cer").alias("cer_regions"),
-    )
+        region_cer.alias("region_cer"),
+        cer_regions.alias("cer_regions"),
+    ]
+
+
+EVENTS = ("gt", "pred", "matched", "correct", "fn", "fp", "matched_pred")
+
+
+def by_type(pages: DataFrame) -> DataFrame:
+    """Counts and rates for each region type. ``precision`` sets matches by reference type against false ones by predicted type;
+    ``precision_pred`` counts both by predicted type."""
+    n = {k: F.count_if(F.col("kind") == k) for k in EVENTS}
+    return type_events(pages).groupBy("type").agg(*type_rates(n, F.avg("cer"), F.count("cer")))
 
 
 def _scored_matches(pages: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def _gt(d: Column, p: Column, t: Column) -> Column:
     ).when(k == 15, "printed").when(k == 16, "annotation").when(
         k == 17, F.when(plain, "table").otherwise("printed")
     ).when(k == 18, "image").otherwise("graph")
-    box = F.array(*[v.cast("double") for v in (x1, y1, x1 + 200 + F.length(t) % 500, y1 + 28)])
+    box = F.array(*[v.cast("double") for v in (x1, y1, x1 + 200 + F.length(t) % 500, y1 + 20 + 4 * ((d + 2 * p) % 5))])
     return F.struct(
         box.alias("bbox"),
         kind.alias("type"),
@@ -102,7 +102,7 @@ SQL = rf"""
     part AS (SELECT doc_id, source, i // {PER_PAGE} AS g, i % {PER_PAGE} AS p, array_to_string(w[i * {WORDS} + 1 : i * {WORDS} + {WORDS}], ' ') AS t
              FROM (SELECT doc_id, source, w, unnest(generate_series(0, ((len(w) - 1) // {WORDS})::BIGINT)) AS i FROM w WHERE len(w) > 0)),
     gt AS (SELECT 'doc_' || doc_id || '_' || g || '.jpg' AS image, source, doc_id AS d, p AS gi,
-             50 + (7 * doc_id + 13 * p) % 40 AS x1, 40 + 36 * p AS y1, 250 + (7 * doc_id + 13 * p) % 40 + length(t) % 500 AS x2, 68 + 36 * p AS y2,
+             50 + (7 * doc_id + 13 * p) % 40 AS x1, 40 + 36 * p AS y1, 250 + (7 * doc_id + 13 * p) % 40 + length(t) % 500 AS x2, 60 + 36 * p + 4 * ((doc_id + 2 * p) % 5) AS y2,
              CASE WHEN k < 12 THEN 'handwritten' WHEN k < 15 THEN CASE WHEN plain THEN 'formula' ELSE 'handwritten' END WHEN k = 15 THEN 'printed' WHEN k = 16 THEN 'annotation'
                   WHEN k = 17 THEN CASE WHEN plain THEN 'table' ELSE 'printed' END WHEN k = 18 THEN 'image' ELSE 'graph' END AS type,
              t AS text, CASE WHEN (doc_id + p) % 23 = 0 THEN 'other' ELSE 'uk' END AS language, CASE WHEN (3 * doc_id + p) % 29 = 0 THEN 'illegible' ELSE 'legible' END AS legibility, plain

@@ -6,7 +6,7 @@ derived pages overlap by half only within their own row, so the greedy matching
 
 from __future__ import annotations
 
-from . import suppression, tool_queries
+from . import run_queries, suppression, tool_queries
 from .crowded import SQL as CROWDED
 from .fixtures import SQL as FIXTURE
 
@@ -279,3 +279,17 @@ ORACLE_SQL |= {
         FROM x LEFT JOIN raw ON x.image = raw.image AND x.key = raw.key LEFT JOIN twin t ON x.image = t.image AND x.pi = t.pi""",
 }
 ORACLE_SQL |= tool_queries.ORACLE_SQL
+
+ORACLE_SQL |= {
+    "sharded_metric": ORACLE_SQL["page_metric"],
+    "sharded_types": ORACLE_SQL["report_by_type"],
+    "sharded_quantiles": f"WITH {_scored()}, v AS (SELECT 'page_cer' AS report, round(page_cer * 1000000)::BIGINT AS v FROM pg WHERE page_cer IS NOT NULL UNION ALL SELECT 'chars', chars::BIGINT FROM m)"
+    " SELECT report, share, count(*) AS n, list_sort(list(v))[greatest(ceil(share * count(*)), 1)::BIGINT] AS value FROM v, (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE]) AS share) GROUP BY report, share",
+    "sketched_texts": f"WITH {FIXTURE} SELECT type, count(DISTINCT text) AS texts, count(*) AS n, true AS distinct_ok, true AS p50_ok, true AS p90_ok FROM pr GROUP BY type",
+    # a row counts in a window unless the greatest time of earlier batches, less what may be late, has reached the window's end
+    "stream_windows": f"""WITH c AS (SELECT epoch_us(ts) AS us, kind, value, floor(epoch_us(arrived_at) / ({run_queries.DAYS} * 86400000000.0))::BIGINT AS batch FROM clicks WHERE ts IS NOT NULL AND arrived_at IS NOT NULL),
+        tops AS (SELECT batch, max(us) AS top FROM c GROUP BY batch),
+        marks AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 * 1000 - {run_queries.LATE} * 3600000000 AS mark FROM tops),
+        w AS (SELECT kind, value, mark, (us // {run_queries.SLIDE * 3600000000} - k) * {run_queries.SLIDE * 3600} AS window_start FROM c JOIN marks USING (batch), range(0, {run_queries.SIZE // run_queries.SLIDE}) AS r(k))
+        SELECT window_start::BIGINT AS window_start, kind, count(*) AS n, round(sum(value), 2) AS total FROM w WHERE mark IS NULL OR (window_start + {run_queries.SIZE * 3600}) * 1000000 > mark GROUP BY window_start, kind""",
+}

@@ -166,7 +166,11 @@ def long_examples(spark, sf_dir):
     return postprocess.long_examples(docs, 25).withColumn("length", F.col("length").cast("long"))
 
 
-@query(f"WITH {FIXTURE} SELECT count(*) AS overlap_pairs FROM pr a JOIN pr b ON a.image = b.image AND a.pi < b.pi AND a.o // 2 = b.o // 2")
+_INTER = "(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0))::DOUBLE"
+_MUCH = f"{_INTER} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_INTER}) >= 0.8"
+
+
+@query(f"WITH {FIXTURE} SELECT count(*) AS overlap_pairs FROM pr a JOIN pr b ON a.image = b.image AND a.pi < b.pi AND {_MUCH}")
 def overlap_count(spark, sf_dir):
     return pages.overlap_count(fx.submission(spark, sf_dir))
 
@@ -199,7 +203,7 @@ def candidate_totals(spark, sf_dir):
     return compare.candidate_totals(*_annotated(spark, sf_dir)).select("regions", "removed")
 
 
-@query(f"""WITH {FIXTURE}, f AS (SELECT DISTINCT a.image FROM pr a JOIN pr b ON a.image = b.image AND a.pi <> b.pi AND a.o // 2 = b.o // 2 UNION SELECT image FROM pr WHERE length(text) >= 180)
+@query(f"""WITH {FIXTURE}, f AS (SELECT DISTINCT a.image FROM pr a JOIN pr b ON a.image = b.image AND a.pi <> b.pi AND {_MUCH} UNION SELECT image FROM pr WHERE length(text) >= 180)
     SELECT p.image FROM {_PAGES} p WHERE p.source = (SELECT min(source) FROM documents) AND p.image IN (SELECT image FROM f) AND p.image IN (SELECT image FROM pr WHERE contains(lower(text), 'the') OR contains(type, 'the'))""")
 def viewer_filter(spark, sf_dir):
     """Pages of one source that have flags and hold a word."""
@@ -219,12 +223,14 @@ def repeated_pages(spark, sf_dir):
     return curation.repeat_to(fx.solution(spark, sf_dir).select("image"), 2500, "image").groupBy("image").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 3000::BIGINT AS draws, 0::BIGINT AS never_drawn")
+@query("""WITH k AS (SELECT doc_id, sum(round(doc_id % 5 * 1000000))::BIGINT AS u, any_value(md5('42|' || doc_id)) AS h FROM documents GROUP BY doc_id),
+    line AS (SELECT *, sum(u) OVER (ORDER BY h, doc_id::VARCHAR) AS hi, sum(u) OVER () AS total FROM k WHERE u > 0),
+    points AS (SELECT ('0x' || substr(md5('42|draw|' || i), 1, 15))::BIGINT % (SELECT max(total) FROM line) AS p FROM range(3000) AS r(i))
+    SELECT doc_id, doc_id % 5 AS weight, count(*) AS draws FROM points JOIN line ON p >= hi - u AND p < hi GROUP BY doc_id""")
 def weighted_sample(spark, sf_dir):
-    """Exactly 3,000 draws by weight; rows without a weight are never drawn."""
+    """Exactly 3,000 draws by weight, with replacement: the documents drawn and how often."""
     rows = fx.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).cast("double").alias("sample_weight"))
-    got = curation.weighted_sample(rows, 3000)
-    return got.agg(F.sum("draws").alias("draws"), F.count_if(F.col("sample_weight") == 0).alias("never_drawn"))
+    return curation.weighted_sample(rows, 3000, "doc_id").select("doc_id", F.col("sample_weight").cast("long").alias("weight"), "draws")
 
 
 def _read(kind: str, frame) -> list[str]:

@@ -204,9 +204,13 @@ def test_text_keys(spark):
 
 def test_exact_sample(spark):
     rows = spark.range(500).select("id", F.when(F.col("id") < 100, 9.0).when(F.col("id") < 110, 0.0).otherwise(1.0).alias("sample_weight"))
-    got = {r["id"]: r["draws"] for r in curation.weighted_sample(rows, 2000, buckets=7).collect()}
+    got = {r["id"]: r["draws"] for r in curation.weighted_sample(rows, 2000, digits=1).collect()}
     assert sum(got.values()) == 2000 and not set(range(100, 110)) & set(got)
     assert abs(sum(n for i, n in got.items() if i < 100) - 2000 * 900 / 1290) < 120
+    for same in (curation.weighted_sample(rows.repartition(7), 2000), curation.weighted_sample(rows.orderBy(F.desc("id")), 2000, digits=2)):
+        assert {r["id"]: r["draws"] for r in same.collect()} == got
+    keyed = {r["id"]: r["draws"] for r in curation.weighted_sample(rows.unionByName(rows.where("id = 3")), 2000, "id").collect()}
+    assert sum(keyed.values()) == 2000
     one = {r["id"]: r["draws"] for r in curation.weighted_sample(rows.where("id = 3"), 1000).collect()}
     assert one == {3: 1000} and curation.weighted_sample(rows.where("id = 105"), 10).count() == 0
 
@@ -226,6 +230,23 @@ def test_quota_against_plain_order(spark):
         assert {r["image_path"] for r in curation.sqrt_quota(rows, n).collect()} == {str(i) for i in late[:n]}
 
 
+def test_ranks_over_many_parts(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit("x").alias("t")).repartition(9)
+    got = curation.ranked(rows, ["v"]).collect()
+    assert sorted((r["v"], r["rank"]) for r in got) == [(v, v + 1) for v in range(1000)]
+    three = curation.repeat_to(rows, 2300, "v").groupBy("v").count().collect()
+    assert {(r["v"], r["count"]) for r in three} == {(v, 3 if v < 300 else 2) for v in range(1000)}
+    assert {r["v"] for r in curation.repeat_to(rows, 10, "v").collect()} == set(range(10)) and curation.repeat_to(rows, 2000, "v").count() == 2000
+
+
+def test_split_of_nulls_and_copies(spark):
+    rows = spark.createDataFrame([(f"p{i % 90}", "s") for i in range(100)] + [(None, None), ("q", None)] * 3, "image string, source string")
+    got = curation.stratified_split(rows).collect()
+    assert len(got) == 106
+    for image, source in {(r["image"], r["source"]) for r in got}:  # copies stand on one side
+        assert len({r["split"] for r in got if (r["image"], r["source"]) == (image, source)}) == 1
+
+
 def test_stages(spark, tmp_path):
     target = spark.createDataFrame([(i, f"p{i}", "s", [], None, None) for i in range(5)], progress.RECORD)
     stage = lambda name, least: progress.Stage(name, *(str(tmp_path / f"{name}-{x}") for x in ("log", "state", "cp")), lambda due, log: progress.append(due.where(F.col("seq") >= least).withColumn("conf", F.lit(0.5)), log))
