@@ -130,7 +130,29 @@ def score_pages(solution: DataFrame, submission: DataFrame, threshold: float | s
     rows = solution.select("image", source.alias("source"), F.col("regions").alias("gt"), at.alias("threshold")).join(sub, "image", "left")
     empty = F.array().cast(rows.schema["gt"].dataType)
     rows = rows.withColumn("gt", F.coalesce("gt", empty)).withColumn("pred", F.coalesce("pred", F.array().cast(rows.schema["pred"].dataType)))
-    rows = rows.withColumn("pairs", greedy_pairs(F.col("gt"), F.col("pred"), F.col("threshold") if isinstance(threshold, str) else threshold))
+    return _score_joined(rows, F.col("threshold") if isinstance(threshold, str) else threshold)
+
+
+def score_variants(solution: DataFrame, variants: DataFrame, name: str, names: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``score_pages`` for each of the submissions in ``variants`` (``name``, image, regions), with ``names``, those that they hold for.
+
+    An image's variants with the same regions are scored once. An image without any is scored as empty for all of ``names``.
+    """
+    own = variants.groupBy("image").agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col("regions").alias("pred"))).alias("own"))
+    source = F.coalesce("source", F.lit("unknown")) if "source" in solution.columns else F.lit("unknown")
+    rows = solution.select("image", source.alias("source"), F.col("regions").alias("gt")).join(own, "image", "left")
+    kind = rows.schema["own"].dataType.elementType["pred"].dataType
+    none = F.array(*[F.struct(F.lit(n).alias("name"), F.array().cast(kind).alias("pred")) for n in names])
+    rows = rows.withColumn("gt", F.coalesce("gt", F.array().cast(rows.schema["gt"].dataType))).withColumn("own", F.coalesce("own", none))
+    each = rows.select("image", "source", "gt", "own", F.explode(F.array_distinct(F.transform("own", lambda v: v["pred"]))).alias("pred"))
+    held_for = F.transform(F.filter("own", lambda v: v["pred"] == F.col("pred")), lambda v: v["name"])
+    scored = _score_joined(each.select(F.struct("image", held_for.alias("names")).alias("image"), "source", "gt", "pred"), threshold)
+    return scored.select(F.col("image.image").alias("image"), F.col("image.names").alias("names"), *[c for c in scored.columns if c != "image"])
+
+
+def _score_joined(rows: DataFrame, threshold: float | Column) -> DataFrame:
+    """Page rows from image, source, gt and pred."""
+    rows = rows.withColumn("pairs", greedy_pairs(F.col("gt"), F.col("pred"), threshold))
     # a matched prediction's text is also read under the reference's type
     crossed = F.transform(
         "pairs", lambda m: F.struct(F.element_at("gt", m["gi"] + 1)["type"].alias("type"), F.element_at("pred", m["pi"] + 1)["text"].alias("text"))

@@ -285,6 +285,12 @@ ORACLE_SQL |= {
     "sharded_types": ORACLE_SQL["report_by_type"],
     "sharded_quantiles": f"WITH {_scored()}, v AS (SELECT 'page_cer' AS report, round(page_cer * 1000000)::BIGINT AS v FROM pg WHERE page_cer IS NOT NULL UNION ALL SELECT 'chars', chars::BIGINT FROM m)"
     " SELECT report, share, count(*) AS n, list_sort(list(v))[greatest(ceil(share * count(*)), 1)::BIGINT] AS value FROM v, (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE]) AS share) GROUP BY report, share",
+    "made_sentences": r"""WITH w AS (SELECT w, row_number() OVER (ORDER BY w) AS place FROM (SELECT DISTINCT trim(unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS w FROM documents) WHERE length(w) >= 2),
+        n AS (SELECT count(*) AS v FROM w),
+        s AS (SELECT i, unnest(generate_series(0, 2 + ('0x' || substr(md5('42|length|' || i), 1, 15))::BIGINT % 10)) AS k FROM range((SELECT count(*) FROM documents)) AS r(i)),
+        c AS (SELECT i, k, ('0x' || substr(md5('42|word|' || i || '|' || k), 1, 15))::BIGINT % (SELECT v FROM n) + 1 AS place FROM s),
+        t AS (SELECT i, string_agg(w, ' ' ORDER BY k) AS t FROM c JOIN w USING (place) GROUP BY i)
+        SELECT min(i) AS id, t || CASE WHEN ('0x' || substr(md5('42|end|' || i), 1, 15))::BIGINT % 10 < 3 THEN substr('.,!?:', (('0x' || substr(md5('42|sign|' || i), 1, 15))::BIGINT % 5 + 1)::BIGINT, 1) ELSE '' END AS text FROM t GROUP BY text""",
     "sketched_texts": f"WITH {FIXTURE} SELECT type, count(DISTINCT text) AS texts, count(*) AS n, true AS distinct_ok, true AS p50_ok, true AS p90_ok FROM pr GROUP BY type",
     # a row counts in a window unless the greatest time of earlier batches, less what may be late, has reached the window's end
     "stream_windows": f"""WITH c AS (SELECT epoch_us(ts) AS us, kind, value, floor(epoch_us(arrived_at) / ({run_queries.DAYS} * 86400000000.0))::BIGINT AS batch FROM clicks WHERE ts IS NOT NULL AND arrived_at IS NOT NULL),

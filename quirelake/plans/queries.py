@@ -231,10 +231,8 @@ def profile_scores(spark, sf_dir):
             F.lit("uk").alias("language"), F.lit("legible").alias("legibility"), F.lit(None).cast("double").alias("conf")
         )
     )
-    keyed = lambda d, p: d.withColumn("image", F.concat(p, F.lit("|"), F.col("image")))
-    got = keyed(done.withColumn("regions", typed), F.col("profile")).select("image", "regions")
-    names = want.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in postprocess.PROFILES])))
-    scored = pages.score_pages(keyed(names, F.col("profile")), got).withColumn("profile", F.split("image", r"\|")[0])
+    got = done.select("profile", "image", typed.alias("regions"))
+    scored = pages.score_variants(want, got, "profile", list(postprocess.PROFILES)).withColumn("profile", F.explode("names"))
     by_profile = scored.groupBy("profile").agg(*pages.metric_columns())
     return _rounded(compare.profile_deltas(by_profile, pages.score(pages.score_pages(want, raw))))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import merging, pages
+from ..operators import dictation, merging, pages
 from ..sources.shared import fresh_folder
 from ..streaming import events, progress
 from . import fixtures as fx
@@ -93,3 +93,22 @@ def stream_windows(spark, sf_dir):
     go()
     got = spark.read.schema("window_start timestamp, kind string, n long, total double").parquet(f"{folder}/out")
     return got.select(F.unix_seconds("window_start").alias("window_start"), "kind", "n", F.round("total", 2).alias("total"))
+
+
+@query
+def dictated_lines(spark, sf_dir):
+    """Every document's predicted lines, some of which are misread, missing or doubled, against the document's own text."""
+    p = fx.pages(spark, sf_dir)
+    page = F.regexp_extract("image", r"_(\d+)\.jpg$", 1).cast("int")
+    lines = p.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(page.alias("g"), F.transform("pred", lambda r: r["text"]).alias("t")))), lambda x: x["t"])).alias("lines"))
+    known = p.groupBy("doc_id").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(page.alias("g"), F.transform("regions", lambda r: r["text"]).alias("t")))), lambda x: x["t"])), " ").alias("text"))
+    found = dictation.align_lines(lines.join(known, "doc_id")).select("doc_id", F.size("lines").alias("n_lines"), F.aggregate("spans", F.lit(0), lambda a, s: a + s["distance"]).alias("distance"), F.size(F.filter("spans", lambda s: s["distance"] == 0)).alias("exact"))
+    return found.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_lines", "distance", "exact")])
+
+
+@query
+def made_sentences(spark, sf_dir):
+    """As many sentences of the documents' words as there are documents."""
+    docs = fx.table(spark, sf_dir, "documents").select("text")
+    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
+    return dictation.sentences(words, docs.count())
