@@ -102,6 +102,25 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def _apart(own: Column, x: Column) -> Column:
+    """Whether ``x`` meets none of the spans ``own``, which are in order and apart: only the last that begins before its end can reach into it.
+
+    That one is looked for by halving, so many proposals among many spans cost little more each.
+    """
+    end = x["s"] + F.length(x["m"])
+    bounds = F.struct(F.lit(0).alias("lo"), F.size(own).alias("hi"))  # spans that begin before the end: lo at least, hi at most
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.ceil((acc["lo"] + acc["hi"]) / 2).cast("int")
+        before = (acc["lo"] < acc["hi"]) & (F.get(own, middle - 1)["s"] < end)
+        return F.struct(F.when(before, middle).otherwise(acc["lo"]).alias("lo"), F.when(before, acc["hi"]).otherwise(F.greatest(middle - 1, acc["lo"])).alias("hi"))
+
+    # as many steps as the list's length has binary digits
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(own).cast("long"))) + 1)
+    n = F.aggregate(steps, bounds, halve, lambda acc: acc["lo"])
+    return _let(n, lambda k: (k == 0) | (F.get(own, k - 1)["s"] + F.length(F.get(own, k - 1)["m"]) <= x["s"]))
+
+
 def _found(text: Column, kind: str) -> Column:
     """(start, span, before) of each candidate: the matches of its pattern, and what context proposes beside them."""
     own = _matches(text, PATTERNS[kind], _may_hold(text, kind))
@@ -117,8 +136,7 @@ def _found(text: Column, kind: str) -> Column:
     more = F.transform(_matches(text, pattern, _may_hold(text, kind, True)), trimmed)
 
     def joined(both: Column) -> Column:
-        apart = lambda x, y: (x["s"] + F.length(x["m"]) <= y["s"]) | (y["s"] + F.length(y["m"]) <= x["s"])
-        return F.concat(both["own"], F.filter(both["more"], lambda x: (x["m"] != "") & F.forall(both["own"], lambda y: apart(x, y))))
+        return F.concat(both["own"], F.filter(both["more"], lambda x: (x["m"] != "") & _apart(both["own"], x)))
 
     return _let(F.struct(own.alias("own"), more.alias("more")), lambda both: F.when(F.size(both["more"]) > 0, joined(both)).otherwise(both["own"]))
 

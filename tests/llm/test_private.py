@@ -79,3 +79,29 @@ def test_expectation_maximisation_separates():
     truth, rates = private.reliabilities([(0, (1, 1, 1), 80), (0, (1, 1, 0), 20), (0, (-1, -1, 1), 60), (0, (-1, 0, -1), 40)])
     assert truth[0, (1, 1, 1)] > 0.9 and truth[0, (-1, 0, -1)] < 0.1
     assert all(math.isclose(sum(side), 1) for labeler in rates[0] for side in labeler)
+
+
+def test_proposals_against_all_own_spans(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(5), []
+    for _ in range(300):
+        own, at = [], 0
+        for _ in range(rng.randrange(0, 40)):
+            at += rng.randrange(0, 9)
+            own.append((at, "x" * rng.randrange(1, 6), ""))
+            at += len(own[-1][1])
+        rows.append((own, (rng.randrange(0, at + 9), "y" * rng.randrange(1, 12), "")))
+    span = "struct<s:int,m:string,b:string>"
+    docs = spark.createDataFrame(rows, f"own array<{span}>, x {span}")
+    for r in docs.select("own", "x", private._apart(F.col("own"), F.col("x")).alias("apart")).collect():
+        lo, hi = r["x"]["s"], r["x"]["s"] + len(r["x"]["m"])
+        assert r["apart"] == all(y["s"] + len(y["m"]) <= lo or hi <= y["s"] for y in r["own"])
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "".join(f"token=abcDEF{i:016d}\n" for i in range(16_000))
+    got = private.find_private(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["n_candidates"] == 16_000
