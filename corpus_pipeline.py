@@ -36,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five words, 0.8): one of the least id. Rows that repeat id and text are one.
 
-    Texts without words are one class, so one of them stays. Rows of different texts stay whatever their ids, null ones included.
+    Of texts without words those with the same signs, white space aside, are one; so are empty and null ones. Rows of different texts stay whatever their ids, null ones included.
     """
     return keep_one_of_each(docs)
 

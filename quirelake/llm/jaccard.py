@@ -127,6 +127,11 @@ def _class_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def _wordless_key(text: str | None) -> bytes:
+    """A text without words is in the class of its signs: unlike ones aren't near duplicates. White space alone, empty and null are one class."""
+    return xxhash.xxh3_128_digest("".join((text or "").split()).encode(), seed=1)
+
+
 def _tag(key: bytes, doc) -> int:
     return xxhash.xxh3_64_intdigest(key + repr(doc).encode()) >> 1
 
@@ -144,7 +149,7 @@ def _fingerprints(docs: DataFrame, s: JoinSettings, kind: str) -> DataFrame:
             if some:
                 for i, row in zip(some, band_keys(minhash([sets[i] for i in some], s.hashes), s.bands, s.rows).view(np.int64).tolist(), strict=True):
                     keys[i] = row
-            classes = [_class_key(x) for x in sets]
+            classes = [_class_key(x) if len(x) else _wordless_key(b.column(1)[i].as_py()) for i, x in enumerate(sets)]
             tags = [_tag(c, d) for c, d in zip(classes, b.column(0).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(classes, pa.binary()), pa.array(tags, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *b.columns[2:]],
@@ -378,7 +383,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     class_id: the least id with the same set of word n-grams (lower-cased words of letters and digits; a text of fewer words than n is one
     gram). n_links: how many other classes reach the threshold with this one. group_id: the least id of all classes linked with it,
-    directly or through others. Texts without words, null ones among them, are one class without links. Ids may be null (ignored among
+    directly or through others. Texts without words have no links; their class is that of their signs, white space aside, so that empty and null texts are one. Ids may be null (ignored among
     least ids unless all are null) or repeat; an empty table gives an empty result; other columns are not read.
     """
     rows, classes, linked = _linked(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), settings, F.min("id").alias("rep"))
@@ -415,8 +420,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` without all but one of each group of near duplicates: one of the least id stays (null only if all are), of those one text's.
 
     Rows are told apart by id and text together, so ids may be null or repeat: rows of other groups stay whatever their id. Rows that repeat
-    both are one. A filter of fixed size over the rows to drop lets most pass as they are; only those that it may hold are joined with them,
-    so few texts are shuffled.
+    both are one. Texts without words are near duplicates of those with the same signs only, white space aside; null and empty ones are one. A very long text is read whole,
+    and its shingles are held by one task at a time. A filter of fixed size over the rows to drop lets most pass as they are; only those that
+    it may hold are joined with them, so few texts are shuffled.
     """
     s, key = settings, _row_key(id_col, text_col)
     plain = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), key.alias("key"))

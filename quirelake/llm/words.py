@@ -91,13 +91,15 @@ def numbered_words(column: pa.Array, most: int = 8_000_000) -> tuple[np.ndarray,
 
 
 class WordHash(dict):
-    """64-bit hash of a word, kept between batches up to ``most`` words."""
+    """64-bit hash of a word, kept between batches up to ``most`` words of at most ``longest`` bytes."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 400_000, longest: int = 64):
         super().__init__()
-        self.most = most
+        self.most, self.longest = most, longest
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > self.longest:
+            return xxhash.xxh3_64_intdigest(word)
         if len(self) >= self.most:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)

@@ -130,3 +130,11 @@ def test_unlike_texts_without_ids_all_stay(spark, bits):
         ),
         key=str
     ) == sorted(rows, key=str)
+
+
+def test_texts_of_signs_alone_stay_apart(spark):
+    rows = [(1, "!!! ???"), (2, "*** ---"), (3, "!!! ???"), (4, "!!!  ???\n"), (5, None), (6, ""), (7, " \n"), (8, "... " * 40_000), (9, "wörter gibt es hier"), (None, "*** ---"), (10, "~")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in jaccard.keep_one_of_each(docs).collect()) == [1, 2, 5, 8, 9, 10]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(docs).collect() if r["doc_id"] is not None}
+    assert got == {1: (1, 0), 2: (2, 0), 3: (1, 0), 4: (1, 0), 5: (5, 0), 6: (5, 0), 7: (5, 0), 8: (8, 0), 9: (9, 0), 10: (10, 0)}
