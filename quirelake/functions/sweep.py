@@ -15,8 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-#: Pages with up to so many pairs of boxes are compared by column expressions.
-SMALL = 4096
+#: Pages with up to so many pairs of boxes are compared by column expressions: where the pairs stay in the page's row, and where each is a row.
+SMALL, SMALL_AS_ROWS = 4096, 64
 #: Pairs that are looked at at a time.
 BLOCK = 1 << 21
 
@@ -166,5 +166,6 @@ def of_boxes(regions: Column) -> Column:
     return F.transform(regions, lambda r: r["bbox"])
 
 
-def is_large(a: Column, b: Column) -> Column:
-    return F.size(a).cast("long") * F.size(b) > SMALL
+def is_large(a: Column, b: Column, small: int | None = None) -> Column:
+    """Whether boxes make more pairs than ``small``, by default SMALL."""
+    return F.size(a).cast("long") * F.size(b) > (SMALL if small is None else small)

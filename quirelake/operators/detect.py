@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import sweep
+from ..functions.edits import edit_distances
 from ..functions.markup import rewrite_markup_array
 from ..functions.regions import is_scorable
 from .pages import THRESHOLD, finish_texts, held, markup_texts, metric_columns, overlapping_pairs, taken_in_turn
@@ -155,7 +156,8 @@ def grid(
 
     rows = held(rows.select("gt_page", F.transform("points", result).alias("found")))
     rows = held(rows.withColumn("pages", F.array_distinct(F.transform("found", lambda p: p["page"]))))
-    far = F.when(F.length("gt_page") > 0, F.transform("pages", lambda t: F.levenshtein(t, F.col("gt_page")) / F.length("gt_page")))
+    far = F.when(F.length("gt_page") > 0, F.transform("distances", lambda n: n / F.length("gt_page")))
+    rows = held(rows.withColumn("distances", edit_distances(F.col("pages"), F.col("gt_page"))))
     rows = held(rows.withColumn("far", far)).select("pages", "far", F.explode("found").alias("p"))
     cer = F.get("far", (F.array_position("pages", F.col("p.page")) - 1).cast("int"))
     scored = rows.select("p.*", cer.alias("page_cer")).groupBy("ordinal").agg(*metric_columns())

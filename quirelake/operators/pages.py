@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import sweep
+from ..functions.edits import edit_distance
 from ..functions.markup import rewrite_markup_array
 from ..functions.regions import is_scorable
 from ..functions.text import HEIGHT_BINS, LENGTH_BINS, bin_label, finish_markup, normalize_natural
@@ -203,7 +204,7 @@ def _score_joined(rows: DataFrame, threshold: float | Column) -> DataFrame:
         F.size(F.filter("matches", lambda m: m["gt_type"] == m["pred_type"])).alias("class_correct"),
         F.aggregate(cers, F.lit(0.0), lambda a, c: a + c).alias("cer_sum"),
         F.size(cers).alias("cer_n"),
-        F.when(F.length("gt_page") > 0, F.levenshtein("pred_page", "gt_page") / F.length("gt_page")).alias("page_cer"),
+        F.when(F.length("gt_page") > 0, edit_distance(F.col("pred_page"), F.col("gt_page")) / F.length("gt_page")).alias("page_cer"),
         F.length("gt_page").alias("gt_chars"),
         F.length("pred_page").alias("pred_chars"),
     )
@@ -349,19 +350,23 @@ def overlap_pairs(rows: DataFrame, iou_at: float = 0.80, ioa_at: float = 0.95) -
 
     Pages of many boxes list, by a sweep, the later boxes that each meets; on others each box is set against all later ones.
     """
-    # one compiled row for each pair, of boxes and types alone
-    boxes = rows.select("image", F.transform("regions", lambda r: F.struct(r["bbox"].alias("b"), r["type"].alias("type"))).alias("all"))
-    n, i = F.size("all"), F.col("i")
+    # one compiled row for each pair, of two boxes and their types alone: a page's array goes with its page and with no region or pair
+    boxes = rows.select(
+        "image", F.transform("regions", lambda r, i: F.struct(i.alias("i"), r["bbox"].alias("b"), r["type"].alias("type"))).alias("all")
+    )
+    every = F.col("all")
     swept = iou_at > 0 and ioa_at > 0
+    after = lambda x: F.slice(every, x["i"] + 2, F.size(every))
     if swept:
-        large = sweep.is_large(F.col("all"), F.col("all"))
+        large = sweep.is_large(every, every, sweep.SMALL_AS_ROWS)
         boxes = boxes.withColumn("near", sweep.later_large(F.when(large, F.transform("all", lambda r: r["b"]))))
-    first = boxes.select("*", F.posexplode("all").alias("i", "x"))
-    later = F.when(i + 1 < n, F.sequence(i + 1, n - 1))
-    if swept:
-        later = F.when(F.col("near").isNotNull(), F.get("near", i)).otherwise(later)
-    pair = first.select("image", "i", "x", "all", F.explode(later).alias("j"))
-    pair = pair.select("image", "i", "j", "x", F.get("all", F.col("j")).alias("y"))
+        near = F.col("near")
+        later = lambda x: F.when(near.isNull(), after(x)).otherwise(F.transform(F.get(near, x["i"]), lambda j: F.get(every, j)))
+    else:
+        later = after
+    first = boxes.select("image", F.explode(F.transform("all", lambda x: F.struct(x.alias("x"), later(x).alias("ys")))).alias("p"))
+    pair = first.select("image", F.col("p.x").alias("x"), F.explode("p.ys").alias("y"))
+    pair = pair.select("image", F.col("x.i").alias("i"), F.col("y.i").alias("j"), "x", "y")
     a, b = ([F.col(f"{side}.b")[n] for n in range(4)] for side in ("x", "y"))
     if swept:
         pair = pair.where((a[1] < b[3]) & (b[1] < a[3]) & (a[0] < b[2]) & (b[0] < a[2]))
