@@ -6,7 +6,7 @@ derived pages overlap by half only within their own row, so the greedy matching
 
 from __future__ import annotations
 
-from . import run_queries, suppression, tool_queries
+from . import round_trips, run_queries, suppression, tool_queries
 from .crowded import SQL as CROWDED
 from .fixtures import SQL as FIXTURE
 
@@ -278,7 +278,7 @@ ORACLE_SQL |= {
             CASE WHEN x1 < 0 OR y1 < 0 OR x2 > 800 OR y2 > 1200 THEN 'out_of_bounds' END, CASE WHEN raw.raw_text <> x.text THEN 'text_changed' END], lambda y: y IS NOT NULL)), ',') AS flags, coalesce(t.other::VARCHAR, '') AS overlap_with
         FROM x LEFT JOIN raw ON x.image = raw.image AND x.key = raw.key LEFT JOIN twin t ON x.image = t.image AND x.pi = t.pi""",
 }
-ORACLE_SQL |= tool_queries.ORACLE_SQL
+ORACLE_SQL |= tool_queries.ORACLE_SQL | round_trips.ORACLE_SQL
 
 ORACLE_SQL |= {
     "sharded_metric": ORACLE_SQL["page_metric"],

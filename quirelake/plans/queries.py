@@ -15,10 +15,10 @@ from ..sources import regions as sources
 from ..sources import sinks
 from ..streaming import progress
 from . import fixtures as fx
-from . import run_queries, tool_queries
+from . import round_trips, run_queries, tool_queries
 from .crowded import crowded
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tool_queries.QUERIES | run_queries.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tool_queries.QUERIES | run_queries.QUERIES | round_trips.QUERIES
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
