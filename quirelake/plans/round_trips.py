@@ -168,3 +168,36 @@ def crops_of_lines(spark, sf_dir):
     paths = fx.solution(spark, sf_dir).select(F.concat_ws("/", F.lit("/root"), F.coalesce("source", F.lit("none")), "image").alias("path"))
     found = sources.crops_from_lines(pages, sources.image_index(paths, "/root", last_wins=True), "gold")
     return found.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("image_path").alias("names"))
+
+
+#: The limit of silver crops; the page that reaches it is taken whole.
+SILVER = 5000
+
+
+@query(f"""WITH {FIXTURE}, c AS (SELECT image, any_value(source) AS source, any_value(d) AS d, count(*) AS n, sum(length(text))::BIGINT AS chars FROM gt
+      WHERE language = 'uk' AND type NOT IN ('image', 'graph') GROUP BY image),
+    o AS (SELECT *, sum(n) OVER (ORDER BY d * 10000 + regexp_extract(image, '_([0-9]+)[.]jpg$', 1)::BIGINT) - n AS ahead FROM c)
+    SELECT '/root/' || coalesce(source, 'none') || '/' || image AS source_image, n, chars FROM o WHERE ahead < {SILVER}""")
+def silver_lines(spark, sf_dir):
+    """Crops to be read anew, of the first pages by document and place, as far as the limit goes."""
+    folder = fresh_folder(spark, "silver")
+    sinks.write_jsonl(_page_rows(spark, sf_dir), folder)
+    part = lambda k: F.regexp_extract("image", r"^doc_(\d+)_(\d+)\.jpg$", k).cast("long")
+    pages = sources.read_crop_pages(spark, folder).withColumn("page_no", part(1) * 10_000 + part(2))
+    paths = fx.solution(spark, sf_dir).select(F.concat_ws("/", F.lit("/root"), F.coalesce("source", F.lit("none")), "image").alias("path"))
+    found = sources.silver_crops_from_lines(pages, sources.image_index(paths, "/root", last_wins=True), SILVER)
+    return found.groupBy("source_image").agg(F.count("*").alias("n"), F.sum(F.length("silver_text")).alias("chars"))
+
+
+@query(f"""WITH {FIXTURE} SELECT type, count(*) AS n, (0.5 * count(*) FILTER (WHERE gi % 2 = 1))::DOUBLE AS weight, count(*) FILTER (WHERE gi % 2 = 0) AS earlier FROM gt GROUP BY type""")
+def manifests_joined(spark, sf_dir):
+    """A written manifest that lacks weights and new rows that have them, as one written manifest."""
+    folder = fresh_folder(spark, "manifests")
+    rows = fx.solution(spark, sf_dir).select("image", F.posexplode("regions").alias("gi", "r"))
+    rows = rows.select(F.concat("image", F.lit("#"), F.col("gi").cast("string")).alias("image_path"), "gi", "r.type", "r.text")
+    old = rows.where("gi % 2 = 0").select("image_path", "text", "type", F.lit("old").alias("made"))
+    new = rows.where("gi % 2 = 1").select("type", "text", "image_path", F.lit(0.5).alias("weight"))
+    sinks.write_manifest(sources.with_earlier(spark, old, f"{folder}/none"), f"{folder}/old")
+    sinks.write_manifest(sources.with_earlier(spark, new, f"{folder}/old"), f"{folder}/both")
+    read = sources.read_manifest(spark, f"{folder}/both", defaults={"weight": 0.0})
+    return read.groupBy("type").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.count("made").alias("earlier"))

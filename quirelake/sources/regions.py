@@ -198,11 +198,10 @@ def read_crop_pages(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("r").isNotNull() & F.col("r._bad").isNull()).select("r.*", "page_no").drop("_bad")
 
 
-def crops_from_lines(pages: DataFrame, index: DataFrame, split: str, weight: float = 1.0, most: int | None = None) -> DataFrame:
-    """Training crops of ``read_crop_pages``: image_path, source_image, bbox, text (as a target), weight, source and type.
+def _found_regions(pages: DataFrame, index: DataFrame) -> DataFrame:
+    """Boxed and undrawn Ukrainian regions of those pages of ``read_crop_pages`` whose image ``index`` has, by whole name or stem.
 
-    Only pages whose image ``index`` (key, path) finds count, by whole name or stem. Names number the crops through the whole file. With
-    ``most`` a page is left out once that many crops stand before it, so the limit can be passed by one page's crops.
+    Columns: page_no, name, source_image, i, bbox, type, text (stripped) and legibility.
     """
     named = pages.select(
         "page_no", first_text("image", "file_name", "filename", "id").alias("name"), _first_boxes("regions", "annotations").alias("regions")
@@ -214,11 +213,21 @@ def crops_from_lines(pages: DataFrame, index: DataFrame, split: str, weight: flo
     r = F.col("r")
     box = F.coalesce(F.when(F.size(r["bbox"]) > 0, r["bbox"]), F.when(F.size(r["bbox_2d"]) > 0, r["bbox_2d"]))
     kind, text = F.coalesce(r["type"], F.lit("handwritten")), strip(F.coalesce(r["text"], F.lit("")))
-    usable = (text != "") & (F.coalesce(r["language"], F.lit("uk")) == "uk") & (
-        F.coalesce(r["legibility"], F.lit("legible")) != "illegible"
-    ) & ~kind.isin(*NON_SCORABLE) & box.isNotNull()
+    usable = (F.coalesce(r["language"], F.lit("uk")) == "uk") & ~kind.isin(*NON_SCORABLE) & box.isNotNull()
     rows = named.join(tried, "page_no").select("page_no", "name", "source_image", F.posexplode("regions").alias("i", "r")).where(usable)
-    rows = rows.select("page_no", "name", "source_image", "i", box.alias("bbox"), kind.alias("type"), text.alias("text"))
+    return rows.select(
+        "page_no", "name", "source_image", "i", box.alias("bbox"), kind.alias("type"), text.alias("text"),
+        F.coalesce(r["legibility"], F.lit("legible")).alias("legibility")
+    )
+
+
+def crops_from_lines(pages: DataFrame, index: DataFrame, split: str, weight: float = 1.0, most: int | None = None) -> DataFrame:
+    """Training crops of ``read_crop_pages``: image_path, source_image, bbox, text (as a target), weight, source and type.
+
+    Only pages whose image ``index`` (key, path) finds count, by whole name or stem. Names number the crops through the whole file. With
+    ``most`` a page is left out once that many crops stand before it, so the limit can be passed by one page's crops.
+    """
+    rows = _found_regions(pages, index).where("text <> '' AND legibility <> 'illegible'")
     if most is not None:
         rows = cap_by_page(rows, most)
     rows = rows.join(_ahead(rows, "page_no"), "page_no")
@@ -230,6 +239,17 @@ def crops_from_lines(pages: DataFrame, index: DataFrame, split: str, weight: flo
     )
 
 
+def silver_crops_from_lines(pages: DataFrame, index: DataFrame, most: int | None = None) -> DataFrame:
+    """Crops to be read anew: source_image, bbox, type and silver_text, what the page has for it, which may be empty or illegible.
+
+    Pages, and the limit ``most``, are taken as by ``crops_from_lines``; page numbers may be any that order the pages.
+    """
+    rows = _found_regions(pages, index)
+    if most is not None:
+        rows = cap_by_page(rows, most)
+    return rows.select("source_image", "bbox", "type", F.col("text").alias("silver_text"))
+
+
 def _first_boxes(*names: str) -> Column:
     return F.coalesce(*[F.when(F.size(n) > 0, F.col(n)) for n in names], F.array().cast(_CROP_REGION))
 
@@ -323,6 +343,21 @@ def read_manifest(
     return rows if most is None else rows.orderBy(order).limit(most)
 
 
+def with_earlier(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
+    """The rows of the manifest at ``path``, if there is one, and those of ``new``, repeated ones too, to be written elsewhere.
+
+    Columns go by name: what one side lacks is null there, and the earlier rows take the types of ``new``. Without new rows the earlier stay.
+    """
+    try:
+        old = read_manifest(spark, path)
+    except AnalysisException as e:
+        if _missing(e):
+            return new
+        raise
+    types = dict(new.dtypes)
+    return old.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in old.columns]).unionByName(new, allowMissingColumns=True)
+
+
 def detections_to_regions(rows: DataFrame, least_conf: float = 0.0) -> DataFrame:
     """image and regions from detector rows (image, x1, y1, x2, y2, class number, conf): by falling confidence, texts empty."""
     kind = F.element_at(F.array(*[F.lit(t) for t in REGION_TYPES]), F.col("class") + 1)

@@ -98,6 +98,36 @@ def test_crops_from_lines(spark, tmp_path):
     assert S.crops_from_lines(S.read_crop_pages(spark, str(tmp_path / "none")), index, "gold").count() == 0
 
 
+def test_silver_crops_from_lines(spark, tmp_path):
+    region = lambda text, **more: {"bbox": [1, 2, 30, 40], "text": text} | more
+    lines = [
+        {"image": "a.jpg", "regions": [region(" один "), region(""), region("x", type="image"), region("y", bbox=None)]},
+        {"image": "gone.jpg", "regions": [region("ні")]},
+        {"id": "b", "annotations": [region("два", legibility="illegible"), region("ні", language="other")]},
+        {"image": "c.jpg", "regions": [region("три", bbox=[], bbox_2d=[1, 1, 9, 9])]},
+    ]
+    (tmp_path / "p.jsonl").write_text("\n".join(json.dumps(x, ensure_ascii=False) for x in lines), encoding="utf-8")
+    index = S.image_index(spark.createDataFrame([("/r/a.jpg",), ("/r/b.png",), ("/r/c.jpg",)], "path string"), "/r", last_wins=True)
+    pages_ = S.read_crop_pages(spark, str(tmp_path / "p.jsonl"))
+    want = [("/r/a.jpg", ""), ("/r/a.jpg", "один"), ("/r/b.png", "два"), ("/r/c.jpg", "три")]
+    for most, n in ((None, 4), (0, 0), (1, 2), (2, 2), (3, 3), (4, 4)):
+        got = S.silver_crops_from_lines(pages_, index, most).select("source_image", "silver_text").collect()
+        assert sorted(map(tuple, got)) == want[:n]
+
+
+def test_manifests_joined(spark, tmp_path):
+    new = spark.createDataFrame([("a", 0.5), ("a", 0.5), ("b", None)], "image_path string, weight double")
+    assert S.with_earlier(spark, new, str(tmp_path / "none")).collect() == new.collect()
+    old = spark.createDataFrame([("a", "1.5", "x"), ("c", "no number", None)], "image_path string, weight string, text string")
+    sinks.write_manifest(old, str(tmp_path / "m"))
+    both = S.with_earlier(spark, new, str(tmp_path / "m"))
+    assert both.schema["weight"].dataType.simpleString() == "double"
+    assert Counter(tuple(r) for r in both.select("image_path", "weight", "text").collect()) == Counter(
+        [("a", 1.5, "x"), ("c", None, None), ("a", 0.5, None), ("a", 0.5, None), ("b", None, None)]
+    )
+    assert S.with_earlier(spark, new.limit(0), str(tmp_path / "m")).count() == 2
+
+
 def test_lookup_orders(spark):
     index = S.image_index(spark.createDataFrame([("/r/x/a.jpg",), ("/r/b.jpg",)], "path string"), "/r")
     names = spark.createDataFrame([("images/a.jpg",), ("zzz/b.jpg",), ("b.gif",)], "name string")
