@@ -4,9 +4,9 @@ A word's class is its own if it is among the most frequent, else one of a fixed
 p(class | history) * p(word | class, history). Both factors are softmaxes of the state of a GRU of few units in numpy: the first over
 classes, the second over the class's members, which are the next most frequent words with those endings, and one symbol for its rest; among
 the rest, counts over all training text give each word's share. Singles, members and rests have input vectors of their own. The network is
-trained by backpropagation truncated at short windows: first on a small set of documents, then from there on all training documents, each
-task on its own, and the tasks' weights are averaged by tokens, so weights depend a little on how the table is cut. In scoring, the state is
-carried through the whole document.
+trained by backpropagation truncated at short windows: first on a small set of documents, then from there on all training documents, in slices
+of bounded size, and the slices' weights are averaged by tokens. A row's slice and place come from a hash of the row, and sums run in the
+slices' order, so the same rows give the same weights however the table is cut. In scoring, the state is carried through the whole document.
 
 Word counts never come to the driver, but for the most frequent words, of which a fixed number at most is kept: the rest are joined to the
 documents' words by the batch.
@@ -34,7 +34,9 @@ from .words import numbered_words, portions, raw
 class Settings:
     """single: words with classes of their own; grouped: classes of all other words; one more class is the end; members: words in the grouped classes' softmaxes.
 
-    frequent: words, at most, whose counts go to every task. start_docs: documents, about, of the first training; start_epochs: passes over them.
+    frequent: words, at most, whose counts go to every task. start_docs, start_bytes: documents and bytes, about, of the first training, the
+    lesser of both; start_epochs: passes over them. slice_bytes: text, about, of a slice, more where there were over most_slices of them.
+    repeats: equal rows (same id and text), beyond which they are dealt to slices one by one; at least a thousandth of all.
     streams, window: texts that training runs in parallel (fewer where there is little text), and steps of truncated backpropagation.
     """
 
@@ -44,7 +46,11 @@ class Settings:
     members: int = 700
     frequent: int = 50_000
     start_docs: int = 1500
+    start_bytes: int = 32_000_000
     start_epochs: int = 3
+    slice_bytes: int = 32_000_000
+    most_slices: int = 20_000
+    repeats: int = 1000
     streams: int = 512
     window: int = 16
     start_rate: float = 0.01
@@ -331,47 +337,114 @@ def _most_frequent(counts: DataFrame, most: int, steps: int = 16) -> list[tuple[
     return sorted(((bytes(r["word"]), r["n"]) for r in counts.where(level >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def start_texts(docs: DataFrame, s: Settings, n_docs: int) -> DataFrame:
-    """Texts of about ``start_docs`` rows of ``docs`` (id, text), each drawn by itself, also among copies of one text or repeated rows."""
-    drawn = F.xxhash64("id", "text", F.monotonically_increasing_id())
-    return docs.where(F.pmod(drawn, F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, s.start_docs / max(1, n_docs))) + 1)).select("text")
+#: Slices whose weights are added in one group.
+_FAN = 64
 
 
-def train(docs: DataFrame, v: Vocabulary, s: Settings, n_docs: int, symbol_counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights from the rows of ``docs`` (id, text): a first training on about ``start_docs`` of them, then one on all, averaged over tasks.
+def row_counts(docs: DataFrame) -> DataFrame:
+    """(h, n, bytes) of ``docs`` (id, text): each row's hash, how many rows have it, and their text's bytes."""
+    return docs.select(F.xxhash64("id", "text").alias("h"), F.octet_length("text").alias("b")).groupBy("h").agg(
+        F.count("*").alias("n"), F.sum("b").alias("bytes")
+    )
+
+
+def _one_by_one(counts: DataFrame, block: int = 10_000) -> DataFrame:
+    """(h, k) for k from 0 to n - 1 of each row of ``counts``, by blocks, so that no array is longer than one."""
+    blocks = counts.select("h", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {block})")).alias("at"))
+    return blocks.select("h", F.explode(F.sequence(F.col("at") * block, F.least("n", (F.col("at") + 1) * block) - 1)).alias("k"))
+
+
+def _one_of_each(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(h, text): one row of ``docs`` for each hash of ``hashes``, which is small."""
+    hashed = docs.select(F.xxhash64("id", "text").alias("h"), "text").join(F.broadcast(hashes.select("h")), "h")
+    return hashed.groupBy("h").agg(F.first("text").alias("text"))
+
+
+def start_texts(docs: DataFrame, s: Settings, n_docs: int, n_bytes: int = 0, counts: DataFrame | None = None) -> DataFrame:
+    """(h, k, text) of about ``start_docs`` rows of ``docs`` (id, text), each drawn by itself, also among equal rows, whose k tells them apart.
+
+    Which rows are drawn depends on the rows alone.
+    """
+    share = min(1.0, s.start_docs / max(1, n_docs), s.start_bytes / max(1, n_bytes))
+    drawn = _one_by_one(row_counts(docs) if counts is None else counts).where(F.pmod(F.xxhash64("h", "k"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    return F.broadcast(drawn).join(_one_of_each(docs, drawn.select("h").distinct()), "h").select("h", "k", "text")
+
+
+def sliced(docs: DataFrame, counts: DataFrame, s: Settings, n_docs: int, n_slices: int) -> DataFrame:
+    """(slice, h, k, text): the rows of ``docs`` (id, text) with the slice of each, by its hash; rows that repeat very often are dealt one by one."""
+    often = counts.where(F.col("n") > max(s.repeats, n_docs // 1000))  # fewer than a thousand
+    hashed = docs.select(F.xxhash64("id", "text").alias("h"), F.lit(0).cast("long").alias("k"), "text")
+    if often.count():
+        each = _one_by_one(often).join(_one_of_each(docs, often), "h").select("h", "k", "text")
+        hashed = hashed.join(F.broadcast(often.select("h")), "h", "left_anti").union(each)
+    return hashed.select(F.pmod(F.xxhash64("h", "k"), F.lit(n_slices)).cast("int").alias("slice"), "h", "k", "text")
+
+
+def _slice_portions(batches: Iterator[pa.RecordBatch], most: int = 32_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """(slice, texts) of at most ``most`` bytes, or one text, from rows (slice, text) in order of slice; Spark's batches don't show."""
+    held, size, now = [], 0, -1
+    for b in batches:
+        number, (bounds, _) = np.asarray(b.column(0)), raw(b.column(1))
+        at = 0
+        while at < len(number):
+            to = min(int(np.searchsorted(number, number[at], "right")), int(np.searchsorted(bounds, bounds[at] + most - size, "right")) - 1)
+            if held and (number[at] != now or to <= at):
+                yield now, pa.concat_arrays(held)
+                held, size = [], 0
+                continue
+            now, to = int(number[at]), max(to, at + 1)
+            held.append(b.column(1).slice(at, to - at))
+            size += int(bounds[to] - bounds[at])
+            at = to
+    if held:
+        yield now, pa.concat_arrays(held)
+
+
+def train(docs: DataFrame, v: Vocabulary, s: Settings, symbol_counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights from the rows of ``docs`` (id, text): a first training on about ``start_docs`` of them, then one on all, averaged over slices.
 
     The outputs' biases start at the logs of the classes' and members' shares, so an untrained network already scores as counts do.
     """
-    sc, kind = docs.sparkSession.sparkContext, "tokens long, w binary"
+    sc, kind = docs.sparkSession.sparkContext, "slice long, tokens long, w binary"
     held = sc.broadcast(v)
+    counts = cut(row_counts(docs), "row-counts")
+    n_docs, n_bytes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
 
     def trainer_run(start: np.ndarray, rate: float, epochs: int):
         sent = sc.broadcast(start)
 
+        def weights(number: int, t: Trainer) -> pa.RecordBatch:
+            w = _flat(t.p).astype(np.float64) * t.tokens
+            columns = [pa.array([number], pa.int64()), pa.array([t.tokens], pa.int64()), pa.array([w.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["slice", "tokens", "w"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v = held.value
-            t = Trainer(_shaped(sent.value, s, v), s, rate, v)
-            for b in portions(batches, 0, 32_000_000):
-                ids, words, sizes = numbered_words(b.column(0))
+            v, now, t = held.value, -1, None
+            for number, texts in _slice_portions(batches):
+                if number != now:
+                    if t is not None:
+                        yield weights(now, t)
+                    now, t = number, Trainer(_shaped(sent.value, s, v), s, rate, v)
+                ids, words, sizes = numbered_words(texts)
                 flat = _ended(v.symbols_of(words)[ids], sizes, v.end)
                 for _ in range(epochs):
                     t.learn(flat)
-            if t.tokens:
-                w = _flat(t.p).astype(np.float64) * t.tokens
-                yield pa.RecordBatch.from_arrays([pa.array([t.tokens], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["tokens", "w"])
+            if t is not None:
+                yield weights(now, t)
 
         return run
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, total = 0, 0.0
-        for b in batches:
-            for n, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tokens, total = tokens + n, total + np.frombuffer(w)
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["tokens", "w"])
-
-    def averaged(weights: DataFrame, otherwise: np.ndarray) -> np.ndarray:
-        got = weights.repartition(sc.defaultParallelism).mapInArrow(add, kind).repartition(8).mapInArrow(add, kind).collect()
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t.column("slice").to_pylist(), t.column("tokens").to_pylist(), t.column("w").to_pylist(), strict=True))
+        total = sum(np.frombuffer(w) for _, _, w in rows)
+        return pa.table({"slice": pa.array([key[0]], pa.int64()), "tokens": [sum(n for _, n, _ in rows)], "w": pa.array([total.tobytes()], pa.binary())})
+
+    def averaged(rows: DataFrame, slices: int, otherwise: np.ndarray, *how) -> np.ndarray:
+        rows = rows.repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "h", "k").select("slice", "text")
+        weights = rows.mapInArrow(trainer_run(otherwise, *how), kind)
+        while slices > _FAN:
+            weights, slices = weights.groupBy(F.expr(f"slice div {_FAN}").alias("group")).applyInArrow(add, kind), -(-slices // _FAN)
+        got = sorted(weights.collect())
         return (sum(np.frombuffer(r["w"]) for r in got) / sum(r["tokens"] for r in got)).astype(np.float32) if got else otherwise
 
     first = initial(s, v)
@@ -379,9 +452,10 @@ def train(docs: DataFrame, v: Vocabulary, s: Settings, n_docs: int, symbol_count
     first["b"] = np.log(classes / classes.sum()).astype(np.float32)
     first["wb"] = np.log((symbol_counts + 0.5) / classes[v.classes])[s.single : v.end].astype(np.float32)
     first["w"] *= 0.1
-    w = averaged(start_texts(docs, s, n_docs).repartition(1).mapInArrow(trainer_run(_flat(first), s.start_rate, s.start_epochs), kind), _flat(first))
-    w = averaged(docs.select("text").mapInArrow(trainer_run(w, s.rate, 1), kind), w)
-    return _shaped(w, s, v)
+    start = start_texts(docs, s, n_docs, n_bytes, counts).select(F.lit(0).alias("slice"), "h", "k", "text")
+    w = averaged(start, 1, _flat(first), s.start_rate, s.start_epochs)
+    n_slices = max(1, min(s.most_slices, -(-n_bytes // s.slice_bytes)))
+    return _shaped(averaged(sliced(docs, counts, s, n_docs, n_slices), n_slices, w, s.rate, 1), s, v)
 
 
 def score_documents(
@@ -415,7 +489,7 @@ def score_documents(
     symbol_counts[v.symbol_numbers] = v.counts_of(v.symbol_words)
     symbol_counts[v.rest] = [sums.get(k, 0.0) for k in range(s.grouped)]
     symbol_counts[v.end] = n_train
-    weights = _flat(train(training, v, s, n_train, symbol_counts))
+    weights = _flat(train(training.select("id", "text"), v, s, symbol_counts))
     sent = spark.sparkContext.broadcast((v, weights, rest_log))
     end_log, base_log = float(np.log10(n_train + 0.5)), float(np.log10(n_all + 0.5 * (n_types + 1)))
 

@@ -49,6 +49,41 @@ def test_start_draws_copies_apart(spark, ids):
         assert 200 < n < 400
 
 
+@pytest.mark.parametrize("repeats", [1000, 2])
+def test_weights_do_not_depend_on_how_the_table_is_cut(docs, repeats):
+    s = R.Settings(units=4, single=6, grouped=5, frequent=12, members=4, streams=4, slice_bytes=4000, start_docs=20, repeats=repeats)
+    rows = docs.union(docs.limit(3).crossJoin(docs.sparkSession.range(6).select()))  # some rows seven times
+    rows = rows.selectExpr("doc_id AS id", "coalesce(text, '') AS text").cache()
+    v = R.Vocabulary(R._most_frequent(R.word_counts(rows.select("text")), s.frequent), s)
+    one, other = (R._flat(R.train(rows.repartition(n), v, s, np.ones(len(v.classes)))) for n in (2, 13))
+    assert (one == other).all() and (one != R._flat(R.initial(s, v))).any()
+
+
+def test_slices_hold_every_row_once_and_deal_repeats(spark):
+    rows = spark.sql("SELECT id, concat('text ', id) AS text FROM range(50) UNION ALL SELECT NULL, 'again' FROM range(400)")
+    s = R.Settings(repeats=5)
+    got = R.sliced(rows, R.row_counts(rows), s, 450, 4).toPandas()
+    assert sorted(got["text"]) == sorted(r["text"] for r in rows.collect())
+    assert got[got["text"] == "again"].groupby("slice").size().between(60, 140).all() and len(got[got["text"] == "again"]["k"].unique()) == 400
+
+
+def test_portions_do_not_show_batches():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    rows = sorted((rng.randrange(3), "x" * rng.randrange(30)) for _ in range(60)) + [(3, "y" * 500), (3, "z")]
+
+    def batches(size):
+        for at in range(0, len(rows), size):
+            part = rows[at : at + size]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.int32()), pa.array([t for _, t in part])], names=["slice", "text"])
+
+    got = [[(n, x.to_pylist()) for n, x in R._slice_portions(batches(size), 100)] for size in (1, 7, 62)]
+    assert got[0] == got[1] == got[2]
+    assert [(n, t) for n, ts in got[0] for t in ts] == rows
+    assert all(len(ts) == 1 or sum(map(len, ts)) <= 100 for _, ts in got[0])
+
+
 def test_edges(no_docs, clashing, spark):
     assert R.score_documents(no_docs, settings=SMALL).count() == 0
     assert R.score_documents(clashing, settings=SMALL).count() == clashing.count()
