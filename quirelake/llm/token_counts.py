@@ -74,17 +74,19 @@ class LongestMatch:
 
 
 class CachedCounts(dict):
-    """Counts of words seen, up to ``most``; an unknown word is one token, marked UNKNOWN."""
+    """Counts of words seen, up to ``most`` words of at most ``longest`` bytes; an unknown word is one token, marked UNKNOWN."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
         super().__init__()
-        self.automaton, self.most = LongestMatch(*vocabulary(path)), most
+        self.automaton, self.most, self.longest = LongestMatch(*vocabulary(path)), most, longest
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
         n = self.automaton.count("▁" + word.decode())
-        n = self[word] = n if n >= 0 else UNKNOWN + 1
+        n = n if n >= 0 else UNKNOWN + 1
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -107,7 +109,7 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     """One row per row of ``docs``: id, n_words (between ASCII white space), n_pieces (greedy longest match) and n_unknown.
 
     A word that pieces don't cover counts as one unknown piece. A null text is empty and counts nothing; an empty table gives an empty
-    result; ids may be null or repeat; other columns are not read.
+    result; ids may be null or repeat; a very long text is counted whole, and its long words each time they come; other columns are not read.
     """
     path = path or default_path()
     kind = docs.schema[id_col].dataType.simpleString()
