@@ -338,7 +338,7 @@ def _most_frequent(counts: DataFrame, most: int, steps: int = 16) -> list[tuple[
 
 
 #: Slices whose weights are added in one group.
-_FAN = 64
+_FAN = 16
 
 
 def row_counts(docs: DataFrame) -> DataFrame:
@@ -380,7 +380,7 @@ def sliced(docs: DataFrame, counts: DataFrame, s: Settings, n_docs: int, n_slice
     return hashed.select(F.pmod(F.xxhash64("h", "k"), F.lit(n_slices)).cast("int").alias("slice"), "h", "k", "text")
 
 
-def _slice_portions(batches: Iterator[pa.RecordBatch], most: int = 32_000_000) -> Iterator[tuple[int, pa.Array]]:
+def _slice_portions(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
     """(slice, texts) of at most ``most`` bytes, or one text, from rows (slice, text) in order of slice; Spark's batches don't show."""
     held, size, now = [], 0, -1
     for b in batches:
