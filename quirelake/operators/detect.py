@@ -14,7 +14,7 @@ from ..functions import sweep
 from ..functions.edits import edit_distances
 from ..functions.markup import rewrite_markup_array
 from ..functions.regions import is_scorable
-from .pages import THRESHOLD, finish_texts, held, markup_texts, metric_columns, overlapping_pairs, taken_in_turn
+from .pages import THRESHOLD, crossed_items, finish_texts, held, markup_texts, metric_columns, overlapping_pairs, read_as, taken_in_turn
 
 
 def _conf(r: Column) -> Column:
@@ -80,19 +80,19 @@ def pair_table(solution: DataFrame, submission: DataFrame, least: float) -> Data
     large = sweep.is_large(F.col("gt"), F.col("pred"))
     swept = sweep.pairs_large(F.when(large, sweep.of_boxes(F.col("gt"))), F.when(large, sweep.of_boxes(F.col("pred"))), F.lit(float(least)))
     rows = held(rows.withColumn("pairs", F.when(large, swept).otherwise(overlapping_pairs(F.col("gt"), F.col("pred"), least))))
-    crossed = F.transform("pairs", lambda m: F.struct(F.get("gt", m["gi"])["type"].alias("type"), F.get("pred", m["pi"])["text"].alias("text")))
-    rows = held(rows.withColumn("crossed", crossed))
+    rows = held(rows.withColumn("crossed", crossed_items(F.col("gt"), F.col("pred"), F.col("pairs"))))
     for name in ("gt", "pred", "crossed"):
         rows = rows.withColumn(f"{name}_markup", rewrite_markup_array(markup_texts(F.col(name))))
     rows = held(rows)
     for name in ("gt", "pred", "crossed"):
         rows = rows.withColumn(f"{name}_texts", finish_texts(F.col(name), F.col(f"{name}_markup")))
     rows = held(rows)
+    rows = held(rows.withColumn("read", read_as(F.col("pairs"), F.col("crossed"), F.col("crossed_texts"), F.col("pred_texts"))))
 
     def worth(m: Column, k: Column) -> Column:
         g, p = F.get("gt", m["gi"]), F.get("pred", m["pi"])
-        want, got = F.get("gt_texts", m["gi"]), F.get("crossed_texts", k)
-        cer = F.when(is_scorable(g), F.levenshtein(got, want) / F.greatest(F.length(want), F.lit(1)))
+        want, got = F.get("gt_texts", m["gi"]), F.get("read", k)
+        cer = F.when(is_scorable(g), F.when(got == want, 0).otherwise(F.levenshtein(got, want)) / F.greatest(F.length(want), F.lit(1)))
         return F.struct(cer.alias("cer"), (g["type"] == p["type"]).alias("same"), is_scorable(g).alias("ok"))
 
     page = F.array_join(F.transform(_page_parts(F.col("gt"), F.col("gt_texts")), lambda k: k["t"]), "\n")

@@ -93,3 +93,28 @@ def test_keys(spark):
     assert one(spark, X.token_key(F.col("t")), t="«Слово»,") == "слово"
     assert one(spark, X.looks_math(F.col("t")), t="ab") is False
     assert one(spark, X.looks_math(F.col("t")), t="a+b") is True
+
+
+def test_texts_that_no_pattern_touches_are_passed_over_rightly(spark):
+    """The short way, for texts without any character that a pattern needs, is what all patterns leave; so for random texts of such and other characters."""
+    import random
+
+    from quirelake.functions import markup
+
+    rng = random.Random(5)
+    signs = list("ab aeO, .;|&*~~{}_-^()\"'\\\n\t1²₂√́«»“’—–− ​\x1c\x85 жI") + ["  ", "~~", "___", "\r\n"]
+    texts = ["".join(rng.choice(signs[: rng.choice((6, 12, len(signs)))]) for _ in range(rng.randrange(9))) for _ in range(3000)]
+    for t in texts:
+        whole = markup._apply(t, markup._struck)
+        for again, rules in markup._compiled:
+            before, whole = whole, markup._apply(whole, rules)
+            while again and whole != before:
+                before, whole = whole, markup._apply(whole, rules)
+        assert markup.rewrite(t) == whole
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    c = F.col("t")
+    every = X.strip(X._common(X.chain(c, *X.STRUCK)))
+    lines, plain = X.strip(X._table_lines(X._common(c))), X.strip(X._common(c))
+    off = df.where((X.normalize_natural(c) != every) | (X.finish_markup(c, F.lit("table")) != lines) | (X.finish_markup(c, F.lit("formula")) != plain))
+    assert off.collect() == []
+    assert df.where(~c.rlike(X.TOUCHED)).count() > 300
