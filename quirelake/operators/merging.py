@@ -22,8 +22,8 @@ STEP = 1_000_000
 HLL, KLL = 14, 300
 
 
-def partial(pages: DataFrame) -> DataFrame:
-    """The state of page rows (of ``score_pages``): report, key, measure, value.
+def partial(pages: DataFrame, *by: str) -> DataFrame:
+    """The state of page rows (of ``score_pages``): report, key, measure, value; with columns ``by``, such as the shard, one for each of their values.
 
     Reports: source (sums of the metric), type (events and errors), chars (matched texts of each length), page_cer (pages of each error).
     """
@@ -48,7 +48,7 @@ def partial(pages: DataFrame) -> DataFrame:
         F.transform(scored, lambda m: entry("type", m["gt_type"], "cer_sum", m["cer"])), F.transform("matches", lambda m: entry("chars", m["chars"], "n", 1))
     )
     # one pass over the page rows, whose entries are added up before they are shuffled
-    return pages.select(F.explode(entries).alias("e")).select("e.*").where("value IS NOT NULL").groupBy("report", "key", "measure").agg(
+    return pages.select(*by, F.explode(entries).alias("e")).select(*by, "e.*").where("value IS NOT NULL").groupBy(*by, "report", "key", "measure").agg(
         F.sum("value").cast(EXACT).alias("value")
     )
 

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,9 +159,14 @@ def partial_output(sample: DataFrame, state: DataFrame, order: str) -> DataFrame
     ).orderBy(order)
 
 
+def shard_of(key: str, shards: int) -> Column:
+    """The number of the shard that ``key`` is in."""
+    return F.pmod(F.xxhash64(key), F.lit(shards))
+
+
 def shard(pages: DataFrame, shard_id: int, shards: int, key: str = "image") -> DataFrame:
     """Pages of one shard by hash of their name."""
-    return pages.where(F.pmod(F.xxhash64(key), F.lit(shards)) == shard_id)
+    return pages.where(shard_of(key, shards) == shard_id)
 
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
