@@ -31,8 +31,11 @@ def stays(regions: Column, limit: float, by_type: bool = True) -> Column:
         F.transform(regions, lambda r, i: F.struct((-_conf(r)).alias("c"), i.alias("i"), kind(r).alias("t"), r["bbox"].alias("b")))
     )
 
+    def meets(a: Column, b: Column) -> Column:
+        return (a[1] < b[3]) & (b[1] < a[3]) & (a[0] < b[2]) & (b[0] < a[2])
+
     def take(kept: Column, x: Column) -> Column:
-        gone = F.exists(kept, lambda k: k["t"].eqNullSafe(x["t"]) & (G.iou_metric(k["b"], x["b"]) > limit))
+        gone = F.exists(kept, lambda k: k["t"].eqNullSafe(x["t"]) & meets(k["b"], x["b"]) & (G.iou_metric(k["b"], x["b"]) > limit))
         return F.when(gone, kept).otherwise(F.concat(kept, F.array(x)))
 
     none = F.array().cast("array<struct<c:double,i:int,t:string,b:array<double>>>")
