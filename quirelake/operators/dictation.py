@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,42 +17,114 @@ from .curation import ranked
 _WORD = re.compile(r"\w+")
 
 
-def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+#: Blocks of up to so many pairs of words keep all their rows, two bits a pair; larger ones are cut in two first.
+CELLS = 1 << 27
+#: Bytes of words' places that are kept between uses.
+KEPT = 1 << 25
+
+
+def _places(b: list[int]) -> Callable[[int], int]:
+    """Gives the places of a word in ``b`` as the bits of a number."""
+    lists: dict[int, list[int]] = {}
+    for i, word in enumerate(b):
+        lists.setdefault(word, []).append(i)
+    made: dict[int, int] = {}
+    size = (len(b) + 7) // 8
+
+    def of(word: int) -> int:
+        if word in made:
+            return made[word]
+        if word not in lists:
+            return 0
+        bits = bytearray(size)
+        for i in lists[word]:
+            bits[i >> 3] |= 1 << (i & 7)
+        number = int.from_bytes(bits, "little")
+        if len(made) * size < KEPT:
+            made[word] = number
+        return number
+
+    return of
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
+    """For each beginning of ``a``, none first, where its edit distance from ``b``'s beginnings grows and falls by one from a word of ``b`` to the
+    next, as bits of two numbers (as in ``functions.edits``)."""
+    places, every = _places(b), (1 << len(b)) - 1
+    grows, falls = every, 0
+    yield grows, falls
+    for word in a:
+        equal = places(word)
+        down = equal | falls
+        across = ((((equal & grows) + grows) ^ grows) | equal) & every
+        more, less = falls | (every ^ (across | grows)), grows & across
+        more, less = ((more << 1) | 1) & every, (less << 1) & every
+        grows, falls = less | (every ^ (down | more)), more & down
+        yield grows, falls
+
+
+def _bits(number: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(number.to_bytes((n + 7) // 8, "little"), np.uint8), count=n, bitorder="little").astype(np.int64)
+
+
+def _last_row(a: list[int], b: list[int]) -> np.ndarray:
     """Edit distances, in words, of ``a`` from every beginning of ``b``."""
-    place = np.arange(len(b) + 1)
-    row = place.copy()
-    for k, word in enumerate(a.tolist(), 1):
-        step = np.empty_like(row)
-        step[0] = k
-        np.minimum(row[:-1] + (b != word), row[1:] + 1, out=step[1:])
-        row = np.minimum.accumulate(step - place) + place  # words of b that are passed over cost one each
-    return row
-
-
-def cuts(a: np.ndarray, b: np.ndarray, at: list[int]) -> list[int]:
-    """Where a best alignment of words ``a`` with ``b`` stands in ``b`` before each of the places ``at`` (rising) of ``a``.
-
-    The middle of ``at`` is where the distances of both halves from ``b``'s beginnings and ends add up to least (the first such place), and
-    each half is cut by itself: memory is linear in the words, time goes by their product.
+    for grows, falls in _rows(a, b):  # noqa: B007
+        pass
+    return len(a) + np.concatenate([[0], np.cumsum(_bits(grows, len(b)) - _bits(falls, len(b)))])
+
+
+def _distance(a: list[int], b: list[int]) -> int:
+    if a == b:
+        return 0
+    for grows, falls in _rows(a, b):  # noqa: B007
+        pass
+    return len(a) + grows.bit_count() - falls.bit_count()
+
+
+def _first_places(a: list[int], b: list[int]) -> list[int]:
+    """The first place of ``b`` that any best alignment has before each word of ``a``, and after the last: back from the end, words of ``b`` are
+    passed over wherever that is best, and words of ``a`` only where nothing else is."""
+    rows = list(_rows(a, b))
+    first, j = [0] * (len(a) + 1), len(b)
+    for i in range(len(a), 0, -1):
+        grows = rows[i][0]
+        while j and grows >> (j - 1) & 1:
+            j -= 1
+        first[i] = j
+        if j and (a[i - 1] == b[j - 1] or not rows[i - 1][1] >> (j - 1) & 1):
+            j -= 1
+    return first
+
+
+def cuts(a: list[int], b: list[int], at: list[int]) -> list[int]:
+    """Where a best alignment of words ``a`` with ``b`` stands in ``b`` before each of the places ``at`` (rising) of ``a``: the first such place.
+
+    Blocks of over ``CELLS`` pairs are cut at the middle of ``at``, where the distances of both halves from ``b``'s beginnings and ends add up to
+    least; best alignments through first places are best, so smaller blocks give the same places in one pass. Memory is linear in the words
+    beyond ``CELLS``, time goes by their product, a word against a whole number's bits at once.
     """
     out, todo = [0] * len(at), [(0, len(a), 0, len(b), 0, len(at))]
     while todo:
         a0, a1, b0, b1, k0, k1 = todo.pop()
         if k0 >= k1:
             continue
+        x, y = a[a0:a1], b[b0:b1]
+        if len(x) * len(y) <= CELLS:
+            first = _first_places(x, y)
+            for k in range(k0, k1):
+                out[k] = b0 if b0 == b1 or at[k] <= a0 else b1 if at[k] >= a1 else b0 + first[at[k] - a0]
+            continue
         k = (k0 + k1) // 2
-        middle = at[k]
-        if b0 == b1 or middle <= a0:
-            cut = b0
-        elif middle >= a1:
-            cut = b1
+        middle = max(a0, min(at[k], a1))
+        if middle in (a0, a1):
+            cut = b0 if middle == a0 else b1
         else:
-            x, y = a[a0:middle], a[middle:a1]
-            ahead = _last_row(x, b[b0:b1])
-            behind = _last_row(y[::-1], b[b0:b1][::-1])[::-1]
+            ahead = _last_row(x[: middle - a0], y)
+            behind = _last_row(x[middle - a0 :][::-1], y[::-1])[::-1]
             cut = b0 + int(np.argmin(ahead + behind))
         out[k] = cut
-        todo += [(a0, max(a0, min(middle, a1)), b0, cut, k0, k), (max(a0, min(middle, a1)), a1, cut, b1, k + 1, k1)]
+        todo += [(a0, middle, b0, cut, k0, k), (middle, a1, cut, b1, k + 1, k1)]
     return out
 
 
@@ -60,13 +134,13 @@ def aligned(lines: list[str | None], text: str | None) -> list[tuple[int, int, i
     Words are runs of letters and digits, in lower case. The sum of the distances is the least that any such stretches have.
     """
     numbers: dict[str, int] = {}
-    of = lambda t: np.array([numbers.setdefault(w, len(numbers)) for w in _WORD.findall((t or "").lower())], np.int64)
+    of = lambda t: [numbers.setdefault(w, len(numbers)) for w in _WORD.findall((t or "").lower())]
     parts, known = [of(t) for t in lines], of(text)
     if not parts:
         return []
-    at = np.cumsum([len(p) for p in parts])
-    ends = [*cuts(np.concatenate(parts), known, at[:-1].tolist()), len(known)]
-    return [(lo, hi, int(_last_row(p, known[lo:hi])[-1])) for p, lo, hi in zip(parts, [0, *ends[:-1]], ends, strict=True)]
+    at = list(accumulate(map(len, parts)))
+    ends = [*cuts(list(chain.from_iterable(parts)), known, at[:-1]), len(known)]
+    return [(lo, hi, _distance(p, known[lo:hi])) for p, lo, hi in zip(parts, [0, *ends[:-1]], ends, strict=True)]
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())]))

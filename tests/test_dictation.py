@@ -64,3 +64,25 @@ def test_sentences_are_the_same_for_any_partitioning(spark):
         own = t.rstrip(dictation.SIGNS).split(" ")
         assert dictation.LEAST <= len(own) <= dictation.MOST and all(w.startswith("word") or w == "padded" for w in own)
     assert dictation.sentences(words.limit(0), 10).count() == 0
+
+
+def test_blocks_cut_or_whole_give_the_same_places(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(200):
+        known = [rng.choice("abc") for _ in range(rng.randrange(0, 25))]
+        read = [w if rng.random() < 0.7 else rng.choice("abx") for w in known if rng.random() < 0.9]
+        lines = [" ".join(read[i : i + 3]) for i in range(0, len(read), 3)]
+        got = []
+        for cells in (1 << 27, 50, 0):
+            monkeypatch.setattr(dictation, "CELLS", cells)
+            got.append(dictation.aligned(lines, " ".join(known)))
+        assert got[0] == got[1] == got[2]
+
+
+def test_a_text_of_50_000_words_is_aligned_in_seconds():
+    rng = random.Random(6)
+    known = [f"w{rng.randrange(3000)}" for _ in range(50_000)]
+    read = [w if rng.random() < 0.9 else "?" + w for w in known if rng.random() < 0.97]
+    began = time.monotonic()
+    got = dictation.aligned([" ".join(read[i : i + 9]) for i in range(0, len(read), 9)], " ".join(known))
+    assert time.monotonic() - began < 20 and got[-1][1] == len(known)
