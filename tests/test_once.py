@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quirelake.operators import compare, pages
 from quirelake.plans.queries import QUERIES
+from quirelake.sources import regions
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -45,3 +46,15 @@ def test_annotation_finds_what_brute_force_finds(spark):
         assert r["overlap_with"] == [j for j in others if of(r["id"], j)[0] >= 0.80]
         assert r["contained_with"] == [j for j in others if of(r["id"], j)[1] >= 0.95]
         assert ("overlap_iou80" in r["flags"]) == bool(r["overlap_with"]) and r["raw_text"] == "t"
+
+
+def test_strict_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(k):
+        made.add(1)
+        return '[{"bbox": [1, 2, 3, 4], "type": "table"}]'
+
+    rows = spark.range(10).select(F.col("id").cast("string").alias("image"), text("id").alias("regions"))
+    assert regions.parse_strict(rows).where("size(regions) = 1").count() == 10 and made.value == 10
