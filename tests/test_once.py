@@ -58,3 +58,16 @@ def test_strict_rows_are_made_once(spark):
 
     rows = spark.range(10).select(F.col("id").cast("string").alias("image"), text("id").alias("regions"))
     assert regions.parse_strict(rows).where("size(regions) = 1").count() == 10 and made.value == 10
+
+
+
+def test_a_submissions_checks_read_each_table_once(spark):
+    assert QUERIES["submission_checks"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
+
+
+def test_checks_count_nulls_and_repeated_images(spark):
+    rows = spark.createDataFrame([("a", "[]"), ("a", "[5, {}]"), ("b", "{"), (None, None)], "image string, regions string")
+    sample = spark.createDataFrame([("a",), ("c",), ("c",), (None,)], "image string")
+    got = {r["check"]: (r["ok"], r["observed"]) for r in compare.submission_checks(rows, sample).collect()}
+    assert got == {"regions_valid": (False, 3), "images_unique": (False, 1), "no_missing_images": (False, 3), "no_extra_images": (False, 2)}
+    assert [r["observed"] for r in compare.submission_checks(rows.limit(0)).collect()] == [0, 0]
