@@ -71,3 +71,7 @@ def test_checks_count_nulls_and_repeated_images(spark):
     got = {r["check"]: (r["ok"], r["observed"]) for r in compare.submission_checks(rows, sample).collect()}
     assert got == {"regions_valid": (False, 3), "images_unique": (False, 1), "no_missing_images": (False, 3), "no_extra_images": (False, 2)}
     assert [r["observed"] for r in compare.submission_checks(rows.limit(0)).collect()] == [0, 0]
+
+
+def test_a_summary_derives_its_pages_once(spark):
+    assert not [f for f in QUERIES["submission_summary"](spark, SMALL).inputFiles() if "documents" in f]
