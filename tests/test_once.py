@@ -75,3 +75,16 @@ def test_checks_count_nulls_and_repeated_images(spark):
 
 def test_a_summary_derives_its_pages_once(spark):
     assert not [f for f in QUERIES["submission_summary"](spark, SMALL).inputFiles() if "documents" in f]
+
+
+def test_the_first_silver_pages_are_those_of_a_cap_over_all_crops(spark):
+    schema = "image string, file_name string, filename string, id string, " + ", ".join(f"{c} {regions._CROP_REGION}" for c in ("regions", "annotations")) + ", page_no long"
+    box = lambda k, kind="printed": ([float(k), 0.0, 9.0, 9.0], None, kind, f" t{k} ", "uk", None)
+    rows = [(f"p{n}.jpg", None, None, None, [box(k, "image" if k == 1 else "printed") for k in range(n % 4)], None, n) for n in range(30)] + [(None, None, None, None, [box(1)], None, 1)]
+    index = spark.createDataFrame([(f"p{n}.jpg" if n % 2 else f"p{n}", f"/x/{n}") for n in range(30) if n % 5], "key string, path string")
+    given = spark.createDataFrame(rows, schema)
+    every = regions._found_regions(given, index)
+    for most in (0, 1, 7, 1000):
+        want = regions.cap_by_page(every, most).select("source_image", "bbox", "type", F.col("text").alias("silver_text"))
+        assert sorted(map(tuple, want.collect())) == sorted(map(tuple, regions.silver_crops_from_lines(given, index, most).collect()))
+    assert not [f for f in QUERIES["silver_lines"](spark, SMALL).inputFiles() if "documents" in f]
