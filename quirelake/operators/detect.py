@@ -70,14 +70,18 @@ def _page_parts(regions: Column, texts: Column) -> Column:
     return F.filter(F.array_sort(keyed), lambda k: k["ok"])
 
 
-def pair_table(solution: DataFrame, submission: DataFrame, least: float) -> DataFrame:
-    """A row for each page of ``solution``: its regions, the predictions, and all pairs that reach ``least`` (over 0) with what a match of them is worth.
+def beside(solution: DataFrame, submission: DataFrame) -> DataFrame:
+    """image, gt and pred: each page of ``solution`` with its predictions, none where ``submission`` lacks it."""
+    sub = submission.select("image", F.col("regions").alias("pred"))
+    return solution.select("image", F.col("regions").alias("gt")).join(sub, "image", "left")
+
+
+def pair_table(rows: DataFrame, least: float) -> DataFrame:
+    """A row for each of ``rows`` (image, gt and pred): its regions, the predictions, and all pairs that reach ``least`` (over 0) with what a match of them is worth.
 
     Columns: image, gt, pred, pairs (o, gi, pi) by falling overlap, worth (cer or null, same type, whether the reference is scorable) beside
     them, gt_page, and parts (the predictions' texts in reading order).
     """
-    sub = submission.select("image", F.col("regions").alias("pred"))
-    rows = solution.select("image", F.col("regions").alias("gt")).join(sub, "image", "left")
     for name in ("gt", "pred"):
         rows = rows.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
     large = sweep.is_large(F.col("gt"), F.col("pred"))
@@ -108,7 +112,14 @@ def pair_table(solution: DataFrame, submission: DataFrame, least: float) -> Data
 def grid(
     solution: DataFrame, submission: DataFrame, confs: list[float], ious: list[float] = (THRESHOLD,), nms: list[float | None] = (None,), by_type: bool = True
 ) -> DataFrame:
-    """The metric for each confidence, match threshold (over 0) and suppression limit, over predictions that carry ``conf``.
+    """``grid_of`` the pages of ``solution`` beside their predictions in ``submission``."""
+    return grid_of(beside(solution, submission), confs, ious, nms, by_type)
+
+
+def grid_of(
+    rows: DataFrame, confs: list[float], ious: list[float] = (THRESHOLD,), nms: list[float | None] = (None,), by_type: bool = True
+) -> DataFrame:
+    """The metric for each confidence, match threshold (over 0) and suppression limit, over pages (image, gt, pred) whose predictions carry ``conf``.
 
     ``ordinal`` is the point's place, confidences first, then thresholds, then limits, as the points of a loop over confidences with the others
     inside; ``nms`` is null where nothing is suppressed.
@@ -116,7 +127,7 @@ def grid(
     limits = sorted({float(m) for m in nms if m is not None})
     points = [(float(c), float(t), None if m is None else float(m)) for c in confs for t in ious for m in nms]
     sets = sorted({(c, m) for c, _, m in points}, key=str)  # a point's predictions go by its confidence and limit
-    rows = pair_table(solution, submission, min(map(float, ious)))
+    rows = pair_table(rows, min(map(float, ious)))
     rows = rows.withColumn("stays", F.array(*[stays(F.col("pred"), m, by_type) for m in limits]).cast("array<array<boolean>>"))
     of_sets = F.array(*[F.struct(F.lit(c).alias("conf"), F.lit(None if m is None else limits.index(m)).cast("int").alias("limit")) for c, m in sets])
     of_points = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(t).alias("least"), F.lit(sets.index((c, m))).alias("set")) for k, (c, t, m) in enumerate(points)])

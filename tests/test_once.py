@@ -88,3 +88,8 @@ def test_the_first_silver_pages_are_those_of_a_cap_over_all_crops(spark):
         want = regions.cap_by_page(every, most).select("source_image", "bbox", "type", F.col("text").alias("silver_text"))
         assert sorted(map(tuple, want.collect())) == sorted(map(tuple, regions.silver_crops_from_lines(given, index, most).collect()))
     assert not [f for f in QUERIES["silver_lines"](spark, SMALL).inputFiles() if "documents" in f]
+
+
+@pytest.mark.parametrize("name", ["metric_grid", "metric_grid_best", "detector_grid"])
+def test_a_grid_derives_its_pages_once(spark, name):
+    assert QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
