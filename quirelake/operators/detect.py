@@ -24,8 +24,13 @@ def _conf(r: Column) -> Column:
 def stays(regions: Column, limit: float, by_type: bool = True) -> Column:
     """Which regions stay: by falling confidence, then by position, each removes those of its type (or all) that overlap it by more than ``limit``.
 
-    A null confidence is 1. The limit is at least 0. Pages of many boxes are swept.
+    A null confidence is 1. The limit is at least 0. All but the smallest pages go to an Arrow function, where crowded ones are swept.
     """
+    return F.get(stays_at(regions, [limit], by_type), F.lit(0))
+
+
+def stays_at(regions: Column, limits: list[float], by_type: bool = True) -> Column:
+    """``stays`` for each of the limits, whose pairs are found once."""
     kind = (lambda r: r["type"]) if by_type else (lambda r: F.lit("").cast("string"))
     ranked = F.array_sort(
         F.transform(regions, lambda r, i: F.struct((-_conf(r)).alias("c"), i.alias("i"), kind(r).alias("t"), r["bbox"].alias("b")))
@@ -34,18 +39,19 @@ def stays(regions: Column, limit: float, by_type: bool = True) -> Column:
     def meets(a: Column, b: Column) -> Column:
         return (a[1] < b[3]) & (b[1] < a[3]) & (a[0] < b[2]) & (b[0] < a[2])
 
-    def take(kept: Column, x: Column) -> Column:
-        gone = F.exists(kept, lambda k: k["t"].eqNullSafe(x["t"]) & meets(k["b"], x["b"]) & (G.iou_metric(k["b"], x["b"]) > limit))
-        return F.when(gone, kept).otherwise(F.concat(kept, F.array(x)))
+    def small(limit: float) -> Column:
+        def take(kept: Column, x: Column) -> Column:
+            gone = F.exists(kept, lambda k: k["t"].eqNullSafe(x["t"]) & meets(k["b"], x["b"]) & (G.iou_metric(k["b"], x["b"]) > limit))
+            return F.when(gone, kept).otherwise(F.concat(kept, F.array(x)))
+
+        none = F.array().cast("array<struct<c:double,i:int,t:string,b:array<double>>>")
+        kept = F.transform(F.aggregate(ranked, none, take), lambda k: k["i"])
+        return F.transform(regions, lambda r, i: F.array_contains(kept, i))
 
-    none = F.array().cast("array<struct<c:double,i:int,t:string,b:array<double>>>")
-    kept = F.transform(F.aggregate(ranked, none, take), lambda k: k["i"])
-    small = F.transform(regions, lambda r, i: F.array_contains(kept, i))
     large = sweep.is_large(regions, regions)
-    swept = sweep.stays_large(
-        F.when(large, sweep.of_boxes(regions)), F.when(large, F.transform(regions, kind)), F.when(large, F.transform(regions, _conf)), F.lit(float(limit))
-    )
-    return F.when(large, swept).otherwise(small)
+    at = F.array(*[F.lit(float(m)) for m in limits]).cast("array<double>")
+    swept = sweep.stays_large(F.when(large, sweep.of_boxes(regions)), F.when(large, F.transform(regions, kind)), F.when(large, F.transform(regions, _conf)), at)
+    return F.when(large, swept).otherwise(F.array(*[small(m) for m in limits]).cast("array<array<boolean>>"))
 
 
 def suppress(rows: DataFrame, limit: float, conf: float = 0.0, by_type: bool = True) -> DataFrame:
@@ -128,7 +134,7 @@ def grid_of(
     points = [(float(c), float(t), None if m is None else float(m)) for c in confs for t in ious for m in nms]
     sets = sorted({(c, m) for c, _, m in points}, key=str)  # a point's predictions go by its confidence and limit
     rows = pair_table(rows, min(map(float, ious)))
-    rows = rows.withColumn("stays", F.array(*[stays(F.col("pred"), m, by_type) for m in limits]).cast("array<array<boolean>>"))
+    rows = rows.withColumn("stays", stays_at(F.col("pred"), limits, by_type))
     of_sets = F.array(*[F.struct(F.lit(c).alias("conf"), F.lit(None if m is None else limits.index(m)).cast("int").alias("limit")) for c, m in sets])
     of_points = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(t).alias("least"), F.lit(sets.index((c, m))).alias("set")) for k, (c, t, m) in enumerate(points)])
     rows = held(rows.withColumns({"sets": of_sets, "points": of_points}))

@@ -2,6 +2,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,28 @@ def test_meeting_boxes_against_all_pairs():
         with np.errstate(invalid="ignore"):
             want = [(i, j) for i in range(len(a)) for j in range(len(b)) if a[i, 1] < b[j, 3] and b[j, 1] < a[i, 3] and a[i, 0] < b[j, 2] and b[j, 0] < a[i, 2]]
         assert got == want
+
+
+def test_pages_of_a_batch_against_each_page_alone():
+    rng = random.Random(5)
+    for crowded in (sweep.CROWDED, 100):
+        rows = [boxes(rng, rng.randrange(0, 30), side=80) + [None, [1.0]] if rng.random() < 0.8 else None for _ in range(25)]
+        flat, of = sweep.flat(pa.array(rows, pa.list_(pa.list_(pa.float64()))))
+        assert of.tolist() == [0, *np.cumsum([len(r or []) for r in rows]).tolist()]
+        least = np.array([rng.choice([0.05, 0.3]) for _ in rows])
+        before, sweep.CROWDED = sweep.CROWDED, crowded
+        o, i, j, ends = sweep.overlapping_on_pages(flat, of, flat, of, least)
+        sweep.CROWDED = before
+        for k, row in enumerate(rows):
+            whole = [(n, b) for n, b in enumerate(row or []) if b is not None and len(b) == 4]
+            want = sorted((-iou(a, b), m, n) for m, a in whole for n, b in whole if iou(a, b) >= least[k])
+            assert list(zip((-o[ends[k] : ends[k + 1]]).tolist(), i[ends[k] : ends[k + 1]].tolist(), j[ends[k] : ends[k + 1]].tolist(), strict=True)) == want
+
+
+def test_limits_share_their_pairs(spark, two_pages):
+    _, pred = frames(spark, two_pages)
+    both = pred.select("image", detect.stays_at(F.col("regions"), [0.0, 0.3, 0.7]).alias("s"))
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("stays_large(") == 1
+    got = {r["image"]: r["s"] for r in both.collect()}
+    for image, _, regions in two_pages:
+        assert [[i for i, x in enumerate(s) if x] for s in got[image]] == [brute_stays(regions, m, True) for m in (0.0, 0.3, 0.7)]
