@@ -1,5 +1,8 @@
 """Edit distances by bits against the table of distances and the built-in function."""
 
+import random
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -27,6 +30,38 @@ def test_any_texts(a, b, before, after):
     assert edits.distance(before + a + after, before + b + after) == by_table(before + a + after, before + b + after)
 
 
+def _other(rng, text, share):
+    """``text`` with a share of its characters removed, replaced or doubled."""
+    out = []
+    for c in text:
+        out += rng.choice([[], [rng.choice("ab я")], [c, c]]) if rng.random() < share else [c]
+    return "".join(out)
+
+
+def test_pairs_together_against_each_alone(monkeypatch):
+    rng = random.Random(4)
+    for few, many, part in ((1, 256, 8), (1, 5, 2), (1, 256, 400), (12, 256, 64)):  # narrow bands, which must be widened, too
+        for name, value in (("FEW", few), ("MANY", many), ("PART", part)):
+            monkeypatch.setattr(edits, name, value)
+        pairs = []
+        for _ in range(120):
+            a = "".join(rng.choices("abcd я", k=rng.choice([0, 1, 63, 64, 65, 128, rng.randrange(400)])))
+            b = rng.choice([_other(rng, a, 0.1), _other(rng, a, 0.5), a[rng.randrange(len(a) + 1) :] + "b", "".join(rng.choices("cd 𝛼", k=rng.randrange(300)))])
+            pairs.append(rng.choice([(a, b), (b, a)]))
+        assert edits.distances(pairs) == [edits.distance(*p) for p in pairs]
+
+
+def test_pages_are_compared_faster_together():
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcdefghijklmnop .\n", k=rng.randrange(900, 1300))) for _ in range(400)]
+    pairs = [(t, _other(rng, t, 0.15)) for t in texts]
+    began = time.process_time()
+    alone = [edits.distance(*p) for p in pairs]
+    between = time.process_time()
+    assert edits.distances(pairs) == alone
+    assert time.process_time() - between < between - began
+
+
 def test_columns(spark):
     long = "слово за словом, 𝛼𝛽 " * 40
     pairs = [
