@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.operators import compare, pages
+from quirelake.plans import fixtures as fx
 from quirelake.plans.queries import QUERIES
 from quirelake.sources import regions
 
@@ -93,3 +94,33 @@ def test_the_first_silver_pages_are_those_of_a_cap_over_all_crops(spark):
 @pytest.mark.parametrize("name", ["metric_grid", "metric_grid_best", "detector_grid"])
 def test_a_grid_derives_its_pages_once(spark, name):
     assert QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+REPORTS = ["page_metric", "report_by_type", "report_page_errors", "report_worst_pages", "report_diagnosis", "metric_comparison", "profile_scores"]
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_scored_pages_are_derived_once_and_not_joined(spark, monkeypatch, name):
+    plans, score = [], pages._score_joined
+    monkeypatch.setattr(pages, "_score_joined", lambda rows, *a: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or score(rows, *a))
+    QUERIES[name](spark, SMALL)
+    assert len(plans) == 1 and plans[0].count("parquet") == 1 and "Join" not in plans[0]
+
+
+def test_pages_beside_their_predictions_score_as_joined_ones(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).withColumn("doc_id", F.expr("CASE WHEN doc_id % 7 <> 3 THEN doc_id END"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = pages.score_pages(fx.solution(spark, str(tmp_path)), fx.submission(spark, str(tmp_path)))
+    got = pages.score_beside(fx.whole(spark, str(tmp_path)))
+    assert got.where("image IS NULL").count() > 0 and got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_variants_beside_their_reference_score_as_joined_ones(spark):
+    rows = fx.whole(spark, SMALL).limit(60)
+    half = F.filter("pred", lambda r, i: i % 2 == 0)
+    own = F.array(F.struct(F.lit("all").alias("name"), F.col("pred").alias("pred")), F.struct(F.lit("half").alias("name"), half.alias("pred")))
+    rows = rows.withColumn("own", F.when(~F.col("image").like("%3_0.jpg"), own)).localCheckpoint()
+    want = pages.score_own(rows.select("image", "source", F.col("gt").alias("regions")), rows.where("own IS NOT NULL").select("image", "own"), ["all", "half"])
+    got = pages.score_own_beside(rows, ["all", "half"])
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
