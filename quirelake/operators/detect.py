@@ -73,7 +73,7 @@ def _page_parts(regions: Column, texts: Column) -> Column:
             F.get(texts, i).alias("t"), is_scorable(r).alias("ok")
         )
     )
-    return F.filter(F.array_sort(keyed), lambda k: k["ok"])
+    return F.sort_array(F.filter(keyed, lambda k: k["ok"]))
 
 
 def beside(solution: DataFrame, submission: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as X
@@ -118,3 +120,26 @@ def test_texts_that_no_pattern_touches_are_passed_over_rightly(spark):
     off = df.where((X.normalize_natural(c) != every) | (X.finish_markup(c, F.lit("table")) != lines) | (X.finish_markup(c, F.lit("formula")) != plain))
     assert off.collect() == []
     assert df.where(~c.rlike(X.TOUCHED)).count() > 300
+
+
+def test_plain_texts_are_told_from_those_that_patterns_touch(spark):
+    rng = random.Random(11)
+    marks = [*map(chr, range(0x1, 0x80)), "\xa0", "​", "–", "“", "ʼ", "я", "é", "𝛼", "  "]
+    texts = ["".join(rng.choices("ab C.,9 ", k=rng.randrange(6))) + rng.choice([m, "", ""]) + "".join(rng.choices("ab C.,9 ", k=rng.randrange(6))) for m in marks * 8]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", " ", "a", None]], "t string")
+    assert df.where(~X.touched(F.col("t")).eqNullSafe(F.col("t").rlike(X.TOUCHED))).count() == 0
+    assert df.where(X.touched(F.col("t"))).count() > 300
+
+
+def test_markup_of_arrays_with_and_without_marks(spark):
+    from quirelake.functions import markup
+
+    plain, marked = [["a", None, "b c"], None, [], ["√"[:0], "x" * 50]], [["a", r"\frac{1}{2}", None], None, [], ["²"], ["~~x~~", "b", r"\alpha_{i}"], ["c"]]
+    for rows in (plain, marked, [None, None], [[]], [[None]]):
+        df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, a array<string>").coalesce(1)
+        got = {r["k"]: r["m"] for r in df.select("k", markup.rewrite_markup_array(F.col("a")).alias("m")).collect()}
+        assert got == {k: r and [t and markup.rewrite(t) for t in r] if r is not None else None for k, r in enumerate(rows)}
+    signs = [*map(chr, range(1, 0x250)), *map(chr, range(0x2ff, 0x371)), *map(chr, range(0x2070, 0x2100)), *markup.SYMBOLS.values(), "∗", "⋅", "я", "𝛼"]
+    df = spark.createDataFrame([(c, [c, f"a{c}b"]) for c in signs], "c string, a array<string>")
+    assert all(r["m"] == [markup.rewrite(t) for t in r["a"]] for r in df.select("a", markup.rewrite_markup_array(F.col("a")).alias("m")).collect())
+    assert markup.rewrite_markup_array.evalType != markup.rewrite_markup.evalType  # no pandas series of arrays is made
